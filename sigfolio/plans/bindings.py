@@ -124,3 +124,15 @@ def equity(spark, sf_dir) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     return (ev.groupBy(F.col("event_type").alias("strategy_id"), F.col("ts").cast("date").alias("date"))
               .agg(F.sum("value").alias("equity")))
+
+
+def supplier_filings(spark, sf_dir) -> DataFrame:
+    """Order lines as supplier filings on the order date:
+    (doc_id, line, ticker, date, text)."""
+    li = table(spark, sf_dir, "lineitem")
+    o = table(spark, sf_dir, "orders")
+    return (li.join(o, li.l_orderkey == o.o_orderkey)
+              .select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("line"),
+                      F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ticker"),
+                      F.col("o_orderdate").cast("date").alias("date"),
+                      F.col("o_orderpriority").alias("text")))

@@ -44,13 +44,21 @@ VIEWS = {
     "equity": """equity AS (
   SELECT event_type AS strategy_id, CAST(ts AS DATE) AS date, sum(value) AS equity
   FROM events GROUP BY 1, 2)""",
+    "supplier_filings": """supplier_filings AS (
+  SELECT l_orderkey AS doc_id, l_linenumber AS line, 'S' || CAST(l_suppkey AS VARCHAR) AS ticker,
+         CAST(o_orderdate AS DATE) AS date, o_orderpriority AS text
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)""",
+    "labelled": """labelled AS (
+  SELECT ticker, date, price, CASE WHEN count(price) OVER w = 10 AND price * 10 <= sum(price) OVER w
+         THEN 'buy' ELSE 'sell' END AS truth
+  FROM prices WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))""",
     "month_cal": """month_cal AS (
   SELECT month, start, lead(start) OVER (ORDER BY month) AS next_start FROM (
     SELECT date_trunc('month', date) AS month, min(date) AS start FROM prices GROUP BY 1))""",
 }
 
 # views that need other views first
-DEPENDS = {"month_cal": ["prices"]}
+DEPENDS = {"month_cal": ["prices"], "labelled": ["prices"]}
 
 
 def with_views(*names: str) -> str:
