@@ -24,7 +24,7 @@ def sas_serial_to_date(c, fmt: str | None = None) -> Column:
 
 def compact_date(c, fmt: str | None = None) -> Column:
     """``yyyyMMdd`` string -> DATE (or formatted); bad input -> NULL."""
-    d = F.try_to_date(as_col(c).cast("string"), F.lit("yyyyMMdd"))
+    d = F.try_to_date(as_col(c).cast("string"), "yyyyMMdd")
     return F.date_format(d, fmt) if fmt else d
 
 
@@ -40,8 +40,8 @@ def parse_date_auto(c) -> Column:
     gives the same answer on homogeneous columns and never aborts).
     """
     s = as_col(c).cast("string")
-    return F.when(s.contains("-"), F.try_to_date(s, F.lit("yyyy-MM-dd"))) \
-            .otherwise(F.try_to_date(s, F.lit("yyyyMMdd")))
+    return F.when(s.contains("-"), F.try_to_date(s, "yyyy-MM-dd")) \
+            .otherwise(F.try_to_date(s, "yyyyMMdd"))
 
 
 def safe_price(c) -> Column:

@@ -72,7 +72,7 @@ def filing_header(c) -> dict[str, Column]:
     """cik / company_name / date of the first header match, else 'Unknown'."""
     out = {}
     for name, pat in HEADER_PATTERNS.items():
-        v = F.regexp_extract(as_col(c), _lit("(?U)" + pat), 1)
+        v = F.regexp_extract(as_col(c), "(?U)" + pat, 1)
         out[name] = F.when(v == "", F.lit(UNKNOWN)).otherwise(v)
     return out
 

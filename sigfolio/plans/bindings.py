@@ -80,18 +80,24 @@ def doc_filings(spark, sf_dir) -> DataFrame:
 
 
 def filing_texts(spark, sf_dir) -> DataFrame:
-    """Raw filing text with an SEC-style header built from documents.
+    """Raw filing text: an SEC-style header and item sections around each
+    document's text.
 
     German documents get no company-name line and French ones no date line,
-    so the 'Unknown' paths are exercised."""
+    so the 'Unknown' paths are exercised; an all-caps line sits inside
+    item 1A so the paragraph cleaner has work to do."""
     d = table(spark, sf_dir, "documents")
     date = F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (F.col("doc_id") % 700).cast("int")), "yyyyMMdd")
-    head = F.concat(
+    nl = F.lit("\n")
+    content = F.concat(
         F.lit("ACCESSION NUMBER: 0000000000\nCENTRAL INDEX KEY:\t"), F.lpad(F.col("doc_id").cast("string"), 10, "0"),
         F.when(F.col("lang") != "de", F.concat(F.lit("\nCOMPANY CONFORMED NAME:  "), F.col("source"))).otherwise(F.lit("")),
         F.when(F.col("lang") != "fr", F.concat(F.lit("\nFILED AS OF DATE:   "), date)).otherwise(F.lit("")),
-        F.lit("\n\n"))
-    return d.select("doc_id", F.concat(head, F.col("text")).alias("content"))
+        F.lit("\n\nPART I\nItem 1. Business\n\n"), F.col("text"),
+        F.lit("\n\nItem 1A. Risk Factors\n\n"), F.upper(F.col("lang")), F.lit(" RISK FACTORS\n"), F.col("text"),
+        F.lit("\n\nItem 1B. Unresolved Staff Comments\n\nItem 7A. Market risk\n\n"), F.col("source"), nl,
+        F.lit("\nItem 8. Financial Statements\n"))
+    return d.select("doc_id", content.alias("content"))
 
 
 def scored(spark, sf_dir) -> DataFrame:

@@ -52,6 +52,15 @@ VIEWS = {
   SELECT ticker, date, price, CASE WHEN count(price) OVER w = 10 AND price * 10 <= sum(price) OVER w
          THEN 'buy' ELSE 'sell' END AS truth
   FROM prices WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))""",
+    "filing_texts": """filing_texts AS (
+  SELECT doc_id, 'ACCESSION NUMBER: 0000000000' || chr(10) || 'CENTRAL INDEX KEY:' || chr(9) || lpad(CAST(doc_id AS VARCHAR), 10, '0')
+    || CASE WHEN lang <> 'de' THEN chr(10) || 'COMPANY CONFORMED NAME:  ' || source ELSE '' END
+    || CASE WHEN lang <> 'fr' THEN chr(10) || 'FILED AS OF DATE:   ' || strftime(DATE '2020-01-01' + CAST(doc_id % 700 AS INTEGER), '%Y%m%d') ELSE '' END
+    || chr(10) || chr(10) || 'PART I' || chr(10) || 'Item 1. Business' || chr(10) || chr(10) || text
+    || chr(10) || chr(10) || 'Item 1A. Risk Factors' || chr(10) || chr(10) || upper(lang) || ' RISK FACTORS' || chr(10) || text
+    || chr(10) || chr(10) || 'Item 1B. Unresolved Staff Comments' || chr(10) || chr(10) || 'Item 7A. Market risk' || chr(10) || chr(10)
+    || source || chr(10) || chr(10) || 'Item 8. Financial Statements' || chr(10) AS content
+  FROM documents)""",
     "month_cal": """month_cal AS (
   SELECT month, start, lead(start) OVER (ORDER BY month) AS next_start FROM (
     SELECT date_trunc('month', date) AS month, min(date) AS start FROM prices GROUP BY 1))""",
