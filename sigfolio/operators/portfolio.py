@@ -64,43 +64,61 @@ def annual_covariance(ret: DataFrame, key="ticker", order="date", value="ret",
 
 # --- minimum-variance solver (numpy, one rebalance date per call) ---------
 
-def _project_simplex(v: np.ndarray) -> np.ndarray:
-    """Euclidean projection onto {w >= 0, sum w = 1}."""
-    u = np.sort(v)[::-1]
-    css = np.cumsum(u)
-    idx = np.arange(1, len(v) + 1)
-    rho = np.nonzero(u * idx > (css - 1))[0][-1]
-    theta = (css[rho] - 1) / (rho + 1.0)
-    return np.maximum(v - theta, 0.0)
-
-
-def min_variance(cov: np.ndarray, max_iter: int = 200_000, tol: float = 1e-13) -> np.ndarray:
-    """Long-only, fully invested weights minimising w' C w (same minimiser
-    as the volatility sqrt(w' C w)).  Accelerated projected gradient with
-    restart, started from 1/N like the reference."""
-    n = cov.shape[0]
-    if n == 1:
-        return np.ones(1)
-    lip = 2.0 * max(np.linalg.eigvalsh(cov).max(), 1e-18)
-    step = 1.0 / lip
-    w = np.full(n, 1.0 / n)
-    y, t = w.copy(), 1.0
-    f_prev = w @ cov @ w
+def min_norm_point(points: np.ndarray, tol: float = 1e-12, max_iter: int = 10_000) -> np.ndarray:
+    """Weights w on the simplex minimising ||points @ w|| (Wolfe's exact
+    minimum-norm-point algorithm; columns of ``points`` are the points).
+
+    With ``points`` = centred returns scaled by sqrt(252 / (T - 1)) this is
+    the long-only, fully invested minimum-variance portfolio: w' C w =
+    ||X w||^2.  The active set stays affinely independent (at most T + 1
+    names), so singular covariances (more names than bars) are handled and
+    the answer is exact up to rounding, in a handful of iterations."""
+    n = points.shape[1]
+    sq = (points * points).sum(axis=0)
+    scale = max(1.0, float(sq.max()))
+    active = [int(np.argmin(sq))]
+    lam = np.array([1.0])
     for _ in range(max_iter):
-        w_new = _project_simplex(y - step * 2.0 * (cov @ y))
-        f_new = w_new @ cov @ w_new
-        if f_new > f_prev:  # restart momentum
-            y, t = w.copy(), 1.0
-            continue
-        t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        y = w_new + ((t - 1) / t_new) * (w_new - w)
-        if np.max(np.abs(w_new - w)) < tol:
-            w = w_new
+        x = points[:, active] @ lam
+        g = points.T @ x
+        j = int(np.argmin(g))
+        if x @ x - g[j] <= tol * scale or j in active:
             break
-        w, t, f_prev = w_new, t_new, f_new
+        active.append(j)
+        lam = np.append(lam, 0.0)
+        while True:  # minor cycle: affine minimiser of the active set
+            q = points[:, active]
+            k = len(active)
+            kkt = np.zeros((k + 1, k + 1))
+            kkt[:k, :k] = q.T @ q
+            kkt[:k, k] = 1.0
+            kkt[k, :k] = 1.0
+            rhs = np.zeros(k + 1)
+            rhs[k] = 1.0
+            mu = np.linalg.lstsq(kkt, rhs, rcond=None)[0][:k]
+            if np.all(mu > 1e-15):
+                lam = mu
+                break
+            neg = mu <= 1e-15
+            theta = np.min(lam[neg] / (lam[neg] - mu[neg]))
+            lam = lam + theta * (mu - lam)
+            keep = lam > 1e-15
+            active = [a for a, kp in zip(active, keep) if kp]
+            lam = lam[keep] / lam[keep].sum()
+    w = np.zeros(n)
+    w[active] = lam
     return w
 
 
+def min_variance(returns: np.ndarray) -> np.ndarray:
+    """Minimum-variance long-only weights for a (T x N) return matrix
+    (annualised sample covariance, ddof = 1: the scale does not move the
+    minimiser but keeps the objective comparable)."""
+    t = returns.shape[0]
+    x = (returns - returns.mean(axis=0)) * np.sqrt(TRADING_DAYS / (t - 1))
+    return min_norm_point(x)
+
+
 def _solve_group(pdf: pd.DataFrame) -> pd.DataFrame:
     grp_cols = [c for c in pdf.columns if c not in ("ticker", "date", "ret")]
     wide = pdf.pivot_table(index="date", columns="ticker", values="ret").sort_index()
@@ -108,8 +126,7 @@ def _solve_group(pdf: pd.DataFrame) -> pd.DataFrame:
     tickers = list(wide.columns)
     if len(wide) < 2 or not tickers:
         return pd.DataFrame(columns=grp_cols + ["ticker", "weight"])
-    cov = np.atleast_2d(np.cov(wide.to_numpy(), rowvar=False, ddof=1)) * TRADING_DAYS
-    w = min_variance(cov)
+    w = min_variance(wide.to_numpy())
     out = pd.DataFrame({"ticker": tickers, "weight": w.astype(float)})
     for c in grp_cols:
         out.insert(0, c, pdf[c].iloc[0])
