@@ -125,3 +125,17 @@ def positions_at_latest(df: DataFrame, position: str, date: str = "date", key: s
     d = df.withColumn("__g", F.lit(0)).join(F.broadcast(mx), "__g").drop("__g")
     keys = d.filter((F.col(date) == F.col("__max")) & (F.col(pos_col) == position)).select(key).distinct()
     return (d.filter(F.col(date) < F.col("__max")).join(keys, key, "left_semi").drop("__max"))
+
+
+def last_per_group(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """The last row of each key by ``order`` (a grouped max_by: partial
+    aggregation map-side, no sort of the group)."""
+    cols = [c for c in df.columns if c != key]
+    return (df.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("__r"))
+              .select(key, "__r.*"))
+
+
+def concat_history(prices: DataFrame, held: DataFrame, key: str = "ticker") -> DataFrame:
+    """Price histories of the held symbols, stacked: one scan and a semi
+    join instead of one history request per symbol."""
+    return prices.join(held.select(key).distinct(), key, "left_semi")

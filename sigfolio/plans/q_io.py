@@ -202,3 +202,78 @@ def q_bollinger_resampled(spark, sf):
     bars = M.resample_bars(ev, "1 day", seq="event_id").withColumn("day", F.col("bar_start").cast("date"))
     b = M.bollinger_bands(bars, n=5, k=2, order="day", value="close").filter(F.col("middle").isNotNull())
     return b.select("ticker", "day", F.round("middle", 6).alias("middle"))
+
+
+@query("filter_form", """
+SELECT lpad(CAST(doc_id AS VARCHAR), 10, '0') AS cik, year(d) AS year, 'QTR' || CAST(quarter(d) AS VARCHAR) AS quarter
+FROM (SELECT doc_id, lang, DATE '2020-01-01' + CAST(doc_id % 700 AS INTEGER) AS d FROM documents)
+WHERE lang = 'en'""")
+def q_filter_form(spark, sf):
+    """Form filter on the file name: 10-Q filings only."""
+    root = _export_filings(spark, sf)
+    fl = SRC.scan_filings(spark, root, [2020, 2021], "10-Q", hive_layout=True)
+    from sigfolio.functions.text import filing_header
+    return fl.select(filing_header("content")["cik"].alias("cik"), "year", "quarter")
+
+
+@query("scan_headerless_series", with_views("supplier_filings", "labelled") + """
+SELECT l.ticker, l.date, f.text AS item_1, CAST(f.doc_id AS VARCHAR) AS item_1a, l.truth AS item_7a,
+       CAST(l.price AS DOUBLE) AS price
+FROM supplier_filings f JOIN labelled l ON f.date = l.date AND f.ticker = l.ticker""")
+def q_headerless(spark, sf):
+    """Per-symbol files in the positional layout (col 3 date, 5-7 texts,
+    29 price), written headerless and parsed back by position."""
+    from sigfolio.functions.dates import safe_price
+    from sigfolio.operators import joins as J
+    lab = M.label_truth(B.prices(spark, sf))
+    j = J.join_price_truth(B.supplier_filings(spark, sf), lab)
+    cols = [F.lit("").alias(f"c{i}") for i in range(30)]
+    cols[3] = F.col("date").cast("string").alias("c3")
+    cols[5] = F.col("text").alias("c5")
+    cols[6] = F.col("doc_id").cast("string").alias("c6")
+    cols[7] = F.col("truth").alias("c7")
+    cols[29] = F.col("price").cast("string").alias("c29")
+    path = scratch_path(spark, "series")
+    SNK.sink_by_symbol(j.select(*cols, "ticker"), path)
+    back = spark.read.schema(", ".join(f"_c{i} string" for i in range(30))) \
+        .option("sep", "|").option("header", False).csv(path)
+    back = back.select("*", F.col("__sym").alias("ticker"))
+    s = back.select("ticker", F.col("_c3").cast("date").alias("date"), F.col("_c5").alias("item_1"),
+                    F.col("_c6").alias("item_1a"), F.col("_c7").alias("item_7a"),
+                    safe_price(F.col("_c29")).alias("price"))
+    return s.withColumn("ticker", F.upper("ticker"))
+
+
+@query("sink_delimited", "SELECT doc_id, md5(text) AS text_md5 FROM documents")
+def q_sink_delimited(spark, sf):
+    """Comma CSV with quoted multi-line text cells, read back whole."""
+    path = scratch_path(spark, "documents_csv")
+    SNK.sink_delimited(B.table(spark, sf, "documents").select("doc_id", "text"), path, sep=",")
+    back = SRC.scan_delimited(spark, path, "doc_id long, text string", sep=",")
+    return back.select("doc_id", F.md5("text").alias("text_md5"))
+
+
+@query("sink_jsonl", with_views("training_table") + """
+SELECT 3 AS n_messages, truth AS assistant FROM training_table""")
+def q_sink_jsonl(spark, sf):
+    from sigfolio.operators import messages as MS
+    path = scratch_path(spark, "train_jsonl")
+    t = B.training_table(spark, sf).withColumnRenamed("truth", MS.TRUE_CATEGORY)
+    SNK.sink_jsonl(MS.training_records(t, ["text", "lang", "source", MS.TRUE_CATEGORY], ["buy", "sell"]), path)
+    back = SRC.scan_jsonl(spark, path, "messages array<struct<role: string, content: string>>")
+    return back.select(F.size("messages").alias("n_messages"), F.col("messages")[2]["content"].alias("assistant"))
+
+
+@query("sink_report", with_views("scored") + """
+SELECT round(avg(CASE WHEN lower(true_category) = lower(llm_model_category) THEN 1.0 ELSE 0.0 END), 12) AS accuracy,
+       4 AS n_cells, 5 AS n_report_rows
+FROM scored""")
+def q_sink_report(spark, sf):
+    from sigfolio.operators import evaluate as E
+    s = E.prepare(B.scored(spark, sf), "true_category", "llm_model_category")
+    rep = E.evaluation_report(s, "true_category", "llm_model_category")
+    path = scratch_path(spark, "report")
+    SNK.sink_report(rep, path)
+    back = spark.read.schema(rep.schema).json(path)
+    return back.select(F.round("accuracy", 12).alias("accuracy"), F.size("confusion_matrix").alias("n_cells"),
+                       F.size("classification_report").alias("n_report_rows"))

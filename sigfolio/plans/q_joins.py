@@ -226,3 +226,25 @@ def q_returns_on_date(spark, sf):
     idx = M.pct_change(idx, key="strategy_id", value="tot", out="index_ret").select("date", "index_ret")
     r = J.join_returns_on_date(s, idx)
     return r.select("strategy_id", "date", F.round("ret", 9).alias("ret"), F.round("index_ret", 9).alias("index_ret"))
+
+
+@query("last_per_group", with_views("signals") + """
+SELECT ticker, arg_max(ts, (ts, seq_o, seq_l)) AS ts, arg_max(position, (ts, seq_o, seq_l)) AS position
+FROM signals GROUP BY ticker""")
+def q_last_per_group(spark, sf):
+    r = C.last_per_group(B.signals(spark, sf), "ticker", ["ts", "seq"])
+    return r.select("ticker", "ts", "position")
+
+
+@query("concat_history", with_views("signals", "month_cal") + ASOF_SQL + """
+SELECT p.ticker, p.date, CAST(p.price AS DOUBLE) AS price FROM prices p
+WHERE p.ticker IN (SELECT ticker FROM last_sig WHERE position <> 'sell'
+                   AND rebalance_date = (SELECT max(rebalance_date) FROM last_sig))""")
+def q_concat_history(spark, sf):
+    p = B.prices(spark, sf)
+    held = J.portfolio_membership(B.signals(spark, sf), M.first_trading_day(p))
+    last = held.agg(F.max("rebalance_date").alias("d")).withColumn("__g", F.lit(0))
+    latest = (held.withColumn("__g", F.lit(0)).join(F.broadcast(last), "__g")
+                  .filter(F.col("rebalance_date") == F.col("d")))
+    r = C.concat_history(p, latest)
+    return r.select("ticker", "date", F.col("price").cast("double").alias("price"))
