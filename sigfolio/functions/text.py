@@ -73,7 +73,7 @@ def filing_header(c) -> dict[str, Column]:
     out = {}
     for name, pat in HEADER_PATTERNS.items():
         v = F.regexp_extract(as_col(c), "(?U)" + pat, 1)
-        out[name] = F.when(v == "", F.lit(UNKNOWN)).otherwise(v)
+        out[name] = F.coalesce(F.nullif(v, F.lit("")), F.lit(UNKNOWN))
     return out
 
 
@@ -88,8 +88,9 @@ def extract_section(c, pattern: str, body_group: int = 2) -> Column:
     body = F.regexp_extract_all(as_col(c), p, F.lit(body_group))
     scored = F.zip_with(whole, body, lambda w, b: F.struct(F.length(b).alias("n"), w.alias("t")))
     ranked = F.transform(scored, lambda x, i: F.struct(x["n"].alias("n"), (-i).alias("i"), x["t"].alias("t")))
-    best = F.array_max(ranked)
-    return F.when(best["n"] > 0, best["t"])
+    # non-empty bodies only; the max of an empty array is NULL.  The regex
+    # results are referenced exactly once, so each runs once per row.
+    return F.array_max(F.filter(ranked, lambda x: x["n"] > 0))["t"]
 
 
 def strip_ws(c) -> Column:
@@ -106,9 +107,9 @@ def split_paragraphs(c, delimiter: str = PARAGRAPH_BREAK, marker: str = TOC_MARK
     return F.filter(F.transform(parts, strip_ws), lambda x: x != "")
 
 
-def keyword_count(c, keywords: Sequence[str]) -> Column:
+def keyword_count(c, keywords: Sequence[str], lowered: bool = False) -> Column:
     """Case-insensitive, non-overlapping substring count summed over keywords."""
-    low = F.lower(as_col(c))
+    low = as_col(c) if lowered else F.lower(as_col(c))
     total = F.lit(0).cast("long")
     for kw in keywords:
         k = kw.lower()
@@ -118,8 +119,7 @@ def keyword_count(c, keywords: Sequence[str]) -> Column:
 
 def keyword_counts(paragraphs, keywords: Sequence[str]) -> Column:
     """Per-paragraph keyword counts for an array of paragraphs."""
-    lowered = F.transform(as_col(paragraphs), F.lower)
-    return F.transform(lowered, lambda p: keyword_count(p, keywords))
+    return F.transform(as_col(paragraphs), lambda p: keyword_count(F.lower(p), keywords, lowered=True))
 
 
 def max_keyword_window(counts, k: int) -> Column:
@@ -127,10 +127,12 @@ def max_keyword_window(counts, k: int) -> Column:
     cnt = as_col(counts)
     n = F.size(cnt)
     sums = F.transform(F.sequence(F.lit(0), n - k),
-                       lambda i: F.aggregate(F.slice(cnt, i + 1, k), F.lit(0).cast("long"),
-                                             lambda a, x: a + x))
-    return F.when(n >= k, (F.array_position(sums, F.array_max(sums)) - 1).cast("int")) \
-            .otherwise(F.lit(0))
+                       lambda i: F.struct(F.aggregate(F.slice(cnt, i + 1, k), F.lit(0).cast("long"),
+                                                      lambda a, x: a + x).alias("v"), i.alias("i")))
+    # one pass, strict '>' from -1: the first best run wins, all-zero -> 0
+    best = F.aggregate(sums, F.struct(F.lit(-1).cast("long").alias("v"), F.lit(0).alias("i")),
+                       lambda acc, x: F.when(x["v"] > acc["v"], x).otherwise(acc))
+    return F.when(n >= k, best["i"]).otherwise(F.lit(0))
 
 
 def join_passages(paragraphs, start, k: int) -> Column:

@@ -133,6 +133,38 @@ def _solve_group(pdf: pd.DataFrame) -> pd.DataFrame:
     return out[grp_cols + ["ticker", "weight"]]
 
 
+def _solve_prices(pdf: pd.DataFrame) -> pd.DataFrame:
+    """pandas twin of the reference's per-date step: pivot (mean of
+    duplicates) -> forward-filled pct_change -> complete cases -> solve."""
+    grp_cols = [c for c in pdf.columns if c not in ("ticker", "date", "price")]
+    wide = pdf.pivot_table(index="date", columns="ticker", values="price", aggfunc="mean").sort_index()
+    prev = wide.ffill()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rets = prev / prev.shift(1) - 1.0
+    rets = rets.replace([np.inf, -np.inf], np.nan).dropna()
+    if len(rets) < 2 or rets.shape[1] == 0:
+        return pd.DataFrame(columns=grp_cols + ["ticker", "weight"])
+    w = min_variance(rets.to_numpy())
+    out = pd.DataFrame({"ticker": list(rets.columns), "weight": w.astype(float)})
+    for c in grp_cols:
+        out.insert(0, c, pdf[c].iloc[0])
+    return out[grp_cols + ["ticker", "weight"]]
+
+
+def min_variance_from_prices(bars: DataFrame, group: Sequence[str] = ("rebalance_date",),
+                             key="ticker", order="date", value="price") -> DataFrame:
+    """Weights per group straight from price bars: the group's (tickers x
+    bars) history -- bounded by the holdings cap times the history length --
+    is shuffled once by ``group`` and pivoted, differenced and solved in one
+    pandas step (the pandas semantics of the reference, incl. forward fill
+    and complete cases; a zero previous price drops that date)."""
+    group = list(group)
+    cols = bars.select(*group, F.col(key).alias("ticker"), F.col(order).alias("date"),
+                       F.col(value).cast("double").alias("price"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cols.schema.fields if f.name in group)
+    return cols.groupBy(*group).applyInPandas(_solve_prices, schema + ", ticker string, weight double")
+
+
 def min_variance_weights(ret: DataFrame, group: Sequence[str] = ("rebalance_date",),
                          key="ticker", order="date", value="ret") -> DataFrame:
     """(group..., ticker, weight) per group, solved in parallel."""
@@ -190,8 +222,5 @@ def monthly_rebalance(signals: DataFrame, prices: DataFrame, universe: DataFrame
     cal = M.first_trading_day(prices)
     held = portfolio_membership(signals, cal, inclusive=inclusive)
     bars = M.last_n_bars(prices, held, n=n_bars, inclusive=inclusive)
-    rets = M.panel_returns(bars.select("rebalance_date", "ticker", "date", "price"),
-                           group=["rebalance_date"])
-    rets = M.complete_case_returns(rets, group=["rebalance_date"])
-    w = min_variance_weights(rets, group=["rebalance_date"])
+    w = min_variance_from_prices(bars, group=["rebalance_date"])
     return join_universe_weights(universe, w, by=["rebalance_date"])
