@@ -19,18 +19,21 @@ def _cc_returns(spark, sf):
     return M.complete_case_returns(M.panel_returns(B.panel(spark, sf)))
 
 
+def _mv_weights(spark, sf):
+    r = _cc_returns(spark, sf).withColumn("panel", F.lit("events"))
+    return P.min_variance_weights(r, group=["panel"])
+
+
 @query("min_variance_weights")
 def q_min_variance(spark, sf):
     """Weights of the whole panel (no SQL twin: checked by KKT in tests)."""
-    r = _cc_returns(spark, sf).withColumn("rebalance_date", F.lit(None).cast("date"))
-    w = P.min_variance_weights(r.withColumn("rebalance_date", F.coalesce("rebalance_date", F.lit("2024-01-31").cast("date"))))
-    return w.select("ticker", F.round("weight", 6).alias("weight"))
+    return _mv_weights(spark, sf).select("ticker", F.round("weight", 6).alias("weight"))
 
 
 @query("min_variance_check", with_views("panel") + "," + PANEL_GRID_SQL.strip() + """
 SELECT count(DISTINCT ticker) AS n_tickers, 1.0 AS total_weight, true AS long_only FROM cc""")
 def q_min_variance_check(spark, sf):
-    w = q_min_variance(spark, sf)
+    w = _mv_weights(spark, sf)
     return w.agg(F.count(F.lit(1)).alias("n_tickers"), F.round(F.sum("weight"), 6).alias("total_weight"),
                  F.min(F.col("weight") >= 0).alias("long_only"))
 

@@ -29,10 +29,8 @@ def scan_filings(spark: SparkSession, root: str, years: Sequence[int | str], for
     The form test is on the path below the quarter folder, so
     ``10-K-A_edgar`` / ``10-K405_edgar`` are not ``10-K_edgar``.  With
     ``hive_layout`` folders are ``year=YYYY/quarter=QTRn`` (Spark-written)."""
-    if hive_layout:
-        paths = [f"{root}/year={y}/quarter=QTR*" for y in years]
-    else:
-        paths = [f"{root}/{y}/QTR*" for y in years]
+    ys = ",".join(str(y) for y in years)  # one brace glob: absent years are skipped
+    paths = f"{root}/year={{{ys}}}/quarter=QTR*" if hive_layout else f"{root}/{{{ys}}}/QTR*"
     tag = FORM_TAG.format(form=form)
     df = (spark.read.option("recursiveFileLookup", True).text(paths, wholetext=True)
                .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")))
