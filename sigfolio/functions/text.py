@@ -13,6 +13,7 @@ Python-vs-Java regex notes that shape the patterns below:
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -77,17 +78,69 @@ def filing_header(c) -> dict[str, Column]:
     return out
 
 
+_SHAPE = re.compile(r"^\(([^()]*)\)\(\.\*\?\)\(([^()]*)\)(\(\.\*\?\))?$")
+
+
+def _fixed_len(alt: str) -> int | None:
+    """Length of a literal alternative ('.' and escapes count one char);
+    None if it has any other regex construct."""
+    n, i = 0, 0
+    while i < len(alt):
+        ch = alt[i]
+        if ch == "\\":
+            if i + 1 >= len(alt) or alt[i + 1].isalnum():
+                return None  # class escapes like \d, \s are not literal
+            i += 2
+        elif ch in "*+?{}[]()^$|":
+            return None
+        else:
+            i += 1
+        n += 1
+    return n
+
+
+def _marker_shape(pattern: str):
+    """(start alternation, end alternation, max start len, max end len) for
+    patterns shaped (A|B..)(.*?)(C|D..)[(.*?)] with literal alternatives."""
+    m = _SHAPE.match(pattern)
+    if not m:
+        return None
+    starts, ends = m.group(1).split("|"), m.group(2).split("|")
+    ls, le = [_fixed_len(a) for a in starts], [_fixed_len(a) for a in ends]
+    if None in ls or None in le:
+        return None
+    ends_by_len = [a for _, a in sorted(zip(le, ends), key=lambda x: -x[0])]
+    return m.group(1), "|".join(ends_by_len), max(ls), max(le)
+
+
 def extract_section(c, pattern: str, body_group: int = 2) -> Column:
     """All non-overlapping matches; the first one with the longest body.
 
     Returns the whole match (start marker + body + end marker) or NULL when no
     match has a non-empty body.  DOTALL + IGNORECASE like the reference.
+
+    For the marker-body-marker shape used by filings the corpus is scanned
+    once: the body length of each match is its length minus the start marker
+    (anchored at the match's first characters) and the end marker (the
+    longest end alternative that ends the match, looked up in its last
+    characters) -- both bounded, constant-size regexes.  Other shapes fall
+    back to a second pass for the body group.
     """
     p = _lit("(?isu)" + pattern)
     whole = F.regexp_extract_all(as_col(c), p, F.lit(0))
-    body = F.regexp_extract_all(as_col(c), p, F.lit(body_group))
-    scored = F.zip_with(whole, body, lambda w, b: F.struct(F.length(b).alias("n"), w.alias("t")))
-    ranked = F.transform(scored, lambda x, i: F.struct(x["n"].alias("n"), (-i).alias("i"), x["t"].alias("t")))
+    shape = _marker_shape(pattern) if body_group == 2 else None
+    if shape is not None:
+        start, ends, ls, le = shape
+        def body_len(m):
+            head = F.regexp_extract(F.substring(m, 1, ls), "(?isu)^(?:" + start + ")", 0)
+            tail = F.regexp_extract(F.substring(m, -le, le) if le else F.lit(""),
+                                    "(?isu)(?:" + ends + ")\\z", 0)
+            return F.length(m) - F.length(head) - F.length(tail)
+        ranked = F.transform(whole, lambda m, i: F.struct(body_len(m).alias("n"), (-i).alias("i"), m.alias("t")))
+    else:
+        body = F.regexp_extract_all(as_col(c), p, F.lit(body_group))
+        scored = F.zip_with(whole, body, lambda w, b: F.struct(F.length(b).alias("n"), w.alias("t")))
+        ranked = F.transform(scored, lambda x, i: F.struct(x["n"].alias("n"), (-i).alias("i"), x["t"].alias("t")))
     # non-empty bodies only; the max of an empty array is NULL.  The regex
     # results are referenced exactly once, so each runs once per row.
     return F.array_max(F.filter(ranked, lambda x: x["n"] > 0))["t"]

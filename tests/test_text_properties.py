@@ -11,10 +11,13 @@ from sigfolio.functions import text as X
 
 ALPHABET = list("abcdeirsktABCDEIRSKT  ,.;:-éü") + ["\n", "\n\n", " ", "\r\n", "Item 1A", "Item 1B",
                                                        "ITEM 1A", "item 1b", "risk", "RISK", "market",
-                                                       "ble of Content", "TABLE\n", "1999", "2024-01-05"]
+                                                       "ble of Content", "TABLE\n", "1999", "2024-01-05",
+                                                       "2 Unregistered", "2. Unregistered", "2x Unregistered",
+                                                       "Item 7a.", "ITEM 7A", "Item 8.", "item 8x", "Item 1", "Item 2",
+                                                       "ITEM 3", "3 Defaults", "3. Defaults", "5 Other", "Item 6"]
 
 
-def _rand_texts(n=300, seed=7):
+def _rand_texts(n=1500, seed=7):
     rng = random.Random(seed)
     out = ["", "no markers here", "Item 1AItem 1B", "ONLY CAPS\n"]
     while len(out) < n:
@@ -82,9 +85,8 @@ def test_top_passages_match_python(texts):
         assert r["tp"] == want
 
 
-@pytest.mark.parametrize("name", sorted(X.SECTIONS_10Q))
-def test_sections_match_python(texts, name):
-    pat = X.SECTIONS_10Q[name]
+@pytest.mark.parametrize("pat", list(X.SECTIONS_10Q.values()) + list(X.SECTIONS_10K.values()))
+def test_sections_match_python(texts, pat):
     for r in texts.select("t", X.extract_section("t", pat).alias("s")).collect():
         assert r["s"] == py_section(r["t"], pat)
 
