@@ -25,6 +25,26 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Data
     return F.broadcast(df) if n <= max_rows else df
 
 
+def fits_cells(df: DataFrame, cells, max_cells: int) -> bool:
+    """True if the summed ``cells`` expression (e.g. vector lengths) of
+    ``df`` is within ``max_cells`` (one aggregate job)."""
+    n = df.agg(F.sum(cells).alias("c")).first()["c"] or 0
+    return n <= max_cells
+
+
+def pair_join(a: DataFrame, b: DataFrame, keys: Sequence[str], n_blocks: int = 64,
+              block_key: str | None = None) -> DataFrame:
+    """Every row of ``a`` meets every row of ``b`` with equal ``keys`` --
+    without sending a whole key group to one task: ``a`` rows are spread
+    over ``n_blocks`` blocks (by ``block_key`` hash), ``b`` rows are
+    replicated once per block, and the equi-join runs on (keys, block)."""
+    # a deterministic block per row (a task retry recomputes the same block)
+    bk = F.xxhash64(F.col(block_key)) if block_key else F.xxhash64(*[F.col(c) for c in a.columns])
+    a2 = a.withColumn("__blk", F.pmod(bk, F.lit(n_blocks)))
+    b2 = b.withColumn("__blk", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    return a2.join(b2, [*keys, "__blk"]).drop("__blk")
+
+
 def semi_membership(filings: DataFrame, members: DataFrame, key: str = "cik") -> DataFrame:
     """Keep filings whose key is a member; done before any text work."""
     keys = members.select(key).distinct()

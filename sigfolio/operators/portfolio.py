@@ -18,12 +18,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigfolio.operators import market as M
-from sigfolio.operators.joins import bounded_broadcast, join_universe_weights, portfolio_membership
+from sigfolio.operators.joins import fits_cells, join_universe_weights, pair_join, portfolio_membership
 
 TRADING_DAYS = M.TRADING_DAYS
 # Fixed values of the reference: portfolio cap and entry-weight rounding.
 PORTFOLIO_CAP = 500
 ENTRY_WEIGHT_DECIMALS = 3
+MAX_BROADCAST_CELLS = 50_000_000  # doubles in a broadcast side of return vectors
 
 
 def annual_mean_returns(ret: DataFrame, key="ticker", value="ret", group: Sequence[str] = ()) -> DataFrame:
@@ -47,7 +48,8 @@ def annual_covariance(ret: DataFrame, key="ticker", order="date", value="ret",
 
     Per ticker the T returns are first folded into one centred array, so the
     pair join carries one row per output cell (not one per cell and date);
-    the vector side is broadcast when its size is within bounds."""
+    the vector side is broadcast when its total size is within bounds, else
+    a blocked pair join spreads each group over many tasks."""
     g = list(group) or ["__g"]
     r = ret if group else ret.withColumn("__g", F.lit(0))
     v = return_vectors(r, key, order, value, g)
@@ -55,7 +57,11 @@ def annual_covariance(ret: DataFrame, key="ticker", order="date", value="ret",
     v = v.withColumn("__dev", F.transform("vec", lambda x: x - F.col("__m")))
     a = v.select(*g, F.col(key).alias("ticker_i"), F.col("__dev").alias("da"))
     b = v.select(*g, F.col(key).alias("ticker_j"), F.col("__dev").alias("db"))
-    pairs = a.join(bounded_broadcast(b), g).filter(F.col("ticker_i") <= F.col("ticker_j"))
+    if fits_cells(b, F.size("db"), MAX_BROADCAST_CELLS):
+        pairs = a.join(F.broadcast(b), g)
+    else:  # exact blocked pair join: no group is sent whole to one task
+        pairs = pair_join(a, b, g, block_key="ticker_i")
+    pairs = pairs.filter(F.col("ticker_i") <= F.col("ticker_j"))
     cross = F.aggregate(F.zip_with("da", "db", lambda x, y: x * y), F.lit(0.0), lambda s, e: s + e)
     cov = cross / (F.size("da") - 1) * TRADING_DAYS
     out = pairs.select(*g, "ticker_i", "ticker_j", cov.alias("cov"))

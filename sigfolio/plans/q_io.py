@@ -121,7 +121,7 @@ def _export_filings(spark, sf):
                   F.concat(F.date_format("date", "yyyyMMdd"), F.lit("_"), form, F.lit("_edgar_data_"),
                            F.col("doc_id").cast("string"), F.lit(".txt")).alias("filing")))
     root = scratch_path(spark, "10Ks")
-    x.repartition("year", "quarter").write.partitionBy("year", "quarter", "filing").text(root)
+    x.repartitionByRange("year", "quarter", "filing").write.partitionBy("year", "quarter", "filing").text(root)
     return root
 
 

@@ -107,3 +107,21 @@ def test_last_n_bars_matches_bruteforce(spark):
         hist = sorted(x.date for x in rows if x.ticker == t and x.date < d)[-30:]
         want |= {(t, d, x) for x in hist}
     assert got == want
+
+
+def test_covariance_blocked_equals_broadcast(spark, monkeypatch):
+    from sigfolio.operators import portfolio as P
+    r = M.complete_case_returns(M.panel_returns(B.panel(spark, SF001)))
+    a = {(x.ticker_i, x.ticker_j): round(x.cov, 12) for x in P.annual_covariance(r).collect()}
+    monkeypatch.setattr(P, "MAX_BROADCAST_CELLS", 0)
+    b = {(x.ticker_i, x.ticker_j): round(x.cov, 12) for x in P.annual_covariance(r).collect()}
+    assert a == b and len(a) == 15
+
+
+def test_similarity_blocked_equals_broadcast(spark):
+    from sigfolio.operators import similarity as S
+    e = B.table(spark, SF001, "embeddings")
+    c = B.categories(spark, SF001)
+    a = {(x.vec_id, x.rank, x.category) for x in S.topk_categories(e, c, 3).collect()}
+    b = {(x.vec_id, x.rank, x.category) for x in S.topk_categories(e, c, 3, max_cells=0, n_blocks=4).collect()}
+    assert a == b
