@@ -133,7 +133,7 @@ def q_scan_filings(spark, sf):
     root = _export_filings(spark, sf)
     fl = SRC.scan_filings(spark, root, [2020, 2021], "10-K", hive_layout=True)
     from sigfolio.functions.text import filing_header
-    return fl.select(filing_header("content")["cik"].alias("cik"), "year", "quarter")
+    return fl.select(filing_header("content")["cik"].alias("cik"), F.col("year").cast("long").alias("year"), "quarter")
 
 
 @query("file_counts", """
@@ -145,7 +145,7 @@ GROUP BY ROLLUP (year, quarter)""")
 def q_file_counts(spark, sf):
     root = _export_filings(spark, sf)
     fl = SRC.scan_filings(spark, root, [2020, 2021], "10-Q", hive_layout=True)
-    return file_counts(fl)
+    return file_counts(fl.withColumn("year", F.col("year").cast("long")))
 
 
 @query("process_forms", with_views("filing_texts") + """,
@@ -213,7 +213,7 @@ def q_filter_form(spark, sf):
     root = _export_filings(spark, sf)
     fl = SRC.scan_filings(spark, root, [2020, 2021], "10-Q", hive_layout=True)
     from sigfolio.functions.text import filing_header
-    return fl.select(filing_header("content")["cik"].alias("cik"), "year", "quarter")
+    return fl.select(filing_header("content")["cik"].alias("cik"), F.col("year").cast("long").alias("year"), "quarter")
 
 
 @query("scan_headerless_series", with_views("supplier_filings", "labelled") + """

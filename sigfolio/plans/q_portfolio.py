@@ -31,7 +31,7 @@ def q_min_variance(spark, sf):
 
 
 @query("min_variance_check", with_views("panel") + "," + PANEL_GRID_SQL.strip() + """
-SELECT count(DISTINCT ticker) AS n_tickers, 1.0 AS total_weight, true AS long_only FROM cc""")
+SELECT count(DISTINCT ticker) AS n_tickers, CAST(1.0 AS DOUBLE) AS total_weight, true AS long_only FROM cc""")
 def q_min_variance_check(spark, sf):
     w = _mv_weights(spark, sf)
     return w.agg(F.count(F.lit(1)).alias("n_tickers"), F.round(F.sum("weight"), 6).alias("total_weight"),
@@ -81,7 +81,7 @@ filled AS (SELECT *, last_value(price IGNORE NULLS) OVER (PARTITION BY rebalance
 rets AS (SELECT rebalance_date, ticker, date, f / lag(f) OVER (PARTITION BY rebalance_date, ticker ORDER BY date) - 1 AS ret FROM filled),
 cc AS (SELECT * FROM rets QUALIFY count(ret) OVER (PARTITION BY rebalance_date, date) = count(*) OVER (PARTITION BY rebalance_date, date)),
 solved AS (SELECT rebalance_date FROM cc GROUP BY rebalance_date HAVING count(DISTINCT date) >= 2)
-SELECT s.rebalance_date, (SELECT count(*) FROM universe) AS n_rows, 1.0 AS total_weight,
+SELECT s.rebalance_date, (SELECT count(*) FROM universe) AS n_rows, CAST(1.0 AS DOUBLE) AS total_weight,
        (SELECT count(DISTINCT ticker) FROM cc WHERE cc.rebalance_date = s.rebalance_date) AS n_candidates
 FROM solved s"""
 

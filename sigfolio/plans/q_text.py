@@ -91,7 +91,7 @@ SELECT page_id, length(section) AS n_chars, md5(section) AS section_md5 FROM (
 def q_extract_section(spark, sf):
     p = B.table(spark, sf, "pages")
     s = p.select("page_id", X.extract_section("html", P_TAG).alias("section"))
-    return s.select("page_id", F.length("section").alias("n_chars"), F.md5("section").alias("section_md5"))
+    return s.select("page_id", F.length("section").cast("long").alias("n_chars"), F.md5("section").alias("section_md5"))
 
 
 def _sections_sql(patterns: dict, k: int) -> str:
@@ -111,7 +111,7 @@ def _sections(spark, sf, patterns: dict, k: int):
         df = X.with_top_passages(df, c, c, X.FILING_KEYWORDS, k)
     out = []
     for c in patterns:
-        out += [F.length(c).alias(f"{c}_len"), F.md5(c).alias(f"{c}_md5")]
+        out += [F.length(c).cast("long").alias(f"{c}_len"), F.md5(c).alias(f"{c}_md5")]
     return df.select("doc_id", *out)
 
 
@@ -178,7 +178,7 @@ TOP_DOC_SQL = "WITH src AS (SELECT doc_id, text FROM documents)" + d_top_passage
 def q_top_passages(spark, sf):
     d = B.table(spark, sf, "documents").select("doc_id", "text")
     t = X.with_top_passages(d, "text", "passage", DOC_KEYWORDS, 2, "\n")
-    return t.select("doc_id", F.length("passage").alias("n_chars"), F.md5("passage").alias("passage_md5"))
+    return t.select("doc_id", F.length("passage").cast("long").alias("n_chars"), F.md5("passage").alias("passage_md5"))
 
 
 @query("text_reduction_stats", TOP_DOC_SQL + """
@@ -199,7 +199,7 @@ SELECT doc_id, md5(t) AS norm_md5, length(t) AS n_chars FROM (
 def q_normalize(spark, sf):
     d = B.table(spark, sf, "documents")
     n = d.select("doc_id", X.normalize_text("text").alias("t"))
-    return n.select("doc_id", F.md5("t").alias("norm_md5"), F.length("t").alias("n_chars"))
+    return n.select("doc_id", F.md5("t").alias("norm_md5"), F.length("t").cast("long").alias("n_chars"))
 
 
 @query("extract_dates", r"""

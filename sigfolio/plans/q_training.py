@@ -80,7 +80,7 @@ def q_training_set(spark, sf):
 SELECT doc_id, md5({ROW_TEXT_SQL}) AS text_md5, length({ROW_TEXT_SQL}) AS n_chars FROM training_table""")
 def q_row_to_text(spark, sf):
     t = B.training_table(spark, sf).select("doc_id", row_to_text(TEXT_COLS).alias("t"))
-    return t.select("doc_id", F.md5("t").alias("text_md5"), F.length("t").alias("n_chars"))
+    return t.select("doc_id", F.md5("t").alias("text_md5"), F.length("t").cast("long").alias("n_chars"))
 
 
 @query("build_prompt", with_views("training_table") + f"""
@@ -118,7 +118,7 @@ REQ_SCHEMA = ("struct<custom_id: string, method: string, url: string, body: stru
 
 @query("batch_requests", with_views("training_table") + f"""
 SELECT CAST(doc_id AS VARCHAR) AS custom_id, 'POST' AS method, '/v1/chat/completions' AS url, 100 AS max_tokens,
-       'gpt-4o-mini-2024-07-18' AS model, 0.7 AS temperature, 1 AS top_p, 2 AS n_messages,
+       'gpt-4o-mini-2024-07-18' AS model, CAST(0.7 AS DOUBLE) AS temperature, 1 AS top_p, 2 AS n_messages,
        md5({PROMPT_SQL}) AS user_md5 FROM training_table""")
 def q_batch_requests(spark, sf):
     t = B.training_table(spark, sf)

@@ -50,6 +50,17 @@ def close(a, b):
     return a == b
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "date": "DATE", "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP WITH TIME ZONE",
+                 "boolean": "BOOLEAN", "float": "FLOAT", "smallint": "SMALLINT", "tinyint": "TINYINT"}
+
+
+def type_diffs(sdf, cur):
+    st = {n: SPARK_TO_DUCK.get(t, t.upper()) for n, t in sdf.dtypes}
+    dt_ = {d[0]: str(d[1]).upper() for d in cur.description}
+    return {n: (st[n], dt_.get(n)) for n in st if dt_.get(n) is not None and st[n] != dt_.get(n)}
+
+
 def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     pats = sys.argv[2:]
@@ -84,13 +95,15 @@ def main():
             bad += 1
             continue
         same_cols = sorted(cols) == sorted(dcols)
+        tdiff = type_diffs(sdf, cur)
         a, b = sorted(srows, key=key), sorted(drows, key=key)
         exact = a == b
         approx = exact or (len(a) == len(b) and all(close(x, y) for x, y in zip(a, b)))
         status = "OK" if (same_cols and exact) else ("APPROX" if same_cols and approx else "MISMATCH")
         ok += status == "OK"
         bad += status != "OK"
-        print(f"{name:32s} rows={len(a):7d}/{len(b):7d} cols={'=' if same_cols else sorted(cols) + sorted(dcols)} {status} {ts:.1f}s")
+        print(f"{name:32s} rows={len(a):7d}/{len(b):7d} cols={'=' if same_cols else sorted(cols) + sorted(dcols)} {status} {ts:.1f}s"
+              + (f" types:{tdiff}" if tdiff else ""))
         if status == "MISMATCH" and same_cols:
             sa, sb = set(a), set(b)
             print("   spark-only:", list(sa - sb)[:3])
