@@ -151,37 +151,50 @@ def join_responses(requests: DataFrame, responses: DataFrame, key: str = "custom
 
 # --- as-of membership -----------------------------------------------------
 
-def asof_last_signal(signals: DataFrame, calendar: DataFrame, key: str = "ticker", ts: str = "ts",
-                     seq: str | None = "seq", value: str = "position", at: str = "rebalance_date",
-                     inclusive: bool = False) -> DataFrame:
-    """For every key and rebalance date: the latest signal dated strictly
-    before the date (``inclusive`` -> on or before).
-
-    ``calendar`` is the month table of ``first_trading_day``
-    (month, start, next_start).  Signals are first reduced to the last one per
-    (key, rebalance period) with a partial aggregate -- hot keys collapse
-    map-side -- and only that small table is carried forward per key with a
-    window over rebalance dates.
-    """
+def signal_periods(signals: DataFrame, calendar: DataFrame, key: str = "ticker", ts: str = "ts",
+                   seq: str | None = "seq", value: str = "position", at: str = "rebalance_date",
+                   inclusive: bool = False) -> DataFrame:
+    """(key, at, value): the last signal of each key per rebalance period,
+    where a signal first counts at the first rebalance date strictly after
+    it (on or after with ``inclusive``).  A grouped ``max_by`` -- partial
+    aggregation map-side, so a hot key collapses before the shuffle; also
+    valid on a stream (update mode; state = keys x periods)."""
     day = F.col(ts).cast("date")
     order = F.struct(F.col(ts), F.col(seq)) if seq else F.col(ts)
     cal = F.broadcast(calendar.select("month", "start", "next_start"))
-    first = F.col("start")
-    visible_now = (day <= first) if inclusive else (day < first)
+    visible_now = (day <= F.col("start")) if inclusive else (day < F.col("start"))
     bucketed = (signals.withColumn("month", F.trunc(day, "MM"))
                        .join(cal, "month")
                        .withColumn(at, F.when(visible_now, F.col("start")).otherwise(F.col("next_start")))
                        .filter(F.col(at).isNotNull()))
-    last = bucketed.groupBy(key, at).agg(F.max_by(value, order).alias(value),
-                                         F.max(order).alias("__o"))
-    # every key on every rebalance date from its first period on
+    return bucketed.groupBy(key, at).agg(F.max_by(value, order).alias(value))
+
+
+def carry_forward(last: DataFrame, calendar: DataFrame, key: str = "ticker", value: str = "position",
+                  at: str = "rebalance_date") -> DataFrame:
+    """Every key on every rebalance date from its first period on, with the
+    latest per-period value carried forward (a window per key over at most
+    one row per rebalance date)."""
     dates = calendar.select(F.col("start").alias(at))
     start_of = last.groupBy(key).agg(F.min(at).alias("__from"))
-    grid = (_expand(start_of, dates, [at]).filter(F.col(at) >= F.col("__from")).drop("__from"))
+    grid = _expand(start_of, dates, [at]).filter(F.col(at) >= F.col("__from")).drop("__from")
     w = Window.partitionBy(key).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
-    return (grid.join(last, [key, at], "left")
-                .withColumn(value, F.last(value, ignorenulls=True).over(w))
-                .drop("__o"))
+    return (grid.join(last.select(key, at, value), [key, at], "left")
+                .withColumn(value, F.last(value, ignorenulls=True).over(w)))
+
+
+def asof_last_signal(signals: DataFrame, calendar: DataFrame, key: str = "ticker", ts: str = "ts",
+                     seq: str | None = "seq", value: str = "position", at: str = "rebalance_date",
+                     inclusive: bool = False) -> DataFrame:
+    """For every key and rebalance date: the latest signal dated strictly
+    before the date (``inclusive`` -> on or before).
+
+    ``calendar`` is the month table of ``first_trading_day``
+    (month, start, next_start).  Signals are first reduced to the last one per
+    (key, rebalance period) (``signal_periods``) and only that small table is
+    carried forward per key (``carry_forward``)."""
+    last = signal_periods(signals, calendar, key, ts, seq, value, at, inclusive)
+    return carry_forward(last, calendar, key, value, at)
 
 
 def portfolio_membership(signals: DataFrame, calendar: DataFrame, key: str = "ticker",

@@ -34,7 +34,11 @@ def panel(spark, sf_dir) -> DataFrame:
 
 def signals(spark, sf_dir) -> DataFrame:
     """(ticker, ts, seq, position): returns 'A' -> buy, 'R' -> sell per supplier."""
-    li = table(spark, sf_dir, "lineitem")
+    return signals_from(table(spark, sf_dir, "lineitem"))
+
+
+def signals_from(li: DataFrame) -> DataFrame:
+    """The signal projection of a lineitem frame (batch or stream)."""
     pos = F.when(F.col("l_returnflag") == "A", "buy").when(F.col("l_returnflag") == "R", "sell")
     return (li.select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ticker"),
                       F.col("l_shipdate").alias("ts"),

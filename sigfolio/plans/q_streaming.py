@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sigfolio.plans import bindings as B
+from sigfolio.plans.oracle import with_views
+from sigfolio.plans.q_joins import ASOF_SQL
 from sigfolio.plans.registry import query
 from sigfolio.streaming import signals as S
 
@@ -65,3 +67,21 @@ def q_collect_bars(spark, sf):
     S.run_append(st, out, ck, fmt="csv", header="true", timestampNTZFormat=fmt)
     return (spark.read.schema("time timestamp_ntz, close double").option("header", True)
                  .option("timestampNTZFormat", fmt).csv(out))
+
+
+@query("stream_asof_signals", with_views("signals", "month_cal") + ASOF_SQL + """
+SELECT ticker, rebalance_date, position FROM last_sig""")
+def q_stream_asof(spark, sf):
+    """Signals arrive as a stream; the last signal per (ticker, rebalance
+    period) is kept as streaming state (update mode, upsert log) and carried
+    forward over rebalance dates in batch: equals the batch as-of result."""
+    from sigfolio.operators import joins as J
+    from sigfolio.operators import market as M
+    cal = M.first_trading_day(B.prices(spark, sf))
+    li = spark.readStream.schema(B.table(spark, sf, "lineitem").schema) \
+        .option("pathGlobFilter", "lineitem.parquet").parquet(sf)
+    per = J.signal_periods(B.signals_from(li), cal)
+    out, ck = S.scratch(spark, "stream_asof")
+    S.upsert_log(per, out, ck).awaitTermination()
+    last = S.latest_state(spark, out, ["ticker", "rebalance_date"])
+    return J.carry_forward(last, cal).select("ticker", "rebalance_date", "position")
