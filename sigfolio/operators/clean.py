@@ -2,7 +2,7 @@
 
 All are narrow transformations (projection / filter) -- no shuffle -- except
 ``drop_empty_columns`` (one aggregate pass that returns one row of counts)
-and ``positions_at_latest`` (a scalar max joined back as one broadcast row).
+and ``positions_at_latest`` (a scalar-subquery max).
 """
 
 from __future__ import annotations
@@ -121,8 +121,7 @@ def positions_at_latest(df: DataFrame, position: str, date: str = "date", key: s
                         pos_col: str = "position") -> DataFrame:
     """History strictly before the latest date of the keys holding
     ``position`` on that latest date."""
-    mx = df.agg(F.max(date).alias("__max")).withColumn("__g", F.lit(0))
-    d = df.withColumn("__g", F.lit(0)).join(F.broadcast(mx), "__g").drop("__g")
+    d = df.withColumn("__max", df.agg(F.max(date)).scalar())
     keys = d.filter((F.col(date) == F.col("__max")) & (F.col(pos_col) == position)).select(key).distinct()
     return (d.filter(F.col(date) < F.col("__max")).join(keys, key, "left_semi").drop("__max"))
 

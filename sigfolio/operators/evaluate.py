@@ -32,9 +32,8 @@ def _per_label(c: DataFrame) -> DataFrame:
     actual = c.groupBy(F.col("t").alias("label")).agg(F.sum("n").alias("support"),
                                                       F.sum(F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0)).alias("tp"))
     pred = c.groupBy(F.col("p").alias("label")).agg(F.sum("n").alias("predicted"))
-    tot = c.agg(F.sum("n").alias("N")).withColumn("__g", F.lit(0))
     out = actual.join(pred, "label", "left").withColumn("predicted", F.coalesce("predicted", F.lit(0)))
-    return out.withColumn("__g", F.lit(0)).join(F.broadcast(tot), "__g").drop("__g")
+    return out.withColumn("N", c.agg(F.sum("n")).scalar())
 
 
 def accuracy(df: DataFrame, t: str, p: str) -> DataFrame:
@@ -86,7 +85,7 @@ def classification_report(df: DataFrame, t: str, p: str) -> DataFrame:
     per = pl.select("label", div(F.col("tp"), F.col("predicted")).alias("precision"),
                     div(F.col("tp"), F.col("support")).alias("recall"), "support", "tp", "predicted", "N")
     per = per.withColumn("f1_score", f1(F.col("precision"), F.col("recall")))
-    foreign = c.join(pl.select(F.col("label").alias("p")), "p", "left_anti").agg(F.count(F.lit(1)).alias("k"))
+    foreign = c.join(pl.select(F.col("label").alias("p")), "p", "left_anti").agg(F.count(F.lit(1)))
     agg = per.agg(
         F.avg("precision").alias("m_p"), F.avg("recall").alias("m_r"), F.avg("f1_score").alias("m_f"),
         F.sum("support").alias("sup"),
@@ -94,7 +93,7 @@ def classification_report(df: DataFrame, t: str, p: str) -> DataFrame:
         (F.sum(F.col("recall") * F.col("support")) / F.sum("support")).alias("w_r"),
         (F.sum(F.col("f1_score") * F.col("support")) / F.sum("support")).alias("w_f"),
         F.sum("tp").alias("tp"), F.sum("predicted").alias("pred"), F.max("N").alias("N"))
-    agg = agg.withColumn("__g", F.lit(0)).join(foreign.withColumn("__g", F.lit(0)), "__g")
+    agg = agg.withColumn("k", foreign.scalar())
     mic_p = div(F.col("tp"), F.col("pred"))
     mic_r = div(F.col("tp"), F.col("sup"))
     acc = F.col("tp") / F.col("N")
@@ -130,7 +129,4 @@ def evaluation_report(df: DataFrame, t: str, p: str) -> DataFrame:
         F.struct("label", F.bround("accuracy", 2)))).alias("per_category_accuracy"))
     rep = classification_report(df, t, p).agg(F.collect_list(F.struct("*")).alias("classification_report"))
     cm = confusion_matrix(df, t, p).agg(F.collect_list(F.struct("*")).alias("confusion_matrix"))
-    out = acc.withColumn("__g", F.lit(0))
-    for x in (pc, rep, cm):
-        out = out.join(x.withColumn("__g", F.lit(0)), "__g")
-    return out.drop("__g")
+    return acc.select("accuracy", *[x.scalar().alias(x.columns[0]) for x in (pc, rep, cm)])

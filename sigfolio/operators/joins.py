@@ -90,12 +90,11 @@ def join_universe_weights(universe: DataFrame, weights: DataFrame, key: str = "t
 def _expand(rows: DataFrame, dates: DataFrame, by: Sequence[str]) -> DataFrame:
     """Every row of ``rows`` once per row of the small ``dates`` table.
 
-    ``dates`` (rebalance dates: about 12 a year) is folded into one array and
-    broadcast; each row explodes it, so no shuffle and no pair join."""
-    arr = dates.agg(F.collect_list(F.struct(*by)).alias("__d")).withColumn("__g", F.lit(0))
-    return (rows.withColumn("__g", F.lit(0))
-                .join(F.broadcast(arr), "__g")
-                .select(*rows.columns, F.explode("__d").alias("__s"))
+    ``dates`` (rebalance dates: about 12 a year) is folded into one array --
+    a scalar subquery evaluated once -- and each row explodes it: no shuffle,
+    no join."""
+    arr = dates.agg(F.sort_array(F.collect_list(F.struct(*by)))).scalar()
+    return (rows.select(*rows.columns, F.explode(arr).alias("__s"))
                 .select(*rows.columns, *[F.col("__s." + b).alias(b) for b in by]))
 
 

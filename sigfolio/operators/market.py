@@ -81,15 +81,15 @@ def pivot_grid(df: DataFrame, key="ticker", order="date", value="price",
     The calendar (one sorted date array per group) is small and broadcast;
     each ticker row explodes it, so no pair of data rows is ever formed."""
     group = list(group)
-    g = group or ["__g"]
-    base = df if group else df.withColumn("__g", F.lit(0))
-    cells = base.groupBy(*g, key, order).agg(F.avg(value).alias(value))
-    cal = cells.groupBy(*g).agg(F.array_sort(F.collect_set(order)).alias("__cal"))
-    tickers = cells.select(*g, key).distinct()
-    grid = (tickers.join(F.broadcast(cal), g)
-                   .select(*g, key, F.explode("__cal").alias(order)))
-    out = grid.join(cells, [*g, key, order], "left")
-    return out if group else out.drop("__g")
+    cells = df.groupBy(*group, key, order).agg(F.avg(value).alias(value))
+    tickers = cells.select(*group, key).distinct()
+    if group:
+        cal = cells.groupBy(*group).agg(F.array_sort(F.collect_set(order)).alias("__cal"))
+        grid = tickers.join(F.broadcast(cal), group)
+    else:  # one calendar: a scalar subquery, no join
+        grid = tickers.withColumn("__cal", cells.agg(F.array_sort(F.collect_set(order))).scalar())
+    grid = grid.select(*group, key, F.explode("__cal").alias(order))
+    return grid.join(cells, [*group, key, order], "left")
 
 
 def panel_returns(df: DataFrame, key="ticker", order="date", value="price", out="ret",

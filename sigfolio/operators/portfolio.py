@@ -215,9 +215,8 @@ def equal_weights(signals: DataFrame, key="ticker", ts="ts", cap: int = PORTFOLI
     """(ticker, first_seen, weight): a symbol is bought at 1/N (N = number of
     symbols, capped at ``cap``) rounded to 3 decimals on first appearance."""
     first = signals.groupBy(key).agg(F.min(ts).alias("first_seen"))
-    n = first.agg(F.least(F.count(F.lit(1)), F.lit(cap)).alias("__n")).withColumn("__g", F.lit(0))
-    return (first.withColumn("__g", F.lit(0)).join(F.broadcast(n), "__g")
-                 .select(key, "first_seen", F.bround(F.lit(1.0) / F.col("__n"), ENTRY_WEIGHT_DECIMALS).alias("weight")))
+    n = first.agg(F.least(F.count(F.lit(1)), F.lit(cap))).scalar()
+    return first.select(key, "first_seen", F.bround(F.lit(1.0) / n, ENTRY_WEIGHT_DECIMALS).alias("weight"))
 
 
 def monthly_rebalance(signals: DataFrame, prices: DataFrame, universe: DataFrame,

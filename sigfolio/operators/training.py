@@ -89,9 +89,8 @@ def split_quotas(counts: DataFrame, label: str, frac: float) -> DataFrame:
     """Per-class train quota: n_train = floor(frac * N); each class gets
     floor(n_train * n_c / N) and the remainder goes to the largest
     fractional parts (ties by class value).  One row per class."""
-    tot = counts.agg(F.sum("n").alias("__total"))
     # the class-count table has one row per class: tiny by construction
-    c = counts.withColumn("__g", F.lit(0)).join(F.broadcast(tot.withColumn("__g", F.lit(0))), "__g")
+    c = counts.withColumn("__total", counts.agg(F.sum("n")).scalar()).withColumn("__g", F.lit(0))
     c = c.withColumn("__ntrain", F.floor(F.lit(frac) * F.col("__total")))
     c = c.withColumn("__cont", F.col("__ntrain") * F.col("n") / F.col("__total"))
     c = c.withColumn("__floor", F.floor("__cont"))
