@@ -173,16 +173,15 @@ def min_variance_from_prices(bars: DataFrame, group: Sequence[str] = ("rebalance
 
 def min_variance_weights(ret: DataFrame, group: Sequence[str] = ("rebalance_date",),
                          key="ticker", order="date", value="ret") -> DataFrame:
-    """(group..., ticker, weight) per group, solved in parallel."""
+    """(group..., ticker, weight) per group, solved in parallel (one task
+    per group; a group is one portfolio's returns)."""
     group = list(group)
+    if not group:
+        raise ValueError("min_variance_weights needs a group key (one portfolio per group)")
     cols = ret.select(*group, F.col(key).alias("ticker"), F.col(order).alias("date"),
                       F.col(value).cast("double").alias("ret"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cols.schema.fields if f.name in group)
     schema = (schema + ", " if schema else "") + "ticker string, weight double"
-    if not group:
-        cols = cols.withColumn("__g", F.lit(0))
-        return cols.groupBy("__g").applyInPandas(
-            lambda p: _solve_group(p).drop(columns=["__g"]), "ticker string, weight double")
     return cols.groupBy(*group).applyInPandas(_solve_group, schema)
 
 

@@ -47,8 +47,7 @@ def q_risk_return(spark, sf):
     r = _cc_returns(spark, sf)
     mu = P.annual_mean_returns(r)
     cov = P.annual_covariance(r)
-    n = mu.count()
-    w = mu.select("ticker", F.lit(1.0 / n).alias("weight"))
+    w = mu.select("ticker", (F.lit(1.0) / mu.agg(F.count(F.lit(1))).scalar()).alias("weight"))
     out = P.portfolio_risk_return(w, mu, cov)
     return out.select(F.round("exp_return", 9).alias("exp_return"), F.round("volatility", 9).alias("volatility"))
 
