@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigfolio.operators import market as M
+from sigfolio.session import cut_lineage
 from sigfolio.operators.joins import fits_cells, join_universe_weights, pair_join, portfolio_membership
 
 TRADING_DAYS = M.TRADING_DAYS
@@ -223,7 +224,10 @@ def monthly_rebalance(signals: DataFrame, prices: DataFrame, universe: DataFrame
     """Month starts -> holdings (as-of last signal) -> last n bars per held
     ticker -> returns (forward-filled pivot, complete cases) -> minimum
     variance weights per date -> every universe ticker, missing -> 0."""
-    cal = M.first_trading_day(prices)
+    # the month calendar (one row per month) feeds three steps; materialise
+    # it once in the shared checkpoint folder instead of re-aggregating the
+    # price table for each use
+    cal = cut_lineage(M.first_trading_day(prices))
     held = portfolio_membership(signals, cal, inclusive=inclusive)
     bars = M.last_n_bars(prices, held, n=n_bars, inclusive=inclusive)
     w = min_variance_from_prices(bars, group=["rebalance_date"])
