@@ -50,31 +50,36 @@ def select_smallest(df: DataFrame, quota: DataFrame | int, h: str, group: Sequen
                     tie: Sequence[str] = (), flag: str | None = None) -> DataFrame:
     """Rows with the ``quota`` smallest ``h`` per group (ties by ``tie``).
 
-    ``quota`` is an int or a DataFrame (group cols + ``quota``).  With
-    ``flag`` every row is returned and ``flag`` marks the selected ones."""
+    ``quota`` is an int (same for every group) or a DataFrame (group cols +
+    ``quota``).  With ``flag`` every row is returned and ``flag`` marks the
+    selected ones."""
     group = list(group)
-    g = group or ["__g"]
-    d = df if group else df.withColumn("__g", F.lit(0))
-    q = quota if isinstance(quota, DataFrame) else d.select(*g).distinct().withColumn("quota", F.lit(quota))
-    d = d.withColumn("__b", F.substring(h, 1, HASH_BUCKET_HEX))
-    hist = d.groupBy(*g, "__b").agg(F.count(F.lit(1)).alias("__c"))
-    cum = Window.partitionBy(*g).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
-    hist = hist.withColumn("__cum", F.sum("__c").over(cum)).join(q, g)
+    d = df.withColumn("__b", F.substring(h, 1, HASH_BUCKET_HEX))
+    hist = d.groupBy(*group, "__b").agg(F.count(F.lit(1)).alias("__c"))
+    cum = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
+    hist = hist.withColumn("__cum", F.sum("__c").over(cum))
+    if isinstance(quota, DataFrame):
+        hist = hist.join(quota, group)
+    else:
+        hist = hist.withColumn("quota", F.lit(quota))
+    # boundary bucket per group: the first whose running count reaches the quota
     bnd = (hist.filter(F.col("__cum") >= F.col("quota"))
-               .groupBy(*g).agg(F.min_by(F.struct(F.col("__b").alias("b"),
+               .groupBy(*group).agg(F.min_by(F.struct(F.col("__b").alias("b"),
                                                   (F.col("quota") - F.col("__cum") + F.col("__c")).alias("need")),
-                                         "__b").alias("__bnd"))
-               .select(*g, F.col("__bnd.b").alias("__bstar"), F.col("__bnd.need").alias("__need")))
-    j = d.join(F.broadcast(bnd), g, "left")
+                                         "__b").alias("__bnd")))
+    if group:  # one row per group: small, broadcast
+        j = d.join(F.broadcast(bnd), group, "left")
+    else:      # a single boundary: a scalar subquery
+        j = d.withColumn("__bnd", bnd.select("__bnd").scalar())
+    j = j.withColumn("__bstar", F.col("__bnd.b")).withColumn("__need", F.col("__bnd.need")).drop("__bnd")
     edge = j.filter(F.col("__b") == F.col("__bstar"))
     rest = j.filter(F.col("__bstar").isNull() | (F.col("__b") != F.col("__bstar")))
-    rw = Window.partitionBy(*g, "__b").orderBy(F.col(h), *[F.col(t) for t in tie])
+    rw = Window.partitionBy(*group, "__b").orderBy(F.col(h), *[F.col(t) for t in tie])
     edge = edge.withColumn("__sel", F.row_number().over(rw) <= F.col("__need"))
     rest = rest.withColumn("__sel", F.col("__bstar").isNull() | (F.col("__b") < F.col("__bstar")))
     out = edge.unionByName(rest)
     out = out.withColumn(flag, F.col("__sel")) if flag else out.filter("__sel")
-    drop = ["__b", "__bstar", "__need", "__sel"] + ([] if group else ["__g"])
-    return out.drop(*drop)
+    return out.drop("__b", "__bstar", "__need", "__sel")
 
 
 def sample_n(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
