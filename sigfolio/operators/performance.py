@@ -56,11 +56,16 @@ def performance_metrics(equity: DataFrame, bench: DataFrame, key: str = "strateg
 def turnover(weights: DataFrame, at: str = "rebalance_date", key: str = "ticker",
              weight: str = "weight") -> DataFrame:
     """Per rebalance date: one half of the summed absolute weight changes vs
-    the previous date (missing weights count as 0) and the number of tickers
-    whose weight changed.  Expects every ticker listed on every date (the
-    universe-filled output of ``monthly_rebalance``)."""
+    the previous date (missing weights count as 0), the number of tickers
+    whose weight changed and trades per day since the previous date.
+    Expects every ticker listed on every date (the universe-filled output of
+    ``monthly_rebalance``)."""
     w = Window.partitionBy(key).orderBy(at)
     d = weights.withColumn("__prev", F.coalesce(F.lag(weight).over(w), F.lit(0.0)))
     d = d.withColumn("__chg", F.abs(F.col(weight) - F.col("__prev")))
-    return d.groupBy(at).agg((F.sum("__chg") / 2).alias("turnover"),
-                             F.count(F.when(F.col("__chg") > 0, 1)).alias("n_trades"))
+    per = d.groupBy(at).agg((F.sum("__chg") / 2).alias("turnover"),
+                            F.count(F.when(F.col("__chg") > 0, 1)).alias("n_trades"))
+    # trades per calendar day since the previous rebalance; one row per
+    # rebalance date, so this window over dates is tiny by construction
+    gap = F.datediff(F.col(at), F.lag(at).over(Window.orderBy(at)))
+    return per.withColumn("trades_per_day", F.try_divide(F.col("n_trades").cast("double"), gap))

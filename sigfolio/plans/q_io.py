@@ -72,7 +72,11 @@ def q_scan_json_doc(spark, sf):
     for name in ("Equity", "series", "Strategy Equity", "charts"):
         level = F.struct(level.alias(name))
     js = doc.select("ticker", F.to_json(level).alias("content"))
-    parsed = SRC.parse_json_doc(js, "content")
+    # one result document per file (one folder per ticker), read back whole
+    path = scratch_path(spark, "equity_json")
+    js.repartition("ticker").write.partitionBy("ticker").text(path)
+    parsed = SRC.scan_json_doc(spark, path).withColumn(
+        "ticker", F.regexp_extract("path", "ticker=([^/]+)/", 1))
     kept = parsed.filter(F.col("pos") % 2 == 0)
     return kept.select("ticker", (F.col("pos") / 2).cast("long").alias("step"),
                        F.round(F.col("value")[1], 6).alias("equity"))
@@ -83,20 +87,24 @@ SELECT date, ticker, round(weight, 9) AS weight FROM (
   SELECT date, ticker, CAST(price AS DOUBLE) / sum(CAST(price AS DOUBLE)) OVER (PARTITION BY date) AS weight
   FROM prices WHERE date >= DATE '1998-01-01')""")
 def q_scan_log_table(spark, sf):
-    """One log per day: chatter, the marker line, a CSV weight table and a
-    trailing line; parsed back and filtered by start date."""
+    """One log per month: chatter, the marker line, the month's CSV weight
+    table and a trailing line; parsed back from the files and filtered by
+    start date."""
     p = B.prices(spark, sf)
     w = p.withColumn("weight", F.col("price").cast("double") / F.sum(F.col("price").cast("double")).over(
         Window.partitionBy("date")))
     rows = w.select("date", F.concat_ws(",", F.col("date").cast("string"), "ticker",
                                         F.col("weight").cast("string")).alias("line"))
-    logs = (rows.groupBy("date").agg(F.array_sort(F.collect_list("line")).alias("lines"))
-                .select(F.col("date").cast("string").alias("log_id"),
+    logs = (rows.groupBy(F.date_format("date", "yyyy-MM").alias("month"))
+                .agg(F.array_sort(F.collect_list("line")).alias("lines"))
+                .select(F.col("month").alias("log_id"),
                         F.concat_ws("\n", F.lit("rebalancing the portfolio"), F.lit(SRC.WEIGHTS_MARKER),
                                     F.lit("date,ticker,weight"), F.array_join("lines", "\n"),
                                     F.lit("done")).alias("content")))
-    t = SRC.parse_log_table(logs, "date date, ticker string, weight double")
-    t = t.filter(F.col("date") >= F.lit("1998-01-01").cast("date"))
+    # one log file per month (one folder per log), read back whole
+    path = scratch_path(spark, "weight_logs")
+    logs.repartitionByRange("log_id").write.partitionBy("log_id").text(path)
+    t = SRC.scan_log_table(spark, path, "date date, ticker string, weight double", start="1998-01-01")
     return t.select("date", "ticker", F.round("weight", 9).alias("weight"))
 
 

@@ -44,7 +44,8 @@ cv AS (SELECT a.ticker AS ti, b.ticker AS tj, covar_samp(a.ret, b.ret) * 252 AS
 n AS (SELECT count(*) AS n FROM mu)
 SELECT round((SELECT sum(mu) FROM mu) / n, 9) AS exp_return, round(sqrt((SELECT sum(c) FROM cv) / (n * n)), 9) AS volatility FROM n""")
 def q_risk_return(spark, sf):
-    r = _cc_returns(spark, sf)
+    from sigfolio.session import cut_lineage
+    r = cut_lineage(_cc_returns(spark, sf))  # feeds three aggregates: materialise once
     mu = P.annual_mean_returns(r)
     cov = P.annual_covariance(r)
     w = mu.select("ticker", (F.lit(1.0) / mu.agg(F.count(F.lit(1))).scalar()).alias("weight"))
@@ -143,6 +144,37 @@ def q_performance(spark, sf):
 
 @query("turnover", None)
 def q_turnover(spark, sf):
-    """Turnover of the monthly rebalance weights (solver output: no SQL twin)."""
+    """Turnover of the monthly rebalance weights (solver output: no SQL twin;
+    ``turnover_price_weights`` checks the same operator against SQL)."""
     r = PF.turnover(_rebalance(spark, sf))
-    return r.select("rebalance_date", F.round("turnover", 6).alias("turnover"), "n_trades")
+    return r.select("rebalance_date", F.round("turnover", 6).alias("turnover"), "n_trades",
+                    F.round("trades_per_day", 9).alias("trades_per_day"))
+
+
+@query("turnover_price_weights", with_views("month_cal", "universe") + """,
+w AS (SELECT m.start AS rebalance_date, p.ticker, CAST(p.price AS DOUBLE) / sum(CAST(p.price AS DOUBLE))
+             OVER (PARTITION BY m.start) AS weight
+      FROM month_cal m JOIN prices p ON p.date = m.start),
+g AS (SELECT m.start AS rebalance_date, u.ticker, coalesce(w.weight, 0) AS weight
+      FROM month_cal m CROSS JOIN universe u LEFT JOIN w ON w.rebalance_date = m.start AND w.ticker = u.ticker),
+d AS (SELECT rebalance_date, abs(weight - coalesce(lag(weight) OVER (PARTITION BY ticker ORDER BY rebalance_date), 0)) AS chg
+      FROM g),
+t AS (SELECT rebalance_date, sum(chg) / 2 AS turnover, count(CASE WHEN chg > 0 THEN 1 END) AS n_trades FROM d GROUP BY 1)
+SELECT rebalance_date, round(turnover, 9) AS turnover, n_trades,
+       round(n_trades / date_diff('day', lag(rebalance_date) OVER (ORDER BY rebalance_date), rebalance_date), 9) AS trades_per_day
+FROM t""")
+def q_turnover_price_weights(spark, sf):
+    """Turnover of price-proportional weights set on every month start
+    (universe-filled): the turnover operator on SQL-checkable weights."""
+    from pyspark.sql import Window
+    from sigfolio.operators.joins import join_universe_weights
+    p = B.prices(spark, sf)
+    cal = M.first_trading_day(p).select(F.col("start").alias("rebalance_date"))
+    day = p.join(cal, p.date == cal.rebalance_date).select("rebalance_date", "ticker",
+                                                           F.col("price").cast("double").alias("px"))
+    w = day.withColumn("weight", F.col("px") / F.sum("px").over(Window.partitionBy("rebalance_date")))
+    full = join_universe_weights(B.universe(spark, sf), w.select("rebalance_date", "ticker", "weight"),
+                                 by=["rebalance_date"])
+    r = PF.turnover(full)
+    return r.select("rebalance_date", F.round("turnover", 9).alias("turnover"), "n_trades",
+                    F.round("trades_per_day", 9).alias("trades_per_day"))
