@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sigfolio.session import cut_lineage
+
 
 def prepare(df: DataFrame, t: str, p: str) -> DataFrame:
     """Blank NULLs and lower-case both label columns (reference order)."""
@@ -22,9 +24,13 @@ def prepare(df: DataFrame, t: str, p: str) -> DataFrame:
              .withColumn(p, F.lower(F.coalesce(F.col(p).cast("string"), F.lit(""))))
 
 
-def cells(df: DataFrame, t: str, p: str) -> DataFrame:
-    """(t, p, n) counts: the only pass over the data."""
-    return df.groupBy(F.col(t).alias("t"), F.col(p).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+def cells(df: DataFrame, t: str, p: str, materialise: bool = True) -> DataFrame:
+    """(t, p, n) counts: the only pass over the data.  The table has at most
+    (#labels x #predicted values) rows and feeds several aggregates, so it is
+    checkpointed once (shared checkpoint folder) instead of re-scanning the
+    scored table for each of them."""
+    c = df.groupBy(F.col(t).alias("t"), F.col(p).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    return cut_lineage(c) if materialise else c
 
 
 def _per_label(c: DataFrame) -> DataFrame:
