@@ -255,5 +255,5 @@ def fill_template(template: str, *values) -> Column:
         raise ValueError("template slot count does not match the values")
     parts = [F.lit(pieces[0])]
     for v, tail in zip(values, pieces[1:]):
-        parts += [as_col(v) if not isinstance(v, str) else F.lit(v), F.lit(tail)]
+        parts += [F.lit(v) if isinstance(v, str) else as_col(v), F.lit(tail)]
     return F.concat(*parts)

@@ -36,9 +36,21 @@ RESPONSE_SCHEMA = T.StructType([
                 T.StructField("message", MESSAGE)])))]))]))])
 
 
-def build_prompt(text, categories: Sequence[str], template: str = PROMPT_TEMPLATE) -> Column:
-    """Fill the two-slot template with the text and the sorted categories."""
-    return fill_template(template, as_col(text), ", ".join(sorted(categories)))
+def build_prompt(text, categories, template: str = PROMPT_TEMPLATE) -> Column:
+    """Fill the two-slot template with the text and the categories: a list
+    (sorted, joined with ', ') or a Column holding the joined string."""
+    cats = categories if isinstance(categories, Column) else F.lit(", ".join(sorted(categories)))
+    return fill_template(template, as_col(text), cats)
+
+
+def data_categories(df: DataFrame, truth: str, config: Sequence[str] | None = None) -> Column:
+    """Distinct lower-cased truth labels (intersected with the configured
+    categories when given), sorted and joined -- a scalar subquery, so the
+    label set never passes through the driver."""
+    labels = F.collect_set(F.lower(F.col(truth)))
+    if config:
+        labels = F.array_intersect(labels, F.array(*[F.lit(c.lower()) for c in config]))
+    return df.agg(F.array_join(F.array_sort(labels), ", ")).scalar()
 
 
 def build_messages(prompt, system: str | None = SYSTEM_MESSAGE, truth=None) -> Column:
@@ -52,11 +64,15 @@ def build_messages(prompt, system: str | None = SYSTEM_MESSAGE, truth=None) -> C
     return F.array(*msgs)
 
 
-def training_records(df: DataFrame, text_cols: Sequence[str], categories: Sequence[str],
+def training_records(df: DataFrame, text_cols: Sequence[str], categories: Sequence[str] | None = None,
                      truth: str = TRUE_CATEGORY, system: str | None = SYSTEM_MESSAGE,
-                     keep: Sequence[str] = ()) -> DataFrame:
+                     keep: Sequence[str] = (), config: Sequence[str] | None = None) -> DataFrame:
     """One ``{"messages": [...]}`` JSON line per row; the truth column is the
-    assistant answer and is not part of the prompt text."""
+    assistant answer and is not part of the prompt text.  Without explicit
+    ``categories`` the prompt lists the labels found in the truth column
+    (intersected with ``config``)."""
+    if categories is None:
+        categories = data_categories(df, truth, config)
     text = row_to_text([c for c in text_cols if c != truth])
     msgs = build_messages(build_prompt(text, categories), system, F.col(truth))
     return df.select(*keep, F.to_json(F.struct(msgs.alias("messages"))).alias("value"))

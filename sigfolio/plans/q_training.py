@@ -106,7 +106,7 @@ SELECT doc_id, 3 AS n_messages, md5({SYSTEM_SQL}) AS system_md5, md5({PROMPT_SQL
 FROM training_table""")
 def q_training_records(spark, sf):
     t = B.training_table(spark, sf).withColumnRenamed("truth", MS.TRUE_CATEGORY)
-    rec = MS.training_records(t, TEXT_COLS + [MS.TRUE_CATEGORY], CATS, keep=["doc_id"])
+    rec = MS.training_records(t, TEXT_COLS + [MS.TRUE_CATEGORY], keep=["doc_id"], config=CATS)
     p = rec.select("doc_id", F.from_json("value", MS.RECORD_SCHEMA).alias("r")).select("doc_id", F.col("r.messages").alias("m"))
     return p.select("doc_id", F.size("m").alias("n_messages"), F.md5(F.col("m")[0]["content"]).alias("system_md5"),
                     F.md5(F.col("m")[1]["content"]).alias("user_md5"), F.col("m")[2]["content"].alias("assistant"))
