@@ -63,6 +63,8 @@ MIN_TEXT_CHARS = 50
 # ---------------------------------------------------------------------------
 
 _WS = r"\s\x{1c}-\x{1f}"  # Python's whitespace set, as Java class contents
+# Python's str.isspace() characters, by rule (for trimming without a regex)
+_PY_SPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
 def _lit(p: str) -> Column:
@@ -147,8 +149,9 @@ def extract_section(c, pattern: str, body_group: int = 2) -> Column:
 
 
 def strip_ws(c) -> Column:
-    """Python ``str.strip()``: remove leading/trailing Unicode whitespace."""
-    return F.regexp_replace(as_col(c), _lit(f"(?U)^[{_WS}]+|[{_WS}]+\\z"), F.lit(""))
+    """Python ``str.strip()``: remove leading/trailing Unicode whitespace
+    (``trim`` with the exact character set; no regex scan of the body)."""
+    return F.trim(as_col(c), F.lit(_PY_SPACE))
 
 
 def split_paragraphs(c, delimiter: str = PARAGRAPH_BREAK, marker: str = TOC_MARKER) -> Column:
@@ -161,18 +164,25 @@ def split_paragraphs(c, delimiter: str = PARAGRAPH_BREAK, marker: str = TOC_MARK
 
 
 def keyword_count(c, keywords: Sequence[str], lowered: bool = False) -> Column:
-    """Case-insensitive, non-overlapping substring count summed over keywords."""
+    """Case-insensitive, non-overlapping substring count summed over keywords.
+
+    Each keyword costs one literal ``replace``; the removed length is read in
+    bytes (``octet_length`` is O(1)) and divided by the keyword's UTF-8
+    length, which counts the same occurrences as a character count."""
     low = as_col(c) if lowered else F.lower(as_col(c))
     total = F.lit(0).cast("long")
     for kw in keywords:
         k = kw.lower()
-        total = total + ((F.length(low) - F.length(F.replace(low, F.lit(k), F.lit("")))) / len(k)).cast("long")
+        removed = F.octet_length(low) - F.octet_length(F.replace(low, F.lit(k), F.lit("")))
+        total = total + (removed / len(k.encode("utf-8"))).cast("long")
     return total
 
 
 def keyword_counts(paragraphs, keywords: Sequence[str]) -> Column:
-    """Per-paragraph keyword counts for an array of paragraphs."""
-    return F.transform(as_col(paragraphs), lambda p: keyword_count(F.lower(p), keywords, lowered=True))
+    """Per-paragraph keyword counts for an array of paragraphs (each
+    paragraph is lower-cased once)."""
+    lowered = F.transform(as_col(paragraphs), F.lower)
+    return F.transform(lowered, lambda p: keyword_count(p, keywords, lowered=True))
 
 
 def max_keyword_window(counts, k: int) -> Column:
