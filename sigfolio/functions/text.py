@@ -115,6 +115,24 @@ def _marker_shape(pattern: str):
     return m.group(1), "|".join(ends_by_len), max(ls), max(le)
 
 
+def _dedupe_ci(pattern: str) -> str:
+    """Drop alternatives that equal an earlier one ignoring case (e.g.
+    ``ITEM 1A|Item 1A``): under IGNORECASE both match the same strings and
+    capture the same text, so the regex is equivalent and tries fewer
+    branches.  Only flat groups of literal alternatives are touched."""
+    def fold(m):
+        alts = m.group(1).split("|")
+        if any(_fixed_len(a) is None for a in alts):
+            return m.group(0)
+        seen, keep = set(), []
+        for a in alts:
+            if a.casefold() not in seen:
+                seen.add(a.casefold())
+                keep.append(a)
+        return "(" + "|".join(keep) + ")"
+    return re.sub(r"\(([^()]*\|[^()]*)\)", fold, pattern)
+
+
 def extract_section(c, pattern: str, body_group: int = 2) -> Column:
     """All non-overlapping matches; the first one with the longest body.
 
@@ -128,6 +146,7 @@ def extract_section(c, pattern: str, body_group: int = 2) -> Column:
     characters) -- both bounded, constant-size regexes.  Other shapes fall
     back to a second pass for the body group.
     """
+    pattern = _dedupe_ci(pattern)
     p = _lit("(?isu)" + pattern)
     whole = F.regexp_extract_all(as_col(c), p, F.lit(0))
     shape = _marker_shape(pattern) if body_group == 2 else None
