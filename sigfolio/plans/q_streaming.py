@@ -52,7 +52,7 @@ FROM events GROUP BY 1, 2""")
 def q_stream_months(spark, sf):
     out, ck = S.scratch(spark, "stream_days")
     S.upsert_log(S.stream_daily_buckets(_events_stream(spark, sf)), out, ck).awaitTermination()
-    days = S.latest_state(spark, out, ["day", "event_type"])
+    days = S.latest_state(spark, out, ["w_start", "day", "event_type"])
     m = S.month_rollup(days)
     return m.select("month", "event_type", "n", F.round("total", 6).alias("total"))
 

@@ -59,11 +59,15 @@ def stream_first_seen(events: DataFrame, key: str = "user_id", value: str = "eve
 def stream_daily_buckets(events: DataFrame, key: str = "event_type", ts: str = "ts", value: str = "value",
                          delay: str = WATERMARK) -> DataFrame:
     """Daily tumbling aggregates with a watermark (months are rolled up
-    from days at read time: calendar months are not fixed-width windows)."""
+    from days at read time: calendar months are not fixed-width windows).
+
+    Windows are epoch (UTC) days; the local calendar day is part of the key
+    too, so with a non-UTC session a local day may span two windows and the
+    roll-up still adds the right rows.  State is evicted per window."""
     return (events.withWatermark(ts, delay)
-                  .groupBy(F.window(ts, "1 day").alias("w"), key)
+                  .groupBy(F.window(ts, "1 day").alias("w"), F.to_date(ts).alias("day"), key)
                   .agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
-                  .select(F.col("w.start").alias("day"), key, "n", "total"))
+                  .select(F.col("w.start").alias("w_start"), "day", key, "n", "total"))
 
 
 def upsert_log(stream: DataFrame, path: str, checkpoint: str, trigger_once: bool = True):
