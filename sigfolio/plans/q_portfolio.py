@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sigfolio.operators import joins as J
 from sigfolio.operators import market as M
 from sigfolio.operators import performance as PF
 from sigfolio.operators import portfolio as P
@@ -88,13 +89,14 @@ FROM solved s"""
 
 @query("monthly_rebalance_check", REBAL_SQL)
 def q_rebalance_check(spark, sf):
+    """Per rebalance date: universe rows, total weight and the number of
+    names with complete-case returns (the solver's candidates)."""
     r = _rebalance(spark, sf)
-    cands = (M.complete_case_returns(M.panel_returns(
-        M.last_n_bars(B.prices(spark, sf),
-                      __import__("sigfolio.operators.joins", fromlist=["x"]).portfolio_membership(
-                          B.signals(spark, sf), M.first_trading_day(B.prices(spark, sf))), n=30)
-        .select("rebalance_date", "ticker", "date", "price"), group=["rebalance_date"]), group=["rebalance_date"])
-        .groupBy("rebalance_date").agg(F.countDistinct("ticker").alias("n_candidates")))
+    p = B.prices(spark, sf)
+    held = J.portfolio_membership(B.signals(spark, sf), M.first_trading_day(p))
+    bars = M.last_n_bars(p, held, n=30).select("rebalance_date", "ticker", "date", "price")
+    rets = M.complete_case_returns(M.panel_returns(bars, group=["rebalance_date"]), group=["rebalance_date"])
+    cands = rets.groupBy("rebalance_date").agg(F.countDistinct("ticker").alias("n_candidates"))
     chk = r.groupBy("rebalance_date").agg(F.count(F.lit(1)).alias("n_rows"),
                                          F.round(F.sum("weight"), 6).alias("total_weight"))
     return chk.join(cands, "rebalance_date")
