@@ -226,14 +226,20 @@ def join_passages(paragraphs, start, k: int) -> Column:
 
 
 def with_top_passages(df: DataFrame, col: str, out: str, keywords: Sequence[str] = FILING_KEYWORDS,
-                      k: int = RUN_LENGTH_10K, delimiter: str = PARAGRAPH_BREAK) -> DataFrame:
+                      k: int = RUN_LENGTH_10K, delimiter: str = PARAGRAPH_BREAK,
+                      normalize: str = "none") -> DataFrame:
     """Adds ``out`` = best k-paragraph run of ``col`` (NULL stays NULL).
 
-    Intermediates are bound in their own projections so the paragraph split
-    runs once per row (Catalyst will not inline a non-cheap expression that
-    is consumed twice)."""
+    ``normalize="first"`` is the notebook variant: the text is normalised
+    (lower-cased, punctuation and line breaks removed) before splitting, so
+    it stays one paragraph.  Intermediates are bound in their own
+    projections so the paragraph split runs once per row (Catalyst will not
+    inline a non-cheap expression that is consumed twice)."""
+    if normalize not in ("none", "first"):
+        raise ValueError(normalize)
     p, n, s = f"__{out}_paras", f"__{out}_counts", f"__{out}_start"
-    return (df.withColumn(p, split_paragraphs(col, delimiter))
+    src = normalize_text(col) if normalize == "first" else F.col(col)
+    return (df.withColumn(p, split_paragraphs(src, delimiter))
               .withColumn(n, keyword_counts(p, keywords))
               .withColumn(s, max_keyword_window(n, k))
               .withColumn(out, F.when(F.col(col).isNotNull(), join_passages(p, s, k)))

@@ -105,7 +105,7 @@ def q_rebalance_check(spark, sf):
 @query("equity_returns", with_views("equity") + """,
 r AS (SELECT strategy_id, date, equity / lag(equity) OVER (PARTITION BY strategy_id ORDER BY date) - 1 AS ret,
              row_number() OVER (PARTITION BY strategy_id ORDER BY date) AS rn FROM equity),
-ix AS (SELECT date, tot / lag(tot) OVER (ORDER BY date) - 1 AS index_ret, row_number() OVER (ORDER BY date) AS rn
+ix AS (SELECT date, ln(tot / lag(tot) OVER (ORDER BY date)) AS index_ret, row_number() OVER (ORDER BY date) AS rn
        FROM (SELECT CAST(ts AS DATE) AS date, sum(value) AS tot FROM events GROUP BY 1))
 SELECT r.strategy_id, r.date, round(r.ret, 9) AS ret,
        round(sum(CASE WHEN r.rn = 1 THEN 0 ELSE coalesce(r.ret, 0) END) OVER (PARTITION BY r.strategy_id ORDER BY r.date
@@ -115,15 +115,19 @@ SELECT r.strategy_id, r.date, round(r.ret, 9) AS ret,
              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 9) AS cum_index_ret
 FROM r LEFT JOIN ix USING (date)""")
 def q_equity_returns(spark, sf):
-    idx = _index_returns(spark, sf)
+    idx = _index_returns(spark, sf, log=True)  # the index side is a log-return series
     r = PF.equity_returns(B.equity(spark, sf), idx)
     return r.select("strategy_id", "date", *[F.round(c, 9).alias(c) for c in ("ret", "cum_ret", "index_ret", "cum_index_ret")])
 
 
-def _index_returns(spark, sf, out="index_ret"):
+def _index_returns(spark, sf, out="index_ret", log=False):
+    """Daily total event value as an index; simple or log returns."""
     tot = (B.table(spark, sf, "events").groupBy(F.col("ts").cast("date").alias("date"))
            .agg(F.sum("value").alias("tot")).withColumn("__k", F.lit(0)))
-    return M.pct_change(tot, key="__k", value="tot", out=out).select("date", out)
+    r = M.pct_change(tot, key="__k", value="tot", out=out)
+    if log:
+        r = r.withColumn(out, F.log1p(out))
+    return r.select("date", out)
 
 
 @query("performance_metrics", with_views("equity") + """,

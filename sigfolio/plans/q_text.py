@@ -231,3 +231,15 @@ SELECT doc_id, md5(replace(lower(text), chr(10), ' ')) AS prep_md5 FROM document
 def q_embed_prep(spark, sf):
     d = B.table(spark, sf, "documents")
     return d.select("doc_id", F.md5(X.embed_prep("text")).alias("prep_md5"))
+
+
+@query("top_passages_normalized", r"""
+SELECT doc_id, md5(t) AS passage_md5 FROM (
+  SELECT doc_id, replace(replace(trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g')),
+                 's ' || chr(10) || chr(10), ''), chr(10) || chr(10) || 'Ta', '') AS t
+  FROM documents)""")
+def q_top_passages_normalized(spark, sf):
+    """Notebook variant: normalise first, so the whole text is one paragraph."""
+    d = B.table(spark, sf, "documents").select("doc_id", "text")
+    t = X.with_top_passages(d, "text", "passage", X.FILING_KEYWORDS, 2, normalize="first")
+    return t.select("doc_id", F.md5("passage").alias("passage_md5"))
