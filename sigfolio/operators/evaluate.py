@@ -3,7 +3,8 @@ classification report, worst class, label set.
 
 Everything is derived from one partial aggregate, the (true, predicted)
 cell counts -- a table of at most (#labels x #predicted values) rows -- so
-the scan of the scored table is the only distributed step.  Labels are the
+the scored table is scanned once (``worst_class`` scans it once more for
+the first-seen order of the labels).  Labels are the
 distinct *true* values; predictions outside them count against accuracy but
 are not rows or columns of the matrix (as in scikit-learn with ``labels=``).
 """

@@ -1,7 +1,7 @@
 """The corpus job: raw filings -> header -> membership -> sections ->
 best passages -> tickers.
 
-One map stage per filing plus at most one join: membership is applied as a
+One map stage over the filings plus two joins: membership is applied as a
 semi join *before* the regex work (the key comes from the header, which is
 cheap to extract), and the (cik, month) -> ticker table joins last.
 Catalyst cannot reorder this itself (the key derives from the same text), so

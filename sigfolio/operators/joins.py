@@ -1,8 +1,8 @@
 """Point-in-time and keyed joins.
 
 Broadcast is only used for sides with a proven bound: ``bounded_broadcast``
-counts at most ``max_rows + 1`` rows of the candidate side (a bounded,
-early-stopping job) and falls back to a shuffled join beyond the bound.
+counts the candidate side through ``limit(max_rows + 1)`` and falls back to
+a shuffled join beyond the bound.
 Adaptive execution keeps its own runtime conversion and skew splitting for
 the shuffled path.
 """

@@ -5,7 +5,6 @@ strategy) and orders by date.  Inputs are one row per (key, date) -- the
 bindings and ``resample_bars`` pre-aggregate to that grain first with a
 map-side partial aggregate -- so a window partition is bounded by the length
 of the trading calendar, not by the data volume behind a hot key.
-Operators that share ``(key, date)`` partitioning reuse one exchange.
 """
 
 from __future__ import annotations
