@@ -229,6 +229,14 @@ def monthly_rebalance(signals: DataFrame, prices: DataFrame, universe: DataFrame
     # price table for each use
     cal = cut_lineage(M.first_trading_day(prices))
     held = portfolio_membership(signals, cal, inclusive=inclusive)
+    return weights_for_holdings(held, prices, universe, n_bars, inclusive)
+
+
+def weights_for_holdings(held: DataFrame, prices: DataFrame, universe: DataFrame,
+                         n_bars: int = M.HISTORY_BARS, inclusive: bool = False) -> DataFrame:
+    """(rebalance_date, ticker) holdings -> last n bars -> minimum-variance
+    weights per date -> every universe ticker listed, missing -> 0 (the
+    second half of ``monthly_rebalance``, shared with the streaming form)."""
     bars = M.last_n_bars(prices, held, n=n_bars, inclusive=inclusive)
     w = min_variance_from_prices(bars, group=["rebalance_date"])
     return join_universe_weights(universe, w, by=["rebalance_date"])

@@ -91,9 +91,14 @@ FROM solved s"""
 def q_rebalance_check(spark, sf):
     """Per rebalance date: universe rows, total weight and the number of
     names with complete-case returns (the solver's candidates)."""
-    r = _rebalance(spark, sf)
     p = B.prices(spark, sf)
     held = J.portfolio_membership(B.signals(spark, sf), M.first_trading_day(p))
+    return rebalance_check(_rebalance(spark, sf), held, p)
+
+
+def rebalance_check(r, held, p):
+    """(rebalance_date, n_rows, total_weight, n_candidates) of a weights
+    table, with the complete-case candidates computed from the holdings."""
     bars = M.last_n_bars(p, held, n=30).select("rebalance_date", "ticker", "date", "price")
     rets = M.complete_case_returns(M.panel_returns(bars, group=["rebalance_date"]), group=["rebalance_date"])
     cands = rets.groupBy("rebalance_date").agg(F.countDistinct("ticker").alias("n_candidates"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sigfolio.plans import bindings as B
 from sigfolio.plans.oracle import with_views
 from sigfolio.plans.q_joins import ASOF_SQL
+from sigfolio.plans.q_portfolio import REBAL_SQL, rebalance_check
 from sigfolio.plans.registry import query
 from sigfolio.streaming import signals as S
 
@@ -85,3 +86,24 @@ def q_stream_asof(spark, sf):
     S.upsert_log(per, out, ck).awaitTermination()
     last = S.latest_state(spark, out, ["ticker", "rebalance_date"])
     return J.carry_forward(last, cal).select("ticker", "rebalance_date", "position")
+
+
+@query("stream_rebalance_check", REBAL_SQL)
+def q_stream_rebalance(spark, sf):
+    """Streaming form of the flagship: signals stream into per-period state;
+    holdings, histories and weights are derived from that state and checked
+    with the same projection as ``monthly_rebalance_check``."""
+    from sigfolio.operators import joins as J
+    from sigfolio.operators import market as M
+    from sigfolio.operators import portfolio as P
+    from sigfolio.session import cut_lineage
+    p = B.prices(spark, sf)
+    cal = cut_lineage(M.first_trading_day(p))
+    li = spark.readStream.schema(B.table(spark, sf, "lineitem").schema) \
+        .option("pathGlobFilter", "lineitem.parquet").parquet(sf)
+    out, ck = S.scratch(spark, "stream_rebalance")
+    S.upsert_log(J.signal_periods(B.signals_from(li), cal), out, ck).awaitTermination()
+    last = S.latest_state(spark, out, ["ticker", "rebalance_date"])
+    held = J.carry_forward(last, cal).filter(F.col("position") != "sell").select("rebalance_date", "ticker")
+    w = P.weights_for_holdings(held, p, B.universe(spark, sf))
+    return rebalance_check(w, held, p)
