@@ -41,11 +41,15 @@ def label_truth(df: DataFrame, n: int = LABEL_WINDOW, key="ticker", order="date"
 
     trailing (the reference code): buy when price <= mean of the last n rows
     (current included); warm-up rows are 'sell'.  The comparison is exact:
-    ``n * price <= sum(window)`` on decimals, never a float mean.
+    ``n * price <= sum(window)`` on decimals (floating prices are cast to
+    DECIMAL(18,6)), never a float mean.
     forward (the documented variant): buy when the mean of the next n rows is
     greater than the price; rows without n following rows get NULL.
     """
     base = df.filter(F.col(value).isNotNull())
+    if dict(base.dtypes)[value] in ("double", "float"):
+        # compare exactly: floating prices are compared as DECIMAL(18,6)
+        base = base.withColumn(value, F.col(value).cast("decimal(18,6)"))
     if direction == "trailing":
         w = _w(key, order, tie).rowsBetween(-(n - 1), 0)
         cnt, tot = F.count(value).over(w), F.sum(value).over(w)

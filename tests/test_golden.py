@@ -95,6 +95,11 @@ def test_constant_price_is_buy_and_warmup_is_sell(spark):
     assert lab[:9] == ["sell"] * 9 and lab[9:] == ["buy"] * 3
 
 
+def test_constant_double_price_is_buy(spark):
+    df = spark.createDataFrame([("A", i, 0.1) for i in range(10)], "ticker string, date int, price double")
+    assert [r["truth"] for r in M.label_truth(df, 10).orderBy("date").collect()][-1] == "buy"
+
+
 def test_toy_frontier(spark):
     px = {"AAPL": [132, 134, 130], "NVDA": [540, 550, 555]}
     ret = np.array([[px[t][i + 1] / px[t][i] - 1 for t in ("AAPL", "NVDA")] for i in range(2)])
