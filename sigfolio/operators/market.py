@@ -149,11 +149,15 @@ def first_trading_day(df: DataFrame, order="date") -> DataFrame:
     """(month, start, next_start): first trading date of each month of the
     calendar, and the next month's first trading date.
 
-    The result has one row per calendar month (about 12 a year), so the
-    ``lead`` over it is a tiny single-partition window by construction."""
+    The month table is tiny (about 12 rows a year); the next month's start
+    is looked up in its sorted list of starts, a scalar subquery computed
+    once -- no single-partition window."""
     months = (df.groupBy(F.trunc(order, "MM").alias("month"))
                 .agg(F.min(order).alias("start")))
-    return months.withColumn("next_start", F.lead("start").over(Window.orderBy("month")))
+    starts = months.agg(F.array_sort(F.collect_list("start"))).scalar()
+    nxt = F.filter("__starts", lambda s: s > F.col("start"))
+    return (months.withColumn("__starts", starts)
+                  .withColumn("next_start", F.try_element_at(nxt, F.lit(1))).drop("__starts"))
 
 
 def resample_bars(df: DataFrame, duration: str = "1 day", key="ticker", ts="ts", value="value",

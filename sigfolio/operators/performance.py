@@ -65,7 +65,10 @@ def turnover(weights: DataFrame, at: str = "rebalance_date", key: str = "ticker"
     d = d.withColumn("__chg", F.abs(F.col(weight) - F.col("__prev")))
     per = d.groupBy(at).agg((F.sum("__chg") / 2).alias("turnover"),
                             F.count(F.when(F.col("__chg") > 0, 1)).alias("n_trades"))
-    # trades per calendar day since the previous rebalance; one row per
-    # rebalance date, so this window over dates is tiny by construction
-    gap = F.datediff(F.col(at), F.lag(at).over(Window.orderBy(at)))
-    return per.withColumn("trades_per_day", F.try_divide(F.col("n_trades").cast("double"), gap))
+    # trades per calendar day since the previous rebalance date (looked up in
+    # the sorted date list, a scalar subquery over one row per date)
+    dates = per.agg(F.array_sort(F.collect_list(at))).scalar()
+    per = per.withColumn("__dates", dates)
+    prev = F.array_max(F.filter("__dates", lambda d: d < F.col(at)))
+    gap = F.datediff(F.col(at), prev)
+    return per.withColumn("trades_per_day", F.try_divide(F.col("n_trades").cast("double"), gap)).drop("__dates")
