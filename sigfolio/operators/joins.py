@@ -54,9 +54,11 @@ def semi_membership(filings: DataFrame, members: DataFrame, key: str = "cik") ->
 def join_ticker(filings: DataFrame, members: DataFrame, keys: Sequence[str] = ("cik", "ym"),
                 ticker: str = "ticker") -> DataFrame:
     """Attach every ticker a filer had in the filing month (fan-out kept);
-    filings without a ticker (or with a NULL key) are dropped."""
+    filings without a ticker (or with a NULL key) are dropped.  The member
+    table (index size x months) is broadcast when within bounds, so the
+    filings -- rows carrying long texts -- are never shuffled for it."""
     m = members.select(*keys, ticker).distinct().filter(F.col(ticker).isNotNull())
-    return filings.join(m, list(keys), "inner")
+    return filings.join(bounded_broadcast(m), list(keys), "inner")
 
 
 def join_price_truth(filings: DataFrame, labelled: DataFrame, how: str = "left",
