@@ -284,3 +284,20 @@ def q_sink_report(spark, sf):
     back = spark.read.schema(rep.schema).json(path)
     return back.select(F.round("accuracy", 12).alias("accuracy"), F.size("confusion_matrix").alias("n_cells"),
                        F.size("classification_report").alias("n_report_rows"))
+
+
+@query("compact_filings", """
+SELECT lpad(CAST(doc_id AS VARCHAR), 10, '0') AS cik, year(d) AS year, 'QTR' || CAST(quarter(d) AS VARCHAR) AS quarter
+FROM (SELECT doc_id, lang, DATE '2020-01-01' + CAST(doc_id % 700 AS INTEGER) AS d FROM documents)
+WHERE lang NOT IN ('en', 'de')""")
+def q_compact_filings(spark, sf):
+    """Filing files -> one Parquet table partitioned by (year, quarter) ->
+    header fields read back from the compacted table."""
+    from sigfolio.functions.text import filing_header
+    root = _export_filings(spark, sf)
+    fl = SRC.scan_filings(spark, root, [2020, 2021], "10-K", hive_layout=True)
+    out = scratch_path(spark, "filings_parquet")
+    SNK.compact_filings(fl, out)
+    back = spark.read.parquet(out)
+    return back.select(filing_header("content")["cik"].alias("cik"), F.col("year").cast("long").alias("year"),
+                       "quarter")

@@ -49,6 +49,16 @@ def sink_report(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     return path
 
 
+def compact_filings(filings: DataFrame, path: str, mode: str = "overwrite") -> str:
+    """Compact a corpus of many small filing files into Parquet partitioned
+    by (year, quarter) -- the one pass after which every job reads columnar
+    files.  Range partitioning on (year, quarter, path) keeps a busy quarter
+    spread over several tasks and files."""
+    (filings.repartitionByRange("year", "quarter", "path")
+            .write.mode(mode).partitionBy("year", "quarter").parquet(path))
+    return path
+
+
 def sink_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_by=None) -> str:
     w = df.write.mode(mode)
     if partition_by:
