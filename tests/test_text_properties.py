@@ -36,12 +36,10 @@ def py_counts(paras, kws):
 
 
 def py_start(counts, k):
-    best, start = 0, 0
-    for i in range(len(counts) - k + 1):
-        s = sum(counts[i:i + k])
-        if s > best:
-            best, start = s, i
-    return start
+    """Index of the first k-run with the largest total (0 when there is no
+    full run)."""
+    totals = [sum(counts[i:i + k]) for i in range(len(counts) - k + 1)]
+    return totals.index(max(totals)) if totals else 0
 
 
 def py_section(t, pattern):
