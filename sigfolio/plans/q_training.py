@@ -188,3 +188,15 @@ def q_every_kth(spark, sf):
     k = F.get_json_object("props", "$.k").cast("long")
     arr = ev.select("event_id", F.array(k, k, F.col("user_id"), F.col("user_id")).alias("vals"))
     return M.every_kth(arr, "vals", 2, keep=["event_id"]).select("event_id", F.col("pos").cast("long").alias("pos"), "value")
+
+
+@query("distinct_rows_counts", """
+SELECT (SELECT count(*) FROM documents) AS n_pre,
+       (SELECT count(*) FROM (SELECT DISTINCT text, lang, source FROM documents)) AS n_post""")
+def q_distinct_rows_counts(spark, sf):
+    """Rows before / after the whole-row dedupe (the observed metric is
+    filled while the deduplicated rows are counted)."""
+    d, obs = TR.distinct_rows(B.table(spark, sf, "documents").select("text", "lang", "source"))
+    n_post = d.count()
+    n_pre = obs.get["n_pre"]
+    return spark.range(1).select(F.lit(n_pre).cast("long").alias("n_pre"), F.lit(n_post).cast("long").alias("n_post"))
