@@ -133,6 +133,30 @@ def _dedupe_ci(pattern: str) -> str:
     return re.sub(r"\(([^()]*\|[^()]*)\)", fold, pattern)
 
 
+def _unroll_body(pattern: str) -> str:
+    """Equivalent form of (START)(.*?)(END...) whose body scans in a tight
+    loop: runs of characters that cannot begin an end marker are consumed
+    possessively, and only at a possible first character is the end
+    alternation tried -- the body still stops at the first end marker, as
+    the lazy ``.*?`` does.  Patterns of another shape are returned as is."""
+    m = _SHAPE.match(pattern)
+    if not m:
+        return pattern
+    ends = m.group(2).split("|")
+    if any(not _fixed_len(a) for a in ends):
+        return pattern
+    firsts = []
+    for a in ends:
+        ch = a[1] if a.startswith("\\") else a[0]
+        if ch == "." and not a.startswith("\\"):
+            return pattern  # a wildcard can begin an end marker anywhere
+        if ch not in firsts:
+            firsts.append(ch)
+    cls = "".join(ch if ch.isalnum() else "\\" + ch for ch in firsts)
+    body = f"((?:[^{cls}]++|(?!{m.group(2)}).)*+)"
+    return f"({m.group(1)}){body}({m.group(2)})" + (m.group(3) or "")
+
+
 def extract_section(c, pattern: str, body_group: int = 2) -> Column:
     """All non-overlapping matches; the first one with the longest body.
 
@@ -147,7 +171,7 @@ def extract_section(c, pattern: str, body_group: int = 2) -> Column:
     back to a second pass for the body group.
     """
     pattern = _dedupe_ci(pattern)
-    p = _lit("(?isu)" + pattern)
+    p = _lit("(?isu)" + _unroll_body(pattern))
     whole = F.regexp_extract_all(as_col(c), p, F.lit(0))
     shape = _marker_shape(pattern) if body_group == 2 else None
     if shape is not None:

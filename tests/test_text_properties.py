@@ -98,3 +98,15 @@ def test_extract_dates_order_and_overlap(spark):
     df = spark.createDataFrame([("on 2024-01-05 and 01/02/2023 in 1999",)], "t string")
     assert list(df.select(X.extract_dates("t").alias("d")).first()["d"]) == \
         ["2024-01-05", "01/02/2023", "2024", "2023", "1999"]
+
+
+def test_section_long_body_many_marker_letters(spark):
+    """A 2 MB body full of possible end-marker first letters: the unrolled
+    body loop neither overflows the stack nor changes the answer."""
+    body = "I2 i2 Item 1x " * 150000
+    txt = "ITEM 1A" + body + "2 Unregistered tail ITEM 1A short Item 1B"
+    df = spark.createDataFrame([(txt,)], "t string")
+    pat = X.SECTIONS_10Q["item_1A"]
+    got = df.select(X.extract_section("t", pat).alias("s")).first()["s"]
+    assert got == py_section(txt, pat)
+    assert len(got) > 2_000_000
