@@ -276,7 +276,7 @@ def normalize_text(c) -> Column:
     t = F.lower(as_col(c))
     t = F.regexp_replace(t, _lit(f"(?U)[^\\p{{L}}\\p{{N}}_{_WS}]"), F.lit(""))
     t = F.regexp_replace(t, _lit(f"(?U)[{_WS}]+"), F.lit(" "))
-    return F.regexp_replace(t, _lit("^ +| +$"), F.lit(""))
+    return F.trim(t)  # only single spaces are left at the ends
 
 
 def extract_dates(c) -> Column:
