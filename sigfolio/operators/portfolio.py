@@ -238,5 +238,7 @@ def weights_for_holdings(held: DataFrame, prices: DataFrame, universe: DataFrame
     weights per date -> every universe ticker listed, missing -> 0 (the
     second half of ``monthly_rebalance``, shared with the streaming form)."""
     bars = M.last_n_bars(prices, held, n=n_bars, inclusive=inclusive)
-    w = min_variance_from_prices(bars, group=["rebalance_date"])
+    # the weights (dates x held names: small) feed both the date list and the
+    # join of the universe fill; materialise them once so the solver runs once
+    w = cut_lineage(min_variance_from_prices(bars, group=["rebalance_date"]))
     return join_universe_weights(universe, w, by=["rebalance_date"])
