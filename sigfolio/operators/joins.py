@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigfolio.functions.text import hash_text
+from sigfolio.session import cut_lineage
 
 BROADCAST_MAX_ROWS = 2_000_000
 
@@ -194,7 +195,9 @@ def asof_last_signal(signals: DataFrame, calendar: DataFrame, key: str = "ticker
     (month, start, next_start).  Signals are first reduced to the last one per
     (key, rebalance period) (``signal_periods``) and only that small table is
     carried forward per key (``carry_forward``)."""
-    last = signal_periods(signals, calendar, key, ts, seq, value, at, inclusive)
+    # the per-period table (keys x periods: small) is read twice by the
+    # carry-forward; materialise it so the signals are scanned once
+    last = cut_lineage(signal_periods(signals, calendar, key, ts, seq, value, at, inclusive))
     return carry_forward(last, calendar, key, value, at)
 
 
