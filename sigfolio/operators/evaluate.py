@@ -48,9 +48,10 @@ def accuracy(df: DataFrame, t: str, p: str) -> DataFrame:
     return df.agg(F.avg((F.col(t) == F.col(p)).cast("double")).alias("accuracy"))
 
 
-def per_class_accuracy(df: DataFrame, t: str, p: str) -> DataFrame:
-    """One-vs-rest accuracy per true label: (N - actual - pred + 2 TP) / N."""
-    pl = _per_label(cells(df, t, p))
+def per_class_accuracy(df: DataFrame, t: str, p: str, c: DataFrame | None = None) -> DataFrame:
+    """One-vs-rest accuracy per true label: (N - actual - pred + 2 TP) / N.
+    ``c`` reuses already computed cell counts."""
+    pl = _per_label(c if c is not None else cells(df, t, p))
     acc = (F.col("N") - F.col("support") - F.col("predicted") + 2 * F.col("tp")) / F.col("N")
     return pl.select("label", acc.alias("accuracy"), "support", "predicted")
 
@@ -64,9 +65,9 @@ def worst_class(df: DataFrame, t: str, p: str, order: str, decimals: int = 2) ->
                   F.min_by(F.bround("accuracy", decimals), key).alias("accuracy"))
 
 
-def confusion_matrix(df: DataFrame, t: str, p: str) -> DataFrame:
+def confusion_matrix(df: DataFrame, t: str, p: str, c: DataFrame | None = None) -> DataFrame:
     """(true_label, pred_label, n) over labels x labels, zeros included."""
-    c = cells(df, t, p)
+    c = c if c is not None else cells(df, t, p)
     labels = c.select(F.col("t").alias("label")).distinct()
     arr = labels.agg(F.collect_list("label").alias("__labels"))
     grid = (arr.select(F.explode("__labels").alias("true_label"), "__labels")
@@ -76,11 +77,11 @@ def confusion_matrix(df: DataFrame, t: str, p: str) -> DataFrame:
                 .select("true_label", "pred_label", F.coalesce("n", F.lit(0)).alias("n")))
 
 
-def classification_report(df: DataFrame, t: str, p: str) -> DataFrame:
+def classification_report(df: DataFrame, t: str, p: str, c: DataFrame | None = None) -> DataFrame:
     """(label, precision, recall, f1_score, support) per label plus
     'macro avg', 'weighted avg' and 'accuracy' -- or 'micro avg' when some
     prediction is not a true label.  Zero division gives 0."""
-    c = cells(df, t, p)
+    c = c if c is not None else cells(df, t, p)
     pl = _per_label(c)
 
     def div(a, b):
@@ -131,9 +132,10 @@ def label_set(df: DataFrame, t: str, categories: Sequence[str] | None = None) ->
 def evaluation_report(df: DataFrame, t: str, p: str) -> DataFrame:
     """One nested row: total accuracy, per-class accuracy, report and the
     confusion matrix (for ``sink_report``)."""
-    acc = accuracy(df, t, p)
-    pc = per_class_accuracy(df, t, p).agg(F.map_from_entries(F.collect_list(
+    c = cells(df, t, p)  # one scan; everything below reads the small cell table
+    acc = c.agg((F.sum(F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"))
+    pc = per_class_accuracy(df, t, p, c).agg(F.map_from_entries(F.collect_list(
         F.struct("label", F.bround("accuracy", 2)))).alias("per_category_accuracy"))
-    rep = classification_report(df, t, p).agg(F.collect_list(F.struct("*")).alias("classification_report"))
-    cm = confusion_matrix(df, t, p).agg(F.collect_list(F.struct("*")).alias("confusion_matrix"))
+    rep = classification_report(df, t, p, c).agg(F.collect_list(F.struct("*")).alias("classification_report"))
+    cm = confusion_matrix(df, t, p, c).agg(F.collect_list(F.struct("*")).alias("confusion_matrix"))
     return acc.select("accuracy", *[x.scalar().alias(x.columns[0]) for x in (pc, rep, cm)])
