@@ -125,3 +125,14 @@ def test_similarity_blocked_equals_broadcast(spark):
     a = {(x.vec_id, x.rank, x.category) for x in S.topk_categories(e, c, 3).collect()}
     b = {(x.vec_id, x.rank, x.category) for x in S.topk_categories(e, c, 3, max_cells=0, n_blocks=4).collect()}
     assert a == b
+
+
+def test_flagship_reads_materialised_intermediates(spark):
+    """The solver output, the calendar and the per-period signals are
+    materialised once; the returned plan only fills the universe."""
+    from sigfolio.operators import portfolio as P
+    df = P.monthly_rebalance(B.signals(spark, SF001), B.prices(spark, SF001), B.universe(spark, SF001))
+    plan = _plan(df)
+    assert "FlatMapGroupsInPandas" not in plan
+    assert "lineitem" not in plan
+    assert df.count() > 0
