@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigfolio.llm import bpe, html_extract, shard_pack, toxicity
+from sigfolio.llm import bpe, html_extract, shard_pack, simhash, toxicity
 from sigfolio.llm.common import table
 
 QUERIES: dict = {}
@@ -61,3 +61,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).select(
         "doc_id", (toxicity.fold() == 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query("op8_simhash")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_bits=4).select(
+        "doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
