@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigfolio.llm import bpe, html_extract, shard_pack, simhash, toxicity
+from sigfolio.llm import bpe, decontaminate, html_extract, shard_pack, simhash, toxicity
 from sigfolio.llm.common import table
 
 QUERIES: dict = {}
@@ -67,3 +67,30 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_bits=4).select(
         "doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
+      FROM benchmark WHERE item_id IS NOT NULL),
+-- two substitutions in 13 tokens leave one of the runs 0-3, 4-7, 8-11 whole
+dg AS (SELECT doc_id, p, w[p + 1] || ' ' || w[p + 2] || ' ' || w[p + 3] || ' ' || w[p + 4] AS g
+       FROM (SELECT doc_id, w, unnest(range(len(w) - 3)) AS p FROM d WHERE len(w) >= 13)),
+bg AS (SELECT item_id, p, w[p + 1] || ' ' || w[p + 2] || ' ' || w[p + 3] || ' ' || w[p + 4] AS g
+       FROM (SELECT item_id, w, unnest(range(len(w) - 3)) AS p FROM b WHERE len(w) >= 13)),
+c AS (SELECT DISTINCT doc_id, item_id, dg.p - o AS s, bg.p - o AS t FROM dg JOIN bg USING (g), (VALUES (0), (4), (8)) AS v(o)
+      WHERE dg.p >= o AND bg.p >= o),
+m AS (SELECT c.doc_id, c.item_id, c.s FROM c JOIN d USING (doc_id) JOIN b USING (item_id)
+      WHERE s + 13 <= len(d.w) AND t + 13 <= len(b.w)
+        AND list_sum(list_transform(range(13), lambda k: CASE WHEN d.w[s + k + 1] = b.w[t + k + 1] THEN 1 ELSE 0 END)) >= 11),
+i AS (SELECT doc_id, item_id, count(DISTINCT s) AS n, min(s) AS s FROM m GROUP BY ALL),
+r AS (SELECT doc_id, count(*) AS n_items, sum(n) AS n_windows, min(item_id) AS first_item, min(s) AS first_token FROM i GROUP BY ALL)
+SELECT documents.doc_id, r.doc_id IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items,
+       CAST(coalesce(n_windows, 0) AS BIGINT) AS n_windows, first_item, CAST(first_token AS INTEGER) AS first_token
+FROM documents LEFT JOIN r ON documents.doc_id = r.doc_id
+"""
+
+
+@query("op6_decontaminate", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
