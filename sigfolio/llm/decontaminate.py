@@ -53,7 +53,7 @@ def seeds(rows: DataFrame, key: str) -> DataFrame:
     """(key, words, place, h): the hash of each mask at each place.  ``words``
     is padded by REACH NULLs on either side; ``place`` counts without them."""
     at = F.posexplode(F.slice("words", REACH + 1, F.greatest(F.size("words") - F.lit(2 * REACH + SPAN - 1), F.lit(0)))).alias("place", "first")
-    placed = rows.filter(F.size("words") >= WINDOW + 2 * REACH).select(key, "words", at)
+    placed = rows.select(key, "words", at)
     word = lambda k: F.col("first") if k == 0 else F.get(F.col("words"), F.col("place") + F.lit(REACH + k))
     hashes = F.array(*(F.xxhash64(F.lit(n), *(word(k) for k in mask)) for n, mask in enumerate(MASKS)))
     return placed.select(key, "words", "place", F.explode(hashes).alias("h"))
