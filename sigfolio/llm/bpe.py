@@ -2,14 +2,15 @@
 
 The last token of a prefix's encoding decides the whole encoding: a prefix
 ends in the one token ``t`` for which the encoding of what stands before it
-ends in a token that may be followed by ``t``.  The distinct words of a batch
-go into a trie; walking them in sorted order is the trie's depth-first order,
-so a prefix that several words share is solved once and every node keeps only
-its last token.  A word's ids are read back from its node to the root.
-
-``encode_decode`` needs no shuffle: each row is encoded where it is read, and
-what a task keeps (trie nodes and encoded words) is bounded by ``MAX_NODES``
-and ``MAX_WORDS``; beyond that the tables start afresh, with equal results.
+ends in a token that may be followed by ``t``.  The distinct new words of a
+group of texts form a trie.  Their sorted list is that trie in depth-first
+order: two neighbours share the path to their common prefix, so each node is
+met once, a prefix that several words share is solved once, and a node keeps
+only its last token.  A word's ids are read back from its node to the root.
+
+``encode_decode`` needs no shuffle: each row is encoded where it is read.  A
+task keeps at most ``MAX_WORDS`` encoded words and ``MAX_PAIRS`` known pairs;
+beyond that these tables start afresh, with equal results.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ from pyspark.sql import functions as F
 
 from sigfolio.llm.common import map_rows, text_of
 
-MAX_NODES = 800_000
 MAX_WORDS = 400_000
-#: Words longer than this are solved on a trie of their own, which is dropped.
-LONG_WORD = 64
+MAX_PAIRS = 1_000_000
+#: Characters of text whose distinct words form one trie.
+GROUP_CHARS = 4_000_000
 
 #: Fixed value: the word pattern of byte-level pre-tokenising.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -60,12 +61,15 @@ class Vocabulary:
             self.bytes[i] = s.encode()
         self.sizes = list(map(len, self.bytes))
         self.packed = [i.to_bytes(4, "little") for i in range(size)]
-        self.longest = max(map(len, self.ids))
+        #: Beginnings of tokens: the id of a whole token, else -1.
+        self.begins = {b[:k]: -1 for b in self.ids for k in range(1, len(b))} | self.ids
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             left, right = to_bytes(a), to_bytes(b)
             self.merges[self.ids[left], self.ids[right]] = (rank, self.ids[left + right])
+        #: token -> (rank, left, right) of the merge that makes it
+        self.made_by = {made: (rank, *pair) for pair, (rank, made) in self.merges.items()}
 
     def merge(self, word: bytes) -> list[int]:
         """Encoding by definition: the lowest-ranked pair is merged first."""
@@ -79,52 +83,80 @@ class Vocabulary:
         return out
 
 
-def shared(a: bytes, b: bytes) -> int:
-    """Length of the common prefix."""
-    k, top = 0, min(len(a), len(b))
-    while k < top and a[k] == b[k]:
-        k += 1
-    return k
-
-
 class TrieEncoder:
-    """Encodes words over a growing trie of last-token states."""
-
-    def __init__(self, vocab: Vocabulary, max_nodes: int = MAX_NODES):
-        self.vocab, self.max_nodes = vocab, max_nodes
-        self.pairs: dict[int, bool] = {}  # bounded by the pairs that adjoin in words; cleared with the trie
-        self.clear()
-
-    def clear(self) -> None:
-        self.child: dict[int, int] = {}
-        self.last = [-1]
-        if len(self.pairs) > self.max_nodes:
-            self.pairs.clear()
+    """Encodes a set of words over the trie that they form."""
+
+    def __init__(self, vocab: Vocabulary, max_pairs: int = MAX_PAIRS):
+        self.vocab, self.max_pairs = vocab, max_pairs
+        self.pairs: dict[int, bool] = {}
+        self.edges: tuple[dict, dict] = {}, {}  # at most the vocabulary
+
+    def edge(self, token: int, side: int) -> list[tuple[int, float]]:
+        """The tokens that stand at the left (0) or right (1) end of ``token``
+        while it is merged together, each with the rank of the merge that
+        takes it in."""
+        known = self.edges[side].get(token)
+        if known is None:
+            known, until, t = [], float("inf"), token
+            while True:
+                known.append((t, until))
+                made = self.vocab.made_by.get(t)
+                if made is None:
+                    break
+                until, t = made[0], made[1 + side]
+            self.edges[side][token] = known
+        return known
 
     def follows(self, left: int, right: int) -> bool:
-        """May ``right`` follow ``left`` in an encoding?  ``left`` -1: at the start."""
+        """May ``right`` follow ``left`` in an encoding?  ``left`` -1: at the start.
+
+        It may unless some merge would join the two across their border: one
+        whose two tokens stand at the border together, before either is taken
+        in.  Of equal merges the one on the left goes first.
+        """
         key = (left + 1) << 20 | right
         known = self.pairs.get(key)
         if known is None:
-            b = self.vocab.bytes
             if left < 0:
-                known = self.vocab.merge(b[right]) == [right]
+                known = self.vocab.merge(self.vocab.bytes[right]) == [right]
             else:
-                known = self.vocab.merge(b[left] + b[right]) == [left, right]
+                merges, known = self.vocab.merges, self.follows(-1, right)
+                for a, until_a in self.edge(left, 1) if known else ():
+                    for b, until_b in self.edge(right, 0):
+                        m = merges.get((a, b))
+                        if m is not None and m[0] < until_a and m[0] <= until_b:
+                            known = False
+            if len(self.pairs) >= self.max_pairs:
+                self.pairs.clear()
             self.pairs[key] = known
         return known
 
-    def last_token(self, word: bytes, depth: int, last: list[int]) -> int:
-        """Last token of ``word[:depth]``; ``last`` has it for shorter prefixes."""
-        ids, pairs, longest = self.vocab.ids, self.pairs, self.vocab.longest
-        for start in range(depth - longest if depth > longest else 0, depth):
-            t = ids.get(word[start:depth])
-            if t is not None:
-                before = last[start]
-                known = pairs.get((before + 1) << 20 | t)
-                if known or known is None and self.follows(before, t):
-                    return t
-        raise ValueError(f"no encoding of {word[:depth]!r}")
+    def solve(self, word: bytes, depth: int, last: list[int]) -> None:
+        """Append to ``last``, which has the last tokens of the prefixes
+        shorter than ``depth``, those of the prefixes from ``depth`` on.
+
+        ``alive`` are the places from which some token goes on: a place that
+        no token begins with stays out for all longer prefixes.
+        """
+        begins, pairs, follows = self.vocab.begins, self.pairs, self.follows
+        alive = [s for s in range(depth - 1) if word[s:depth - 1] in begins]
+        for d in range(depth, len(word) + 1):
+            alive.append(d - 1)
+            still, token = [], -1
+            for s in alive:
+                t = begins.get(word[s:d])
+                if t is None:
+                    continue
+                still.append(s)
+                if token < 0 <= t:
+                    before = last[s]
+                    known = pairs.get((before + 1) << 20 | t)
+                    if known or known is None and follows(before, t):
+                        token = t
+            if token < 0:
+                raise ValueError(f"no encoding of {word[:d]!r}")
+            alive = still
+            last.append(token)
 
     def read_back(self, size: int, last: list[int]) -> bytes:
         """The packed ids, from the last token to the first."""
@@ -136,32 +168,16 @@ class TrieEncoder:
         out.reverse()
         return b"".join(out)
 
-    def long(self, word: bytes) -> bytes:
-        last = [-1]
-        for depth in range(1, len(word) + 1):
-            last.append(self.last_token(word, depth, last))
-        return self.read_back(len(word), last)
-
     def encode(self, words: Iterable[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """Each distinct word with its packed ids, in the trie's depth-first order."""
-        path, last, prev = [0], [-1], b""
+        """Each distinct word with its packed ids, in the trie's depth-first
+        order.  ``last`` is the path from the root to the current node."""
+        last, prev = [-1], b""
         for word in sorted(words):
-            if len(word) > LONG_WORD:
-                yield word, self.long(word)
-                continue
-            if len(self.last) > self.max_nodes:
-                self.clear()
-                path, last, prev = [0], [-1], b""
-            k = shared(word, prev)
-            del path[k + 1:], last[k + 1:]
-            for depth in range(k + 1, len(word) + 1):
-                edge = path[-1] << 8 | word[depth - 1]
-                node = self.child.get(edge)
-                if node is None:
-                    node = self.child[edge] = len(self.last)
-                    self.last.append(self.last_token(word, depth, last))
-                path.append(node)
-                last.append(self.last[node])
+            depth, top = 0, min(len(word), len(prev))
+            while depth < top and word[depth] == prev[depth]:
+                depth += 1
+            del last[depth + 1:]
+            self.solve(word, depth + 1, last)
             prev = word
             yield word, self.read_back(len(word), last)
 
@@ -169,11 +185,11 @@ class TrieEncoder:
 class TextCodec:
     """Whole texts to ids (little-endian unsigned 32-bit) and back."""
 
-    def __init__(self, raw: bytes, max_words: int = MAX_WORDS, max_nodes: int = MAX_NODES):
+    def __init__(self, raw: bytes, max_words: int = MAX_WORDS):
         import regex
 
         self.vocab = Vocabulary(raw)
-        self.trie = TrieEncoder(self.vocab, max_nodes)
+        self.trie = TrieEncoder(self.vocab)
         self.words = regex.compile(WORDS).findall
         self.added = regex.compile("(" + "|".join(map(regex.escape, self.vocab.added)) + ")") if self.vocab.added else None
         self.known: dict[str, bytes] = {}
@@ -222,12 +238,25 @@ def encode_decode(df: DataFrame, tokenizer_file: str, id_col: str = "doc_id", te
     rows = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = TextCodec(raw.value)
+        codec, held, size = TextCodec(raw.value), [], 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            texts = [b.column("text").to_pylist() for b in held]
+            packed = codec.encode_batch([t for x in texts for t in x])
+            for b in held:
+                own, packed = packed[:b.num_rows], packed[b.num_rows:]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("id"), pa.array(own, pa.binary()), pa.array(map(codec.decode, own), pa.string())],
+                    names=[id_col, "ids", "decoded"])
+            held.clear()
+
         for batch in batches:
-            packed = codec.encode_batch(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(packed, pa.binary()), pa.array(map(codec.decode, packed), pa.string())],
-                names=[id_col, "ids", "decoded"])
+            held.append(batch)
+            size += batch.nbytes
+            if size >= GROUP_CHARS:
+                yield from done()
+                size = 0
+        yield from done()
 
     kind = rows.schema["id"].dataType.simpleString()
     return map_rows(rows, run, f"`{id_col}` {kind}, ids binary, decoded string")
