@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigfolio.llm import bpe, decontaminate, html_extract, shard_pack, simhash, toxicity
+from sigfolio.llm import bpe, decontaminate, html_extract, shard_pack, simhash, suffix_dedup, toxicity
 from sigfolio.llm.common import table
 
 QUERIES: dict = {}
@@ -94,3 +94,25 @@ FROM documents LEFT JOIN r ON documents.doc_id = r.doc_id
 @query("op6_decontaminate", OP6_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP3_SQL = """
+WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+w AS (SELECT doc_id, s, substr(h, 2 * s + 1, 100) AS x FROM (SELECT doc_id, h, unnest(range(len(h) // 2 - 49)) AS s FROM d WHERE len(h) >= 100)),
+f AS (SELECT x, min(doc_id) AS m FROM w GROUP BY x),
+c AS (SELECT doc_id, s, s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS gap FROM w JOIN f USING (x) WHERE m < doc_id),
+g AS (SELECT doc_id, s, sum(CASE WHEN gap <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM c),
+i AS (SELECT doc_id, k, min(s) AS a, max(s) + 50 AS b FROM g GROUP BY doc_id, k),
+p AS (SELECT doc_id, k, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY k), 0) AS e FROM i),
+r AS (SELECT doc_id, count(*) AS n, sum(b - a) AS gone, max(b) AS e, string_agg(substr(h, 2 * p.e + 1, 2 * (a - p.e)), '' ORDER BY k) AS head
+      FROM p JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(r.e, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN r ON d.doc_id = r.doc_id
+"""
+
+
+@query("op3_suffix_dedup", OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
