@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigfolio.llm import bpe, decontaminate, html_extract, shard_pack, simhash, suffix_dedup, toxicity
+from sigfolio.llm import ann, bpe, decontaminate, html_extract, shard_pack, simhash, suffix_dedup, toxicity
 from sigfolio.llm.common import table
 
 QUERIES: dict = {}
@@ -116,3 +116,8 @@ FROM d LEFT JOIN r ON d.doc_id = r.doc_id
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op2_ann")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
