@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sigfolio.llm import ann, bpe, decontaminate, html_extract, shard_pack, simhash, suffix_dedup, toxicity
+from sigfolio.llm import ann, bpe, decontaminate, html_extract, licenses, merkle, shard_pack, simhash, suffix_dedup, toxicity
 from sigfolio.llm.common import table
 
 QUERIES: dict = {}
@@ -121,3 +121,71 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_ann")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def archive(spark: SparkSession, sf_dir: str, damaged: bool = False) -> DataFrame:
+    """Stand-in archive of the pages: one record per page in files of 256
+    pages, with its offset; the replica has some records altered, cut short
+    or lost.  Only gives rows (file, offset, payload)."""
+    page = F.col("page_id")
+    payload = F.concat(F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: "), F.coalesce("url", F.lit("")),
+                       F.lit("\r\n\r\n"), F.coalesce("html", F.lit("")), F.lit("\r\n\r\n"))
+    rows = (table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("part-"), F.floor(page / 256).cast("string")).alias("file"), payload.alias("payload"))
+            .withColumn("size", F.octet_length("payload").cast("long")))
+    before = Window.partitionBy("file").orderBy("page_id")
+    rows = rows.withColumn("offset", F.sum("size").over(before) - F.col("size"))
+    if damaged:
+        altered = F.concat(F.substring("payload", 1, 100), F.lit("X"), F.expr("substring(payload, 102)"))
+        rows = rows.filter(page % 101 != 7).withColumn(
+            "payload", F.when(page % 97 == 5, altered).when(page % 103 == 9, F.substring("payload", 1, 200)).otherwise(F.col("payload")))
+    return rows.select("file", "offset", "payload")
+
+
+def merkle_sql() -> str:
+    levels = []
+    for side in ("p", "q"):
+        levels.append(f"""{side}0 AS (SELECT file, "offset" >> {merkle.LEVELS[0]} AS node, sha256(string_agg("offset" || ':' || length || ':' || hash || ':1', ',' ORDER BY "offset")) AS hash
+  FROM {side} GROUP BY ALL)""")
+        for k, (low, high) in enumerate(zip(merkle.LEVELS, merkle.LEVELS[1:])):
+            levels.append(f"{side}{k + 1} AS (SELECT file, node >> {high - low} AS node, sha256(string_agg(node || ':' || hash, ',' ORDER BY node)) AS hash FROM {side}{k} GROUP BY ALL)")
+    top = len(merkle.LEVELS) - 1
+    return f"""
+WITH r AS (SELECT page_id, 'part-' || CAST(page_id // 256 AS VARCHAR) AS file,
+  'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
+  || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS payload FROM pages),
+o AS (SELECT *, CAST(sum(strlen(payload)) OVER (PARTITION BY file ORDER BY page_id) - strlen(payload) AS BIGINT) AS "offset" FROM r),
+d AS (SELECT file, "offset", CASE WHEN page_id % 97 = 5 THEN substr(payload, 1, 100) || 'X' || substr(payload, 102)
+  WHEN page_id % 103 = 9 THEN substr(payload, 1, 200) ELSE payload END AS payload FROM o WHERE page_id % 101 <> 7),
+p AS (SELECT file, "offset", CAST(strlen(payload) AS BIGINT) AS length, sha256(payload) AS hash FROM o),
+q AS (SELECT file, "offset", CAST(strlen(payload) AS BIGINT) AS length, sha256(payload) AS hash FROM d),
+{("," + chr(10)).join(levels)}
+SELECT p.file, p."offset", p.length, p.hash AS expected, q.hash AS actual, CASE WHEN q.hash IS NULL THEN 'missing' ELSE 'altered' END AS status,
+       p{top}.hash AS primary_root, q{top}.hash AS replica_root
+FROM p LEFT JOIN q ON p.file = q.file AND p."offset" = q."offset" LEFT JOIN p{top} ON p.file = p{top}.file LEFT JOIN q{top} ON p.file = q{top}.file
+WHERE p.hash IS DISTINCT FROM q.hash
+"""
+
+
+@query("op4_warc_merkle", merkle_sql())
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(archive(spark, sf_dir), archive(spark, sf_dir, damaged=True))
+
+
+def license_sql() -> str:
+    whole, line, text = (licenses.duckdb_form(x) for x in ("coalesce(text, '')", "line", "text"))
+    return f"""
+WITH k AS (SELECT sha256(form) AS known, min(license) AS license
+  FROM (SELECT license, {text} AS form FROM ({licenses.duckdb_known()}) AS v(license, text)) WHERE form <> '' GROUP BY 1),
+d AS (SELECT doc_id, {whole} AS form FROM documents),
+l AS (SELECT doc_id, {line} AS form FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)),
+n AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n, string_agg(license, ',' ORDER BY license) AS names
+      FROM (SELECT doc_id, license, count(*) AS n FROM l JOIN k ON sha256(l.form) = k.known WHERE l.form <> '' GROUP BY ALL) GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN form <> '' THEN sha256(form) END AS digest, license,
+       coalesce(n.n, 0) AS n_license_lines, coalesce(names, '') AS line_licenses
+FROM d LEFT JOIN k ON sha256(form) = k.known AND form <> '' LEFT JOIN n ON d.doc_id = n.doc_id
+"""
+
+
+@query("op5_license_scan", license_sql())
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_licenses(spark))
