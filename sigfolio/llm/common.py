@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sigfolio.session import cut_lineage
 
@@ -28,7 +29,7 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-             schema: str) -> DataFrame:
+             schema: str | StructType) -> DataFrame:
     """``mapInArrow`` over batches of at most ``BATCH_ROWS`` rows."""
     small_batches(df.sparkSession)
     return df.mapInArrow(fn, schema)
@@ -39,4 +40,11 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-__all__ = ["BATCH_ROWS", "cut_lineage", "map_rows", "small_batches", "table", "text_of"]
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """A digest of a row's id and whole text: tells rows apart where ids are
+    NULL or not unique, and is the same for repeated rows."""
+    return F.md5(F.concat_ws("\x1f", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.hex(F.col(id_col).isNull().cast("int")),
+                             F.col(text_col).isNull().cast("string"), text_of(text_col)))
+
+
+__all__ = ["BATCH_ROWS", "cut_lineage", "map_rows", "row_key", "small_batches", "table", "text_of"]

@@ -35,10 +35,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigfolio.llm.common import cut_lineage, map_rows, small_batches, text_of
+from sigfolio.llm.common import cut_lineage, map_rows, row_key, small_batches, text_of
 from sigfolio.session import scratch_path
 
 WIDTH = 50
@@ -184,7 +184,7 @@ def pack_documents(rows: DataFrame, groups: int) -> DataFrame:
     spark = rows.sparkSession
 
     def run(batches: Batches) -> Batches:
-        grp, first, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
+        grp, first, ids, keys, texts, size = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({
@@ -192,22 +192,24 @@ def pack_documents(rows: DataFrame, groups: int) -> DataFrame:
                 "ids": pa.array([np.array(ids, "<i8").tobytes()], pa.binary()),
                 "sizes": pa.array([np.array([len(t) for t in texts], "<i8").tobytes()], pa.binary()),
                 "digests": pa.array([b"".join(hashlib.md5(t).digest() for t in texts)], pa.binary()),
+                "keys": pa.array([keys], pa.list_(pa.string())),
                 "blob": pa.array([squeeze(b"".join(texts))], pa.binary())})
 
         for batch in batches:
-            for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
+            for i, key, t in zip(*(batch.column(c).to_pylist() for c in ("id", "key", "text"))):
                 if texts and size + len(t) > PACK_BYTES:
                     yield out()
                     first += len(ids)
-                    ids, texts, size = [], [], 0
+                    ids, keys, texts, size = [], [], [], 0
                 ids.append(LAST if i is None else i)
+                keys.append(key)
                 texts.append(t)
                 size += len(t)
         if texts:
             yield out()
 
     packs = map_rows(rows.repartition(groups, F.xxhash64("id", "text")), run,
-                     "grp int, first int, ids binary, sizes binary, digests binary, blob binary")
+                     "grp int, first int, ids binary, sizes binary, digests binary, keys array<string>, blob binary")
     name = f"packs_{uuid.uuid4().hex[:12]}"
     (packs.write.option("path", scratch_path(spark, "packs")).option("compression", "uncompressed")
      .bucketBy(groups, "grp").saveAsTable(name))
@@ -235,9 +237,10 @@ class Group:
     """The texts of one group and what the steps so far told it."""
 
     def __init__(self, packs: pa.Table, told: pa.Table):
-        rows = sorted(zip(*(packs.column(c).to_pylist() for c in ("first", "ids", "sizes", "blob"))), key=lambda r: r[0])
-        self.packs = []
-        for first, ids, sizes, blob in rows:
+        names = ("first", "ids", "sizes", "blob", *(["keys"] if "keys" in packs.column_names else []))
+        rows = sorted(zip(*(packs.column(c).to_pylist() for c in names)), key=lambda r: r[0])
+        self.packs, self.keys = [], {r[0]: r[4] for r in rows if len(r) > 4}
+        for first, ids, sizes, blob, *_ in rows:
             ends = np.cumsum(np.frombuffer(sizes, "<i8")).tolist()
             data = expand(blob)
             self.packs.append((first, np.frombuffer(ids, "<i8"), [data[a:b] for a, b in zip([0, *ends], ends)]))
@@ -252,38 +255,65 @@ class Group:
 
     def strings(self):
         """Per pack: bytes, places, windows, hashes (even) and ids of its
-        strings, the texts' first places, and the pack; whole copies left out."""
-        for pack in self.packs:
-            first, ids, texts = pack
+        strings, and its texts; whole copies left out."""
+        for first, ids, texts in self.packs:
             own = [b"" if first + k in self.copies else t for k, t in enumerate(texts)]
             data, at, count, h, owner = window_strings(own)
-            yield data, at, count, h & ~np.uint64(1), ids[owner] if len(owner) else owner, own, pack
+            yield data, at, count, h & ~np.uint64(1), ids[owner] if len(owner) else owner, own
 
     def kept(self, h: np.ndarray, which: np.ndarray) -> np.ndarray:
         if not len(which):
             return np.zeros(len(h), bool)
         return which[np.minimum(np.searchsorted(which, h), len(which) - 1)] == h
 
-    def units(self):
-        """Per pack: (data, [(place, windows, id, number of the string)], own,
-        pack).  Strings are numbered by first appearance in the group.  Also
-        gathers ``found``: bytes -> [number, least id, bucket hash]."""
-        self.found: dict[bytes, list] = {}
-        for data, at, count, h, ids, own, pack in self.strings():
+    def units(self) -> Units:
+        """The strings with shared minimisers, those of hot ones as single
+        windows, numbered by the order of their hashes."""
+        parts, blobs, base = [], [], 0
+        for data, at, count, h, ids, _ in self.strings():
             keep = self.kept(h, self.shared)
             at, count, h, ids = at[keep], count[keep], h[keep], ids[keep]
             hot = self.kept(h, self.hot)
-            raw, units = data.tobytes(), []
-            for p, c, x, i, single in zip(at.tolist(), count.tolist(), h.tolist(), ids.tolist(), hot.tolist()):
-                for q, n in ((p + k, 1) for k in range(c)) if single else ((p, c),):
-                    s = raw[q:q + n + WIDTH - 1]
-                    known = self.found.get(s)
-                    if known is None:
-                        known = self.found[s] = [len(self.found), i, int.from_bytes(hashlib.blake2b(s, digest_size=7).digest(), "little") << 1 if single else x]
-                    elif i < known[1]:
-                        known[1] = i
-                    units.append((q, n, i, known[0]))
-            yield data, units, own, pack
+            n = count[hot]
+            each = np.repeat(at[hot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            cold = ~hot
+            at, count = np.r_[at[cold], each], np.r_[count[cold], np.ones(len(each), np.int64)]
+            own = string_hashes(data, at, at + count + WIDTH - 1)
+            single = mix(own[len(own) - len(each):] + np.uint64(1)) & ~np.uint64(1)
+            parts.append((at + base, count, np.r_[h[cold], single], own, np.r_[ids[cold], np.repeat(ids[hot], n)]))
+            blobs.append(data)
+            base += len(data)
+        at, count, h, own, ids = (np.concatenate(x) for x in zip(*parts)) if parts else [np.zeros(0, np.int64)] * 5
+        return Units(np.concatenate(blobs) if blobs else np.zeros(0, np.uint8), at, count, h, own, ids)
+
+
+class Units:
+    """Strings of a group: places, windows and ids; ``number`` of the distinct
+    string that each is, ``least`` its smallest id, ``where`` one of its places.
+    Strings are told apart by two independent 64-bit hashes."""
+
+    def __init__(self, data, at, count, h, own, ids):
+        self.data, self.at, self.count, self.ids = data, at, count, ids
+        order = np.lexsort((ids, own, h))
+        new = np.r_[True, (h[order][1:] != h[order][:-1]) | (own[order][1:] != own[order][:-1])][:len(order)]
+        self.number = np.empty(len(order), np.int64)
+        self.number[order] = np.cumsum(new) - 1
+        self.where = order[new]
+        self.least, self.minimiser, self.own = ids[self.where], h[self.where].astype(np.uint64), own[self.where].astype(np.uint64)
+
+
+def string_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Polynomial hashes, modulo 2^64, of data[start:end]."""
+    base, back = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
+    power = lambda x: np.multiply.accumulate(np.r_[np.uint64(1), np.full(len(data), x, np.uint64)])
+    total = np.r_[np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power(base)[:len(data)], dtype=np.uint64)]
+    return mix((total[end] - total[start]) * power(back)[start])
+
+
+def gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The concatenation of data[start:start + size]."""
+    ends = np.cumsum(size)
+    return data[np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 def tell_minimisers(buckets: int):
@@ -291,7 +321,7 @@ def tell_minimisers(buckets: int):
         group = Group(packs, told)
         hashes, texts = [], []
         base = 0
-        for data, at, _, h, _, own, _ in group.strings():
+        for data, at, _, h, _, own in group.strings():
             ends = np.cumsum([len(t) for t in own])
             hashes.append(h)
             texts.append(base + np.searchsorted(ends, at, side="right"))
@@ -340,17 +370,18 @@ def answers(grps: list[int], kind: str, data: list[bytes]) -> pa.Table:
 def send_strings(buckets: int):
     def run(packs: pa.Table, told: pa.Table) -> pa.Table:
         group = Group(packs, told)
-        for _ in group.units():
-            pass
-        items = sorted(((x >> 1) % buckets, number, least, x, s) for s, (number, least, x) in group.found.items())
-        bucket = np.array([i[0] for i in items], np.int64)
-        out = by_bucket(group.grp, bucket, {
-            "numbers": np.array([i[1] for i in items], "<u4"), "ids": np.array([i[2] for i in items], "<i8"),
-            "hashes": np.array([i[3] for i in items], "<u8"), "sizes": np.array([len(i[4]) for i in items], "<u2")})
-        blobs, at = [], 0
+        u = group.units()
+        bucket = ((u.minimiser >> np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        size = (u.count[u.where] + WIDTH - 1)[order]
+        out = by_bucket(group.grp, bucket[order], {
+            "numbers": order.astype("<u4"), "ids": u.least[order].astype("<i8"), "hashes": u.minimiser[order].astype("<u8"),
+            "strings": u.own[order].astype("<u8"), "sizes": size.astype("<u2")})
+        every, blobs, at, byte = gather(u.data, u.at[u.where][order], size), [], 0, 0
         for n in (len(x) // 4 for x in out.column("numbers").to_pylist()):
-            blobs.append(squeeze(b"".join(i[4] for i in items[at:at + n])))
-            at += n
+            more = int(size[at:at + n].sum())
+            blobs.append(squeeze(every[byte:byte + more].tobytes()))
+            at, byte = at + n, byte + more
         return out.append_column("blob", pa.array(blobs, pa.binary()))
     return run
 
@@ -358,32 +389,15 @@ def send_strings(buckets: int):
 def find_previous(rows: pa.Table) -> pa.Table:
     """Back to each group: per string the windows, as bits, that an earlier
     document has."""
-    columns = ("numbers", "ids", "hashes", "sizes", "blob")
-    where, numbers, ids, of = [], [], [], []
-    distinct: dict[bytes, int] = {}
-    least: list[int] = []
-    groups: list[int] = []
-    for k, (n, i, h, z, blob) in enumerate(zip(*(rows.column(c).to_pylist() for c in columns))):
-        i, h, z, blob = np.frombuffer(i, "<i8").tolist(), np.frombuffer(h, "<u8").tolist(), np.frombuffer(z, "<u2").tolist(), expand(blob)
-        numbers.append(np.frombuffer(n, "<u4"))
-        where.append(np.full(len(i), k))
-        ids.append(np.array(i))
-        at = 0
-        for own, x, size in zip(i, h, z):
-            s = blob[at:at + size]
-            at += size
-            d = distinct.get(s)
-            if d is None:
-                d = distinct[s] = len(least)
-                least.append(own)
-                groups.append(x)
-            elif own < least[d]:
-                least[d] = own
-            of.append(d)
-    where, numbers, ids, of = np.concatenate(where), np.concatenate(numbers), np.concatenate(ids), np.array(of)
-    strings, first_id, minimiser = list(distinct), np.array(least), np.array(groups, np.uint64)
-    windows = np.array([len(s) - WIDTH + 1 for s in strings])
-    bits = np.zeros(len(strings), np.uint64)
+    read = lambda name, kind: [np.frombuffer(x, kind) for x in rows.column(name).to_pylist()]
+    each = read("numbers", "<u4")
+    where = np.repeat(np.arange(len(each)), [len(x) for x in each])
+    numbers, ids, h, own, size = (np.concatenate(x) for x in (each, read("ids", "<i8"), read("hashes", "<u8"), read("strings", "<u8"), read("sizes", "<u2")))
+    size = size.astype(np.int64)
+    every = np.frombuffer(b"".join(map(expand, rows.column("blob").to_pylist())), np.uint8)
+    u = Units(every, np.cumsum(size) - size, size - WIDTH + 1, h, own, ids)
+    of, first_id, minimiser, windows, place = u.number, u.least, u.minimiser, u.count[u.where], u.at[u.where]
+    bits = np.zeros(len(u.where), np.uint64)
     _, by, several = np.unique(minimiser, return_inverse=True, return_counts=True)
     todo = np.flatnonzero(several[by] > 1)  # a lone string has nothing to match but its copies
     todo = todo[np.argsort(by[todo], kind="stable")]
@@ -392,8 +406,8 @@ def find_previous(rows: pa.Table) -> pa.Table:
     last = np.flatnonzero(np.r_[by[todo][1:] != by[todo][:-1], True][:len(todo)])
     block = block[last[np.searchsorted(last, np.arange(len(todo)))]]
     for part in np.split(todo, np.flatnonzero(block[1:] != block[:-1]) + 1) if len(todo) else ():
-        data = np.frombuffer(b"".join(strings[d] for d in part.tolist()), np.uint8)
         n = windows[part]
+        data = gather(every, place[part], n + WIDTH - 1)
         begin = np.cumsum(n + WIDTH - 1) - (n + WIDTH - 1)
         offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         starts = np.repeat(begin, n) + offset
@@ -406,48 +420,49 @@ def find_previous(rows: pa.Table) -> pa.Table:
     return answers(rows.column("grp").to_pylist(), "answers", [pairs[keep & (where == k)].tobytes() for k in range(rows.num_rows)])
 
 
+KINDS = {"key": pa.string(), "kept": pa.binary()}
+
+
 def apply_answers(whole_chars: bool):
     def run(packs: pa.Table, told: pa.Table) -> pa.Table:
         group = Group(packs, told)
-        seen = []
-        for data, units, own, pack in group.units():
-            seen.append((len(data), np.array(units, np.int64).reshape(-1, 4), own, pack))
-        n = len(group.found)
-        bits, least = np.zeros(n, np.uint64), np.array([x[1] for x in group.found.values()], np.int64)
+        u = group.units()
+        bits = np.zeros(len(u.where), np.uint64)
         bits[group.answers[:, 0]] = group.answers[:, 1]
-        out = {c: [] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept")}
-        for size, units, own, (first, ids, texts) in seen:
-            at, count, who, number = units.T
-            mask = np.where(who > least[number], (np.uint64(1) << count.astype(np.uint64)) - np.uint64(1), bits[number]) if len(units) else bits[:0]
-            gone = np.zeros(size + WIDTH + 1, np.int32)
-            for k in range(int(count.max()) if len(units) else 0):
-                hit = at[(mask >> np.uint64(k)) & np.uint64(1) > 0] + k
-                gone[hit] = 1
-            cover = np.cumsum(gone)
-            covered = (cover[:size] - np.r_[np.zeros(WIDTH, cover.dtype), cover][:size]) > 0
-            begin = 0
+        whole = (np.uint64(1) << u.count.astype(np.uint64)) - np.uint64(1)
+        mask = np.where(u.ids > u.least[u.number], whole, bits[u.number]) if len(u.at) else bits
+        gone = np.zeros(len(u.data) + WIDTH, np.int32)  # windows that go, then bytes that such a window covers
+        for k in range(int(u.count.max()) if len(u.at) else 0):
+            gone[u.at[(mask >> np.uint64(k)) & np.uint64(1) > 0] + k] = 1
+        gone = np.cumsum(gone[:len(u.data)], dtype=np.int32)
+        covered = gone.copy()
+        covered[WIDTH:] -= gone[:-WIDTH]
+        covered, begin = covered > 0, 0
+        out = {c: [] for c in ("doc_id", "key", "n_bytes", "n_removed", "n_spans", "kept")}
+        for first, ids, texts in group.packs:
             for k, (i, text) in enumerate(zip(ids.tolist(), texts)):
                 if first + k in group.copies:
                     drop = np.full(len(text), len(text) >= WIDTH)
                 else:
-                    drop = covered[begin:begin + len(own[k])]
-                    begin += len(own[k])
+                    drop = covered[begin:begin + len(text)]
+                    begin += len(text)
                 raw = np.frombuffer(text, np.uint8)
                 if whole_chars and drop.any():
                     head = np.flatnonzero((raw & 0xC0) != 0x80)
                     drop = np.repeat(np.minimum.reduceat(drop.astype(np.uint8), head), np.diff(np.r_[head, len(raw)])).astype(bool)
                 out["doc_id"].append(None if i == LAST else i)
+                out["key"].append(group.keys[first][k])
                 out["n_bytes"].append(len(text))
                 out["n_removed"].append(int(drop.sum()))
                 out["n_spans"].append(int(drop[:1].sum() + (drop[1:] > drop[:-1]).sum()))
                 out["kept"].append(raw[~drop].tobytes() if drop.any() else text)
-        return pa.Table.from_pydict({k: pa.array(v, pa.binary() if k == "kept" else pa.int64()) for k, v in out.items()})
+        return pa.Table.from_pydict({k: pa.array(v, KINDS.get(k, pa.int64())) for k, v in out.items()})
     return run
 
 
 def dedup(docs: DataFrame, whole_chars: bool = False, group_bytes: int = GROUP_BYTES, bucket_bytes: int = BUCKET_BYTES,
-          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and
+          id_col: str = "doc_id", text_col: str = "text", carry: Column | None = None) -> DataFrame:
+    """Per row: doc_id, key (``carry`` of the row), n_bytes, n_removed, n_spans (maximal removed runs) and
     kept (binary, what is left).  ``whole_chars`` keeps a character if any
     of its bytes stays, so that ``kept`` is UTF-8.
 
@@ -455,18 +470,33 @@ def dedup(docs: DataFrame, whole_chars: bool = False, group_bytes: int = GROUP_B
     rows of one id are never earlier than each other, so repeated rows keep
     what they keep; extra columns take no part; an empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).cast("binary").alias("text"))
+    key = F.lit(None) if carry is None else carry
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), key.cast("string").alias("key"), text_of(text_col).cast("binary").alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     groups, buckets = 12 + total // group_bytes, 12 + total // bucket_bytes
     small_batches(docs.sparkSession)
     packs = pack_documents(rows, groups)
     schema = "grp int, kind string, data binary"
     copies = cut_lineage(repeated(packs), "copies")
-    by_group = lambda told, fn, out: packs.select("grp", "first", "ids", "sizes", "blob").groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(fn, out)
+    def by_group(told: DataFrame, fn, out: str, *more: str) -> DataFrame:
+        return packs.select("grp", "first", "ids", "sizes", "blob", *more).groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(fn, out)
+
     minimisers = by_group(copies, tell_minimisers(buckets), "bucket int, grp int, hashes binary, counts binary")
     shared = cut_lineage(minimisers.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(find_shared, schema), "shared")
     strings = by_group(copies.unionByName(shared), send_strings(buckets),
-                       "bucket int, grp int, numbers binary, ids binary, hashes binary, sizes binary, blob binary")
+                       "bucket int, grp int, numbers binary, ids binary, hashes binary, strings binary, sizes binary, blob binary")
     previous = cut_lineage(strings.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(find_previous, schema), "previous")
     return by_group(copies.unionByName(shared).unionByName(previous), apply_answers(whole_chars),
-                    "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+                    "doc_id long, key string, n_bytes long, n_removed long, n_spans long, kept binary", "keys")
+
+
+def dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """``docs`` with the repeats taken out of its texts, whole characters
+    only, and ``length_col`` (where there is one) set to what is left; all
+    rows and columns stay.  A NULL text becomes empty."""
+    key = row_key(id_col, text_col)
+    kept = (dedup(docs, whole_chars=True, id_col=id_col, text_col=text_col, carry=key)
+            .select(F.col("key").alias("__of"), F.decode("kept", "UTF-8").alias("__text")).dropDuplicates(["__of"]))
+    rows = docs.withColumn("__key", key).drop(text_col)
+    new = {c: F.col("__text") if c == text_col else F.length("__text").cast("long") if c == length_col else F.col(c) for c in docs.columns}
+    return rows.join(kept, rows["__key"] == kept["__of"]).select(*(x.alias(c) for c, x in new.items()))
