@@ -21,7 +21,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigfolio.llm.common import text_of
+from sigfolio.llm.common import row_key, text_of
 
 WINDOW = 13
 ERRORS = 2
@@ -107,3 +107,15 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", ite
             .select("doc_id", F.col("n_items").isNotNull().alias("contaminated"),
                     F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("n_windows", F.lit(0)).alias("n_windows"),
                     "first_item", F.col("first_token").cast("int").alias("first_token")))
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are not contaminated.
+
+    Each row is judged by itself, whatever its id: an anti-join by a digest
+    of id and text with the (few) contaminated rows.
+    """
+    rows = docs.withColumn("__key", row_key(id_col, text_col))
+    found = hits(rows, items.filter(F.col(item_col).isNotNull()), "__key", item_col, text_col)
+    bad = found.select(F.col("doc_id").alias("__bad")).distinct()
+    return rows.join(bad, rows["__key"] == bad["__bad"], "left_anti").drop("__key")

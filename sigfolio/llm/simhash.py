@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigfolio.llm.common import cut_lineage, map_rows, text_of
+from sigfolio.llm.common import cut_lineage, map_rows, row_key, text_of
 from sigfolio.llm.components import components
 
 SEED = 42
@@ -74,16 +74,16 @@ def fingerprint(text: str, shingle: int = 4, size: int = PIECE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
-    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text", carry: Column | None = None) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) and key (``carry``) of every row."""
+    rows = docs.select(F.col(id_col).alias("id"), (F.lit("") if carry is None else carry).cast("string").alias("key"), text_of(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps), batch.column("key")], names=["doc_id", "fp", "key"])
 
-    return map_rows(rows, run, f"doc_id {rows.schema['id'].dataType.simpleString()}, fp long")
+    return map_rows(rows, run, f"doc_id {rows.schema['id'].dataType.simpleString()}, fp long, key string")
 
 
 def embed(fp: Column) -> Column:
@@ -244,6 +244,18 @@ def links(fps: DataFrame, max_bits: int, equal: int = EQUAL, chunk: int = CHUNK)
             .unionByName(map_rows(crossing, across, "a long, b long")))
 
 
+def components_of(marked: DataFrame, max_bits: int, equal: int = EQUAL, chunk: int = CHUNK) -> DataFrame:
+    """(fp, root, component_id) of every distinct fingerprint of ``marked``:
+    root names its component, component_id is the smallest doc_id in it."""
+    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = components(links(distinct.select("fp"), max_bits, equal, chunk))
+    classes = (distinct.join(roots, distinct["fp"] == roots["node"], "left")
+               .select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    classes = cut_lineage(classes, "classes")
+    smallest = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    return classes.join(smallest, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, equal: int = EQUAL, chunk: int = CHUNK,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, fp (signed long) and component_id, the smallest doc_id
@@ -254,15 +266,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, equal:
     the group has none); other columns take no part; an empty table gives no
     rows.
     """
-    marked = cut_lineage(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(distinct.select("fp"), max_bits, equal, chunk))
-    classes = (distinct.join(roots, distinct["fp"] == roots["node"], "left")
-               .select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    classes = cut_lineage(classes, "classes")
-    smallest = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = classes.join(smallest, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    marked = cut_lineage(fingerprints(docs, shingle, id_col, text_col).drop("key"), "fingerprints")
+    return marked.join(components_of(marked, max_bits, equal, chunk), "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each component one row of ``docs``, with all its columns: the one
+    with the smallest id (a NULL id only where the group has no other)."""
+    key = row_key(id_col, text_col)
+    marked = cut_lineage(fingerprints(docs, shingle, id_col, text_col, key), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("key")))
+    by_print = marked.groupBy("fp").agg(first.alias("first"))  # copies meet as partial minima
+    chosen = (by_print.join(components_of(marked, max_bits), "fp").groupBy("root").agg(F.min("first").alias("first"))
+              .select(F.col("first.key").alias("__chosen")))
+    rows = docs.withColumn("__key", key)
+    return (rows.join(chosen, rows["__key"] == chosen["__chosen"], "left_semi").dropDuplicates(["__key"]).drop("__key"))
 
 
 def as_hex(fp: Column) -> Column:

@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sigfolio.llm.common import map_rows, text_of
 
@@ -262,19 +263,24 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     return Model(lexicon, labels_model, weight, bias)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
-    """``id_col`` and ``score`` (0 to 1) of every row's whole text.
-
-    NULL and empty texts get the classifier's bias; repeated rows and NULL
-    ids give a row each; other columns take no part.
-    """
-    rows = docs.select(F.col(id_col).alias("id"), text_of().alias("text"))
+def score_rows(docs: DataFrame, model: Model, name: str = "score", text_col: str = "text") -> DataFrame:
+    """Every row with all its columns and ``name``, the score (0 to 1) of its
+    whole text.  NULL and empty texts get the classifier's bias."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_TERMS terms
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([own.score(t) for t in batch.column("text").to_pylist()], pa.float64())],
-                                             names=[id_col, "score"])
+            scores = [own.score(t or "") for t in batch.column(text_col).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name])
+
+    return map_rows(docs, run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
-    return map_rows(rows, run, f"`{id_col}` {rows.schema['id'].dataType.simpleString()}, score double")
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
+    """``id_col`` and ``score`` (0 to 1) of every row's whole text.
+
+    NULL and empty texts get the classifier's bias; repeated rows and NULL
+    ids give a row each; other columns take no part.
+    """
+    return score_rows(docs.select(id_col, text_of().alias("text")), model).select(id_col, "score")
