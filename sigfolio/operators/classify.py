@@ -15,7 +15,6 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sigfolio.functions.text import hash_text
 from sigfolio.operators.joins import cache_upsert
@@ -35,32 +34,24 @@ def keyword_rule(buy_word: str, sell_word: str, text_col: str = "text") -> Calla
 
 def classify(df: DataFrame, fn: Callable[[pd.DataFrame], pd.Series], text_cols: Sequence[str],
              cache: DataFrame | None = None, out: str = "label", cache_value: str = "response") -> DataFrame:
-    """Label every row: cached answers where the text hash is known, the
-    injected classifier for the rest."""
+    """Label every row: cached answers where the text hash has one, the
+    injected classifier for the rest, in one pass.  A blank cached answer
+    counts as none; a classifier that gives no answer leaves NULL."""
     h = df.withColumn("hashed_text", hash_text(*text_cols))
-    if cache is not None:
-        c = cache.select("hashed_text", F.col(cache_value).alias("__cached"))
-        h = h.join(c, "hashed_text", "left")
-        hits = h.filter(F.col("__cached").isNotNull()).withColumn(out, F.col("__cached")).drop("__cached")
-        miss = h.filter(F.col("__cached").isNull()).drop("__cached")
+    if cache is None:
+        h = h.withColumn(out, F.lit(None).cast("string"))
     else:
-        hits, miss = None, h
-    schema = T.StructType(miss.schema.fields + [T.StructField(out, T.StringType())])
+        h = h.join(cache.select("hashed_text", F.col(cache_value).cast("string").alias(out)), "hashed_text", "left")
+    schema = h.schema
 
     def run(batches):
         for pdf in batches:
-            if len(pdf):
-                pdf = pdf.assign(**{out: fn(pdf).astype(str).values})
-            else:
-                pdf = pdf.assign(**{out: pd.Series([], dtype=str)})
-            yield pdf
-
-    answered = miss.mapInPandas(run, schema)
-    return answered if hits is None else hits.unionByName(answered)
-
-
-def refresh_cache(cache: DataFrame, labelled: DataFrame, version, out: str = "label",
-                  cache_value: str = "response") -> DataFrame:
-    """Merge newly produced answers into the cache (latest version wins)."""
-    new = labelled.select("hashed_text", F.col(out).alias(cache_value), F.lit(version).alias("updated_at"))
-    return cache_upsert(cache, new, value=cache_value)
+            known = pdf[out].fillna("").astype(str)
+            miss = (known == "").to_numpy()
+            label = known.to_numpy(dtype=object)
+            if miss.any():
+                got = pd.Series(fn(pdf[miss].drop(columns=out))).to_numpy(dtype=object)
+                label[miss] = [None if pd.isna(x) else str(x) for x in got]
+            yield pdf.assign(**{out: label})
+
+    return h.mapInPandas(run, schema)

@@ -1,10 +1,9 @@
 """Point-in-time and keyed joins.
 
-Broadcast is only used for sides with a proven bound: ``bounded_broadcast``
-counts the candidate side through ``limit(max_rows + 1)`` and falls back to
-a shuffled join beyond the bound.
-Adaptive execution keeps its own runtime conversion and skew splitting for
-the shuffled path.
+One plan per operator at every size: equi joins carry no hint, so adaptive
+execution picks broadcast or sort-merge from real shuffle statistics and
+splits skewed partitions.  Only the month calendar (one row per month) is
+broadcast by hint.
 """
 
 from __future__ import annotations
@@ -17,28 +16,13 @@ from pyspark.sql import functions as F
 from sigfolio.functions.text import hash_text
 from sigfolio.session import cut_lineage
 
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast-hint ``df`` only if it has at most ``max_rows`` rows."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def fits_cells(df: DataFrame, cells, max_cells: int) -> bool:
-    """True if the summed ``cells`` expression (e.g. vector lengths) of
-    ``df`` is within ``max_cells`` (one aggregate job)."""
-    n = df.agg(F.sum(cells).alias("c")).first()["c"] or 0
-    return n <= max_cells
-
-
-def pair_join(a: DataFrame, b: DataFrame, keys: Sequence[str], n_blocks: int = 64,
+def pair_join(a: DataFrame, b: DataFrame, keys: Sequence[str], n_blocks: int,
               block_key: str | None = None) -> DataFrame:
     """Every row of ``a`` meets every row of ``b`` with equal ``keys`` --
     without sending a whole key group to one task: ``a`` rows are spread
     over ``n_blocks`` blocks (by ``block_key`` hash), ``b`` rows are
-    replicated once per block, and the equi-join runs on (keys, block)."""
+    replicated once per block, and the equi-join runs on (keys, block).
+    ``n_blocks`` is the caller's choice of tasks per key group."""
     # a deterministic block per row (a task retry recomputes the same block)
     bk = F.xxhash64(F.col(block_key)) if block_key else F.xxhash64(*[F.col(c) for c in a.columns])
     a2 = a.withColumn("__blk", F.pmod(bk, F.lit(n_blocks)))
@@ -48,18 +32,15 @@ def pair_join(a: DataFrame, b: DataFrame, keys: Sequence[str], n_blocks: int = 6
 
 def semi_membership(filings: DataFrame, members: DataFrame, key: str = "cik") -> DataFrame:
     """Keep filings whose key is a member; done before any text work."""
-    keys = members.select(key).distinct()
-    return filings.join(bounded_broadcast(keys), key, "left_semi")
+    return filings.join(members.select(key), key, "left_semi")
 
 
 def join_ticker(filings: DataFrame, members: DataFrame, keys: Sequence[str] = ("cik", "ym"),
                 ticker: str = "ticker") -> DataFrame:
     """Attach every ticker a filer had in the filing month (fan-out kept);
-    filings without a ticker (or with a NULL key) are dropped.  The member
-    table (index size x months) is broadcast when within bounds, so the
-    filings -- rows carrying long texts -- are never shuffled for it."""
-    m = members.select(*keys, ticker).distinct().filter(F.col(ticker).isNotNull())
-    return filings.join(bounded_broadcast(m), list(keys), "inner")
+    filings without a ticker (or with a NULL key) are dropped."""
+    m = members.select(*keys, ticker).filter(F.col(ticker).isNotNull()).distinct()
+    return filings.join(m, list(keys), "inner")
 
 
 def join_price_truth(filings: DataFrame, labelled: DataFrame, how: str = "left",
@@ -101,14 +82,30 @@ def _expand(rows: DataFrame, dates: DataFrame, by: Sequence[str]) -> DataFrame:
                 .select(*rows.columns, *[F.col("__s." + b).alias(b) for b in by]))
 
 
+def with_position(df: DataFrame, order: str, series: str, out: str, step: str = "day",
+                  tie: Sequence[str] = ()) -> DataFrame:
+    """``out`` = position (from 1) of each row in its series by ``order``, a
+    timestamp or date, and ``tie``, without sorting a whole series in one task: rows
+    before a row's ``step`` come from summed counts (one row per series and
+    step), and only the rows of one (series, step) are ranked together."""
+    d = df.withColumn("__step", F.date_trunc(step, F.col(order)))
+    before = Window.partitionBy(series).orderBy("__step").rowsBetween(Window.unboundedPreceding, -1)
+    counts = (d.groupBy(series, "__step").agg(F.count(F.lit(1)).alias("__n"))
+               .withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+               .select(F.col(series).alias("__s"), F.col("__step").alias("__t"), "__base"))
+    rank = F.row_number().over(Window.partitionBy(series, "__step").orderBy(order, *tie))
+    same = F.col(series).eqNullSafe(F.col("__s")) & F.col("__step").eqNullSafe(F.col("__t"))
+    return (d.withColumn("__r", rank).join(counts, same).withColumn(out, F.col("__base") + F.col("__r"))
+             .drop("__step", "__r", "__s", "__t", "__base"))
+
+
 def join_positional(a: DataFrame, b: DataFrame, order_a: str, order_b: str,
-                    series: str = "strategy_id") -> DataFrame:
+                    series: str = "strategy_id", step: str = "day", tie_a: Sequence[str] = (),
+                    tie_b: Sequence[str] = ()) -> DataFrame:
     """Attach the i-th row of ``b`` to the i-th row of ``a`` within a series
     (pandas index alignment); rows of ``a`` beyond ``b`` get NULLs."""
-    wa = Window.partitionBy(series).orderBy(order_a)
-    wb = Window.partitionBy(series).orderBy(order_b)
-    ia = a.withColumn("__i", F.row_number().over(wa))
-    ib = b.withColumn("__i", F.row_number().over(wb))
+    ia = with_position(a, order_a, series, "__i", step, tie_a)
+    ib = with_position(b, order_b, series, "__i", step, tie_b)
     return ia.join(ib, [series, "__i"], "left").drop("__i")
 
 
@@ -122,17 +119,23 @@ def join_returns_on_date(portfolio: DataFrame, index: DataFrame, keys: Sequence[
 def cache_lookup(df: DataFrame, cache: DataFrame, text_cols: Sequence[str],
                  hash_col: str = "hashed_text", out: str = "llm_response",
                  cache_value: str = "response") -> DataFrame:
-    """Hash the texts and look the answer up; '' when absent."""
+    """Hash the texts and look the answer up; '' when absent or blank."""
     h = df.withColumn(hash_col, hash_text(*text_cols))
     c = cache.select(F.col("hashed_text").alias(hash_col), F.col(cache_value).alias(out))
     return h.join(c, hash_col, "left").withColumn(out, F.coalesce(F.col(out), F.lit("")))
 
 
 def cache_misses(df: DataFrame, cache: DataFrame, text_cols: Sequence[str],
-                 hash_col: str = "hashed_text") -> DataFrame:
-    """Rows whose text hash is not cached (the only ones sent to a model)."""
+                 hash_col: str = "hashed_text", cache_value: str = "response") -> DataFrame:
+    """Rows whose text hash has no answer yet (the only ones sent to a
+    model); a blank or NULL cached answer counts as none."""
     h = df.withColumn(hash_col, hash_text(*text_cols))
-    return h.join(cache.select(F.col("hashed_text").alias(hash_col)), hash_col, "left_anti")
+    return h.join(answered(cache, cache_value).select(F.col("hashed_text").alias(hash_col)), hash_col, "left_anti")
+
+
+def answered(cache: DataFrame, value: str = "response") -> DataFrame:
+    """Cache entries that hold an answer."""
+    return cache.filter(F.coalesce(F.col(value), F.lit("")) != "")
 
 
 def cache_upsert(cache: DataFrame, new: DataFrame, key: str = "hashed_text",
@@ -201,10 +204,38 @@ def asof_last_signal(signals: DataFrame, calendar: DataFrame, key: str = "ticker
     return carry_forward(last, calendar, key, value, at)
 
 
-def portfolio_membership(signals: DataFrame, calendar: DataFrame, key: str = "ticker",
+def first_held(prices: DataFrame, calendar: DataFrame, key: str = "ticker", order: str = "date",
+               at: str = "rebalance_date", inclusive: bool = False) -> DataFrame:
+    """(key, at): the first rebalance date after a symbol's first bar (on or
+    after it with ``inclusive``)."""
+    first = prices.groupBy(key).agg(F.min(order).alias("__first"))
+    visible = (F.col("__first") <= F.col("start")) if inclusive else (F.col("__first") < F.col("start"))
+    return (first.withColumn("month", F.trunc("__first", "MM"))
+                 .join(F.broadcast(calendar.select("month", "start", "next_start")), "month")
+                 .withColumn(at, F.when(visible, F.col("start")).otherwise(F.col("next_start")))
+                 .filter(F.col(at).isNotNull()).select(key, at))
+
+
+def portfolio_membership(signals: DataFrame, calendar: DataFrame, prices: DataFrame, key: str = "ticker",
                          value: str = "position", at: str = "rebalance_date", exit_value: str = "sell",
-                         **kw) -> DataFrame:
-    """Holdings per rebalance date: every symbol enters on first appearance
-    and stays until its latest signal before the date is ``exit_value``."""
-    last = asof_last_signal(signals, calendar, key=key, value=value, at=at, **kw)
-    return last.filter(F.col(value) != exit_value).select(at, key)
+                         inclusive: bool = False, **kw) -> DataFrame:
+    """Holdings per rebalance date: every symbol enters with its first bar in
+    ``prices``, signals or not, and is out while its latest signal before the
+    date is ``exit_value``."""
+    periods = cut_lineage(signal_periods(signals, calendar, key, value=value, at=at, inclusive=inclusive, **kw))
+    return holdings(periods, first_held(prices, calendar, key, at=at, inclusive=inclusive), calendar, key, value, at, exit_value)
+
+
+def holdings(periods: DataFrame, entry: DataFrame, calendar: DataFrame, key: str = "ticker", value: str = "position",
+             at: str = "rebalance_date", exit_value: str = "sell") -> DataFrame:
+    """(at, key) of the symbols held: from ``entry`` (first rebalance date of
+    each) on, unless the latest of ``periods`` (key, at, value) is the exit.
+    The entry is a position without a signal; a signal of the same period
+    comes after it."""
+    blank = entry.select(key, at, F.lit("").alias(value), F.lit(0).alias("__src"))
+    both = (blank.unionByName(periods.select(key, at, value, F.lit(1).alias("__src")))
+            .groupBy(key, at).agg(F.max_by(value, "__src").alias(value)))
+    since = entry.select(F.col(key).alias("__k"), F.col(at).alias("__from"))
+    last = carry_forward(both, calendar, key, value, at)
+    return (last.join(since, (F.col(key) == F.col("__k")) & (F.col(at) >= F.col("__from")))
+                .filter(F.col(value) != exit_value).select(at, key))

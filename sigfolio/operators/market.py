@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values of the reference: label window length and annualisation.
 LABEL_WINDOW = 10
@@ -81,14 +82,14 @@ def pivot_grid(df: DataFrame, key="ticker", order="date", value="price",
     """Long form of a (date x ticker) pivot: every ticker on every date of
     its group's calendar; duplicate cells averaged, missing cells NULL.
 
-    The calendar (one sorted date array per group) is small and broadcast;
-    each ticker row explodes it, so no pair of data rows is ever formed."""
+    The calendar is one sorted date array per group; each ticker row explodes
+    it, so no pair of data rows is ever formed."""
     group = list(group)
     cells = df.groupBy(*group, key, order).agg(F.avg(value).alias(value))
     tickers = cells.select(*group, key).distinct()
     if group:
         cal = cells.groupBy(*group).agg(F.array_sort(F.collect_set(order)).alias("__cal"))
-        grid = tickers.join(F.broadcast(cal), group)
+        grid = tickers.join(cal, group)
     else:  # one calendar: a scalar subquery, no join
         grid = tickers.withColumn("__cal", cells.agg(F.array_sort(F.collect_set(order))).scalar())
     grid = grid.select(*group, key, F.explode("__cal").alias(order))
@@ -103,6 +104,13 @@ def panel_returns(df: DataFrame, key="ticker", order="date", value="price", out=
     return pct_change(grid, key=[*group, key], order=order, value=value, out=out)
 
 
+def pivot_prices(df: DataFrame, tickers: Sequence[str], key="ticker", order="date", value="price") -> DataFrame:
+    """One row per date, one column per given ticker: the mean of its cells,
+    NULL where it has none.  The column list is the caller's, so the plan is
+    one aggregate and needs no pass to find the values."""
+    return df.groupBy(order).pivot(key, list(tickers)).agg(F.avg(value))
+
+
 def complete_case_returns(ret: DataFrame, key="ticker", order="date", value="ret",
                           group: Sequence[str] = ()) -> DataFrame:
     """Keep only dates on which every ticker of the grid has a return."""
@@ -177,31 +185,25 @@ def last_n_bars(prices: DataFrame, requests: DataFrame, n: int = HISTORY_BARS, k
     """For each request (key, at): the last n bars of ``key`` dated strictly
     before ``at`` (or on/before when ``inclusive``).
 
-    Exact and skew-proof without a range join: bars are numbered per key,
-    cut into blocks of n consecutive bars, and each request needs at most two
-    blocks, so the final join is an equi-join on (key, block) whose groups
-    hold at most n bars.
+    One exchange on the key: bars and requests are counted in one ordered
+    pass, folded into one row per key (its bars, bounded by the trading
+    calendar, and its requests with the number of bars before them), and
+    each request takes its slice of the bars.
     """
-    w = Window.partitionBy(key).orderBy(order)
-    bars = prices.withColumn("__rn", F.row_number().over(w))
-    bars = bars.withColumn("__blk", F.floor((F.col("__rn") - 1) / n))
-    # rn_last(key, at) = number of bars before `at`: one ordered pass per key
-    # over bars + requests (requests sort before same-day bars unless
-    # inclusive), counting bars seen so far.
     req = requests.select(key, at).distinct()
-    u = (bars.select(key, F.col(order).alias("__t"), F.lit(1).alias("__isbar"),
-                     F.lit(None).cast(req.schema[at].dataType).alias(at))
-             .unionByName(req.select(key, F.col(at).alias("__t"), F.lit(0).alias("__isbar"), at)))
-    tie = F.col("__isbar").desc() if inclusive else F.col("__isbar").asc()
+    rest = [c for c in prices.columns if c != key]
+    bar = F.struct(*rest)
+    none = F.lit(None).cast(T.StructType([prices.schema[c] for c in rest]))
+    u = (prices.select(key, F.col(order).alias("__t"), F.lit(None).cast(req.schema[at].dataType).alias(at), bar.alias("__bar"))
+               .unionByName(req.select(key, F.col(at).alias("__t"), at, none.alias("__bar"))))
+    is_bar = F.col("__bar").isNotNull()
+    tie = is_bar.desc() if inclusive else is_bar.asc()
     run = Window.partitionBy(key).orderBy("__t", tie).rowsBetween(Window.unboundedPreceding, 0)
-    counts = (u.withColumn("__last", F.sum("__isbar").over(run))
-               .filter(F.col("__isbar") == 0)
-               .select(key, at, "__last"))
-    lo = F.greatest(F.col("__last") - n + 1, F.lit(1))
-    spans = (counts.filter(F.col("__last") > 0)
-                   .withColumn("__lo", lo)
-                   .withColumn("__blk", F.explode(F.array_distinct(F.array(
-                       F.floor((F.col("__lo") - 1) / n), F.floor((F.col("__last") - 1) / n))))))
-    return (spans.join(bars, [key, "__blk"])
-                 .filter(F.col("__rn").between(F.col("__lo"), F.col("__last")))
-                 .drop("__blk", "__lo", "__last", "__rn"))
+    per_key = (u.withColumn("__n", F.count("__bar").over(run)).groupBy(key)
+                .agg(F.array_sort(F.collect_list(F.when(is_bar, F.struct("__n", "__bar")))).alias("__bars"),
+                     F.collect_list(F.when(~is_bar & (F.col("__n") > 0), F.struct(at, "__n"))).alias("__asked")))
+    lo = F.greatest(F.col("__a.__n") - n + 1, F.lit(1))
+    return (per_key.select(key, "__bars", F.explode("__asked").alias("__a"))
+                   .select(key, F.col("__a")[at].alias(at),
+                           F.explode(F.slice("__bars", lo.cast("int"), (F.col("__a.__n") - lo + 1).cast("int"))).alias("__b"))
+                   .select(key, at, "__b.__bar.*"))

@@ -35,10 +35,11 @@ def equity_returns(equity: DataFrame, index: DataFrame | None = None, key: str =
 def performance_metrics(equity: DataFrame, bench: DataFrame, key: str = "strategy_id", order: str = "date",
                         value: str = "equity", bench_ret: str = "bench_ret") -> DataFrame:
     """Per strategy: CAGR, annualised Sharpe (zero risk-free), maximum
-    drawdown and information ratio against the benchmark returns."""
+    drawdown and information ratio against the benchmark returns.  A metric
+    without a defined value (one day only, a zero curve) is NULL."""
     r = M.pct_change(equity, key=key, order=order, value=value, out="ret").join(bench, order, "left")
     run = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    r = r.withColumn("__dd", F.col(value) / F.max(value).over(run) - 1)
+    r = r.withColumn("__dd", F.try_divide(F.col(value), F.max(value).over(run)) - 1)
     agg = r.groupBy(key).agg(
         F.min_by(value, order).alias("__v0"), F.max_by(value, order).alias("__v1"),
         F.datediff(F.max(order), F.min(order)).alias("__days"),
@@ -46,7 +47,7 @@ def performance_metrics(equity: DataFrame, bench: DataFrame, key: str = "strateg
         F.avg(F.col("ret") - F.col(bench_ret)).alias("__ma"),
         F.stddev_samp(F.col("ret") - F.col(bench_ret)).alias("__sa"),
         F.min("__dd").alias("max_drawdown"))
-    cagr = F.pow(F.try_divide(F.col("__v1"), F.col("__v0")), F.lit(DAYS_PER_YEAR) / F.col("__days")) - 1
+    cagr = F.pow(F.try_divide(F.col("__v1"), F.col("__v0")), F.try_divide(F.lit(DAYS_PER_YEAR), F.col("__days"))) - 1
     return agg.select(key, cagr.alias("cagr"),
                       (F.try_divide(F.col("__mr"), F.col("__sr")) * ANNUAL).alias("sharpe"),
                       "max_drawdown",

@@ -1,11 +1,12 @@
 """Portfolio construction: moments, minimum-variance weights, scaling,
 risk/return and the monthly rebalance composition.
 
-All rebalance dates are solved at once: moments and histories are Spark
-jobs grouped by ``rebalance_date``; only the final quadratic program runs in
-numpy inside ``applyInPandas``, one group per rebalance date.  A group holds
-(#held tickers x #history bars) returns -- at most the index universe times
-30 bars -- so its size is bounded by the strategy, not by the data.
+All rebalance dates are solved at once: moments, histories and returns are
+Spark jobs grouped by ``rebalance_date``; only the final quadratic program
+runs in numpy inside ``applyInPandas``, one group per rebalance date.  A
+group is one row per held name with its returns over the complete-case dates
+(at most 29 of 30 bars), so its size grows with the names held, which nothing
+caps: the program couples all names of a portfolio.
 """
 
 from __future__ import annotations
@@ -19,13 +20,14 @@ from pyspark.sql import functions as F
 
 from sigfolio.operators import market as M
 from sigfolio.session import cut_lineage
-from sigfolio.operators.joins import fits_cells, join_universe_weights, pair_join, portfolio_membership
+from sigfolio.operators.joins import join_universe_weights, pair_join, portfolio_membership
 
 TRADING_DAYS = M.TRADING_DAYS
 # Fixed values of the reference: portfolio cap and entry-weight rounding.
 PORTFOLIO_CAP = 500
 ENTRY_WEIGHT_DECIMALS = 3
-MAX_BROADCAST_CELLS = 50_000_000  # doubles in a broadcast side of return vectors
+#: Tasks that the pairs of one group are spread over unless the caller says otherwise.
+PAIR_BLOCKS = 16
 
 
 def annual_mean_returns(ret: DataFrame, key="ticker", value="ret", group: Sequence[str] = ()) -> DataFrame:
@@ -35,36 +37,43 @@ def annual_mean_returns(ret: DataFrame, key="ticker", value="ret", group: Sequen
 
 def return_vectors(ret: DataFrame, key="ticker", order="date", value="ret",
                    group: Sequence[str] = ()) -> DataFrame:
-    """(group..., ticker, vec): returns ordered by date as one array per
-    ticker (complete-case input: every ticker of a group has the same dates)."""
-    return (ret.groupBy(*group, key)
+    """(group..., ticker, dates, vec): the known returns ordered by date as
+    one array per ticker, with their dates."""
+    return (ret.filter(F.col(value).isNotNull()).groupBy(*group, key)
                .agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("d"), F.col(value).alias("r"))))
                     .alias("__s"))
-               .select(*group, key, F.transform("__s", lambda x: x["r"]).alias("vec")))
+               .select(*group, key, F.transform("__s", lambda x: x["d"]).alias("dates"),
+                       F.transform("__s", lambda x: x["r"]).alias("vec")))
 
 
 def annual_covariance(ret: DataFrame, key="ticker", order="date", value="ret",
-                      group: Sequence[str] = ()) -> DataFrame:
-    """Sample covariance x 252 for each pair ticker_i <= ticker_j.
+                      group: Sequence[str] = (), blocks: int = PAIR_BLOCKS) -> DataFrame:
+    """Sample covariance x 252 for each pair ticker_i <= ticker_j over the
+    dates on which both have a return; NULL with fewer than two such dates.
 
-    Per ticker the T returns are first folded into one centred array, so the
-    pair join carries one row per output cell (not one per cell and date);
-    the vector side is broadcast when its total size is within bounds, else
-    a blocked pair join spreads each group over many tasks."""
+    Per ticker the T returns are first folded into one array, so the pair
+    join carries one row per output cell (not one per cell and date).  The
+    pairs of a group are spread over ``blocks`` tasks, at every size."""
     g = list(group) or ["__g"]
     r = ret if group else ret.withColumn("__g", F.lit(0))
     v = return_vectors(r, key, order, value, g)
-    v = v.withColumn("__m", F.aggregate("vec", F.lit(0.0), lambda s, e: s + e) / F.size("vec"))
-    v = v.withColumn("__dev", F.transform("vec", lambda x: x - F.col("__m")))
-    a = v.select(*g, F.col(key).alias("ticker_i"), F.col("__dev").alias("da"))
-    b = v.select(*g, F.col(key).alias("ticker_j"), F.col("__dev").alias("db"))
-    if fits_cells(b, F.size("db"), MAX_BROADCAST_CELLS):
-        pairs = a.join(F.broadcast(b), g)
-    else:  # exact blocked pair join: no group is sent whole to one task
-        pairs = pair_join(a, b, g, block_key="ticker_i")
-    pairs = pairs.filter(F.col("ticker_i") <= F.col("ticker_j"))
-    cross = F.aggregate(F.zip_with("da", "db", lambda x, y: x * y), F.lit(0.0), lambda s, e: s + e)
-    cov = cross / (F.size("da") - 1) * TRADING_DAYS
+    a = v.select(*g, F.col(key).alias("ticker_i"), F.col("dates").alias("ta"), F.col("vec").alias("va"))
+    b = v.select(*g, F.col(key).alias("ticker_j"), F.col("dates").alias("tb"), F.col("vec").alias("vb"))
+    pairs = pair_join(a, b, g, blocks, block_key="ticker_i").filter(F.col("ticker_i") <= F.col("ticker_j"))
+    # tickers with the same dates (complete cases) are aligned as they are
+    same = F.col("ta") == F.col("tb")
+    both = F.array_intersect("ta", "tb")
+
+    def aligned(dates: str, vec: str):
+        at = F.map_from_arrays(dates, vec)
+        return F.when(same, F.col(vec)).otherwise(F.transform(both, lambda d: at[d]))
+
+    pairs = pairs.select(*g, "ticker_i", "ticker_j", aligned("ta", "va").alias("x"), aligned("tb", "vb").alias("y"))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, e: s + e)
+    pairs = (pairs.withColumn("mx", F.try_divide(total(F.col("x")), F.size("x")))
+                  .withColumn("my", F.try_divide(total(F.col("y")), F.size("y"))))
+    cross = total(F.zip_with("x", "y", lambda x, y: (x - F.col("mx")) * (y - F.col("my"))))
+    cov = F.when(F.size("x") > 1, F.try_divide(cross, F.size("x") - 1) * TRADING_DAYS)
     out = pairs.select(*g, "ticker_i", "ticker_j", cov.alias("cov"))
     return out if group else out.drop("__g")
 
@@ -126,64 +135,46 @@ def min_variance(returns: np.ndarray) -> np.ndarray:
     return min_norm_point(x)
 
 
-def _solve_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    grp_cols = [c for c in pdf.columns if c not in ("ticker", "date", "ret")]
-    wide = pdf.pivot_table(index="date", columns="ticker", values="ret").sort_index()
-    wide = wide.dropna()
-    tickers = list(wide.columns)
-    if len(wide) < 2 or not tickers:
-        return pd.DataFrame(columns=grp_cols + ["ticker", "weight"])
-    w = min_variance(wide.to_numpy())
-    out = pd.DataFrame({"ticker": tickers, "weight": w.astype(float)})
-    for c in grp_cols:
-        out.insert(0, c, pdf[c].iloc[0])
-    return out[grp_cols + ["ticker", "weight"]]
-
-
-def _solve_prices(pdf: pd.DataFrame) -> pd.DataFrame:
-    """pandas twin of the reference's per-date step: pivot (mean of
-    duplicates) -> forward-filled pct_change -> complete cases -> solve."""
-    grp_cols = [c for c in pdf.columns if c not in ("ticker", "date", "price")]
-    wide = pdf.pivot_table(index="date", columns="ticker", values="price", aggfunc="mean").sort_index()
-    prev = wide.ffill()
-    with np.errstate(divide="ignore", invalid="ignore"):
-        rets = prev / prev.shift(1) - 1.0
-    rets = rets.replace([np.inf, -np.inf], np.nan).dropna()
-    if len(rets) < 2 or rets.shape[1] == 0:
-        return pd.DataFrame(columns=grp_cols + ["ticker", "weight"])
-    w = min_variance(rets.to_numpy())
-    out = pd.DataFrame({"ticker": list(rets.columns), "weight": w.astype(float)})
-    for c in grp_cols:
-        out.insert(0, c, pdf[c].iloc[0])
-    return out[grp_cols + ["ticker", "weight"]]
-
-
-def min_variance_from_prices(bars: DataFrame, group: Sequence[str] = ("rebalance_date",),
-                             key="ticker", order="date", value="price") -> DataFrame:
-    """Weights per group straight from price bars: the group's (tickers x
-    bars) history -- bounded by the holdings cap times the history length --
-    is shuffled once by ``group`` and pivoted, differenced and solved in one
-    pandas step (the pandas semantics of the reference, incl. forward fill
-    and complete cases; a zero previous price drops that date)."""
+def _solver(group: Sequence[str]):
+    """Per group: rows (ticker, dates, vec) of equal dates -> weights.  The
+    arrays are stacked as they are: no pivot, fill or join in Python."""
     group = list(group)
-    cols = bars.select(*group, F.col(key).alias("ticker"), F.col(order).alias("date"),
-                       F.col(value).cast("double").alias("price"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cols.schema.fields if f.name in group)
-    return cols.groupBy(*group).applyInPandas(_solve_prices, schema + ", ticker string, weight double")
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ticker")
+        x = np.stack(pdf["vec"].to_list(), axis=1)
+        return pdf[group + ["ticker"]].assign(weight=min_variance(x).astype(float))
+    return solve
 
 
 def min_variance_weights(ret: DataFrame, group: Sequence[str] = ("rebalance_date",),
                          key="ticker", order="date", value="ret") -> DataFrame:
-    """(group..., ticker, weight) per group, solved in parallel (one task
-    per group; a group is one portfolio's returns)."""
+    """(group..., ticker, weight): long-only minimum-variance weights of each
+    group, solved in parallel, one task per group.
+
+    ``ret`` are complete-case returns: every ticker of a group on the same
+    dates.  Spark folds them into one row per ticker, so a task gets (number
+    of tickers of the group) arrays of (number of its dates) numbers -- all
+    the solver needs, which cannot be spread further.  Groups with fewer
+    than two dates have no covariance and give no rows."""
     group = list(group)
     if not group:
         raise ValueError("min_variance_weights needs a group key (one portfolio per group)")
-    cols = ret.select(*group, F.col(key).alias("ticker"), F.col(order).alias("date"),
-                      F.col(value).cast("double").alias("ret"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cols.schema.fields if f.name in group)
-    schema = (schema + ", " if schema else "") + "ticker string, weight double"
-    return cols.groupBy(*group).applyInPandas(_solve_group, schema)
+    vec = (return_vectors(ret.withColumn(value, F.col(value).cast("double")), key, order, value, group)
+           .filter(F.size("vec") > 1).select(*group, F.col(key).alias("ticker"), "vec"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vec.schema.fields if f.name in group)
+    return vec.groupBy(*group).applyInPandas(_solver(group), schema + ", ticker string, weight double")
+
+
+def min_variance_from_prices(bars: DataFrame, group: Sequence[str] = ("rebalance_date",),
+                             key="ticker", order="date", value="price") -> DataFrame:
+    """Weights per group from price bars: forward-filled returns on the union
+    of the group's dates and complete cases (a zero previous price drops
+    that date) as Spark windows, then ``min_variance_weights``."""
+    group = list(group)
+    bars = bars.withColumn(value, F.col(value).cast("double"))
+    ret = M.panel_returns(bars, key, order, value, "ret", group)
+    return min_variance_weights(M.complete_case_returns(ret, key, order, "ret", group), group, key, order, "ret")
 
 
 def portfolio_risk_return(weights: DataFrame, mu: DataFrame, cov: DataFrame,
@@ -224,11 +215,11 @@ def monthly_rebalance(signals: DataFrame, prices: DataFrame, universe: DataFrame
     """Month starts -> holdings (as-of last signal) -> last n bars per held
     ticker -> returns (forward-filled pivot, complete cases) -> minimum
     variance weights per date -> every universe ticker, missing -> 0."""
-    # the month calendar (one row per month) feeds three steps; materialise
-    # it once in the shared checkpoint folder instead of re-aggregating the
-    # price table for each use
+    # prices feed the calendar, the entries and the histories, the calendar
+    # (one row per month) three steps: each is written once
+    prices = cut_lineage(prices)
     cal = cut_lineage(M.first_trading_day(prices))
-    held = portfolio_membership(signals, cal, inclusive=inclusive)
+    held = portfolio_membership(signals, cal, prices, inclusive=inclusive)
     return weights_for_holdings(held, prices, universe, n_bars, inclusive)
 
 

@@ -1,77 +1,53 @@
 """Vector similarity of texts to categories: cosine, all pairs, top-k.
 
-The category side is a configured, small list.  When its size (rows x
-vector length) is within ``MAX_CATEGORY_CELLS`` it is folded into one array
-row and broadcast: every text scores all categories row-locally (no shuffle,
-no pair join) and top-k is a per-row sort.  Beyond the bound the exact
-fallback spreads the categories over ``n_blocks`` blocks, equi-joins texts
-to blocks (each text meets every block once) and keeps the k best per text
-with a window -- still exact, just shuffled.
+The category side is a configured list of labels with their vectors.  It is
+folded into ``blocks`` arrays (scalar subqueries, each computed once), and
+every text row scores all of them row-locally: no shuffle, no join, and text
+rows with equal keys stay rows of their own.  One plan at every size; the
+caller picks ``blocks`` so that one block's vectors fit in a task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigfolio.functions.vectors import cosine_similarity
 
-MAX_CATEGORY_CELLS = 50_000_000  # floats in the broadcast category array
-
-
-def _cat_array(cats: DataFrame, name: str, idx: str, vec: str) -> DataFrame:
-    return cats.agg(F.collect_list(F.struct(F.col(idx).alias("idx"), F.col(name).alias("name"),
-                                            F.col(vec).alias("vec"))).alias("__cats"))
-
-
-def _fits(cats: DataFrame, vec: str, max_cells: int) -> bool:
-    cells = cats.agg(F.sum(F.size(vec)).alias("c")).first()["c"] or 0
-    return cells <= max_cells
-
-
-def _broadcast_cats(texts: DataFrame, cats: DataFrame, name: str, idx: str, vec: str) -> DataFrame:
-    arr = _cat_array(cats, name, idx, vec).withColumn("__g", F.lit(0))
-    return texts.withColumn("__g", F.lit(0)).join(F.broadcast(arr), "__g").drop("__g")
-
-
-def _blocked_pairs(texts: DataFrame, cats: DataFrame, key: str, tvec: str, name: str, idx: str,
-                   vec: str, n_blocks: int) -> DataFrame:
-    c = cats.select(F.col(idx).alias("cat_idx"), F.col(name).alias("category"), F.col(vec).alias("__cv"),
-                    F.pmod(F.xxhash64(F.col(idx)), F.lit(n_blocks)).alias("__blk"))
-    t = texts.select(key, tvec).withColumn("__blk", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    return (t.join(c, "__blk")
-             .select(key, "cat_idx", "category", cosine_similarity(tvec, "__cv").alias("similarity")))
+def _with_blocks(texts: DataFrame, cats: DataFrame, name: str, idx: str, vec: str, blocks: int) -> tuple[DataFrame, list[Column]]:
+    """``texts`` with the categories as ``blocks`` arrays of (idx, name, vec)."""
+    if blocks <= 0:
+        raise ValueError("blocks must be positive")
+    part = F.pmod(F.xxhash64(idx), F.lit(blocks))
+    one = F.struct(F.col(idx).alias("idx"), F.col(name).alias("name"), F.col(vec).alias("vec"))
+    arrays = [cats.filter(part == b).agg(F.collect_list(one).alias("c")).scalar().alias(f"__c{b}") for b in range(blocks)]
+    return texts.select("*", *arrays), [F.col(f"__c{b}") for b in range(blocks)]
 
 
 def cross_similarity(texts: DataFrame, cats: DataFrame, key: str = "vec_id", tvec: str = "embedding",
-                     name: str = "category", idx: str = "cat_idx", vec: str = "vec",
-                     max_cells: int = MAX_CATEGORY_CELLS, n_blocks: int = 64) -> DataFrame:
+                     name: str = "category", idx: str = "cat_idx", vec: str = "vec", blocks: int = 1) -> DataFrame:
     """(key, cat_idx, category, similarity) for every text and category."""
-    if _fits(cats, vec, max_cells):
-        t = _broadcast_cats(texts.select(key, tvec), cats, name, idx, vec)
-        sims = F.transform("__cats", lambda c: F.struct(c["idx"].alias("cat_idx"), c["name"].alias("category"),
-                                                        cosine_similarity(F.col(tvec), c["vec"]).alias("similarity")))
-        return t.select(key, F.explode(sims).alias("s")).select(key, "s.*")
-    return _blocked_pairs(texts, cats, key, tvec, name, idx, vec, n_blocks)
+    texts, arrays = _with_blocks(texts.select(key, tvec), cats, name, idx, vec, blocks)
+    scored = [F.transform(c, lambda c: F.struct(c["idx"].alias("cat_idx"), c["name"].alias("category"),
+                                                cosine_similarity(F.col(tvec), c["vec"]).alias("similarity")))
+              for c in arrays]
+    return texts.select(key, F.explode(F.concat(*scored)).alias("s")).select(key, "s.*")
 
 
 def topk_categories(texts: DataFrame, cats: DataFrame, k: int = 1, key: str = "vec_id",
                     tvec: str = "embedding", name: str = "category", idx: str = "cat_idx", vec: str = "vec",
-                    max_cells: int = MAX_CATEGORY_CELLS, n_blocks: int = 64) -> DataFrame:
+                    blocks: int = 1) -> DataFrame:
     """(key, rank, category, probability): the k most similar categories
-    per text; k is capped at the number of categories, ties keep category
-    order; no categories -> no rows."""
+    of every text row; k is capped at the number of categories, ties keep
+    category order; no categories -> no rows."""
     if k <= 0:
         raise ValueError("k must be positive")
-    if _fits(cats, vec, max_cells):
-        t = _broadcast_cats(texts.select(key, tvec), cats, name, idx, vec)
-        scored = F.transform("__cats", lambda c: F.struct(
-            (-cosine_similarity(F.col(tvec), c["vec"])).alias("neg"), c["idx"].alias("idx"), c["name"].alias("name")))
-        best = F.slice(F.array_sort(scored), 1, k)
-        return (t.select(key, F.posexplode(best).alias("pos", "b"))
+    texts, arrays = _with_blocks(texts.select(key, tvec), cats, name, idx, vec, blocks)
+    best = None
+    for c in arrays:
+        scored = F.transform(c, lambda c: F.struct((-cosine_similarity(F.col(tvec), c["vec"])).alias("neg"),
+                                                   c["idx"].alias("idx"), c["name"].alias("name")))
+        best = F.slice(F.array_sort(scored if best is None else F.concat(best, scored)), 1, k)
+    return (texts.select(key, F.posexplode(best).alias("pos", "b"))
                  .select(key, (F.col("pos") + 1).alias("rank"), F.col("b.name").alias("category"),
                          (-F.col("b.neg")).alias("probability")))
-    pairs = _blocked_pairs(texts, cats, key, tvec, name, idx, vec, n_blocks)
-    w = Window.partitionBy(key).orderBy(F.col("similarity").desc(), F.col("cat_idx"))
-    return (pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-                 .select(key, "rank", "category", F.col("similarity").alias("probability")))

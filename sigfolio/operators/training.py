@@ -17,8 +17,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigfolio.operators.joins import bounded_broadcast
-
 HASH_BUCKET_HEX = 4  # 16 bits -> 65,536 buckets
 
 
@@ -32,10 +30,10 @@ def class_counts(df: DataFrame, label: str) -> DataFrame:
 
 
 def class_threshold(df: DataFrame, label: str, n: int) -> DataFrame:
-    """Keep only classes with at least n rows (partial aggregate + a
-    broadcast semi join of the few qualifying class values)."""
+    """Keep only classes with at least n rows (partial aggregate, then a
+    semi join with the qualifying class values)."""
     keep = class_counts(df, label).filter(F.col("n") >= n).select(label)
-    return df.join(bounded_broadcast(keep), label, "left_semi")
+    return df.join(keep, label, "left_semi")
 
 
 def distinct_rows(df: DataFrame, name: str = "distinct_rows"):
@@ -46,6 +44,14 @@ def distinct_rows(df: DataFrame, name: str = "distinct_rows"):
     return df.observe(obs, F.count(F.lit(1)).alias("n_pre")).dropDuplicates(), obs
 
 
+def _same(group: Sequence[str], prefix: str) -> Column:
+    """Equal groups, NULL being a group of its own."""
+    cond = F.lit(True)
+    for g in group:
+        cond = cond & F.col(g).eqNullSafe(F.col(prefix + g))
+    return cond
+
+
 def select_smallest(df: DataFrame, quota: DataFrame | int, h: str, group: Sequence[str] = (),
                     tie: Sequence[str] = (), flag: str | None = None) -> DataFrame:
     """Rows with the ``quota`` smallest ``h`` per group (ties by ``tie``).
@@ -59,7 +65,8 @@ def select_smallest(df: DataFrame, quota: DataFrame | int, h: str, group: Sequen
     cum = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
     hist = hist.withColumn("__cum", F.sum("__c").over(cum))
     if isinstance(quota, DataFrame):
-        hist = hist.join(quota, group)
+        q = quota.select(*[F.col(g).alias(f"__q_{g}") for g in group], "quota")
+        hist = hist.join(q, _same(group, "__q_")).drop(*[f"__q_{g}" for g in group])
     else:
         hist = hist.withColumn("quota", F.lit(quota))
     # boundary bucket per group: the first whose running count reaches the quota
@@ -67,8 +74,9 @@ def select_smallest(df: DataFrame, quota: DataFrame | int, h: str, group: Sequen
                .groupBy(*group).agg(F.min_by(F.struct(F.col("__b").alias("b"),
                                                   (F.col("quota") - F.col("__cum") + F.col("__c")).alias("need")),
                                          "__b").alias("__bnd")))
-    if group:  # one row per group: small, broadcast
-        j = d.join(F.broadcast(bnd), group, "left")
+    if group:  # one row per group
+        bnd = bnd.select(*[F.col(g).alias(f"__b_{g}") for g in group], "__bnd")
+        j = d.join(bnd, _same(group, "__b_"), "left").drop(*[f"__b_{g}" for g in group])
     else:      # a single boundary: a scalar subquery
         j = d.withColumn("__bnd", bnd.select("__bnd").scalar())
     j = j.withColumn("__bstar", F.col("__bnd.b")).withColumn("__need", F.col("__bnd.need")).drop("__bnd")
@@ -93,7 +101,8 @@ def sample_n(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> Data
 def split_quotas(counts: DataFrame, label: str, frac: float) -> DataFrame:
     """Per-class train quota: n_train = floor(frac * N); each class gets
     floor(n_train * n_c / N) and the remainder goes to the largest
-    fractional parts (ties by class value).  One row per class."""
+    fractional parts (ties by class value).  A class of one row goes to
+    train, a NULL label is a class like any other.  One row per class."""
     # the class-count table has one row per class: tiny by construction
     c = counts.withColumn("__total", counts.agg(F.sum("n")).scalar()).withColumn("__g", F.lit(0))
     c = c.withColumn("__ntrain", F.floor(F.lit(frac) * F.col("__total")))
@@ -103,7 +112,8 @@ def split_quotas(counts: DataFrame, label: str, frac: float) -> DataFrame:
     w = Window.partitionBy("__g").orderBy(F.col("__rem").desc(), F.col(label))
     c = c.withColumn("__left", F.col("__ntrain") - F.sum("__floor").over(Window.partitionBy("__g")))
     c = c.withColumn("quota", F.col("__floor") + F.when(F.row_number().over(w) <= F.col("__left"), 1).otherwise(0))
-    return c.select(label, F.col("quota").cast("long").alias("quota"))
+    quota = F.when(F.col("n") == 1, F.lit(1)).otherwise(F.col("quota"))
+    return c.select(label, quota.cast("long").alias("quota"))
 
 
 def stratified_split(df: DataFrame, label: str, frac: float, keys: Sequence[str], seed: int = 42,

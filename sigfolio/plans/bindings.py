@@ -83,8 +83,8 @@ def doc_filings(spark, sf_dir) -> DataFrame:
                     "text")
 
 
-def filing_texts(spark, sf_dir) -> DataFrame:
-    """Raw filing text: an SEC-style header and item sections around each
+def filing_texts(spark, sf_dir, *more) -> DataFrame:
+    """(doc_id, content, more columns of documents): raw filing text, an SEC-style header and item sections around each
     document's text.
 
     German documents get no company-name line and French ones no date line,
@@ -101,7 +101,7 @@ def filing_texts(spark, sf_dir) -> DataFrame:
         F.lit("\n\nItem 1A. Risk Factors\n\n"), F.upper(F.col("lang")), F.lit(" RISK FACTORS\n"), F.col("text"),
         F.lit("\n\nItem 1B. Unresolved Staff Comments\n\nItem 7A. Market risk\n\n"), F.col("source"), nl,
         F.lit("\nItem 8. Financial Statements\n"))
-    return d.select("doc_id", content.alias("content"))
+    return d.select("doc_id", content.alias("content"), *more)
 
 
 def scored(spark, sf_dir) -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sigfolio.functions import text as X
 from sigfolio.functions.dates import month_key
 from sigfolio.operators import classify as CL
 from sigfolio.operators import market as M
@@ -18,6 +19,7 @@ from sigfolio.session import scratch_path
 from sigfolio.sources import files as SRC
 from sigfolio.sources import sinks as SNK
 
+FORMS = {"10-K": (X.SECTIONS_10K, X.RUN_LENGTH_10K), "10-Q": (X.SECTIONS_10Q, X.RUN_LENGTH_10Q)}
 CUSTOMER_SCHEMA = "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
 
 
@@ -111,37 +113,38 @@ def q_scan_log_table(spark, sf):
 @query("union_years", with_views("prices") + "SELECT ticker, date, CAST(price AS DOUBLE) AS price FROM prices")
 def q_union_years(spark, sf):
     p = B.prices(spark, sf).withColumn("price", F.col("price").cast("double"))
-    years = [p.filter(F.year("date") == y) for y in range(1992, 1999)]
-    rest = p.filter((F.year("date") < 1992) | (F.year("date") > 1998))
-    return SRC.union_years(years + [rest])
+    path = scratch_path(spark, "years")
+    SNK.sink_parquet(p.withColumn("year", F.year("date")), path, partition_by=["year"])
+    years = [r["year"] for r in spark.read.parquet(path).select("year").distinct().collect()]  # calendar years
+    return SRC.union_years([spark.read.parquet(f"{path}/year={y}") for y in sorted(years)])
 
 
 def _export_filings(spark, sf):
     """Filing texts written as one folder per filing under
     year=YYYY/quarter=QTRn (Spark's own layout): en -> 10-Q, de -> 10-K-A,
     others -> 10-K."""
-    f = B.filing_texts(spark, sf)
-    d = B.doc_filings(spark, sf).select("doc_id", "date", "cik")
-    lang = B.table(spark, sf, "documents").select("doc_id", "lang")
+    day = F.date_add(F.lit("2020-01-01").cast("date"), (F.col("doc_id") % 700).cast("int"))
+    x = B.filing_texts(spark, sf, "lang").withColumn("date", day)
     form = (F.when(F.col("lang") == "en", "10-Q").when(F.col("lang") == "de", "10-K-A").otherwise("10-K"))
-    x = (f.join(d, "doc_id").join(lang, "doc_id")
-          .select("content", F.year("date").alias("year"), F.concat(F.lit("QTR"), F.quarter("date")).alias("quarter"),
-                  F.concat(F.date_format("date", "yyyyMMdd"), F.lit("_"), form, F.lit("_edgar_data_"),
-                           F.col("doc_id").cast("string"), F.lit(".txt")).alias("filing")))
+    x = x.select("content", F.year("date").alias("year"), F.concat(F.lit("QTR"), F.quarter("date")).alias("quarter"),
+                 F.concat(F.date_format("date", "yyyyMMdd"), F.lit("_"), form, F.lit("_edgar_data_"),
+                          F.col("doc_id").cast("string"), F.lit(".txt")).alias("filing"))
     root = scratch_path(spark, "10Ks")
     x.repartitionByRange("year", "quarter", "filing").write.partitionBy("year", "quarter", "filing").text(root)
     return root
 
 
-@query("scan_filings", """
-SELECT lpad(CAST(doc_id AS VARCHAR), 10, '0') AS cik, year(d) AS year, 'QTR' || CAST(quarter(d) AS VARCHAR) AS quarter
-FROM (SELECT doc_id, lang, DATE '2020-01-01' + CAST(doc_id % 700 AS INTEGER) AS d FROM documents)
+@query("scan_filings", with_views("filing_texts") + """
+SELECT lpad(CAST(f.doc_id AS VARCHAR), 10, '0') AS cik, year(d) AS year, 'QTR' || CAST(quarter(d) AS VARCHAR) AS quarter,
+       md5(content || chr(10)) AS content_md5
+FROM filing_texts f JOIN (SELECT doc_id, lang, DATE '2020-01-01' + CAST(doc_id % 700 AS INTEGER) AS d FROM documents) x USING (doc_id)
 WHERE lang NOT IN ('en', 'de')""")
 def q_scan_filings(spark, sf):
     root = _export_filings(spark, sf)
     fl = SRC.scan_filings(spark, root, [2020, 2021], "10-K", hive_layout=True)
     from sigfolio.functions.text import filing_header
-    return fl.select(filing_header("content")["cik"].alias("cik"), F.col("year").cast("long").alias("year"), "quarter")
+    return fl.select(filing_header("content")["cik"].alias("cik"), F.col("year").cast("long").alias("year"), "quarter",
+                     F.md5("content").alias("content_md5"))
 
 
 @query("file_counts", """
@@ -156,25 +159,43 @@ def q_file_counts(spark, sf):
     return file_counts(fl.withColumn("year", F.col("year").cast("long")))
 
 
-@query("process_forms", with_views("filing_texts") + """,
-hdr AS (SELECT doc_id, regexp_extract(content, 'CENTRAL INDEX KEY:\\s+(\\d+)', 1) AS cik,
-               try_strptime(nullif(regexp_extract(content, 'FILED AS OF DATE:\\s+(\\d{8})', 1), ''), '%Y%m%d')::DATE AS d
+def _forms_sql(form: str) -> str:
+    from sigfolio.plans.q_text import section_columns, sections_ctes
+    patterns, k = FORMS[form]
+    return (sections_ctes(patterns, k) + r""",
+hdr AS (SELECT doc_id, regexp_extract(content, 'CENTRAL INDEX KEY:\s+(\d+)', 1) AS cik,
+               try_strptime(nullif(regexp_extract(content, 'FILED AS OF DATE:\s+(\d{8})', 1), ''), '%Y%m%d')::DATE AS d
         FROM filing_texts),
 mem AS (SELECT DISTINCT lpad(CAST(l_orderkey AS VARCHAR), 10, '0') AS cik,
                strftime(DATE '2020-01-01' + CAST(l_orderkey % 700 AS INTEGER), '%Y-%m') AS ym,
                'S' || CAST(l_suppkey AS VARCHAR) AS ticker
         FROM lineitem)
-SELECT h.doc_id, h.cik, m.ym, m.ticker FROM hdr h JOIN mem m ON m.cik = h.cik AND m.ym = strftime(h.d, '%Y-%m')""")
-def q_process_forms(spark, sf):
-    """Corpus job end to end: header -> membership semi join -> sections ->
-    passages -> tickers for the filing month."""
+SELECT doc_id, h.cik, m.ym, m.ticker, """ + section_columns(patterns)
+            + " FROM hdr h JOIN mem m ON m.cik = h.cik AND m.ym = strftime(h.d, '%Y-%m') JOIN tp USING (doc_id)")
+
+
+def _forms(spark, sf, form: str):
+    from sigfolio.plans.q_text import text_partitions
     li = B.table(spark, sf, "lineitem")
     members = li.select(F.lpad(F.col("l_orderkey").cast("string"), 10, "0").alias("cik"),
                         month_key(F.date_add(F.lit("2020-01-01").cast("date"),
                                              (F.col("l_orderkey") % 700).cast("int"))).alias("ym"),
-                        F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ticker")).distinct()
-    out = process_forms(B.filing_texts(spark, sf), members, form="10-K")
-    return out.select("doc_id", "cik", "ym", "ticker")
+                        F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ticker"))
+    out = process_forms(B.filing_texts(spark, sf), members, form=form, partitions=text_partitions(spark), spread_by=["doc_id"])
+    items = [x for c in FORMS[form][0] for x in (F.length(c).cast("long").alias(f"{c}_len"), F.md5(c).alias(f"{c}_md5"))]
+    return out.select("doc_id", "cik", "ym", "ticker", *items)
+
+
+@query("process_forms", _forms_sql("10-K"))
+def q_process_forms(spark, sf):
+    """Corpus job end to end: header -> membership and tickers of the filing
+    month -> sections -> passages; every item by length and digest."""
+    return _forms(spark, sf, "10-K")
+
+
+@query("process_forms_10q", _forms_sql("10-Q"))
+def q_process_forms_10q(spark, sf):
+    return _forms(spark, sf, "10-Q")
 
 
 @query("classify_udf", with_views("training_table") + """,
@@ -198,7 +219,8 @@ def q_classify(spark, sf):
 
 
 @query("bollinger_resampled", """
-SELECT event_type AS ticker, day, round(avg(close) OVER w, 6) AS middle FROM (
+SELECT event_type AS ticker, day, round(avg(close) OVER w, 6) AS middle,
+       round(avg(close) OVER w + 2 * stddev_pop(close) OVER w, 6) AS upper, round(avg(close) OVER w - 2 * stddev_pop(close) OVER w, 6) AS lower FROM (
   SELECT event_type, CAST(time_bucket(INTERVAL '1 day', ts) AS DATE) AS day, last(value ORDER BY ts, event_id) AS close
   FROM events GROUP BY 1, 2)
 WINDOW w AS (PARTITION BY event_type ORDER BY day ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)
@@ -208,19 +230,21 @@ def q_bollinger_resampled(spark, sf):
     ev = B.table(spark, sf, "events").withColumnRenamed("event_type", "ticker")
     bars = M.resample_bars(ev, "1 day", seq="event_id").withColumn("day", F.col("bar_start").cast("date"))
     b = M.bollinger_bands(bars, n=5, k=2, order="day", value="close").filter(F.col("middle").isNotNull())
-    return b.select("ticker", "day", F.round("middle", 6).alias("middle"))
+    return b.select("ticker", "day", *[F.round(c, 6).alias(c) for c in ("middle", "upper", "lower")])
 
 
-@query("filter_form", """
-SELECT lpad(CAST(doc_id AS VARCHAR), 10, '0') AS cik, year(d) AS year, 'QTR' || CAST(quarter(d) AS VARCHAR) AS quarter
-FROM (SELECT doc_id, lang, DATE '2020-01-01' + CAST(doc_id % 700 AS INTEGER) AS d FROM documents)
+@query("filter_form", with_views("filing_texts") + """
+SELECT lpad(CAST(f.doc_id AS VARCHAR), 10, '0') AS cik, year(d) AS year, 'QTR' || CAST(quarter(d) AS VARCHAR) AS quarter,
+       md5(content || chr(10)) AS content_md5
+FROM filing_texts f JOIN (SELECT doc_id, lang, DATE '2020-01-01' + CAST(doc_id % 700 AS INTEGER) AS d FROM documents) x USING (doc_id)
 WHERE lang = 'en'""")
 def q_filter_form(spark, sf):
     """Form filter on the file name: 10-Q filings only."""
     root = _export_filings(spark, sf)
     fl = SRC.scan_filings(spark, root, [2020, 2021], "10-Q", hive_layout=True)
     from sigfolio.functions.text import filing_header
-    return fl.select(filing_header("content")["cik"].alias("cik"), F.col("year").cast("long").alias("year"), "quarter")
+    return fl.select(filing_header("content")["cik"].alias("cik"), F.col("year").cast("long").alias("year"), "quarter",
+                     F.md5("content").alias("content_md5"))
 
 
 @query("scan_headerless_series", with_views("supplier_filings", "labelled") + """
@@ -242,13 +266,10 @@ def q_headerless(spark, sf):
     cols[29] = F.col("price").cast("string").alias("c29")
     path = scratch_path(spark, "series")
     SNK.sink_by_symbol(j.select(*cols, "ticker"), path)
-    back = spark.read.schema(", ".join(f"_c{i} string" for i in range(30))) \
-        .option("sep", "|").option("header", False).csv(path)
-    back = back.select("*", F.col("__sym").alias("ticker"))
-    s = back.select("ticker", F.col("_c3").cast("date").alias("date"), F.col("_c5").alias("item_1"),
-                    F.col("_c6").alias("item_1a"), F.col("_c7").alias("item_7a"),
-                    safe_price(F.col("_c29")).alias("price"))
-    return s.withColumn("ticker", F.upper("ticker"))
+    picks = {"date": 3, "item_1": 5, "item_1a": 6, "item_7a": 7, "price": 29, "ticker": 30}
+    back = SRC.scan_headerless_series(spark, path, 31, picks)
+    return back.select("ticker", F.col("date").cast("date").alias("date"), "item_1", "item_1a", "item_7a",
+                       safe_price(F.col("price")).alias("price"))
 
 
 @query("sink_delimited", "SELECT doc_id, md5(text) AS text_md5 FROM documents")
@@ -286,9 +307,10 @@ def q_sink_report(spark, sf):
                        F.size("classification_report").alias("n_report_rows"))
 
 
-@query("compact_filings", """
-SELECT lpad(CAST(doc_id AS VARCHAR), 10, '0') AS cik, year(d) AS year, 'QTR' || CAST(quarter(d) AS VARCHAR) AS quarter
-FROM (SELECT doc_id, lang, DATE '2020-01-01' + CAST(doc_id % 700 AS INTEGER) AS d FROM documents)
+@query("compact_filings", with_views("filing_texts") + """
+SELECT lpad(CAST(f.doc_id AS VARCHAR), 10, '0') AS cik, year(d) AS year, 'QTR' || CAST(quarter(d) AS VARCHAR) AS quarter,
+       md5(content || chr(10)) AS content_md5
+FROM filing_texts f JOIN (SELECT doc_id, lang, DATE '2020-01-01' + CAST(doc_id % 700 AS INTEGER) AS d FROM documents) x USING (doc_id)
 WHERE lang NOT IN ('en', 'de')""")
 def q_compact_filings(spark, sf):
     """Filing files -> one Parquet table partitioned by (year, quarter) ->
@@ -300,4 +322,4 @@ def q_compact_filings(spark, sf):
     SNK.compact_filings(fl, out)
     back = spark.read.parquet(out)
     return back.select(filing_header("content")["cik"].alias("cik"), F.col("year").cast("long").alias("year"),
-                       "quarter")
+                       "quarter", F.md5("content").alias("content_md5"))

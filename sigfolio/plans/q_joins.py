@@ -95,27 +95,26 @@ def q_texts_to_prices(spark, sf):
 
 
 WEIGHTS_SQL = """, day_w AS (
-  SELECT ticker, CAST(price AS DOUBLE) / sum(CAST(price AS DOUBLE)) OVER () AS weight
-  FROM prices WHERE date = DATE '1995-06-01')"""
+  SELECT date, ticker, CAST(price AS DOUBLE) / sum(CAST(price AS DOUBLE)) OVER (PARTITION BY date) AS weight FROM prices)"""
 
 
 def _day_weights(spark, sf):
-    p = B.prices(spark, sf).filter(F.col("date") == F.lit("1995-06-01").cast("date"))
-    return P.scale_weights(p.withColumn("d", F.col("date")).withColumn("w", F.col("price").cast("double")),
-                           by="d", weight="w", out="weight").select("ticker", "weight")
+    p = B.prices(spark, sf).withColumn("w", F.col("price").cast("double"))
+    return P.scale_weights(p, by="date", weight="w", out="weight").select("date", "ticker", "weight")
 
 
 @query("join_universe_weights", with_views("prices", "universe") + WEIGHTS_SQL + """
-SELECT u.ticker, round(coalesce(w.weight, 0), 12) AS weight FROM universe u LEFT JOIN day_w w USING (ticker)""")
+SELECT d.date, u.ticker, round(coalesce(w.weight, 0), 12) AS weight
+FROM universe u CROSS JOIN (SELECT DISTINCT date FROM day_w) d LEFT JOIN day_w w ON w.ticker = u.ticker AND w.date = d.date""")
 def q_universe_weights(spark, sf):
-    r = J.join_universe_weights(B.universe(spark, sf), _day_weights(spark, sf))
-    return r.select("ticker", F.round("weight", 12).alias("weight"))
+    r = J.join_universe_weights(B.universe(spark, sf), _day_weights(spark, sf), by=["date"])
+    return r.select("date", "ticker", F.round("weight", 12).alias("weight"))
 
 
 @query("scale_weights", with_views("prices") + WEIGHTS_SQL + """
-SELECT ticker, round(weight, 12) AS weight FROM day_w""")
+SELECT date, ticker, round(weight, 12) AS weight FROM day_w""")
 def q_scale_weights(spark, sf):
-    return _day_weights(spark, sf).select("ticker", F.round("weight", 12).alias("weight"))
+    return _day_weights(spark, sf).select("date", "ticker", F.round("weight", 12).alias("weight"))
 
 
 ASOF_SQL = """, last_sig AS (
@@ -131,11 +130,20 @@ def q_asof(spark, sf):
     return J.asof_last_signal(B.signals(spark, sf), cal).select("ticker", "rebalance_date", "position")
 
 
-@query("portfolio_membership", with_views("signals", "month_cal") + ASOF_SQL + """
-SELECT rebalance_date, ticker FROM last_sig WHERE position <> 'sell'""")
+# every symbol is held from the first month start after its first bar, until
+# the last signal strictly before a month start is a sell
+HELD_SQL = ASOF_SQL + """, held AS (
+  SELECT m.start AS rebalance_date, f.ticker
+  FROM (SELECT ticker, min(date) AS first FROM prices GROUP BY ticker) f JOIN month_cal m ON f.first < m.start
+  LEFT JOIN last_sig l ON l.ticker = f.ticker AND l.rebalance_date = m.start
+  WHERE coalesce(l.position, '') <> 'sell')"""
+
+
+@query("portfolio_membership", with_views("signals", "month_cal") + HELD_SQL + """
+SELECT rebalance_date, ticker FROM held""")
 def q_membership(spark, sf):
-    cal = M.first_trading_day(B.prices(spark, sf))
-    return J.portfolio_membership(B.signals(spark, sf), cal)
+    p = B.prices(spark, sf)
+    return J.portfolio_membership(B.signals(spark, sf), M.first_trading_day(p), p)
 
 
 @query("equal_weights", with_views("signals") + """
@@ -208,8 +216,7 @@ SELECT a.strategy_id, a.date, round(a.equity, 6) AS equity, b.ts FROM
             FROM events) b USING (strategy_id, i)""")
 def q_positional(spark, sf):
     ev = B.table(spark, sf, "events").select(F.col("event_type").alias("strategy_id"), "ts", "event_id")
-    r = J.join_positional(B.equity(spark, sf), ev.withColumn("__o", F.struct("ts", "event_id")),
-                          order_a="date", order_b="__o")
+    r = J.join_positional(B.equity(spark, sf), ev, "date", "ts", tie_b=["event_id"])
     return r.select("strategy_id", "date", F.round("equity", 6).alias("equity"), "ts")
 
 
@@ -236,13 +243,12 @@ def q_last_per_group(spark, sf):
     return r.select("ticker", "ts", "position")
 
 
-@query("concat_history", with_views("signals", "month_cal") + ASOF_SQL + """
+@query("concat_history", with_views("signals", "month_cal") + HELD_SQL + """
 SELECT p.ticker, p.date, CAST(p.price AS DOUBLE) AS price FROM prices p
-WHERE p.ticker IN (SELECT ticker FROM last_sig WHERE position <> 'sell'
-                   AND rebalance_date = (SELECT max(rebalance_date) FROM last_sig))""")
+WHERE p.ticker IN (SELECT ticker FROM held WHERE rebalance_date = (SELECT max(rebalance_date) FROM held))""")
 def q_concat_history(spark, sf):
     p = B.prices(spark, sf)
-    held = J.portfolio_membership(B.signals(spark, sf), M.first_trading_day(p))
+    held = J.portfolio_membership(B.signals(spark, sf), M.first_trading_day(p), p)
     last = held.agg(F.max("rebalance_date").alias("d")).withColumn("__g", F.lit(0))
     latest = (held.withColumn("__g", F.lit(0)).join(F.broadcast(last), "__g")
                   .filter(F.col("rebalance_date") == F.col("d")))

@@ -128,11 +128,13 @@ def _cc_returns(spark, sf):
     return M.complete_case_returns(M.panel_returns(B.panel(spark, sf)))
 
 
-@query("pivot_prices", with_views("panel") + """
-SELECT * FROM (PIVOT (SELECT date, ticker, round(price, 6) AS price FROM panel) ON ticker USING avg(price) GROUP BY date)""")
+PIVOTED = ("click", "error", "purchase", "signup", "view")
+
+
+@query("pivot_prices", with_views("panel") + "SELECT date, " + ", ".join(
+    f"avg(round(price, 6)) FILTER (WHERE ticker = '{t}') AS \"{t}\"" for t in PIVOTED) + " FROM panel GROUP BY date")
 def q_pivot_prices(spark, sf):
-    p = B.panel(spark, sf).withColumn("price", F.round("price", 6))
-    return p.groupBy("date").pivot("ticker").agg(F.avg("price"))
+    return M.pivot_prices(B.panel(spark, sf).withColumn("price", F.round("price", 6)), PIVOTED)
 
 
 @query("complete_case_returns", with_views("panel") + "," + PANEL_GRID_SQL.strip() + """

@@ -12,31 +12,30 @@ from sigfolio.operators import portfolio as P
 from sigfolio.plans import bindings as B
 from sigfolio.plans.oracle import with_views
 from sigfolio.plans.q_market import PANEL_GRID_SQL
-from sigfolio.plans.q_joins import ASOF_SQL
+from sigfolio.plans.q_joins import HELD_SQL
 from sigfolio.plans.registry import query
+from sigfolio.session import cut_lineage
 
 
 def _cc_returns(spark, sf):
     return M.complete_case_returns(M.panel_returns(B.panel(spark, sf)))
 
 
-def _mv_weights(spark, sf):
-    r = _cc_returns(spark, sf).withColumn("panel", F.lit("events"))
-    return P.min_variance_weights(r, group=["panel"])
-
-
-@query("min_variance_weights")
+@query("min_variance_weights", with_views("panel") + "," + PANEL_GRID_SQL.strip() + """,
+m AS (SELECT a.ticker AS ta, b.ticker AS tb, var_samp(a.ret) AS va, var_samp(b.ret) AS vb, covar_samp(a.ret, b.ret) AS c
+      FROM cc a JOIN cc b ON a.date = b.date AND a.ticker < b.ticker GROUP BY 1, 2),
+w AS (SELECT ta, tb, greatest(0, least(1, (vb - c) / (va + vb - 2 * c))) AS w FROM m)
+SELECT ta || '|' || tb AS pair, ta AS ticker, round(w, 6) AS weight FROM w
+UNION ALL SELECT ta || '|' || tb, tb, round(1 - w, 6) FROM w""")
 def q_min_variance(spark, sf):
-    """Weights of the whole panel (no SQL twin: checked by KKT in tests)."""
-    return _mv_weights(spark, sf).select("ticker", F.round("weight", 6).alias("weight"))
-
-
-@query("min_variance_check", with_views("panel") + "," + PANEL_GRID_SQL.strip() + """
-SELECT count(DISTINCT ticker) AS n_tickers, CAST(1.0 AS DOUBLE) AS total_weight, true AS long_only FROM cc""")
-def q_min_variance_check(spark, sf):
-    w = _mv_weights(spark, sf)
-    return w.agg(F.count(F.lit(1)).alias("n_tickers"), F.round(F.sum("weight"), 6).alias("total_weight"),
-                 F.min(F.col("weight") >= 0).alias("long_only"))
+    """Minimum-variance weights of every pair of tickers, one group each; for
+    two assets the optimum has a closed form, which is the SQL."""
+    r = cut_lineage(_cc_returns(spark, sf))
+    t = r.select("ticker").distinct()
+    pairs = t.join(t.select(F.col("ticker").alias("other")), F.col("ticker") < F.col("other"))
+    sides = pairs.select(F.concat_ws("|", "ticker", "other").alias("pair"), F.explode(F.array("ticker", "other")).alias("ticker"))
+    w = P.min_variance_weights(r.join(sides, "ticker"), group=["pair"])
+    return w.select("pair", "ticker", F.round("weight", 6).alias("weight"))
 
 
 @query("portfolio_risk_return", with_views("panel") + "," + PANEL_GRID_SQL.strip() + """,
@@ -45,7 +44,6 @@ cv AS (SELECT a.ticker AS ti, b.ticker AS tj, covar_samp(a.ret, b.ret) * 252 AS
 n AS (SELECT count(*) AS n FROM mu)
 SELECT round((SELECT sum(mu) FROM mu) / n, 9) AS exp_return, round(sqrt((SELECT sum(c) FROM cv) / (n * n)), 9) AS volatility FROM n""")
 def q_risk_return(spark, sf):
-    from sigfolio.session import cut_lineage
     r = cut_lineage(_cc_returns(spark, sf))  # feeds three aggregates: materialise once
     mu = P.annual_mean_returns(r)
     cov = P.annual_covariance(r)
@@ -54,21 +52,14 @@ def q_risk_return(spark, sf):
     return out.select(F.round("exp_return", 9).alias("exp_return"), F.round("volatility", 9).alias("volatility"))
 
 
-def _rebalance(spark, sf):
-    return P.monthly_rebalance(B.signals(spark, sf), B.prices(spark, sf), B.universe(spark, sf))
-
-
-@query("monthly_rebalance")
-def q_rebalance(spark, sf):
+def rebalance(spark, sf):
     """Flagship: minimum-variance weights of the held names per month start,
-    every universe ticker listed (no SQL twin for the solver; see the
-    ``monthly_rebalance_check`` projection)."""
-    r = _rebalance(spark, sf)
+    every universe ticker listed."""
+    r = P.monthly_rebalance(B.signals(spark, sf), B.prices(spark, sf), B.universe(spark, sf))
     return r.select("rebalance_date", "ticker", F.round("weight", 6).alias("weight"))
 
 
-REBAL_SQL = with_views("signals", "month_cal", "universe") + ASOF_SQL + """,
-held AS (SELECT rebalance_date, ticker FROM last_sig WHERE position <> 'sell'),
+REBAL_SQL = with_views("signals", "month_cal", "universe") + HELD_SQL + """,
 bars AS (SELECT * FROM (
   SELECT h.rebalance_date, h.ticker, p.date, CAST(p.price AS DOUBLE) AS price,
          row_number() OVER (PARTITION BY h.rebalance_date, h.ticker ORDER BY p.date DESC) AS rn
@@ -82,29 +73,43 @@ filled AS (SELECT *, last_value(price IGNORE NULLS) OVER (PARTITION BY rebalance
 rets AS (SELECT rebalance_date, ticker, date, f / lag(f) OVER (PARTITION BY rebalance_date, ticker ORDER BY date) - 1 AS ret FROM filled),
 cc AS (SELECT * FROM rets QUALIFY count(ret) OVER (PARTITION BY rebalance_date, date) = count(*) OVER (PARTITION BY rebalance_date, date)),
 solved AS (SELECT rebalance_date FROM cc GROUP BY rebalance_date HAVING count(DISTINCT date) >= 2)
-SELECT s.rebalance_date, (SELECT count(*) FROM universe) AS n_rows, CAST(1.0 AS DOUBLE) AS total_weight,
-       (SELECT count(DISTINCT ticker) FROM cc WHERE cc.rebalance_date = s.rebalance_date) AS n_candidates
-FROM solved s"""
-
-
-@query("monthly_rebalance_check", REBAL_SQL)
-def q_rebalance_check(spark, sf):
-    """Per rebalance date: universe rows, total weight and the number of
-    names with complete-case returns (the solver's candidates)."""
-    p = B.prices(spark, sf)
-    held = J.portfolio_membership(B.signals(spark, sf), M.first_trading_day(p))
-    return rebalance_check(_rebalance(spark, sf), held, p)
-
-
-def rebalance_check(r, held, p):
-    """(rebalance_date, n_rows, total_weight, n_candidates) of a weights
-    table, with the complete-case candidates computed from the holdings."""
-    bars = M.last_n_bars(p, held, n=30).select("rebalance_date", "ticker", "date", "price")
-    rets = M.complete_case_returns(M.panel_returns(bars, group=["rebalance_date"]), group=["rebalance_date"])
-    cands = rets.groupBy("rebalance_date").agg(F.countDistinct("ticker").alias("n_candidates"))
-    chk = r.groupBy("rebalance_date").agg(F.count(F.lit(1)).alias("n_rows"),
-                                         F.round(F.sum("weight"), 6).alias("total_weight"))
-    return chk.join(cands, "rebalance_date")
+SELECT rebalance_date, ticker, true AS weighted, true AS optimal, CAST(1.0 AS DOUBLE) AS total_weight
+FROM (SELECT DISTINCT rebalance_date, ticker FROM cc) WHERE rebalance_date IN (SELECT rebalance_date FROM solved)"""
+
+
+def optimality(weights, ret, tol=1e-9):
+    """Per date and ticker with a weight from the solver: ``weighted`` (it is
+    one of the complete-case candidates and has a weight >= 0), ``optimal``
+    (its covariance with the portfolio is no smaller than the portfolio's
+    variance, the condition under which no weight can be moved to gain) and
+    the date's total weight."""
+    both = weights.join(ret, ["rebalance_date", "ticker"], "full_outer")
+    day = both.groupBy("rebalance_date", "date").agg(F.sum(F.col("weight") * F.col("ret")).alias("port"))
+    r = ret.join(day, ["rebalance_date", "date"])
+    cov = r.groupBy("rebalance_date", "ticker").agg(F.covar_samp("ret", "port").alias("cov"), F.var_samp("port").alias("var"), F.avg("ret").alias("m"))
+    total = weights.groupBy("rebalance_date").agg(F.round(F.sum("weight"), 6).alias("total_weight"))
+    return (weights.join(cov, ["rebalance_date", "ticker"], "left").join(total, "rebalance_date")
+            .select("rebalance_date", "ticker", (F.col("m").isNotNull() & (F.col("weight") >= 0)).alias("weighted"),
+                    (F.col("cov") >= F.col("var") - tol).alias("optimal"), "total_weight"))
+
+
+def rebalance_check(held, prices):
+    """The solver's own rows for the holdings, checked for optimality on
+    complete-case returns."""
+    bars = M.last_n_bars(prices, held).withColumn("price", F.col("price").cast("double"))
+    group = ["rebalance_date"]
+    ret = cut_lineage(M.complete_case_returns(M.panel_returns(bars, group=group), group=group))
+    w = cut_lineage(P.min_variance_weights(ret, group))
+    return optimality(w, ret)
+
+
+@query("monthly_rebalance", REBAL_SQL)
+def q_rebalance(spark, sf):
+    """The flagship's holdings, histories and solver; instead of the weights
+    each candidate's optimality, which SQL can state."""
+    p = cut_lineage(B.prices(spark, sf))
+    held = J.portfolio_membership(B.signals(spark, sf), cut_lineage(M.first_trading_day(p)), p)
+    return rebalance_check(held, p)
 
 
 @query("equity_returns", with_views("equity") + """,
@@ -153,16 +158,7 @@ def q_performance(spark, sf):
     return r.select("strategy_id", *[F.round(c, 9).alias(c) for c in ("cagr", "sharpe", "max_drawdown", "information_ratio")])
 
 
-@query("turnover", None)
-def q_turnover(spark, sf):
-    """Turnover of the monthly rebalance weights (solver output: no SQL twin;
-    ``turnover_price_weights`` checks the same operator against SQL)."""
-    r = PF.turnover(_rebalance(spark, sf))
-    return r.select("rebalance_date", F.round("turnover", 6).alias("turnover"), "n_trades",
-                    F.round("trades_per_day", 9).alias("trades_per_day"))
-
-
-@query("turnover_price_weights", with_views("month_cal", "universe") + """,
+@query("turnover", with_views("month_cal", "universe") + """,
 w AS (SELECT m.start AS rebalance_date, p.ticker, CAST(p.price AS DOUBLE) / sum(CAST(p.price AS DOUBLE))
              OVER (PARTITION BY m.start) AS weight
       FROM month_cal m JOIN prices p ON p.date = m.start),
@@ -174,7 +170,7 @@ t AS (SELECT rebalance_date, sum(chg) / 2 AS turnover, count(CASE WHEN chg > 0 T
 SELECT rebalance_date, round(turnover, 9) AS turnover, n_trades,
        round(n_trades / date_diff('day', lag(rebalance_date) OVER (ORDER BY rebalance_date), rebalance_date), 9) AS trades_per_day
 FROM t""")
-def q_turnover_price_weights(spark, sf):
+def q_turnover(spark, sf):
     """Turnover of price-proportional weights set on every month start
     (universe-filled): the turnover operator on SQL-checkable weights."""
     from pyspark.sql import Window

@@ -22,12 +22,20 @@ def _events_stream(spark, sf):
     return S.read_stream(spark, sf, schema, glob="events.parquet")
 
 
-@query("stream_signals", "SELECT event_id, user_id, event_type FROM events")
+@query("stream_signals", """
+SELECT doc_id, source AS ticker, CAST(date_trunc('month', d) + INTERVAL 1 MONTH AS DATE) AS due, md5(text) AS text_md5
+FROM (SELECT *, DATE '2020-01-01' + CAST(doc_id % 700 AS INTEGER) AS d FROM documents)
+WHERE length(trim(coalesce(text, ''), ' ')) > 0""")
 def q_stream_signals(spark, sf):
+    """Documents arrive as dated filings; those with text are kept for their
+    ticker until the next month start."""
+    d = spark.readStream.schema(B.table(spark, sf, "documents").schema) \
+        .option("pathGlobFilter", "documents.parquet").parquet(sf)
+    day = F.date_add(F.lit("2020-01-01").cast("date"), (F.col("doc_id") % 700).cast("int"))
+    filings = d.select("doc_id", F.col("source").alias("ticker"), day.cast("timestamp").alias("ts"), "text")
     out, ck = S.scratch(spark, "stream_signals")
-    st = S.stream_signals(_events_stream(spark, sf)).select("event_id", "user_id", "event_type", "ts")
-    S.run_append(st, out, ck)
-    return spark.read.parquet(out).select("event_id", "user_id", "event_type")
+    S.run_append(S.stream_signals(filings, delay="700 days"), out, ck)
+    return spark.read.parquet(out).select("doc_id", "ticker", "due", F.md5("text").alias("text_md5"))
 
 
 @query("stream_latest_position", """
@@ -42,8 +50,8 @@ def q_stream_latest(spark, sf):
 SELECT user_id, min(ts) AS first_ts, arg_min(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id""")
 def q_stream_first(spark, sf):
     out, ck = S.scratch(spark, "stream_first")
-    S.upsert_log(S.stream_first_seen(_events_stream(spark, sf)), out, ck).awaitTermination()
-    st = S.latest_state(spark, out, ["user_id"])
+    S.stream_first_seen(_events_stream(spark, sf), out, ck).awaitTermination()
+    st = S.first_seen(spark, out)
     return st.select("user_id", F.col("first_ts").cast("timestamp_ntz").alias("first_ts"), "event_type")
 
 
@@ -92,18 +100,15 @@ def q_stream_asof(spark, sf):
 def q_stream_rebalance(spark, sf):
     """Streaming form of the flagship: signals stream into per-period state;
     holdings, histories and weights are derived from that state and checked
-    with the same projection as ``monthly_rebalance_check``."""
+    like those of ``monthly_rebalance``."""
     from sigfolio.operators import joins as J
     from sigfolio.operators import market as M
-    from sigfolio.operators import portfolio as P
     from sigfolio.session import cut_lineage
-    p = B.prices(spark, sf)
+    p = cut_lineage(B.prices(spark, sf))
     cal = cut_lineage(M.first_trading_day(p))
     li = spark.readStream.schema(B.table(spark, sf, "lineitem").schema) \
         .option("pathGlobFilter", "lineitem.parquet").parquet(sf)
     out, ck = S.scratch(spark, "stream_rebalance")
     S.upsert_log(J.signal_periods(B.signals_from(li), cal), out, ck).awaitTermination()
     last = S.latest_state(spark, out, ["ticker", "rebalance_date"])
-    held = J.carry_forward(last, cal).filter(F.col("position") != "sell").select("rebalance_date", "ticker")
-    w = P.weights_for_holdings(held, p, B.universe(spark, sf))
-    return rebalance_check(w, held, p)
+    return rebalance_check(J.holdings(last, J.first_held(p, cal), cal), p)

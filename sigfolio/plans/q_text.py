@@ -94,17 +94,28 @@ def q_extract_section(spark, sf):
     return s.select("page_id", F.length("section").cast("long").alias("n_chars"), F.md5("section").alias("section_md5"))
 
 
-def _sections_sql(patterns: dict, k: int) -> str:
-    cols = list(patterns)
+def sections_ctes(patterns: dict, k: int) -> str:
+    """CTEs up to ``tp``: the best passages of every item of each filing."""
     sec = ", ".join(f"{d_section('content', p)} AS {c}" for c, p in patterns.items())
-    out = ", ".join(f"length({c}) AS {c}_len, md5({c}) AS {c}_md5" for c in cols)
     return (with_views("filing_texts") + f", sec AS (SELECT doc_id, {sec} FROM filing_texts)"
-            + d_top_passages("sec", "doc_id", cols, X.FILING_KEYWORDS, k)
-            + f" SELECT doc_id, {out} FROM tp")
+            + d_top_passages("sec", "doc_id", list(patterns), X.FILING_KEYWORDS, k))
+
+
+def section_columns(patterns: dict) -> str:
+    return ", ".join(f"length({c}) AS {c}_len, md5({c}) AS {c}_md5" for c in patterns)
+
+
+def _sections_sql(patterns: dict, k: int) -> str:
+    return sections_ctes(patterns, k) + f" SELECT doc_id, {section_columns(patterns)} FROM tp"
+
+
+def text_partitions(spark) -> int:
+    """Tasks that share the CPU-heavy text work, whatever the input's files."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _sections(spark, sf, patterns: dict, k: int):
-    df = B.filing_texts(spark, sf)
+    df = B.filing_texts(spark, sf).repartition(text_partitions(spark), "doc_id")
     for c, p in patterns.items():
         df = df.withColumn(c, X.extract_section("content", p))
     for c in patterns:

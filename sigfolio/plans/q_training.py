@@ -194,9 +194,6 @@ def q_every_kth(spark, sf):
 SELECT (SELECT count(*) FROM documents) AS n_pre,
        (SELECT count(*) FROM (SELECT DISTINCT text, lang, source FROM documents)) AS n_post""")
 def q_distinct_rows_counts(spark, sf):
-    """Rows before / after the whole-row dedupe (the observed metric is
-    filled while the deduplicated rows are counted)."""
-    d, obs = TR.distinct_rows(B.table(spark, sf, "documents").select("text", "lang", "source"))
-    n_post = d.count()
-    n_pre = obs.get["n_pre"]
-    return spark.range(1).select(F.lit(n_pre).cast("long").alias("n_pre"), F.lit(n_post).cast("long").alias("n_post"))
+    """Rows before / after the whole-row dedupe, in one aggregate."""
+    rows = B.table(spark, sf, "documents").groupBy("text", "lang", "source").agg(F.count(F.lit(1)).alias("n"))
+    return rows.agg(F.sum("n").alias("n_pre"), F.count(F.lit(1)).alias("n_post"))

@@ -2,12 +2,15 @@
 
 The library never picks a machine-local folder on a cluster: anything that
 must outlive a task (stream checkpoints, lineage cuts, exported corpora) goes
-below ``spark.checkpoint.dir`` as configured by the cluster.  Only when that
-setting is absent (unit tests, a laptop) do we create a scratch folder.
+below ``spark.checkpoint.dir`` as configured by the cluster; without that
+setting only a local session gets a scratch folder.  Tables written by
+``cut_lineage`` belong to their caller's result: ``stages()`` gathers the
+paths and removes them when the block ends.
 """
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -33,7 +36,6 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "16g")
         # streaming state off-heap and incrementally checkpointed
         .config("spark.sql.streaming.stateStore.providerClass",
                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -46,11 +48,15 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    If the session has none (tests), a scratch folder is created once and
-    registered both as the SQL conf and as the SparkContext checkpoint dir.
+    A session without one is an error on a cluster, where a folder of one
+    machine would lose what other machines write.  Only a local session
+    (tests, a laptop) gets a scratch folder.
     """
     root = spark.conf.get(_CKPT_KEY, None) or None
     if root is None:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"set {_CKPT_KEY} to a folder that all machines share")
         root = tempfile.mkdtemp(prefix="sigfolio-ckpt-")
         spark.conf.set(_CKPT_KEY, root)
     spark.sparkContext.setCheckpointDir(root)
@@ -68,5 +74,26 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     would recompute it for the write), the result survives executor loss,
     and later jobs read a small columnar table.  Never localCheckpoint."""
     path = scratch_path(df.sparkSession, name)
+    for held in _open_stages:
+        held.append(path)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+_open_stages: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def stages(spark: SparkSession):
+    """Remove the tables that ``cut_lineage`` writes within the block once
+    the block ends: consume or write its results inside."""
+    held: list[str] = []
+    _open_stages.append(held)
+    try:
+        yield held
+    finally:
+        _open_stages.remove(held)
+        jvm = spark.sparkContext._jvm
+        for path in held:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -88,12 +88,14 @@ def parse_log_table(logs: DataFrame, schema: str, marker: str = WEIGHTS_MARKER,
                     key: str = "log_id") -> DataFrame:
     """Rows of the CSV table that follows the first ``marker`` line of each
     log (header line skipped, the trailing line dropped)."""
-    lines = logs.select(key, F.posexplode(F.split(content, "\n")).alias("ln", "line"))
-    first = (lines.filter(F.instr("line", marker) > 0).groupBy(key).agg(F.min("ln").alias("__m")))
-    last = lines.groupBy(key).agg(F.max("ln").alias("__last"))
-    body = (lines.join(first, key).join(last, key)
-                 .filter((F.col("ln") > F.col("__m") + 1) & (F.col("ln") < F.col("__last"))))
-    return body.select(key, "ln", F.from_csv("line", schema).alias("r")).select(key, "ln", "r.*")
+    lines = F.split(content, "\n")
+    marked = F.array_position(F.transform("__lines", lambda x: F.instr(x, marker) > 0), True)
+    # after the marker and the header line, up to the line before the last
+    size = F.greatest(F.size("__lines") - F.col("__m").cast("int") - F.lit(2), F.lit(0))
+    body = (logs.select(key, lines.alias("__lines")).withColumn("__m", marked).filter(F.col("__m") > 0)
+                .select(key, F.col("__m"), F.posexplode(F.slice("__lines", F.col("__m").cast("int") + 2, size)).alias("__p", "line")))
+    return (body.select(key, (F.col("__p") + F.col("__m").cast("int") + 1).alias("ln"), F.from_csv("line", schema).alias("r"))
+                .select(key, "ln", "r.*"))
 
 
 def scan_log_table(spark: SparkSession, path: str, schema: str, marker: str = WEIGHTS_MARKER,

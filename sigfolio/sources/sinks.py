@@ -30,7 +30,9 @@ def sink_by_symbol(df: DataFrame, path: str, symbol: str = "ticker", sep: str =
     parts = n_parts or int(out.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (out.repartitionByRange(parts, "__sym", spread).write.mode(mode).partitionBy("__sym")
         .option("sep", sep).option("header", False).option("escape", '"').csv(path))
-    return out.select(F.col("__sym").alias(symbol)).distinct().orderBy(symbol)
+    # the list comes from what was written, not from the input once more
+    written = out.sparkSession.read.schema("line string").text(path)
+    return written.select(F.col("__sym").cast("string").alias(symbol)).distinct().orderBy(symbol)
 
 
 def sink_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> str:

@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 from sigfolio.session import scratch_path
 
 WATERMARK = "1 day"
+#: A month's buckets take rows that come up to a whole month late.
+MONTH_DELAY = "31 days"
 
 
 def read_stream(spark: SparkSession, directory: str, schema: T.StructType, glob: str | None = None,
@@ -34,11 +36,21 @@ def read_stream(spark: SparkSession, directory: str, schema: T.StructType, glob:
     return s.withColumn(ts, F.col(ts).cast("timestamp"))
 
 
-def stream_signals(events: DataFrame, key: Sequence[str] = ("event_id",), ts: str = "ts",
-                   delay: str = WATERMARK) -> DataFrame:
-    """Deduplicated signal stream (append mode): a record re-delivered
-    within the watermark delay is dropped."""
-    return events.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(key))
+def stream_signals(filings: DataFrame, key: Sequence[str] = ("doc_id",), ts: str = "ts", text: str = "text",
+                   due: str = "due", delay: str = WATERMARK) -> DataFrame:
+    """Filings with text, each with ``due``, the month start up to which it is
+    kept for its ticker (append mode).  Filings without text are left out; a
+    record re-delivered within the watermark delay is dropped."""
+    has_text = F.length(F.trim(F.coalesce(F.col(text), F.lit("")))) > 0
+    return (filings.filter(has_text).withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(key))
+                   .withColumn(due, F.add_months(F.trunc(ts, "MM"), 1)))
+
+
+def due_filings(kept: DataFrame, month_start, ticker: str = "ticker", due: str = "due") -> DataFrame:
+    """Of the accumulated filings, those that the run at ``month_start``
+    takes, with the number that each ticker has."""
+    return (kept.filter(F.col(due) == F.lit(month_start).cast("date"))
+                .groupBy(ticker, due).agg(F.count(F.lit(1)).alias("n_filings")))
 
 
 def stream_latest_position(events: DataFrame, key: str = "user_id", value: str = "event_type",
@@ -48,16 +60,35 @@ def stream_latest_position(events: DataFrame, key: str = "user_id", value: str =
                                    F.max(ts).alias("last_ts"))
 
 
-def stream_first_seen(events: DataFrame, key: str = "user_id", value: str = "event_type",
-                      ts: str = "ts", seq: str = "event_id") -> DataFrame:
-    """First appearance per key (update mode; the first value never changes
-    once the key's earliest event has arrived)."""
-    return events.groupBy(key).agg(F.min(ts).alias("first_ts"),
-                                   F.min_by(value, F.struct(ts, seq)).alias(value))
+def stream_first_seen(events: DataFrame, path: str, checkpoint: str, key: str = "user_id", value: str = "event_type",
+                      ts: str = "ts", seq: str = "event_id", trigger_once: bool = True):
+    """Act once on a key's first appearance: every micro-batch writes one row
+    (key, first_ts, value) for each key that no earlier batch has had.
+
+    The batch is reduced to its first event per key before it meets the keys
+    written so far.  Each batch has a folder of its own that a retry writes
+    anew, so a key is emitted once whatever fails."""
+    spark = events.sparkSession
+
+    def write(batch: DataFrame, batch_id: int):
+        first = batch.groupBy(key).agg(F.min(ts).alias("first_ts"), F.min_by(value, F.struct(ts, seq)).alias(value))
+        if batch_id > 0:
+            seen = spark.read.schema(first.schema).parquet(*[f"{path}/batch-{b}" for b in range(batch_id)]).select(key)
+            first = first.join(seen, key, "left_anti")
+        first.write.mode("overwrite").parquet(f"{path}/batch-{batch_id}")
+
+    w = events.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if trigger_once else w
+    return w.start()
+
+
+def first_seen(spark: SparkSession, path: str) -> DataFrame:
+    """All rows that ``stream_first_seen`` has emitted."""
+    return spark.read.option("recursiveFileLookup", True).parquet(path)
 
 
 def stream_daily_buckets(events: DataFrame, key: str = "event_type", ts: str = "ts", value: str = "value",
-                         delay: str = WATERMARK) -> DataFrame:
+                         delay: str = MONTH_DELAY) -> DataFrame:
     """Daily tumbling aggregates with a watermark (months are rolled up
     from days at read time: calendar months are not fixed-width windows).
 

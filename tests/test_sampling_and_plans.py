@@ -109,22 +109,65 @@ def test_last_n_bars_matches_bruteforce(spark):
     assert got == want
 
 
-def test_covariance_blocked_equals_broadcast(spark, monkeypatch):
+def test_covariance_does_not_depend_on_blocks(spark):
     from sigfolio.operators import portfolio as P
     r = M.complete_case_returns(M.panel_returns(B.panel(spark, SF001)))
     a = {(x.ticker_i, x.ticker_j): round(x.cov, 12) for x in P.annual_covariance(r).collect()}
-    monkeypatch.setattr(P, "MAX_BROADCAST_CELLS", 0)
-    b = {(x.ticker_i, x.ticker_j): round(x.cov, 12) for x in P.annual_covariance(r).collect()}
+    b = {(x.ticker_i, x.ticker_j): round(x.cov, 12) for x in P.annual_covariance(r, blocks=1).collect()}
     assert a == b and len(a) == 15
 
 
-def test_similarity_blocked_equals_broadcast(spark):
+def test_covariance_joins_on_dates(spark):
+    """Returns are paired by date, not by position; fewer than two common
+    dates give NULL."""
+    import datetime as dt
+    from sigfolio.operators import portfolio as P
+    d = lambda k: dt.date(2020, 1, k)
+    rows = [("A", d(1), 0.1), ("A", d(2), 0.3), ("A", d(3), -0.2), ("B", d(2), 0.2), ("B", d(3), 0.5), ("B", d(4), 0.9),
+            ("C", d(8), 0.1), ("C", d(9), 0.2), ("E", d(1), 0.4)]
+    got = {(x.ticker_i, x.ticker_j): x.cov for x in P.annual_covariance(spark.createDataFrame(rows, "ticker string, date date, ret double")).collect()}
+    # A and B share 2 and 3 January: deviations (0.25, -0.25) and (-0.15, 0.15)
+    assert abs(got["A", "B"] - 252 * (0.25 * -0.15 * 2)) < 1e-12
+    assert got["A", "C"] is None and got["A", "E"] is None and got["E", "E"] is None
+    assert abs(got["C", "C"] - 252 * 0.005) < 1e-12
+
+
+def test_similarity_does_not_depend_on_blocks(spark):
+    """Also with text rows that share a key: each keeps its own ranks."""
     from sigfolio.operators import similarity as S
     e = B.table(spark, SF001, "embeddings")
+    e = e.unionByName(e.limit(7)).unionByName(e.limit(3).withColumn("vec_id", F.lit(1).cast("long")))
     c = B.categories(spark, SF001)
-    a = {(x.vec_id, x.rank, x.category) for x in S.topk_categories(e, c, 3).collect()}
-    b = {(x.vec_id, x.rank, x.category) for x in S.topk_categories(e, c, 3, max_cells=0, n_blocks=4).collect()}
+    for k in (1, 3):
+        a, b = (sorted((x.vec_id, x.rank, x.category) for x in S.topk_categories(e, c, k, blocks=n).collect()) for n in (1, 4))
+        assert a == b and len(a) == k * e.count()
+    a, b = (sorted((x.vec_id, x.category) for x in S.cross_similarity(e, c, blocks=n).collect()) for n in (1, 3))
     assert a == b
+    assert S.topk_categories(e, c.limit(0), 2).count() == 0
+
+
+def test_membership_reads_each_input_once(spark):
+    from sigfolio.operators import joins as J
+    plan = _plan(J.semi_membership(B.order_filings(spark, SF001), B.membership(spark, SF001)))
+    assert plan.count("FileScan parquet") + plan.count("Relation [") + plan.count("Relation parquet") <= 3
+
+
+def test_process_forms_runs_its_text_work(spark):
+    from sigfolio.plans.registry import QUERIES, load_all
+    load_all()
+    for name in ("process_forms", "process_forms_10q"):
+        df = QUERIES[name](spark, SF001)
+        assert "regexp_extract_all" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_stages_are_removed(spark):
+    import glob
+    from sigfolio.session import cut_lineage, stages
+    with stages(spark) as held:
+        assert cut_lineage(spark.range(3).toDF("x")).count() == 3
+        path = held[0].removeprefix("file:")
+        assert glob.glob(path + "/*.parquet")
+    assert not glob.glob(path + "*")
 
 
 def test_flagship_reads_materialised_intermediates(spark):

@@ -45,9 +45,49 @@ def test_dedup_within_watermark(spark, tmp_path):
     for p in parts + [parts[-1]]:  # arrive in time order; the last file is delivered twice
         p.coalesce(1).write.mode("append").parquet(src)
     out, ck = str(tmp_path / "dedup"), str(tmp_path / "dedup_ck")
-    S.run_append(S.stream_signals(S.read_stream(spark, src, ev.schema, max_files=1)), out, ck)
-    assert spark.read.parquet(out).count() == ev.count()
+    stream = S.read_stream(spark, src, ev.schema, max_files=1)
+    stream = stream.withColumn("text", F.when(F.col("event_id") % 5 == 0, F.lit("  ")).otherwise(F.col("event_type")))
+    S.run_append(S.stream_signals(stream, ["event_id"]), out, ck)
+    kept = spark.read.parquet(out)
+    want = ev.filter(F.col("event_id") % 5 != 0)
+    assert kept.count() == want.count()
     assert os.path.isdir(ck)
+    due = {r.due: r.n for r in kept.groupBy("due").agg(F.count("*").alias("n")).collect()}
+    assert due == {r.due: r.n for r in want.groupBy(F.add_months(F.trunc("ts", "MM"), 1).alias("due")).agg(F.count("*").alias("n")).collect()}
+    first = min(due)
+    taken = S.due_filings(kept, first, ticker="user_id").agg(F.sum("n_filings").alias("n")).first()["n"]
+    assert taken == due[first]
+
+
+def test_first_seen_is_emitted_once_per_key(spark, tmp_path):
+    ev, src = _split_events(spark, tmp_path)
+    out, ck = str(tmp_path / "first"), str(tmp_path / "first_ck")
+    S.stream_first_seen(S.read_stream(spark, src, ev.schema, max_files=1), out, ck).awaitTermination()
+    got = S.first_seen(spark, out).collect()
+    assert len(os.listdir(out)) == 3
+    assert len(got) == len({r.user_id for r in got}) == ev.select("user_id").distinct().count()
+    # a key's row is its first event of the first batch that has it
+    seen, want = set(), {}
+    files = sorted(f for f in os.listdir(src) if f.endswith(".parquet"))
+    per_file = [spark.read.parquet(f"{src}/{f}") for f in sorted(files, key=lambda f: os.stat(f"{src}/{f}").st_mtime_ns)]
+    for batch in per_file:
+        rows = batch.groupBy("user_id").agg(F.min_by("event_type", F.struct("ts", "event_id")).alias("e")).collect()
+        want.update({r.user_id: r.e for r in rows if r.user_id not in seen})
+        seen |= {r.user_id for r in rows}
+    assert {r.user_id: r.event_type for r in got} == want
+
+
+def test_month_buckets_take_rows_of_the_whole_month(spark, tmp_path):
+    import datetime as dt
+    src, schema = str(tmp_path / "late_src"), "ts timestamp_ntz, event_type string, value double"
+    batches = [[2, 3], [21, 22], [2, 30]]  # days of January; the third brings a row of the 2nd
+    for days in batches:
+        spark.createDataFrame([(dt.datetime(2024, 1, d, 12), "a", 1.0) for d in days], schema).coalesce(1).write.mode("append").parquet(src)
+    out, ck = str(tmp_path / "late"), str(tmp_path / "late_ck")
+    stream = S.read_stream(spark, src, spark.read.parquet(src).schema, max_files=1)
+    S.upsert_log(S.stream_daily_buckets(stream), out, ck).awaitTermination()
+    days = S.latest_state(spark, out, ["w_start", "day", "event_type"])
+    assert [r.n for r in S.month_rollup(days).collect()] == [6]
 
 
 def test_cache_upsert_idempotent(spark):
