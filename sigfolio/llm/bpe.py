@@ -191,6 +191,8 @@ class TextCodec:
         self.vocab = Vocabulary(raw)
         self.trie = TrieEncoder(self.vocab)
         self.words = regex.compile(WORDS).findall
+        self.border = regex.compile(r"(?<=\S) (?=\S)")
+        self.part_chars = 1_000_000
         self.added = regex.compile("(" + "|".join(map(regex.escape, self.vocab.added)) + ")") if self.vocab.added else None
         self.known: dict[str, bytes] = {}
         self.max_words = max_words
@@ -207,21 +209,50 @@ class TextCodec:
                 out += self.words(part)
         return out
 
+    def parts(self, text: str, size: int | None = None) -> Iterator[str]:
+        """A long text some ``size`` characters at a time, cut before a lone
+        space between two visible characters: no word spans such a place."""
+        at, size = 0, size or self.part_chars
+        while len(text) - at > size:
+            m = self.border.search(text, at + size)
+            if m is None:
+                break
+            yield text[at:m.start()]
+            at = m.start()
+        yield text[at:] if at else text
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text; GROUP_CHARS of text at a time."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        group, size = [], 0
+        for k, text in enumerate(texts):
+            for part in self.parts(text):
+                group.append((k, part))
+                size += len(part)
+                if size >= GROUP_CHARS:
+                    self.encode_group(group, out)
+                    group, size = [], 0
+        self.encode_group(group, out)
+        return [b"".join(x) for x in out]
+
+    def encode_group(self, group: list[tuple[int, str]], out: list[list[bytes]]) -> None:
         if len(self.known) > self.max_words:
             self.known = {}
-        cut = [self.pieces(t) for t in texts]
+        cut = [self.pieces(t) for _, t in group]
         new = set().union(*cut).difference(self.known) if cut else set()
         by_bytes = {w.encode(): w for w in new if isinstance(w, str)}
         fresh = {w: i.to_bytes(4, "little") for w in new if isinstance(i := w, int)}
         for word, packed in self.trie.encode(by_bytes):
             fresh[by_bytes[word]] = packed
         self.known.update(fresh)
-        return [b"".join(map(self.known.__getitem__, c)) for c in cut]
+        for (k, _), c in zip(group, cut):
+            out[k].append(b"".join(map(self.known.__getitem__, c)))
 
     def decode(self, packed: bytes) -> str:
         """Text of the ids; bytes that are no UTF-8 become U+FFFD."""
-        return b"".join(map(self.vocab.bytes.__getitem__, np.frombuffer(packed, "<u4").tolist())).decode("utf-8", "replace")
+        ids, token = np.frombuffer(packed, "<u4"), self.vocab.bytes.__getitem__
+        parts = (b"".join(map(token, ids[a:a + 1_000_000].tolist())) for a in range(0, len(ids), 1_000_000))
+        return b"".join(parts).decode("utf-8", "replace")
 
 
 def encode_decode(df: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -47,6 +47,8 @@ GROUP_BYTES = 8 << 20
 BUCKET_BYTES = 8 << 20
 PACK_BYTES = 256 << 10
 BLOCK_BYTES = 2 << 20
+#: Texts are hashed this many bytes at a time, however long one is.
+SLICE_BYTES = 256 << 10
 #: A minimiser that more texts have is sent window by window.
 HOT_TEXTS = 4096
 #: Stands for a NULL id: after all others.
@@ -88,37 +90,40 @@ def slide(f, x: np.ndarray, w: int) -> np.ndarray:
     return f(x[:len(x) - (w - length)], x[w - length:]) if w > length else x
 
 
-def window_strings(texts: list[bytes], width: int = WIDTH, k: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Minimiser strings of some texts: the concatenated bytes and, per
-    string, its first window's place, number of windows, minimiser hash and
-    text number.  Windows never cross texts."""
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    none = np.array([], np.int64)
-    if len(data) < width:
-        return data, none, none, none.astype(np.uint64), none
-    sizes = np.array([len(t) for t in texts])
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    inside = owner[:len(data) - width + 1] == owner[width - 1:]
-    h = gram_hashes(data, k) | np.uint64(1)
-    span = width - k + 1
-    least = slide(np.minimum, h, span)
-    least[~inside] = 0
-    pad = np.zeros(span - 1, np.uint64)
-    picked = np.flatnonzero(h == slide(np.maximum, np.concatenate([pad, least, pad]), span))
-    at = np.flatnonzero(inside)
-    if not len(at):
-        return data, none, none, none.astype(np.uint64), none
-    index = np.searchsorted(picked, at)
-    wrong = np.arange(len(at))
-    while True:  # the leftmost place of the least hash
-        wrong = wrong[h[picked[index[wrong]]] != least[at[wrong]]]
-        if not len(wrong):
-            break
-        index[wrong] += 1
-    place = picked[index]
-    first = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)])
-    count = np.diff(np.r_[first, len(at)])
-    return data, at[first], count, h[place[first]], owner[at[first]]
+def window_strings(texts: list[bytes], width: int = WIDTH, k: int = GRAM, slice_bytes: int = SLICE_BYTES) -> Iterator[tuple]:
+    """Minimiser strings of some texts, laid end to end, a slice of them at a
+    time: the slice's place and bytes and, per string, its first window's
+    place in the slice, number of windows, minimiser hash and text number.
+    Windows never cross texts; a string ends where a slice does."""
+    joined = b"".join(texts)
+    every = np.frombuffer(joined, np.uint8)
+    ends = np.cumsum([len(t) for t in texts])
+    begins = ends - [len(t) for t in texts]
+    for base in range(0, len(every) - width + 1, slice_bytes):
+        data = every[base:base + slice_bytes + width - 1]
+        part = np.maximum(np.minimum(ends, base + len(data)) - np.maximum(begins, base), 0)
+        owner = np.repeat(np.arange(len(texts)), part)
+        inside = owner[:len(data) - width + 1] == owner[width - 1:]
+        at = np.flatnonzero(inside)
+        if not len(at):
+            continue
+        h = gram_hashes(data, k) | np.uint64(1)
+        span = width - k + 1
+        least = slide(np.minimum, h, span)
+        least[~inside] = 0
+        pad = np.zeros(span - 1, np.uint64)
+        picked = np.flatnonzero(h == slide(np.maximum, np.concatenate([pad, least, pad]), span))
+        index = np.searchsorted(picked, at)
+        wrong = np.arange(len(at))
+        while True:  # the leftmost place of the least hash
+            wrong = wrong[h[picked[index[wrong]]] != least[at[wrong]]]
+            if not len(wrong):
+                break
+            index[wrong] += 1
+        place = picked[index]
+        first = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)])
+        count = np.diff(np.r_[first, len(at)])
+        yield base, data, at[first], count, h[place[first]], owner[at[first]]
 
 
 def longest_previous(data: np.ndarray, starts: np.ndarray, order: np.ndarray, width: int) -> np.ndarray:
@@ -254,12 +259,20 @@ class Group:
         self.grp = (packs.column("grp").to_pylist() or [0])[0]
 
     def strings(self):
-        """Per pack: bytes, places, windows, hashes (even) and ids of its
-        strings, and its texts; whole copies left out."""
+        """Per slice of a pack: its place in the group's texts, its bytes and
+        the places, windows, hashes (even), ids and text numbers of its
+        strings.  Whole copies are left out."""
+        base = number = 0
         for first, ids, texts in self.packs:
             own = [b"" if first + k in self.copies else t for k, t in enumerate(texts)]
-            data, at, count, h, owner = window_strings(own)
-            yield data, at, count, h & ~np.uint64(1), ids[owner] if len(owner) else owner, own
+            for begin, data, at, count, h, owner in window_strings(own):
+                yield base + begin, data, at, count, h & ~np.uint64(1), ids[owner], number + owner
+            base += sum(map(len, own))
+            number += len(own)
+
+    def bytes(self) -> np.ndarray:
+        """All texts but whole copies, end to end."""
+        return np.frombuffer(b"".join(t for first, _, texts in self.packs for k, t in enumerate(texts) if first + k not in self.copies), np.uint8)
 
     def kept(self, h: np.ndarray, which: np.ndarray) -> np.ndarray:
         if not len(which):
@@ -269,8 +282,8 @@ class Group:
     def units(self) -> Units:
         """The strings with shared minimisers, those of hot ones as single
         windows, numbered by the order of their hashes."""
-        parts, blobs, base = [], [], 0
-        for data, at, count, h, ids, _ in self.strings():
+        parts = []
+        for base, data, at, count, h, ids, _ in self.strings():
             keep = self.kept(h, self.shared)
             at, count, h, ids = at[keep], count[keep], h[keep], ids[keep]
             hot = self.kept(h, self.hot)
@@ -281,10 +294,8 @@ class Group:
             own = string_hashes(data, at, at + count + WIDTH - 1)
             single = mix(own[len(own) - len(each):] + np.uint64(1)) & ~np.uint64(1)
             parts.append((at + base, count, np.r_[h[cold], single], own, np.r_[ids[cold], np.repeat(ids[hot], n)]))
-            blobs.append(data)
-            base += len(data)
         at, count, h, own, ids = (np.concatenate(x) for x in zip(*parts)) if parts else [np.zeros(0, np.int64)] * 5
-        return Units(np.concatenate(blobs) if blobs else np.zeros(0, np.uint8), at, count, h, own, ids)
+        return Units(self.bytes(), at, count, h, own, ids)
 
 
 class Units:
@@ -320,12 +331,9 @@ def tell_minimisers(buckets: int):
     def run(packs: pa.Table, told: pa.Table) -> pa.Table:
         group = Group(packs, told)
         hashes, texts = [], []
-        base = 0
-        for data, at, _, h, _, own in group.strings():
-            ends = np.cumsum([len(t) for t in own])
+        for _, _, _, _, h, _, number in group.strings():
             hashes.append(h)
-            texts.append(base + np.searchsorted(ends, at, side="right"))
-            base += len(own)
+            texts.append(number)
         h, t = (np.concatenate(x) if x else np.array([], np.uint64) for x in (hashes, texts))
         order = np.lexsort((t, h))
         h, t = h[order], t[order]
@@ -420,6 +428,27 @@ def find_previous(rows: pa.Table) -> pa.Table:
     return answers(rows.column("grp").to_pylist(), "answers", [pairs[keep & (where == k)].tobytes() for k in range(rows.num_rows)])
 
 
+def cover(starts: np.ndarray, width: int, slice_bytes: int = SLICE_BYTES) -> np.ndarray:
+    """Bytes that a window starting at one of ``starts`` (flags) covers."""
+    out = np.zeros(len(starts), bool)
+    for a in range(0, len(starts), slice_bytes):
+        back = max(0, a - width + 1)
+        total = np.r_[0, np.cumsum(starts[back:a + slice_bytes], dtype=np.int32)]
+        at = np.arange(a - back, len(total) - 1)
+        out[a:a + slice_bytes] = total[at + 1] > total[np.maximum(at + 1 - width, 0)]
+    return out
+
+
+def whole(raw: np.ndarray, drop: np.ndarray) -> np.ndarray:
+    """``drop`` without the bytes of characters that keep another byte."""
+    keep, inner = ~drop, (raw & 0xC0) == 0x80
+    for _ in range(3):  # a kept inner byte keeps the ones before it
+        keep[:-1] |= keep[1:] & inner[1:]
+    for _ in range(3):  # and a kept byte the inner ones after it
+        keep[1:] |= keep[:-1] & inner[1:]
+    return ~keep
+
+
 KINDS = {"key": pa.string(), "kept": pa.binary()}
 
 
@@ -429,15 +458,12 @@ def apply_answers(whole_chars: bool):
         u = group.units()
         bits = np.zeros(len(u.where), np.uint64)
         bits[group.answers[:, 0]] = group.answers[:, 1]
-        whole = (np.uint64(1) << u.count.astype(np.uint64)) - np.uint64(1)
-        mask = np.where(u.ids > u.least[u.number], whole, bits[u.number]) if len(u.at) else bits
-        gone = np.zeros(len(u.data) + WIDTH, np.int32)  # windows that go, then bytes that such a window covers
+        every = (np.uint64(1) << u.count.astype(np.uint64)) - np.uint64(1)
+        mask = np.where(u.ids > u.least[u.number], every, bits[u.number]) if len(u.at) else bits
+        gone = np.zeros(len(u.data), bool)
         for k in range(int(u.count.max()) if len(u.at) else 0):
-            gone[u.at[(mask >> np.uint64(k)) & np.uint64(1) > 0] + k] = 1
-        gone = np.cumsum(gone[:len(u.data)], dtype=np.int32)
-        covered = gone.copy()
-        covered[WIDTH:] -= gone[:-WIDTH]
-        covered, begin = covered > 0, 0
+            gone[u.at[(mask >> np.uint64(k)) & np.uint64(1) > 0] + k] = True
+        covered, begin = cover(gone, WIDTH), 0
         out = {c: [] for c in ("doc_id", "key", "n_bytes", "n_removed", "n_spans", "kept")}
         for first, ids, texts in group.packs:
             for k, (i, text) in enumerate(zip(ids.tolist(), texts)):
@@ -448,8 +474,7 @@ def apply_answers(whole_chars: bool):
                     begin += len(text)
                 raw = np.frombuffer(text, np.uint8)
                 if whole_chars and drop.any():
-                    head = np.flatnonzero((raw & 0xC0) != 0x80)
-                    drop = np.repeat(np.minimum.reduceat(drop.astype(np.uint8), head), np.diff(np.r_[head, len(raw)])).astype(bool)
+                    drop = whole(raw, drop)
                 out["doc_id"].append(None if i == LAST else i)
                 out["key"].append(group.keys[first][k])
                 out["n_bytes"].append(len(text))

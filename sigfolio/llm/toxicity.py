@@ -47,12 +47,27 @@ GROUPS = 3
 PATTERNS = ("shouting", "censored", "exclaiming", "repeating")
 
 WORD = re.compile(r"[^\W\d_]+")
+SPACE = re.compile(r"\s")
 CENSORED = re.compile(r"\b[^\W\d_]+[*#@$%]{2,}[^\W\d_]*")
 
 
+def pieces(text: str, size: int = 1_000_000) -> Iterator[str]:
+    """A long text some ``size`` characters at a time, cut at white space."""
+    at = 0
+    while len(text) - at > size:
+        m = SPACE.search(text, at + size)
+        if m is None:
+            break
+        yield text[at:m.start()]
+        at = m.start()
+    yield text[at:] if at else text
+
+
 def terms(text: str) -> set[str]:
     """Distinct words ("w:...") and beginnings of longer words ("4:...")."""
-    words = set(WORD.findall(text.lower()))
+    words: set[str] = set()
+    for part in pieces(text):
+        words.update(WORD.findall(part.lower()))
     out = {"w:" + w for w in words}
     for n in PREFIXES:
         out.update(f"{n}:{w[:n]}" for w in words if len(w) > n)
@@ -61,10 +76,12 @@ def terms(text: str) -> set[str]:
 
 def pattern_votes(text: str) -> list[int]:
     upper = sum(map(text.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-    words = text.split()
-    top = Counter(words).most_common(1)[0][1] if words else 0
+    count: Counter = Counter()
+    for part in pieces(text):
+        count.update(part.split())
+    words, top = count.total(), max(count.values(), default=0)
     return [int(upper >= 20 and upper > 0.5 * len(text)), int(CENSORED.search(text) is not None),
-            int("!!" in text), int(len(words) >= 20 and top > 0.3 * len(words))]
+            int("!!" in text), int(words >= 20 and top > 0.3 * words)]
 
 
 @dataclass

@@ -61,6 +61,14 @@ def test_small_tables_start_afresh_with_equal_results(codec):
     assert [small.encode_batch([t])[0] for t in texts] == codec.encode_batch(texts)
 
 
+def test_long_texts_in_parts_give_equal_ids(codec):
+    with open(tokenizer_file(), "rb") as f:
+        other = bpe.TextCodec(f.read())
+    other.part_chars = 40
+    texts = odd_texts() + ["don't we'll  do a\tthing <|endoftext|> and\n\nmore 12 345!? " * 50]
+    assert other.encode_batch(texts) == codec.encode_batch(texts)
+
+
 def test_query_digests(spark, reference):
     rows = [(1, "Hello world, hello  trie"), (2, None), (3, ""), (None, "a"), (1, "Hello world, hello  trie"), (5, "long " * 20000)]
     got = sorted(map(tuple, bpe_digests(docs_frame(spark, rows)).collect()), key=repr)

@@ -54,6 +54,7 @@ def test_matches_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(sd, "HOT_TEXTS", hot)
     monkeypatch.setattr(sd, "PACK_BYTES", 700)
     monkeypatch.setattr(sd, "BLOCK_BYTES", 500)
+    monkeypatch.setattr(sd, "SLICE_BYTES", 400)
     assert collect(sd.dedup(docs_frame(spark, rows), group_bytes=4000, bucket_bytes=3000)) == brute(rows)
 
 
@@ -91,13 +92,35 @@ def test_longest_previous_factor_is_exact():
 def test_every_window_has_its_string():
     rng = random.Random(2)
     texts = [bytes(rng.choice(b"abc ") for _ in range(rng.randint(0, 400))) for _ in range(20)]
-    data, at, count, _, owner = sd.window_strings(texts)
-    seen = sorted(p + k for p, c in zip(at, count) for k in range(c))
+    for size in (sd.SLICE_BYTES, 100):
+        parts = list(sd.window_strings(texts, slice_bytes=size))
+        seen = sorted(base + p + k for base, _, at, count, _, _ in parts for p, c in zip(at, count) for k in range(c))
+        check_windows(texts, seen)
+        assert all((count <= 50 - sd.GRAM + 1).all() for _, _, _, count, _, _ in parts)
+
+
+def check_windows(texts, seen):
     ends, want = 0, []
     for t in texts:
         want += range(ends, ends + max(0, len(t) - 49))
         ends += len(t)
-    assert seen == want and (count <= 50 - sd.GRAM + 1).all()
+    assert seen == want
+
+
+def test_cover_and_whole_characters():
+    rng = np.random.default_rng(0)
+    starts = rng.random(1000) < 0.01
+    want = np.array([starts[max(0, i - 49):i + 1].any() for i in range(1000)])
+    assert all((sd.cover(starts, 50, n) == want).all() for n in (1 << 18, 64, 1))
+    raw = np.frombuffer("aé中😀b".encode() * 20, np.uint8)
+    drop = rng.random(len(raw)) < 0.8
+    kept = raw[~sd.whole(raw, drop)].tobytes().decode()
+    at, want = 0, ""
+    for c in "aé中😀b" * 20:
+        n = len(c.encode())
+        want += "" if drop[at:at + n].all() else c
+        at += n
+    assert kept == want
 
 
 def test_empty_table(spark):
