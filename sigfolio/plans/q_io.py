@@ -13,6 +13,7 @@ from sigfolio.operators import classify as CL
 from sigfolio.operators import market as M
 from sigfolio.operators.filings import file_counts, process_forms
 from sigfolio.plans import bindings as B
+from sigfolio.plans import q_training as TR
 from sigfolio.plans.oracle import with_views
 from sigfolio.plans.registry import query
 from sigfolio.session import scratch_path
@@ -49,14 +50,15 @@ def q_symbols_file(spark, sf):
     return SNK.sink_by_symbol(B.prices(spark, sf), path)
 
 
-@query("scan_jsonl", with_views("training_table") + """
-SELECT CAST(doc_id AS VARCHAR) AS custom_id, 'POST' AS method FROM training_table""")
+@query("scan_jsonl", with_views("training_table") + f"""
+SELECT CAST(doc_id AS VARCHAR) AS custom_id, 'POST' AS method, md5({TR.PROMPT_SQL}) AS user_md5 FROM training_table""")
 def q_scan_jsonl(spark, sf):
     from sigfolio.operators.messages import batch_requests
     path = scratch_path(spark, "requests_jsonl")
-    req = batch_requests(B.training_table(spark, sf), "doc_id", ["text", "lang", "source"], ["buy", "sell"])
+    req = batch_requests(B.training_table(spark, sf), "doc_id", TR.TEXT_COLS, TR.CATS)
     SNK.sink_jsonl(req.select("value"), path)
-    return SRC.scan_jsonl(spark, path, "custom_id string, method string")
+    back = SRC.scan_jsonl(spark, path, "custom_id string, method string, body struct<messages: array<struct<role: string, content: string>>>")
+    return back.select("custom_id", "method", F.md5(F.col("body.messages")[1]["content"]).alias("user_md5"))
 
 
 @query("scan_json_doc", with_views("panel") + """
@@ -281,21 +283,27 @@ def q_sink_delimited(spark, sf):
     return back.select("doc_id", F.md5("text").alias("text_md5"))
 
 
-@query("sink_jsonl", with_views("training_table") + """
-SELECT 3 AS n_messages, truth AS assistant FROM training_table""")
+@query("sink_jsonl", with_views("training_table") + f"""
+SELECT 3 AS n_messages, md5({TR.PROMPT_SQL}) AS user_md5, truth AS assistant FROM training_table""")
 def q_sink_jsonl(spark, sf):
     from sigfolio.operators import messages as MS
     path = scratch_path(spark, "train_jsonl")
     t = B.training_table(spark, sf).withColumnRenamed("truth", MS.TRUE_CATEGORY)
-    SNK.sink_jsonl(MS.training_records(t, ["text", "lang", "source", MS.TRUE_CATEGORY], ["buy", "sell"]), path)
+    SNK.sink_jsonl(MS.training_records(t, TR.TEXT_COLS + [MS.TRUE_CATEGORY], TR.CATS), path)
     back = SRC.scan_jsonl(spark, path, "messages array<struct<role: string, content: string>>")
-    return back.select(F.size("messages").alias("n_messages"), F.col("messages")[2]["content"].alias("assistant"))
-
-
-@query("sink_report", with_views("scored") + """
-SELECT round(avg(CASE WHEN lower(true_category) = lower(llm_model_category) THEN 1.0 ELSE 0.0 END), 12) AS accuracy,
-       4 AS n_cells, 5 AS n_report_rows
-FROM scored""")
+    return back.select(F.size("messages").alias("n_messages"), F.md5(F.col("messages")[1]["content"]).alias("user_md5"),
+                       F.col("messages")[2]["content"].alias("assistant"))
+
+
+@query("sink_report", with_views("scored") + """,
+s AS (SELECT lower(coalesce(true_category, '')) AS t, lower(coalesce(llm_model_category, '')) AS p FROM scored),
+l AS (SELECT DISTINCT t FROM s),
+m AS (SELECT a.t || '>' || b.t || '=' || CAST((SELECT count(*) FROM s WHERE s.t = a.t AND s.p = b.t) AS VARCHAR) AS cell FROM l a, l b),
+r AS (SELECT l.t || ':' || CAST((SELECT count(*) FROM s WHERE s.t = l.t) AS VARCHAR) || ':'
+  || CAST(CAST(round(coalesce((SELECT count(*) FROM s WHERE s.t = l.t AND s.p = l.t) * 1.0 / nullif((SELECT count(*) FROM s WHERE s.p = l.t), 0), 0) * 1e6) AS BIGINT) AS VARCHAR) AS line FROM l)
+SELECT round(avg(CASE WHEN t = p THEN 1.0 ELSE 0.0 END), 12) AS accuracy,
+       (SELECT string_agg(cell, ',' ORDER BY cell) FROM m) AS cells, (SELECT string_agg(line, ',' ORDER BY line) FROM r) AS report
+FROM s""")
 def q_sink_report(spark, sf):
     from sigfolio.operators import evaluate as E
     s = E.prepare(B.scored(spark, sf), "true_category", "llm_model_category")
@@ -303,8 +311,12 @@ def q_sink_report(spark, sf):
     path = scratch_path(spark, "report")
     SNK.sink_report(rep, path)
     back = spark.read.schema(rep.schema).json(path)
-    return back.select(F.round("accuracy", 12).alias("accuracy"), F.size("confusion_matrix").alias("n_cells"),
-                       F.size("classification_report").alias("n_report_rows"))
+    text = lambda *parts: F.concat(*[x.cast("string") if not isinstance(x, str) else F.lit(x) for x in parts])
+    cells = F.transform("confusion_matrix", lambda c: text(c["true_label"], ">", c["pred_label"], "=", c["n"]))
+    labels = F.filter("classification_report", lambda r: ~r["label"].isin("accuracy", "macro avg", "weighted avg", "micro avg"))
+    lines = F.transform(labels, lambda r: text(r["label"], ":", r["support"], ":", F.round(r["precision"] * 1e6).cast("long")))
+    return back.select(F.round("accuracy", 12).alias("accuracy"), F.array_join(F.sort_array(cells), ",").alias("cells"),
+                       F.array_join(F.sort_array(lines), ",").alias("report"))
 
 
 @query("compact_filings", with_views("filing_texts") + """
