@@ -183,7 +183,15 @@ def resample_bars(df: DataFrame, duration: str = "1 day", key="ticker", ts="ts",
 def last_n_bars(prices: DataFrame, requests: DataFrame, n: int = HISTORY_BARS, key="ticker",
                 order="date", at="rebalance_date", inclusive: bool = False) -> DataFrame:
     """For each request (key, at): the last n bars of ``key`` dated strictly
-    before ``at`` (or on/before when ``inclusive``).
+    before ``at`` (or on/before when ``inclusive``), a row each."""
+    slices = bar_slices(prices, requests, n, key, order, at, inclusive)
+    return slices.select(key, at, F.explode("bars").alias("__b")).select(key, at, "__b.*")
+
+
+def bar_slices(prices: DataFrame, requests: DataFrame, n: int = HISTORY_BARS, key="ticker",
+               order="date", at="rebalance_date", inclusive: bool = False) -> DataFrame:
+    """(key, at, bars): the bars of ``last_n_bars`` as one sorted array per
+    request; requests without any bar have no row.
 
     One exchange on the key: bars and requests are counted in one ordered
     pass, folded into one row per key (its bars, bounded by the trading
@@ -205,5 +213,5 @@ def last_n_bars(prices: DataFrame, requests: DataFrame, n: int = HISTORY_BARS, k
     lo = F.greatest(F.col("__a.__n") - n + 1, F.lit(1))
     return (per_key.select(key, "__bars", F.explode("__asked").alias("__a"))
                    .select(key, F.col("__a")[at].alias(at),
-                           F.explode(F.slice("__bars", lo.cast("int"), (F.col("__a.__n") - lo + 1).cast("int"))).alias("__b"))
-                   .select(key, at, "__b.__bar.*"))
+                           F.transform(F.slice("__bars", lo.cast("int"), (F.col("__a.__n") - lo + 1).cast("int")),
+                                       lambda b: b["__bar"]).alias("bars")))

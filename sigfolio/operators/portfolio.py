@@ -1,12 +1,12 @@
 """Portfolio construction: moments, minimum-variance weights, scaling,
 risk/return and the monthly rebalance composition.
 
-All rebalance dates are solved at once: moments, histories and returns are
-Spark jobs grouped by ``rebalance_date``; only the final quadratic program
-runs in numpy inside ``applyInPandas``, one group per rebalance date.  A
-group is one row per held name with its returns over the complete-case dates
-(at most 29 of 30 bars), so its size grows with the names held, which nothing
-caps: the program couples all names of a portfolio.
+All rebalance dates are solved at once: holdings and histories are Spark jobs
+grouped by ``rebalance_date``; only the calendar of a group's returns and the
+quadratic program are numpy inside ``applyInPandas``, one group per rebalance
+date.  A group is one row per held name with its at most 30 bars, so its size
+grows with the names held, which nothing caps: the program couples all names
+of a portfolio.
 """
 
 from __future__ import annotations
@@ -166,15 +166,41 @@ def min_variance_weights(ret: DataFrame, group: Sequence[str] = ("rebalance_date
     return vec.groupBy(*group).applyInPandas(_solver(group), schema + ", ticker string, weight double")
 
 
-def min_variance_from_prices(bars: DataFrame, group: Sequence[str] = ("rebalance_date",),
-                             key="ticker", order="date", value="price") -> DataFrame:
-    """Weights per group from price bars: forward-filled returns on the union
-    of the group's dates and complete cases (a zero previous price drops
-    that date) as Spark windows, then ``min_variance_weights``."""
-    group = list(group)
-    bars = bars.withColumn(value, F.col(value).cast("double"))
-    ret = M.panel_returns(bars, key, order, value, "ret", group)
-    return min_variance_weights(M.complete_case_returns(ret, key, order, "ret", group), group, key, order, "ret")
+def complete_returns(dates: Sequence[np.ndarray], prices: Sequence[np.ndarray]) -> np.ndarray:
+    """(T x N) simple returns of N price series on the union of their dates:
+    each series carries its last price forward, and only dates on which all
+    have a finite return stay (a zero previous price drops a date)."""
+    calendar = np.unique(np.concatenate(dates))
+    filled = np.full((len(calendar), len(dates)), np.nan)
+    for j, (d, p) in enumerate(zip(dates, prices)):
+        days, of = np.unique(d, return_inverse=True)  # a day's prices are averaged
+        mean = np.bincount(of, weights=p) / np.bincount(of)
+        last = np.searchsorted(days, calendar, side="right") - 1
+        filled[last >= 0, j] = mean[last[last >= 0]]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ret = filled[1:] / filled[:-1] - 1
+    return ret[np.isfinite(ret).all(axis=1)]
+
+
+def min_variance_from_slices(slices: DataFrame, group: str = "rebalance_date", key="ticker", order="date",
+                             value="price") -> DataFrame:
+    """Weights per group from ``market.bar_slices``: one row per name with its
+    at most n bars goes to the group's task, which puts them on one calendar
+    and solves.  (As Spark rows, that calendar would be names x the union of
+    their dates, many times the bars.)"""
+    known = F.filter("bars", lambda b: b[value].isNotNull())
+    rows = slices.select(F.col(group), F.col(key).alias("ticker"), known.alias("__b")).filter(F.size("__b") > 0).select(
+        group, "ticker", F.transform("__b", lambda b: F.unix_date(b[order])).alias("days"),
+        F.transform("__b", lambda b: b[value].cast("double")).alias("vec"))
+    kind = rows.schema[group].dataType.simpleString()
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ticker")
+        ret = complete_returns(pdf["days"].to_list(), pdf["vec"].to_list())
+        out = pdf[[group, "ticker"]]
+        return out.assign(weight=min_variance(ret).astype(float)) if len(ret) > 1 else out.assign(weight=0.0).iloc[:0]
+
+    return rows.groupBy(group).applyInPandas(solve, f"{group} {kind}, ticker string, weight double")
 
 
 def portfolio_risk_return(weights: DataFrame, mu: DataFrame, cov: DataFrame,
@@ -228,8 +254,7 @@ def weights_for_holdings(held: DataFrame, prices: DataFrame, universe: DataFrame
     """(rebalance_date, ticker) holdings -> last n bars -> minimum-variance
     weights per date -> every universe ticker listed, missing -> 0 (the
     second half of ``monthly_rebalance``, shared with the streaming form)."""
-    bars = M.last_n_bars(prices, held, n=n_bars, inclusive=inclusive)
     # the weights (dates x held names: small) feed both the date list and the
     # join of the universe fill; materialise them once so the solver runs once
-    w = cut_lineage(min_variance_from_prices(bars, group=["rebalance_date"]))
+    w = cut_lineage(min_variance_from_slices(M.bar_slices(prices, held, n_bars, inclusive=inclusive)))
     return join_universe_weights(universe, w, by=["rebalance_date"])

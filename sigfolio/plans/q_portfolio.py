@@ -94,12 +94,18 @@ def optimality(weights, ret, tol=1e-9):
 
 
 def rebalance_check(held, prices):
-    """The solver's own rows for the holdings, checked for optimality on
-    complete-case returns."""
-    bars = M.last_n_bars(prices, held).withColumn("price", F.col("price").cast("double"))
+    """The flagship's weights for the holdings, checked for optimality on
+    complete-case returns that Spark windows work out anew."""
+    slices = cut_lineage(M.bar_slices(prices, held))
+    w = cut_lineage(P.min_variance_from_slices(slices))
+    bars = slices.select("ticker", "rebalance_date", F.explode("bars").alias("b")).select(
+        "ticker", "rebalance_date", "b.date", F.col("b.price").cast("double").alias("price"))
+    # a complete case needs a bar of every name on or before the day before it
+    first = bars.groupBy("rebalance_date", "ticker").agg(F.min("date").alias("d")).groupBy("rebalance_date").agg(F.max("d").alias("from"))
+    late = bars.join(first, "rebalance_date").withColumn("bar", F.col("date")).withColumn("date", F.greatest("date", "from"))
     group = ["rebalance_date"]
-    ret = cut_lineage(M.complete_case_returns(M.panel_returns(bars, group=group), group=group))
-    w = cut_lineage(P.min_variance_weights(ret, group))
+    last = late.groupBy(*group, "ticker", "date").agg(F.max_by("price", "bar").alias("price"))
+    ret = cut_lineage(M.complete_case_returns(M.panel_returns(last, group=group), group=group))
     return optimality(w, ret)
 
 
