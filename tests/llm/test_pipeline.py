@@ -90,3 +90,26 @@ def test_last_stage_and_run(spark, stages):
     rows = cp.run(spark, SF).collect()
     plain = spark.read.parquet(f"{SF}/documents.parquet")
     assert 0 < len(rows) <= plain.count() and len({r["doc_id"] for r in rows}) == len(rows)
+
+
+def test_stages_on_an_empty_table_and_with_odd_columns(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in cp.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    odd = docs.limit(30).withColumns({c: F.lit(1) for c in ("fp", "key", "score", "root", "grp", "words", "known", "id", "kept")})
+    odd = odd.unionByName(odd.limit(2).withColumn("doc_id", F.lit(None).cast("long"))).withColumn("lang", F.lit(None).cast("string"))
+    for k, (name, stage) in enumerate(cp.STAGES[:-1]):
+        path = str(tmp_path / name)
+        stage(spark, odd, SF).write.parquet(path)
+        odd = spark.read.parquet(path)
+        assert set(odd.columns) > set(docs.columns)
+    assert odd.count() > 0
+
+
+def test_rows_without_ids_keep_their_own_texts(spark):
+    rows = [(None, "one text of its own, " * 9), (None, "another one, quite different from it, " * 9), (3, "third " * 40 + "x")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = cp.drop_repeats(spark, docs, SF).collect()
+    assert sorted(r["text"] for r in got) == sorted(t for _, t in rows)
+    assert cp.drop_near_duplicates(spark, docs, SF).count() == 3
+    assert cp.drop_contaminated(spark, docs, SF).count() == 3
