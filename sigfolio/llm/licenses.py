@@ -87,17 +87,18 @@ def canonical(text: Column) -> Column:
     return F.trim(form)
 
 
-def digest(text: Column) -> Column:
-    """Digest of the canonical form; NULL for a form without words."""
-    form = canonical(text)
-    return F.when(form != "", F.sha2(form, 256))
+def with_digest(df: DataFrame, text: Column, out: str) -> DataFrame:
+    """``out`` = digest of the canonical form; NULL for a form without words.
+    The form is a column of its own, so that it is worked out once."""
+    form = F.col("__form")
+    return df.withColumn("__form", canonical(text)).withColumn(out, F.when(form != "", F.sha2(form, 256))).drop("__form")
 
 
 def known_licenses(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
     """(known, license): digests of known texts; the smallest licence name
     stands where texts of several have the same form."""
     rows = spark.createDataFrame(known_texts() if texts is None else texts, "license string, text string")
-    return (rows.select(digest(F.col("text")).alias("known"), "license").filter("known IS NOT NULL")
+    return (with_digest(rows, F.col("text"), "known").filter("known IS NOT NULL")
             .groupBy("known").agg(F.min("license").alias("license")))
 
 
@@ -111,9 +112,10 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
     row each, and rows of one doc_id share their lines; other columns take no
     part; an empty table gives no rows, no known licences give no finds.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), digest(text_of(text_col)).alias("digest"))
-    lines = (docs.select(F.col(id_col).alias("line_of"), F.explode(F.split(text_of(text_col), "\n")).alias("line"))
-             .select("line_of", digest(F.col("line")).alias("known")).join(known, "known")
+    own = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    rows = with_digest(own, F.col("text"), "digest").drop("text")
+    lines = own.select(F.col("doc_id").alias("line_of"), F.explode(F.split("text", "\n")).alias("line"))
+    lines = (with_digest(lines, F.col("line"), "known").join(known, "known")
              .groupBy("line_of", "license").agg(F.count(F.lit(1)).alias("n"))  # at most a row per known licence
              .groupBy("line_of").agg(F.sum("n").alias("n"), F.array_join(F.sort_array(F.collect_list("license")), ",").alias("names")))
     found = rows.join(known, rows["digest"] == known["known"], "left").select("doc_id", "digest", "license")
