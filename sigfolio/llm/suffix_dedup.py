@@ -94,80 +94,72 @@ def window_strings(texts: list[bytes], width: int = WIDTH, k: int = GRAM, slice_
     """Minimiser strings of some texts, laid end to end, a slice of them at a
     time: the slice's place and bytes and, per string, its first window's
     place in the slice, number of windows, minimiser hash and text number.
-    Windows never cross texts; a string ends where a slice does."""
-    joined = b"".join(texts)
-    every = np.frombuffer(joined, np.uint8)
-    ends = np.cumsum([len(t) for t in texts])
-    begins = ends - [len(t) for t in texts]
+
+    A string is a run of windows with one least hash, cut after as many
+    windows as a k-gram has places in one (a repeated k-gram could make
+    longer runs) and where a slice ends.  Windows never cross texts.
+    """
+    every = np.frombuffer(b"".join(texts), np.uint8)
+    ends, span = np.cumsum([len(t) for t in texts]), width - k + 1
     for base in range(0, len(every) - width + 1, slice_bytes):
         data = every[base:base + slice_bytes + width - 1]
-        part = np.maximum(np.minimum(ends, base + len(data)) - np.maximum(begins, base), 0)
-        owner = np.repeat(np.arange(len(texts)), part)
-        inside = owner[:len(data) - width + 1] == owner[width - 1:]
-        at = np.flatnonzero(inside)
-        if not len(at):
-            continue
-        h = gram_hashes(data, k) | np.uint64(1)
-        span = width - k + 1
-        least = slide(np.minimum, h, span)
-        least[~inside] = 0
-        pad = np.zeros(span - 1, np.uint64)
-        picked = np.flatnonzero(h == slide(np.maximum, np.concatenate([pad, least, pad]), span))
-        index = np.searchsorted(picked, at)
-        wrong = np.arange(len(at))
-        while True:  # the leftmost place of the least hash
-            wrong = wrong[h[picked[index[wrong]]] != least[at[wrong]]]
-            if not len(wrong):
-                break
-            index[wrong] += 1
-        place = picked[index]
-        first = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)])
-        count = np.diff(np.r_[first, len(at)])
-        yield base, data, at[first], count, h[place[first]], owner[at[first]]
+        least = slide(np.minimum, gram_hashes(data, k) | np.uint64(1), span)
+        for e in (ends[np.searchsorted(ends, base):np.searchsorted(ends, base + len(data))] - base).tolist():
+            least[max(0, e - width + 1):e] = 0  # windows that reach over the end of a text
+        first = np.r_[0, np.flatnonzero(least[1:] != least[:-1]) + 1]
+        count = np.diff(np.r_[first, len(least)])
+        h = least[first]
+        some = h > 0
+        first, count, h = first[some], count[some], h[some]
+        n = -(-count // span)
+        if len(n) and n.max() > 1:
+            nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            first, h = np.repeat(first, n) + span * nth, np.repeat(h, n)
+            count = np.minimum(span, np.repeat(count, n) - span * nth)
+        if len(first):
+            yield base, data, first, count, h, np.searchsorted(ends, first + base, side="right")
 
 
 def longest_previous(data: np.ndarray, starts: np.ndarray, order: np.ndarray, width: int) -> np.ndarray:
     """Longest previous factor, up to ``width`` bytes, of the suffixes at
     ``starts``: the longest common prefix with a suffix of smaller ``order``.
 
-    Ranks by ever longer prefixes give the suffix order; the previous and the
-    next suffix of smaller order are found by pointer jumping; the longer of
-    the two common prefixes is the answer.
+    The suffixes are sorted by their first ``width`` bytes, as words of eight;
+    the previous and the next suffix of smaller order are found by pointer
+    jumping; the longer of the two common prefixes is the answer.
     """
-    padded = np.concatenate([data, np.zeros(width + 8, np.uint8)])
     n = len(data)
-    word = np.zeros(n + width, np.uint64)
+    padded = np.concatenate([data, np.zeros(width + 8, np.uint8)])
+    eight = np.zeros(n + width, np.uint64)
     for b in range(8):
-        word[:n] = (word[:n] << np.uint64(8)) | padded[b:n + b]
-    rank, length = np.unique(word, return_inverse=True)[1].astype(np.uint64), 8
-    while length < width:
-        step = min(length, width - length)
-        both = (rank[:n] << np.uint64(32)) | np.concatenate([rank, np.zeros(step, np.uint64)])[step:step + n]
-        rank = np.concatenate([np.unique(both, return_inverse=True)[1].astype(np.uint64), np.zeros(width, np.uint64)])
-        length += step
-    suffix = np.lexsort((order, rank[starts]))
+        eight = (eight << np.uint64(8)) | padded[b:b + n + width]
+    words = [eight[starts + at] for at in range(0, width, 8)]
+    if width % 8:
+        words[-1] = words[-1] >> np.uint64(64 - 8 * (width % 8)) << np.uint64(64 - 8 * (width % 8))
+    suffix = np.lexsort((order, *words[::-1]))
     own, best = order[suffix], np.zeros(len(starts), np.int64)
+    ends = np.r_[own, np.iinfo(np.int64).min]  # place -1: smaller than all
     for side in (-1, 1):
         near = np.arange(len(suffix)) + side
-        ends = np.r_[own, np.iinfo(np.int64).min]  # place -1 and len: smaller than all
         near[near >= len(suffix)] = -1
+        far = np.arange(len(suffix))
         while True:
-            far = np.flatnonzero(ends[near] >= own)
+            far = far[ends[near[far]] >= own[far]]
             if not len(far):
                 break
             near[far] = near[near[far]]
         found = np.flatnonzero(near >= 0)
-        a, b = starts[suffix[found]], starts[suffix[near[found]]]
-        common, alike = np.zeros(len(found), np.int64), np.arange(len(found))
-        whole = rank[a] == rank[b]
-        common[whole] = width
-        alike = alike[~whole]
-        for d in range(width):
-            alike = alike[padded[a[alike] + d] == padded[b[alike] + d]]
-            if not len(alike):
-                break
-            common[alike] += 1
-        best[suffix[found]] = np.maximum(best[suffix[found]], common)
+        a, b = suffix[found], suffix[near[found]]
+        common, alike = np.full(len(found), width), np.arange(len(found))
+        for k, w in enumerate(words):
+            odd = w[a[alike]] ^ w[b[alike]]
+            differ = np.flatnonzero(odd)
+            same = np.zeros(len(differ), np.int64)
+            for byte in range(1, 8):
+                same += odd[differ] >> np.uint64(64 - 8 * byte) == 0
+            common[alike[differ]] = 8 * k + same
+            alike = alike[odd == 0]
+        best[suffix[found]] = np.maximum(best[suffix[found]], np.minimum(common, width))
     return best
 
 
