@@ -162,12 +162,10 @@ def q_file_counts(spark, sf):
 
 
 def _forms_sql(form: str) -> str:
-    from sigfolio.plans.q_text import section_columns, sections_ctes
+    from sigfolio.plans.q_text import d_header, section_columns, sections_ctes
     patterns, k = FORMS[form]
-    return (sections_ctes(patterns, k) + r""",
-hdr AS (SELECT doc_id, regexp_extract(content, 'CENTRAL INDEX KEY:\s+(\d+)', 1) AS cik,
-               try_strptime(nullif(regexp_extract(content, 'FILED AS OF DATE:\s+(\d{8})', 1), ''), '%Y%m%d')::DATE AS d
-        FROM filing_texts),
+    return (sections_ctes(patterns, k) + f""",
+hdr AS (SELECT doc_id, {d_header('cik')} AS cik, try_strptime({d_header('date')}, '%Y%m%d')::DATE AS d FROM filing_texts),
 mem AS (SELECT DISTINCT lpad(CAST(l_orderkey AS VARCHAR), 10, '0') AS cik,
                strftime(DATE '2020-01-01' + CAST(l_orderkey % 700 AS INTEGER), '%Y-%m') AS ym,
                'S' || CAST(l_suppkey AS VARCHAR) AS ticker

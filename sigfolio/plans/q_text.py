@@ -25,9 +25,13 @@ def d_section(col: str, pattern: str) -> str:
             f"regexp_extract_all({col}, '(?is){pattern}', 0)[list_position({lens}, list_max({lens}))] END")
 
 
+def d_header(name: str) -> str:
+    return f"nullif(regexp_extract(content, '{X.HEADER_PATTERNS[name]}', 1), '')"
+
+
 def d_paras(col: str, delim: str = f"{NL} || {NL}") -> str:
     t = rf"regexp_replace({col}, '(?m)^[A-Z\s]+\n', {NL}, 'g')"
-    parts = f"CASE WHEN strpos({t}, 'ble of Content') > 0 THEN string_split({t}, 'ble of Content') ELSE string_split({t}, {delim}) END"
+    parts = f"CASE WHEN strpos({t}, '{X.TOC_MARKER}') > 0 THEN string_split({t}, '{X.TOC_MARKER}') ELSE string_split({t}, {delim}) END"
     return rf"list_filter(list_transform({parts}, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
 
 
@@ -60,21 +64,17 @@ def d_top_passages(src: str, key: str, cols, kws, k: int, delim: str = f"{NL} ||
 
 # ---------------------------------------------------------------- queries
 
-@query("filing_header", with_views("filing_texts") + r"""
-SELECT doc_id,
-  coalesce(nullif(regexp_extract(content, 'CENTRAL INDEX KEY:\s+(\d+)', 1), ''), 'Unknown') AS cik,
-  coalesce(nullif(regexp_extract(content, 'COMPANY CONFORMED NAME:\s+([^\n]+)', 1), ''), 'Unknown') AS company_name,
-  coalesce(nullif(regexp_extract(content, 'FILED AS OF DATE:\s+(\d{8})', 1), ''), 'Unknown') AS date
-FROM filing_texts""")
+@query("filing_header", with_views("filing_texts") + "SELECT doc_id, " + ", ".join(
+    f"coalesce({d_header(k)}, '{X.UNKNOWN}') AS {k}" for k in X.HEADER_PATTERNS) + " FROM filing_texts")
 def q_filing_header(spark, sf):
     f = B.filing_texts(spark, sf)
     h = X.filing_header("content")
     return f.select("doc_id", *[v.alias(k) for k, v in h.items()])
 
 
-@query("compact_date", with_views("filing_texts") + r"""
+@query("compact_date", with_views("filing_texts") + f"""
 SELECT doc_id, d AS filing_date, strftime(d, '%Y-%m') AS ym FROM (
-  SELECT doc_id, try_strptime(nullif(regexp_extract(content, 'FILED AS OF DATE:\s+(\d{8})', 1), ''), '%Y%m%d')::DATE AS d
+  SELECT doc_id, try_strptime({d_header('date')}, '%Y%m%d')::DATE AS d
   FROM filing_texts)""")
 def q_compact_date(spark, sf):
     f = B.filing_texts(spark, sf)
