@@ -42,7 +42,9 @@ MAX_TERMS = 6_000
 THRESHOLD = 0.7
 #: Log-likelihood ratio against independence that a term needs.
 LEAST_EVIDENCE = 16.0
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7)
+#: Beginnings that also count as a term of their own if two distinct words have them.
+TWICE = {5: "b", 7: "c"}
 GROUPS = 3
 PATTERNS = ("shouting", "censored", "exclaiming", "repeating")
 
@@ -64,13 +66,18 @@ def pieces(text: str, size: int = 1_000_000) -> Iterator[str]:
 
 
 def terms(text: str) -> set[str]:
-    """Distinct words ("w:...") and beginnings of longer words ("4:...")."""
+    """Distinct words ("w:..."), beginnings of longer words ("4:...") and
+    beginnings that two distinct words share ("b:...", "c:...")."""
     words: set[str] = set()
     for part in pieces(text):
         words.update(WORD.findall(part.lower()))
     out = {"w:" + w for w in words}
     for n in PREFIXES:
-        out.update(f"{n}:{w[:n]}" for w in words if len(w) > n)
+        begun = [w[:n] for w in words if len(w) > n]
+        once = set(begun)
+        out.update([f"{n}:{b}" for b in once])
+        if n in TWICE and len(once) < len(begun):
+            out.update([f"{TWICE[n]}:{b}" for b, k in Counter(begun).items() if k > 1])
     return out
 
 
@@ -132,8 +139,9 @@ class LabelModel:
             self.prior = float(np.clip(w1.sum() / total, 0.005, 0.5))
             self.rate1 = (votes.T @ w1 + 0.5) / (w1.sum() + 1)
             self.rate0 = (votes.T @ w0 + 0.5) / (w0.sum() + 1)
-            # an annotation is taken to be right 90 to 98 times in a hundred
-            self.rate1[-1], self.rate0[-1] = np.clip(self.rate1[-1], 0.9, 0.98), np.clip(self.rate0[-1], 0.02, 0.1)
+            # an annotation is taken to be right 95 to 99.5 times in a hundred where it says
+            # toxic, and to say so wrongly 2 to 50 times in a thousand
+            self.rate1[-1], self.rate0[-1] = np.clip(self.rate1[-1], 0.95, 0.995), np.clip(self.rate0[-1], 0.002, 0.05)
             self.correlate(votes, w1, w0)
             new = self.posterior(votes)
             done = np.abs(new - post).max() < 1e-6
@@ -179,7 +187,7 @@ class Model:
         return float(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
 
 
-def logistic(rows: list[list[int]], target: np.ndarray, size: int, rounds: int = 500, l2: float = 1e-5) -> tuple[np.ndarray, float]:
+def logistic(rows: list[list[int]], target: np.ndarray, size: int, rounds: int = 2000, l2: float = 1e-6) -> tuple[np.ndarray, float]:
     """Logistic regression on sets of present features, by accelerated
     gradient descent with a step for each feature by its frequency."""
     n = max(1, len(rows))
