@@ -51,6 +51,7 @@ BLOCK_BYTES = 2 << 20
 SLICE_BYTES = 256 << 10
 #: A minimiser that more texts have is sent window by window.
 HOT_TEXTS = 4096
+SALTS = 16
 #: Stands for a NULL id: after all others.
 LAST = np.iinfo(np.int64).max
 
@@ -225,7 +226,10 @@ def repeated(packs: DataFrame) -> DataFrame:
 
     texts = packs.select("grp", "first", "ids", "digests").mapInArrow(run, "grp int, number int, id long, digest binary")
     least = texts.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
-    later = texts.join(least, "digest").filter("id > least")
+    # one text may have a third of all rows as its copies: they are dealt to SALTS parts
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    texts = texts.withColumn("salt", F.pmod(F.xxhash64("grp", "number"), F.lit(SALTS)).cast("int"))
+    later = texts.join(least, ["digest", "salt"]).filter("id > least")
     return later.groupBy("grp").agg(F.concat_ws(",", F.collect_list(F.col("number").cast("string"))).cast("binary").alias("data")).select(
         "grp", F.lit("copies").alias("kind"), "data")
 
