@@ -178,19 +178,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, partitions: int =
     lengths = [len(v) for v in sample]
     dim = max(sorted(set(lengths)), key=lengths.count) if lengths else 1
     router = fit_router(np.array([v for v in sample if len(v) == dim], float).reshape(-1, dim), partitions, NEIGHBOURS)
-    shared = spark.sparkContext.broadcast(router)  # dim x 128 + 128 x partitions numbers
-
     def route(n: int):
         def run(batches):
-            own = shared.value
-            for b in batches:
-                v, out = b.column("v"), []
+            for b in batches:  # the router, dim x 128 + 128 x partitions numbers, goes with the function
+                v = b.column("v")
                 size = v.value_lengths().to_numpy(zero_copy_only=False)
-                fits = size == own.dim
+                fits = size == router.dim
                 ranked = np.zeros((len(size), n), np.int64)
                 if fits.any():
-                    flat = v.filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).reshape(-1, own.dim)
-                    ranked[fits] = own.ranked(flat)[:, :n]
+                    flat = v.filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).reshape(-1, router.dim)
+                    ranked[fits] = router.ranked(flat)[:, :n]
                 out = [r.tolist() if f else [-int(s)] for r, f, s in zip(ranked, fits, size)]
                 yield pa.RecordBatch.from_arrays([b.column("vec_id"), v, pa.array(out, pa.list_(pa.int32()))], names=["vec_id", "v", "parts"])
         return run

@@ -291,12 +291,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
 def score_rows(docs: DataFrame, model: Model, name: str = "score", text_col: str = "text") -> DataFrame:
     """Every row with all its columns and ``name``, the score (0 to 1) of its
     whole text.  NULL and empty texts get the classifier's bias."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_TERMS terms
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        for batch in batches:
-            scores = [own.score(t or "") for t in batch.column(text_col).to_pylist()]
+        for batch in batches:  # the model, at most MAX_TERMS terms, goes with the function
+            scores = [model.score(t or "") for t in batch.column(text_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name])
 
     return map_rows(docs, run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
