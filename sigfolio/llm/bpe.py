@@ -28,7 +28,7 @@ from sigfolio.llm.common import map_rows, text_of
 MAX_WORDS = 400_000
 MAX_PAIRS = 1_000_000
 #: Characters of text whose distinct words form one trie.
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 2_000_000
 
 #: Fixed value: the word pattern of byte-level pre-tokenising.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
