@@ -3,10 +3,11 @@
 Each run of text in a page lies at the end of a path of open elements.  Per
 path the text length and the punctuation are summed and divided by the number
 of runs that the path has; the two ratios are spread over the page in reading
-order, smoothed with a Gaussian, fused by their product, and paths over the
-threshold are content.  The article is the element that holds most of the
-content's weight; its blocks are returned whole, short ones too, without the
-boilerplate elements inside it.
+order, smoothed with a Gaussian and fused by the root of their product.  Blocks
+with text on a path over the threshold are content, and short blocks between
+content blocks of their container are filled in.  <article> and <main>, or else
+the innermost container with most of the score, are a hint: text in them needs
+less.  Boilerplate elements are left out before.
 """
 
 from __future__ import annotations
@@ -37,7 +38,9 @@ CLOSES_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot",
 ALIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
          "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}}
 BOUNDS = frozenset("html body article main section div ul ol dl table td th blockquote aside nav header footer form".split())
+BOXES = BOUNDS - frozenset("ul ol dl table td th".split())
 ARTICLE = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of class, id and role names that mark what is no article.
 NOTICES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent contentinfo "
@@ -50,6 +53,12 @@ NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"
 SPLIT = re.compile(r"[^a-z0-9]+")
 PUNCTUATION = re.compile(r"[.,;:!?，。；：！？、¿¡]")
 SIGMA = 1.0
+#: Share of the page's mean score of a character that content reaches.
+THRESHOLD = 0.75
+#: What of the threshold is left inside the hint.
+HINT = 1 / 3
+#: Characters of one run that count, so that one giant run sets no page's scale.
+CAP = 1000
 
 
 def marks(attributes: str) -> bool:
@@ -66,18 +75,17 @@ def marks(attributes: str) -> bool:
 class Node:
     """An open or closed element; ``never`` holds for all below it."""
 
-    __slots__ = ("name", "parent", "path", "never", "weight", "order")
+    __slots__ = ("name", "parent", "path", "never")
 
-    def __init__(self, name: str, parent: Node | None, never: bool, order: int):
-        self.name, self.parent, self.never, self.order = name, parent, never, order
+    def __init__(self, name: str, parent: Node | None, never: bool):
+        self.name, self.parent, self.never = name, parent, never
         self.path = f"{parent.path}/{name}" if parent else name
-        self.weight = 0.0
 
 
 def runs(page: str) -> list[tuple[Node, int, str]]:
     """(element, block number, raw text) of every run of text in page order."""
-    root = Node("html", None, False, 0)
-    stack, out, block, at, made = [root], [], 0, 0, 0
+    root = Node("html", None, False)
+    stack, out, block, at = [root], [], 0, 0
 
     def text(s: str) -> None:
         if s:
@@ -127,10 +135,9 @@ def runs(page: str) -> list[tuple[Node, int, str]]:
         if name in ALIKE:
             close(ALIKE[name], frozenset(("ul", "ol", "dl", "table", "select")))
         if name not in VOID and not m[3].endswith("/"):
-            made += 1
             up = stack[-1]
             never = up.never or name in NEVER and not (name == "header" and up.name in ARTICLE) or marks(m[3])
-            stack.append(Node(name, up, never, made))
+            stack.append(Node(name, up, never))
 
 
 def smooth(values: list[float], sigma: float = SIGMA) -> list[float]:
@@ -145,49 +152,91 @@ def smooth(values: list[float], sigma: float = SIGMA) -> list[float]:
     return out
 
 
-def main_text(page: str) -> str:
-    """The article's blocks, joined by an empty line; "" if there is none."""
+def main_text(page: str, threshold: float = THRESHOLD) -> str:
+    """The content blocks, joined by an empty line; "" if there are none.
+
+    A block is content if a path of its text scores ``threshold`` times the
+    page's mean score of a character, or HINT of that inside the hint.  Other
+    blocks come in as `fill` says.
+    """
     found = [(n, b, html.unescape(s)) for n, b, s in runs(page) if not n.never]
-    full = [(n, b, s) for n, b, s in found if s.strip()]
+    full = [(n, b, s.strip()) for n, b, s in found if s.strip()]
     if not full:
         return ""
     length, points, count = defaultdict(int), defaultdict(int), defaultdict(int)
     for node, _, s in full:
-        length[node.path] += len(s.strip())
-        points[node.path] += len(PUNCTUATION.findall(s))
+        length[node.path] += min(len(s), CAP)
+        points[node.path] += min(len(PUNCTUATION.findall(s)), CAP // 20)
         count[node.path] += 1
     by_text = smooth([length[n.path] / count[n.path] for n, _, _ in full])
     by_points = smooth([(1 + points[n.path]) / count[n.path] for n, _, _ in full])
-    fused = [a * b for a, b in zip(by_text, by_points)]
-    mean = sum(fused) / len(fused)
-    spread = math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused))
+    fused = [math.sqrt(a * b) for a, b in zip(by_text, by_points)]
+    sizes = [min(len(s), CAP) for _, _, s in full]
+    least = threshold * sum(a * b for a, b in zip(fused, sizes)) / sum(sizes)
     score = defaultdict(float)
     for (n, _, _), x in zip(full, fused):
-        score[n.path] = max(score[n.path], x)
-    content = {p for p, x in score.items() if x >= max(0.0, mean - spread)}
-    total = 0.0
-    for (node, _, s), x in zip(full, fused):
-        if node.path in content:
-            w = len(s.strip()) * x
-            total += w
-            while node is not None:
-                node.weight += w
-                node = node.parent
-    best = None
-    nodes = {id(x): x for n, _, _ in full for x in lineage(n)}
-    named = [x for x in nodes.values() if x.name in ARTICLE]
-    if named:  # the element that the page itself calls the article
-        best = max(named, key=lambda x: (x.weight, -x.order))
-    else:      # the innermost container of blocks with most of the weight
-        for x in sorted(nodes.values(), key=lambda x: x.order):
-            if x.name in BOUNDS and x.weight >= 0.7 * total:
-                best = x
-    blocks: dict[int, list[str]] = {}
+        score[n.path] += x / count[n.path]
+    hint = hints(full, [a * b for a, b in zip(fused, sizes)])
+    # mean scores of equal values may differ in their last bits
+    floor = (1 - 1e-9) * least
+    pieces: dict[int, list[str]] = {}
+    place: dict[int, Node] = {}
+    chosen = set()
     for node, b, s in found:
-        if best is None or best in lineage(node):
-            blocks.setdefault(b, []).append(s)
-    joined = (" ".join("".join(x).split()) for x in blocks.values())
-    return "\n\n".join(x for x in joined if x)
+        pieces.setdefault(b, []).append(s)
+        if s.strip():
+            place.setdefault(b, node)
+            if score[node.path] >= floor * (HINT if hint.intersection(lineage(node)) else 1.0):
+                chosen.add(b)
+    texts = {b: " ".join("".join(x).split()) for b, x in pieces.items() if b in place}
+    return "\n\n".join(texts[b] for b in fill(texts, place, chosen, hint))
+
+
+def hints(full: list[tuple[Node, int, str]], weights: list[float]) -> set[Node]:
+    """The <article> and <main> elements with text, or else the innermost
+    container with most of the weight."""
+    named = {x for n, _, _ in full for x in lineage(n) if x.name in ARTICLE}
+    if named:
+        return named
+    held = defaultdict(float)
+    for (n, _, _), w in zip(full, weights):
+        for x in lineage(n):
+            held[x] += w
+    most = [x for x, w in held.items() if x.name in BOXES and w >= 0.7 * sum(weights)]
+    return {max(most, key=lambda x: len(lineage(x)))} if most else set()
+
+
+def container(node: Node) -> Node:
+    return next((x for x in lineage(node) if x.name in BOXES), node)
+
+
+def fill(texts: dict[int, str], place: dict[int, Node], chosen: set[int], hint: set[Node]) -> list[int]:
+    """The chosen blocks and those that belong to them, in page order: blocks
+    in the container of the chosen block before or behind them that are no
+    longer than one of the two.  Before the first and behind the last chosen
+    block of a container that holds for headings and inside the hint only; headings may be
+    of any length."""
+    order = list(texts)
+    before, behind, last = {}, {}, None
+    for b in order:
+        before[b] = last
+        last = b if b in chosen else last
+    last = None
+    for b in reversed(order):
+        behind[b] = last
+        last = b if b in chosen else last
+    out = []
+    for b in order:
+        if b not in chosen:
+            up = lineage(place[b])
+            heading = any(x.name in HEADINGS for x in up)
+            ends = [x for x in (before[b], behind[b]) if x is not None]
+            near = [x for x in ends if container(place[x]) in up]
+            inner = len(ends) == 2 or not hint.isdisjoint(up)
+            if not near or not (heading and behind[b] in near or inner and (heading or len(texts[b]) <= max(len(texts[x]) for x in ends))):
+                continue
+        out.append(b)
+    return out
 
 
 def lineage(node: Node | None) -> list[Node]:

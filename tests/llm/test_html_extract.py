@@ -53,3 +53,26 @@ def test_every_page_of_the_table_has_its_article(spark):
         inner = re.sub(r"</?b>", "", inner.replace("<br>", " "))
         blocks = [" ".join(html.unescape(b).split()) for b in re.split(r"<[^>]+>", inner)]
         assert main_text(r["html"]) == "\n\n".join(b for b in blocks if b)
+
+
+PROSE = "A sentence of the story, with a comma; and more of it, to its end. " * 4
+
+
+def test_scores_select_the_blocks():
+    story = "".join(f"<p>{PROSE}</p>" for _ in range(6))
+    menu = "<ul>" + "<li><a href='/'>Go</a></li>" * 8 + "</ul>"
+    page = f"<body><div>{menu}</div><div><h2>Top</h2>{story}<ul><li>short</li></ul>{story}</div><div>{menu}</div></body>"
+    want = "\n\n".join(["Top", *[PROSE.strip()] * 6, "short", *[PROSE.strip()] * 6])
+    assert main_text(page) == want  # the short one lies between chosen ones
+    assert main_text(page, 0.0).count("Go") == 16
+    assert main_text(page, 9.0) == ""
+    inside = f"<main>{story}<div><div>{menu}</div></div></main>"
+    assert "Go" not in main_text(f"<body><article>{story}</article><div>{menu}{menu}</div><article>{story}</article></body>")
+    assert main_text(inside, 9.0) == ""
+
+
+def test_several_articles_all_count():
+    page = f"<body><article><p>{PROSE}</p></article><article><p>{PROSE * 2}</p></article><div><p>{PROSE}</p></div></body>"
+    assert main_text(page) == "\n\n".join([PROSE.strip(), (PROSE * 2).strip(), PROSE.strip()])
+    giant = f"<body><div><p>{PROSE}</p>" + "<div>" + "<pre>" + "code; " * 30000 + "</pre></div>" + f"<p>{PROSE}</p></div></body>"
+    assert main_text(giant).count("story") == 8
