@@ -40,16 +40,28 @@ ALIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 BOUNDS = frozenset("html body article main section div ul ol dl table td th blockquote aside nav header footer form".split())
 BOXES = BOUNDS - frozenset("ul ol dl table td th".split())
 ARTICLE = frozenset(("article", "main"))
+#: Elements whose class words say how the page is laid out, not what they are.
+UNNAMED = ARTICLE | {"html", "body"}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that a page may be wrapped in, or that often stay unclosed behind the article: left out unless they hold most of it.
+WRAPS = frozenset(("form", "footer"))
+#: Elements that end without an end tag, so that a missing one says nothing.
+OPTIONAL = frozenset("body html p li dt dd tr td th tbody thead tfoot option optgroup".split())
 #: Words of class, id and role names that mark what is no article.
 NOTICES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent contentinfo "
     "cookie cookies disqus footer header menu menubar modal nav navbar navigation newsletter notice notices pager "
     "pagination popup promo promoted promotion related reply replies share sharing sidebar social sponsor sponsored "
     "subscribe toolbar widget complementary banner search alert".split())
+#: Words that such names join to them; any other word makes a name of its own (no-sidebar, related-work).
+LAYOUT = frozenset(
+    "area article articles bar block bottom box button buttons container desktop entry form global inner item items left "
+    "link links list main mobile outer page post posts primary right secondary section signup site slot stories sub top unit wrap "
+    "wrapper".split())
+TITLED = frozenset("article entry page post".split())  # their header holds the article's own title
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]*))?""")
 SPLIT = re.compile(r"[^a-z0-9]+")
 PUNCTUATION = re.compile(r"[.,;:!?，。；：！？、¿¡]")
 SIGMA = 1.0
@@ -61,30 +73,37 @@ HINT = 1 / 3
 CAP = 1000
 
 
-def marks(attributes: str) -> bool:
-    """Do the attributes name an element that is no article?"""
-    for name, value in NAMED.findall(attributes):
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name in ("class", "id", "role") and not NOTICES.isdisjoint(SPLIT.split(value)):
-            return True
+def hidden(attributes: list[tuple[str, str]]) -> bool:
+    return any(name == "hidden" or name == "aria-hidden" and value == "true" for name, value in attributes)
+
+
+def marks(attributes: list[tuple[str, str]]) -> bool:
+    """Do the names of an element call it something else than an article?"""
+    for name, value in attributes:
+        if name in ("class", "id", "role"):
+            for word in value.split():
+                parts = {x for x in SPLIT.split(word) if x and not x[0].isdigit()}
+                if not parts.isdisjoint(NOTICES) and parts <= NOTICES | LAYOUT and not ("header" in parts and parts & TITLED):
+                    return True
     return False
 
 
 class Node:
-    """An open or closed element; ``never`` holds for all below it."""
+    """An open or closed element; ``never`` (its element or attributes leave
+    it out) and ``marked`` (left out unless it holds most of the page) are
+    its own; ``ended``: by an end tag of its own."""
 
-    __slots__ = ("name", "parent", "path", "never")
+    __slots__ = ("name", "parent", "path", "never", "marked", "ended")
 
-    def __init__(self, name: str, parent: Node | None, never: bool):
-        self.name, self.parent, self.never = name, parent, never
+    def __init__(self, name: str, parent: Node | None, never: bool = False, marked: bool = False):
+        self.name, self.parent, self.never, self.marked = name, parent, never, marked
         self.path = f"{parent.path}/{name}" if parent else name
+        self.ended = name in OPTIONAL
 
 
 def runs(page: str) -> list[tuple[Node, int, str]]:
     """(element, block number, raw text) of every run of text in page order."""
-    root = Node("html", None, False)
+    root = Node("html", None)
     stack, out, block, at = [root], [], 0, 0
 
     def text(s: str) -> None:
@@ -94,6 +113,7 @@ def runs(page: str) -> list[tuple[Node, int, str]]:
     def close(names: frozenset | set, until: frozenset) -> None:
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].name in names:
+                stack[k].ended = True
                 del stack[k:]
                 return
             if stack[k].name in until:
@@ -136,8 +156,45 @@ def runs(page: str) -> list[tuple[Node, int, str]]:
             close(ALIKE[name], frozenset(("ul", "ol", "dl", "table", "select")))
         if name not in VOID and not m[3].endswith("/"):
             up = stack[-1]
-            never = up.never or name in NEVER and not (name == "header" and up.name in ARTICLE) or marks(m[3])
-            stack.append(Node(name, up, never))
+            never = name in NEVER - WRAPS and not (name == "header" and up.name in ARTICLE)
+            marked = name in WRAPS
+            if m[3] and name not in UNNAMED:
+                own = [(x.lower(), v.strip("\"'").lower()) for x, v in ATTRIBUTE.findall(m[3])]
+                never, marked = never or hidden(own), marked or marks(own)
+            stack.append(Node(name, up, never, marked))
+
+
+def kept(found: list[tuple[Node, int, str]]) -> list[tuple[Node, int, str]]:
+    """The runs outside boilerplate.  An element without its end tag bounds
+    nothing and leaves nothing out, a footer excepted.  A marked element that
+    holds most of the page's text and most of its score is no boilerplate,
+    unless an <article> or <main> with text is free of marks."""
+    def outs(x: Node) -> bool:
+        return x.marked and (x.ended or x.name == "footer")
+
+    lines = {n: lineage(n) for n in {n for n, _, _ in found}}
+    lines = {n: up for n, up in lines.items() if not any(x.never and x.ended for x in up)}
+    marked = {x for up in lines.values() for x in up if outs(x)}
+    if marked:
+        full = [(n, b, s.strip()) for n, b, s in found if s.strip()]
+        free = {n for n, up in lines.items() if marked.isdisjoint(up) and any(x.name in ARTICLE for x in up)}
+        if not any(n in free for n, _, _ in full):
+            large = marked & most(full, [len(s) for _, _, s in full], 0.5)
+            if large:
+                fused, sizes, _ = scores(full)
+                marked -= large & most(full, [a * b for a, b in zip(fused, sizes)], 0.5)
+        lines = {n: up for n, up in lines.items() if marked.isdisjoint(up)}
+    return [x for x in found if x[0] in lines]
+
+
+def most(full: list[tuple[Node, int, str]], weights: list[float], part: float) -> set[Node]:
+    """The elements that hold at least this part of the weights."""
+    held = defaultdict(float)
+    for (n, _, _), w in zip(full, weights):
+        for x in lineage(n):
+            held[x] += w
+    least = part * sum(weights)
+    return {x for x, w in held.items() if w >= least}
 
 
 def smooth(values: list[float], sigma: float = SIGMA) -> list[float]:
@@ -152,17 +209,8 @@ def smooth(values: list[float], sigma: float = SIGMA) -> list[float]:
     return out
 
 
-def main_text(page: str, threshold: float = THRESHOLD) -> str:
-    """The content blocks, joined by an empty line; "" if there are none.
-
-    A block is content if a path of its text scores ``threshold`` times the
-    page's mean score of a character, or HINT of that inside the hint.  Other
-    blocks come in as `fill` says.
-    """
-    found = [(n, b, html.unescape(s)) for n, b, s in runs(page) if not n.never]
-    full = [(n, b, s.strip()) for n, b, s in found if s.strip()]
-    if not full:
-        return ""
+def scores(full: list[tuple[Node, int, str]]) -> tuple[list[float], list[int], dict[str, float]]:
+    """Fused ratio and counted length of every run, mean fused ratio of every path."""
     length, points, count = defaultdict(int), defaultdict(int), defaultdict(int)
     for node, _, s in full:
         length[node.path] += min(len(s), CAP)
@@ -172,10 +220,25 @@ def main_text(page: str, threshold: float = THRESHOLD) -> str:
     by_points = smooth([(1 + points[n.path]) / count[n.path] for n, _, _ in full])
     fused = [math.sqrt(a * b) for a, b in zip(by_text, by_points)]
     sizes = [min(len(s), CAP) for _, _, s in full]
-    least = threshold * sum(a * b for a, b in zip(fused, sizes)) / sum(sizes)
     score = defaultdict(float)
     for (n, _, _), x in zip(full, fused):
         score[n.path] += x / count[n.path]
+    return fused, sizes, score
+
+
+def main_text(page: str, threshold: float = THRESHOLD) -> str:
+    """The content blocks, joined by an empty line; "" if there are none.
+
+    A block is content if a path of its text scores ``threshold`` times the
+    page's mean score of a character, or HINT of that inside the hint.  Other
+    blocks come in as `fill` says.
+    """
+    found = kept([(n, b, html.unescape(s)) for n, b, s in runs(page)])
+    full = [(n, b, s.strip()) for n, b, s in found if s.strip()]
+    if not full:
+        return ""
+    fused, sizes, score = scores(full)
+    least = threshold * sum(a * b for a, b in zip(fused, sizes)) / sum(sizes)
     hint = hints(full, [a * b for a, b in zip(fused, sizes)])
     # mean scores of equal values may differ in their last bits
     floor = (1 - 1e-9) * least
@@ -198,12 +261,8 @@ def hints(full: list[tuple[Node, int, str]], weights: list[float]) -> set[Node]:
     named = {x for n, _, _ in full for x in lineage(n) if x.name in ARTICLE}
     if named:
         return named
-    held = defaultdict(float)
-    for (n, _, _), w in zip(full, weights):
-        for x in lineage(n):
-            held[x] += w
-    most = [x for x, w in held.items() if x.name in BOXES and w >= 0.7 * sum(weights)]
-    return {max(most, key=lambda x: len(lineage(x)))} if most else set()
+    boxes = [x for x in most(full, weights, 0.7) if x.name in BOXES]
+    return {max(boxes, key=lambda x: len(lineage(x)))} if boxes else set()
 
 
 def container(node: Node) -> Node:

@@ -76,3 +76,20 @@ def test_several_articles_all_count():
     assert main_text(page) == "\n\n".join([PROSE.strip(), (PROSE * 2).strip(), PROSE.strip()])
     giant = f"<body><div><p>{PROSE}</p>" + "<div>" + "<pre>" + "code; " * 30000 + "</pre></div>" + f"<p>{PROSE}</p></div></body>"
     assert main_text(giant).count("story") == 8
+
+
+def test_class_words_do_not_take_the_article():
+    story, want = f"<p>{PROSE}</p>" * 3, "\n\n".join([PROSE.strip()] * 3)
+    for open_, close in (("<body class='single-post no-sidebar'>", "</body>"), ("<main class='content with-ads'>", "</main>"), ("<main class='sidebar'>", "</main>"),
+                         ("<article class='post comments-open'>", "</article>"), ("<section class='social-science'>", "</section>"),
+                         ("<div id='related-work'>", "</div>"), ("<div class='related'>", "</div>"), ("<form action='/x'>", "</form>"),
+                         ("<nav><a href='/'>Go</a>", ""), ("<aside>", ""), ("<html><head><title>t</title><body>", "</body></html>")):
+        got = main_text(f"{open_}{story}{close}")
+        assert got.replace("Go\n\n", "") == want, open_
+    assert main_text(f"<body><p title='the hidden door' hidden-x data-class='ad'>{PROSE}</p><p hidden>no</p><p HIDDEN=''>no</p></body>") == PROSE.strip()
+    assert main_text(f"<body><div><nav><ul><li>Go<li>On</ul><article>{story}</article></div></body>") == want
+    # small marked elements stay out, also beside a short article
+    for name in ("comments", "sidebar-left", "ad-728x90", "site-header", "post-comments"):
+        assert main_text(f"<body><div>{story}</div><div class='x {name}'><p>{PROSE}</p></div></body>") == want, name
+    assert main_text(f"<body><article><p>Short.</p></article><div id='comments'>{story}</div></body>") == "Short."
+    assert main_text(f"<body><div class='post-header'><h1>Title</h1></div><div>{story}</div></body>").endswith(want)
