@@ -27,7 +27,15 @@ EQUIVALENT = (
     ("per cent", "percent"), ("recognised", "recognized"), ("whilst", "while"), ("wilful", "willful"),
     ("https", "http"), ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders"),
 )
-COPYRIGHT_LINE = r"(^|\n)[ \t*#/;-]*((copyright|©|\(c\))[ \t]*(\(c\)|©|[0-9]{4}|<|\[)[^\n]*|all rights reserved[.]?[ \t]*)"
+#: Words that a line about copyright has, but not one that only states a holder.
+SENTENCE = (
+    "act|any|are|as|be|been|can|claims?|conditions?|disclaimers?|do|does|for|from|grants?|granted|has|have|hereby|holders?|if|"
+    "infringements?|interests?|is|it|its|laws?|licen[sc]\\w*|may|must|not|notices?|or|our|owners?|ownership|patents?|permission|"
+    "protected|protection|rights?(?! reserved)|shall|statements?|terms?|that|these|this|those|to|trademarks?|treat(?:y|ies)|under|"
+    "was|we|were|which|will|with|you|your")
+COPYRIGHT_LINE = (
+    r"(^|\n)[ \t*#/;-]*(((copyright|©|\(c\))[ \t]*)+([0-9]{4}|<|\[)[^\n]*|(copyright|©|\(c\))[ \t]*(\(c\)|©)[^\n]*|all rights reserved[.]?[ \t]*"
+    r"|(\(c\)[ \t]*)?(copyright|©)(?![a-z])(?=[^\n]*[\p{L}\p{N}])[ \t:,]*(?:by )?(?!and\b|in\b|of\b|on\b|at\b)(?![^\n]*\b(?:" + SENTENCE + r")\b)[^\n]{0,120}(?=\n|$))")
 OTHER_SIGNS = r"[^\p{L}\p{N}]+"
 
 #: Licence texts without their copyright line.
@@ -52,8 +60,48 @@ software must not be misrepresented; you must not claim that you wrote the origi
 an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly
 marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any
 source distribution."""
-TEXTS = {"MIT": ("", MIT), "ISC": ("", ISC), "Zlib": ("", ZLIB)}
-HEADS = {"MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"), "ISC": ("ISC License", "The ISC License"), "Zlib": ("zlib License", "The zlib License")}
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met: {}Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer. {}Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution. {}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT
+{} "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT {} BE LIABLE FOR ANY
+DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE
+GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
+CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF
+ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+BSD_3 = """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission. """
+PROVIDERS = ("HOLDERS AND CONTRIBUTORS", "HOLDER AND CONTRIBUTORS")
+LIABLE = ("HOLDER OR CONTRIBUTORS", "HOLDERS OR CONTRIBUTORS")
+BSD_2_TEXTS = tuple(BSD.format(a, b, "", x, y) for a, b in (("1. ", "2. "), ("* ", "* ")) for x in PROVIDERS for y in LIABLE)
+BSD_3_TEXTS = tuple(BSD.format(a, b, c + BSD_3, x, y) for a, b, c in (("1. ", "2. ", "3. "), ("* ", "* ", "* ")) for x in PROVIDERS for y in LIABLE)
+ZERO_BSD = ISC.replace(""",
+provided that the above copyright notice and this permission notice appear in all copies.""", ".")
+UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
+compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
+non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any
+and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to
+the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present
+and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO
+EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+UNLICENSE_MORE = "For more information, please refer to <http://unlicense.org{}>"
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this {} except in compliance with the License. You
+may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in
+writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND,
+either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+TEXTS = {
+    "MIT": (MIT,), "ISC": (ISC, ISC.replace("and/or distribute", "and distribute")), "Zlib": (ZLIB,), "BSD-2-Clause": BSD_2_TEXTS, "BSD-3-Clause": BSD_3_TEXTS, "0BSD": (ZERO_BSD,),
+    "Unlicense": (UNLICENSE, *(f"{UNLICENSE}\n{UNLICENSE_MORE.format(x)}" for x in ("", "/"))),
+    "Apache-2.0": tuple(APACHE.format(x) for x in ("file", "software", "work")),
+}
+HEADS = {
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License", "BSD License"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD"), "Unlicense": ("The Unlicense",), "Apache-2.0": (),
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"), "ISC": ("ISC License", "The ISC License"), "Zlib": ("zlib License", "The zlib License")}
 
 #: Names that notices use.
 NAMES = {
@@ -69,11 +117,30 @@ NAMES = {
 }
 NOTICES = ("Licensed under {}", "Released under {}", "Distributed under {}", "Available under {}", "This work is licensed under {}",
            "This software is licensed under {}", "This project is licensed under {}", "SPDX-License-Identifier: {}")
+#: Digests of the canonical forms of long whole texts, as Debian's common-licenses and package files hold them.
+DIGESTS = {
+    "Apache-2.0": ("036b5ff6d47b44974c624da95e5bf0ac7ddfe5030e41dfa7ff8ac0c1daa9f32b",   # with the appendix
+                   "6074c3536c43b739207170b87d1681477d0f07374ed3d862ba461334cce848e3",   # its copyright line named otherwise
+                   "f70a2718f78121f2da77cd6afbffffbd668d7c1fd36c85a3ef121e83cb5f48fe",   # up to "END OF TERMS AND CONDITIONS"
+                   "6aa661403864282a4d084f1551e8149a5f1a7b5e8b05b6db8e1a8a28d0badc64"),  # without that line
+    "CC0-1.0": ("96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",),
+    "GPL-1.0": ("8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224",),
+    "GPL-2.0": ("efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821",),
+    "GPL-3.0": ("eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a",
+                "9faf4f9b13ca844eeee37346a77dec74f558096ac2b418782a99c8afe4c772da"),
+    "LGPL-2.0": ("61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908",),
+    "LGPL-2.1": ("4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891",
+                 "5db6a0cf025514ea4a904dd0c2731b3a48aec5259d5f1ec782685806040d7b6a"),
+    "LGPL-3.0": ("aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",),
+    "MPL-1.1": ("a1b36de49a400e3d3385d5987188db954a084f9876243aa7207cd91de3f24a7b",),
+    "MPL-2.0": ("f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a",
+                "acb0bece3dc447740b87a4db23e0d425157552e4a33f273241a94444c2368900"),  # the header of source files
+}
 
 
-def known_texts() -> list[tuple[str, str]]:
+def known_texts(whole: dict[str, tuple[str, ...]] = TEXTS) -> list[tuple[str, str]]:
     """(licence, whole text) of the licences and notices known here."""
-    out = [(k, f"{head}\n{body}") for k, (_, body) in TEXTS.items() for head in ("", *HEADS[k])]
+    out = [(k, f"{head}\n{body}") for k, bodies in whole.items() for body in bodies for head in ("", *HEADS[k])]
     out += [(k, notice.format(name)) for k, names in NAMES.items() for name, notice in product(names, NOTICES)]
     return out + [(k, f"SPDX-License-Identifier: {k}") for k in NAMES]
 
@@ -94,12 +161,17 @@ def with_digest(df: DataFrame, text: Column, out: str) -> DataFrame:
     return df.withColumn("__form", canonical(text)).withColumn(out, F.when(form != "", F.sha2(form, 256))).drop("__form")
 
 
-def known_licenses(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
+def known_licenses(spark: SparkSession, texts: list[tuple[str, str]] | None = None, more: DataFrame | None = None) -> DataFrame:
     """(known, license): digests of known texts; the smallest licence name
-    stands where texts of several have the same form."""
+    stands where texts of several have the same form.  ``texts`` replaces the
+    ones known here, ``more`` is a table (license, text) of further ones."""
     rows = spark.createDataFrame(known_texts() if texts is None else texts, "license string, text string")
-    return (with_digest(rows, F.col("text"), "known").filter("known IS NOT NULL")
-            .groupBy("known").agg(F.min("license").alias("license")))
+    if more is not None:
+        rows = rows.unionByName(more.select("license", "text"))
+    known = with_digest(rows, F.col("text"), "known").select("known", "license").filter("known IS NOT NULL")
+    if texts is None:
+        known = known.unionByName(spark.createDataFrame([(x, k) for k, xs in DIGESTS.items() for x in xs], "known string, license string"))
+    return known.groupBy("known").agg(F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -123,10 +195,15 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
             .select("doc_id", "digest", "license", F.coalesce("n", F.lit(0)).alias("n_license_lines"), F.coalesce("names", F.lit("")).alias("line_licenses")))
 
 
+#: The SQL's own pattern and licences: it settles none of the other copyright lines and whole texts.
+SQL_COPYRIGHT_LINE = r"(^|\n)[ \t*#/;-]*((copyright|©|\(c\))[ \t]*(\(c\)|©|[0-9]{4}|<|\[)[^\n]*|all rights reserved[.]?[ \t]*)"
+SQL_TEXTS = {"MIT": (MIT,), "ISC": (ISC,), "Zlib": (ZLIB,)}
+
+
 def duckdb_form(text: str) -> str:
     """The canonical form of a text expression as DuckDB SQL."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    form = f"' ' || trim(regexp_replace(regexp_replace(lower({text}), {quote(COPYRIGHT_LINE)}, '', 'g'), {quote(OTHER_SIGNS)}, ' ', 'g')) || ' '"
+    form = f"' ' || trim(regexp_replace(regexp_replace(lower({text}), {quote(SQL_COPYRIGHT_LINE)}, '', 'g'), {quote(OTHER_SIGNS)}, ' ', 'g')) || ' '"
     for one, other in EQUIVALENT:
         form = f"replace({form}, {quote(f' {one} ')}, {quote(f' {other} ')})"
     return f"trim({form})"
@@ -135,4 +212,4 @@ def duckdb_form(text: str) -> str:
 def duckdb_known() -> str:
     """Rows of the known texts as DuckDB SQL."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    return "VALUES " + ", ".join(f"({quote(k)}, {quote(t)})" for k, t in known_texts())
+    return "VALUES " + ", ".join(f"({quote(k)}, {quote(t)})" for k, t in known_texts(SQL_TEXTS))

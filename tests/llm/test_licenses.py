@@ -33,3 +33,46 @@ def test_known_forms_are_not_shared_between_licences(spark):
     rows = spark.createDataFrame(licenses.known_texts(), "license string, text string")
     forms = rows.select(licenses.canonical(rows["text"]).alias("f"), "license").distinct()
     assert forms.groupBy("f").count().filter("count > 1").count() == 0
+
+
+def finds(spark, texts, known=None):
+    docs = docs_frame(spark, list(enumerate(texts)))
+    got = licenses.scan(docs, licenses.known_licenses(spark) if known is None else known).collect()
+    return [r["license"] for r in sorted(got, key=lambda r: r["doc_id"])]
+
+
+def test_lines_that_state_a_holder_are_no_part_of_the_form(spark):
+    lines = ["Copyright OpenJS Foundation and other contributors", "Copyright Jane Doe 2020", "(C) Copyright 2019 IBM", "# Copyright (c) 2020 X",
+             "Copyright Node.js contributors. All rights reserved.", "© Jane Doe", "Copyright: Some Firm, Inc."]
+    assert finds(spark, [f"{x}\n\n{licenses.MIT}" for x in lines]) == ["MIT"] * len(lines)
+    wrapped = licenses.MIT.replace("AUTHORS OR COPYRIGHT", "AUTHORS OR\nCOPYRIGHT").replace("The above copyright", "The above\ncopyright")
+    assert finds(spark, [wrapped, licenses.MIT.replace("The above copyright", "The above\ncopyright\n")]) == ["MIT", "MIT"]
+    said = ["Copyright law protects a work.", "Copyright is held by them.", "copyright notice, this list of conditions", "(c) You must keep it", "copyright\n"]
+    assert finds(spark, [f"{x}\n{licenses.MIT}" for x in said]) == [None] * len(said)
+
+
+def test_whole_texts(spark):
+    bsd = licenses.BSD_3_TEXTS[0].replace("materials provided", "materials\nprovided").replace("the above copyright notice", "the above\ncopyright notice")
+    texts = [f"BSD 3-Clause License\n\nCopyright (c) 2020, Some One\nAll rights reserved.\n\n{bsd}", licenses.BSD_2_TEXTS[-1], licenses.ZERO_BSD,
+             f"{licenses.UNLICENSE}\n\nFor more information, please refer to <https://unlicense.org>",
+             "Copyright 2019 The Authors\n\n" + licenses.APACHE.format("file"), licenses.BSD_3_TEXTS[0] + " more"]
+    assert finds(spark, texts) == ["BSD-3-Clause", "BSD-2-Clause", "0BSD", "Unlicense", "Apache-2.0", None]
+
+
+def test_long_texts_by_their_digests(spark):
+    import os
+
+    import pytest
+    folder = "/usr/share/common-licenses"
+    names = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+    names = {k: v for k, v in names.items() if os.path.exists(f"{folder}/{k}")}
+    if not names:
+        pytest.skip("no licence texts on this machine")
+    assert finds(spark, [open(f"{folder}/{k}", encoding="utf-8").read() for k in names]) == list(names.values())
+
+
+def test_callers_texts(spark):
+    more = spark.createDataFrame([("Own-1", "You may do all.\nBut that."), ("Zz", licenses.MIT)], "license string, text string")
+    texts = ["YOU MAY DO ALL, but that", licenses.MIT, licenses.ISC]
+    assert finds(spark, texts, licenses.known_licenses(spark, more=more)) == ["Own-1", "MIT", "ISC"]
+    assert finds(spark, texts, licenses.known_licenses(spark, [], more)) == ["Own-1", "Zz", None]
