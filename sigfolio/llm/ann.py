@@ -15,6 +15,7 @@ equal vectors.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -217,15 +218,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, partitions: int =
             for a in range(0, len(own), 256):
                 s = rows_q[a:a + 256] @ rows_x.T
                 s[own[a:a + 256, None] == ids[None, :]] = -np.inf
-                wide = min(2 * k, s.shape[1])
-                top = np.argpartition(-s, wide - 1, axis=1)[:, :wide]
-                for i, t in enumerate(top):
-                    t = t[s[i, t] > -np.inf]
-                    exact = (rows_x[t] * rows_q[a + i]).sum(axis=1)  # one order of adding for all
-                    best = np.lexsort((ids[t], -exact))[:k]
-                    out[0] += [int(own[a + i])] * len(best)
-                    out[1] += ids[t[best]].tolist()
-                    out[2] += exact[best].tolist()
+                for i, (t, exact) in enumerate(best_of(s, rows_x, rows_q[a:a + 256], ids, k)):
+                    out[0] += [int(own[a + i])] * len(t)
+                    out[1] += ids[t].tolist()
+                    out[2] += exact.tolist()
         return pa.Table.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=names)
 
     found = (left.groupBy("part", "i", "j").cogroup(right.groupBy("part", "i", "j"))
@@ -238,6 +234,24 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, partitions: int =
             .select("query_id", "rank", "vec_id", "score"))
 
 
+def best_of(s: np.ndarray, x: np.ndarray, queries: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per row of the scores ``s``: places and exact scores of the k best,
+    ties to smaller ids.  Every place counts whose score may reach the k-th
+    one but for rounding; -inf leaves a place out."""
+    at = min(k, s.shape[1]) - 1
+    with np.errstate(all="ignore"):
+        kth = -np.partition(-s, at, axis=1)[:, at]
+        # twice the bound of two inner products' rounding errors
+        margin = 4 * x.shape[1] * np.finfo(s.dtype).eps * np.linalg.norm(queries, axis=1) * np.linalg.norm(x, axis=1).max(initial=0.0)
+        least = kth - margin
+    least[~np.isfinite(least)] = -np.inf
+    for row, q, low in zip(s, queries, least):
+        t = np.flatnonzero((row >= low) & (row > -np.inf))
+        exact = (x[t] * q).sum(axis=1)  # one order of adding for all
+        best = np.lexsort((ids[t], -exact))[:k]
+        yield t[best], exact[best]
+
+
 def nearest_exact(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int) -> dict[int, list[int]]:
     """Brute force over a small table, to measure recall against."""
     out = {}

@@ -67,3 +67,20 @@ def test_parts_are_balanced():
     x = rng.normal(size=(500, 16))
     part = ann.balanced_cut(x, ann.neighbour_graph(x, 10), 8, rng)
     assert np.bincount(part, minlength=8).max() <= np.ceil(1.05 * 500 / 8)
+
+
+def test_many_vectors_tie_at_the_last_rank():
+    rng = np.random.default_rng(4)
+    x = np.zeros((600, 64))
+    for r in x:  # different vectors of 0 and 1, nearly all with the first sign
+        r[0] = 1
+        r[rng.choice(np.arange(1, 64), 3, replace=False)] = 1
+    ids = rng.permutation(600) + 1
+    q = np.zeros((1, 64))
+    q[0, 0] = 1
+    (places, scores), = ann.best_of(q @ x.T, x, q, ids, 5)
+    assert ids[places].tolist() == [1, 2, 3, 4, 5] and scores.tolist() == [1.0] * 5
+    s = q @ x.T
+    s[0, 3:] = -np.inf
+    (places, _), = ann.best_of(s, x, q, ids, 5)
+    assert sorted(places.tolist()) == [0, 1, 2]
