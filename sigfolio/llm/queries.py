@@ -7,8 +7,10 @@ import os
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sigfolio.llm import ann, bpe, decontaminate, html_extract, licenses, merkle, shard_pack, simhash, suffix_dedup, toxicity
+from sigfolio.llm import (ann, bpe, decontaminate, html_extract, licenses, merkle, prefix_trie, resample, shard_pack, simhash,
+                          suffix_dedup, token_files, toxicity)
 from sigfolio.llm.common import table
+from sigfolio.session import scratch_path
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -189,3 +191,78 @@ FROM d LEFT JOIN k ON sha256(form) = k.known AND form <> '' LEFT JOIN n ON d.doc
 @query("op5_license_scan", license_sql())
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_licenses(spark))
+
+
+#: Unsigned CRC-32 in SQL: a table of 256 values from the reflected
+#: polynomial, then one step per byte of a list ``b``.
+CRC_TABLE = """SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+  lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t"""
+CRC_OF = "xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295)"
+
+
+OP13_SQL = f"""
+WITH tab AS ({CRC_TABLE}),
+o AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT c, strlen(text) AS n_bytes, dg, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, dg) - 1 AS i
+      FROM (SELECT *, sha256(strlen(role) || ':' || role || text) AS dg FROM o)),
+v AS (SELECT c, c - c % 5 AS base, ({CRC_OF}) % 9 AS h
+      FROM (SELECT c, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: ascii(x)::BIGINT) AS b FROM (SELECT DISTINCT c FROM t)), tab),
+r AS (SELECT v.c, 0 AS own, i, dg, n_bytes FROM v JOIN t ON t.c = v.base AND i < h
+      UNION ALL SELECT v.c, 1, i, dg, n_bytes FROM v JOIN t ON t.c = v.c AND i >= h),
+p AS (SELECT c, n_bytes, row_number() OVER w AS d, sha256(string_agg(dg, '') OVER (PARTITION BY c ORDER BY own, i ROWS UNBOUNDED PRECEDING)) AS k
+      FROM r WINDOW w AS (PARTITION BY c ORDER BY own, i)),
+q AS (SELECT c, 0 AS n_bytes, 0 AS d, '' AS k FROM v UNION ALL SELECT c, n_bytes, d, k FROM p),
+l AS (SELECT c, max(d) AS top FROM q GROUP BY c),
+n AS (SELECT k, any_value(d) AS depth, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(n_bytes) AS saved,
+             string_agg(CASE WHEN d = top THEN CAST(c AS VARCHAR) END, ',' ORDER BY c) AS ends FROM q JOIN l USING (c) GROUP BY k),
+e AS (SELECT n.k, u.k AS up, m.conv_id AS parent FROM n JOIN q AS u ON u.c = n.conv_id AND u.d = n.depth - 1 JOIN n AS m ON m.k = u.k),
+f AS (SELECT up AS k, count(*) AS n_children FROM e GROUP BY up),
+s AS (SELECT q.k, count(*) FILTER (WHERE f.k IS NULL) AS n_leaves, sum(n.saved) AS saved_tokens
+      FROM n JOIN q ON q.c = n.conv_id AND q.d <= n.depth LEFT JOIN f ON f.k = n.k GROUP BY q.k)
+SELECT n.conv_id, CAST(depth AS BIGINT) AS depth, e.parent AS parent_conv_id, n_convs, coalesce(f.n_children, 0) AS n_children, n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM n LEFT JOIN e ON e.k = n.k LEFT JOIN f ON f.k = n.k JOIN s ON s.k = n.k
+"""
+
+
+@query("op13_prefix_trie", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, convs = prefix_trie.mixed(prefix_trie.number_turns(table(spark, sf_dir, "conversations")))
+    return prefix_trie.trie(turns, convs).drop("turn_bytes")
+
+
+OP11_SQL = f"""
+WITH tab AS ({CRC_TABLE}),
+w AS (SELECT src, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+      FROM (SELECT 0 AS src, doc_id AS id, text FROM documents UNION ALL SELECT 1, NULL, text FROM benchmark)),
+g AS (SELECT src, id, f, count(*) AS n FROM (
+        SELECT src, id, unnest(w) AS f FROM w
+        UNION ALL SELECT src, id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w) GROUP BY ALL),
+c AS (SELECT f, ({CRC_OF}) % 10000 AS bucket
+      FROM (SELECT f, list_transform(range(strlen(f)), lambda i: ('0x' || substr(hex(encode(f)), 2 * i + 1, 2))::BIGINT) AS b
+            FROM (SELECT DISTINCT f FROM g)), tab),
+k AS (SELECT bucket, sum(CASE WHEN src = 0 THEN n ELSE 0 END)::DOUBLE AS s, sum(CASE WHEN src = 1 THEN n ELSE 0 END)::DOUBLE AS t FROM g JOIN c USING (f) GROUP BY bucket),
+x AS (SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM k) + 10000) / ((s + 1) * ((SELECT sum(t) FROM k) + 10000)))) AS gain FROM k),
+m AS (SELECT id, sum(n) AS n_features, floor(sum(n * gain) / sum(n)) AS weight FROM g JOIN c USING (f) JOIN x USING (bucket) WHERE src = 0 GROUP BY id),
+d AS (SELECT id AS doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+             ('0x' || substr(sha256('7:' || id), 1, 8))::BIGINT AS h FROM w LEFT JOIN m USING (id) WHERE src = 0),
+y AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS score FROM d),
+z AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS r, count(*) OVER (PARTITION BY n_words >= 20) AS n FROM y)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+       CASE WHEN n_words >= 20 AND r <= 25 * n // 100 THEN r END AS rank, CAST(n_words AS BIGINT) AS n_words FROM z
+"""
+
+
+@query("op11_importance_resample", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, min_words=20, seed=7)
+
+
+@query("op12_token_files")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "token-files")
+    index = token_files.write(table(spark, sf_dir, "documents"), folder, tokenizer_file(), end_id=0)
+    return (token_files.read(index, folder).join(token_files.starts(index), "part")
+            .select("doc_id", (F.col("base") + F.col("at")).alias("start"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                    F.crc32("ids").alias("ids_crc32")))
