@@ -256,7 +256,8 @@ SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT)
 
 @query("op11_importance_resample", OP11_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, min_words=20, seed=7)
+    return resample.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, min_words=20, seed=7).select(
+        "doc_id", "n_features", "weight", "score", "rank", "n_words")
 
 
 @query("op12_token_files")
