@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sigfolio.functions.bloom import bloom_filter, may_contain
 from sigfolio.functions.text import hash_text
 from sigfolio.session import cut_lineage
 
@@ -116,21 +117,42 @@ def join_returns_on_date(portfolio: DataFrame, index: DataFrame, keys: Sequence[
 
 # --- response cache -------------------------------------------------------
 
+def latest_answers(cache: DataFrame, hash_col: str = "hashed_text", value: str = "response",
+                   version: str = "updated_at") -> DataFrame:
+    """(hash_col, value): one answer per hash, whatever the cache holds: the
+    newest version that is not blank (without a version column, the greatest
+    answer)."""
+    order = F.struct(F.col(version), F.col(value)) if version in cache.columns else F.col(value)
+    found = answered(cache.withColumn(value, F.col(value).cast("string")), value).filter(F.col("hashed_text").isNotNull())
+    return found.groupBy(F.col("hashed_text").alias(hash_col)).agg(F.max_by(value, order).alias(value))
+
+
+def split_by_keys(df: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that may have a partner in ``keys``, rows that certainly have
+    none), told apart by a Bloom filter of fixed size: the second never meet
+    the join, so their texts are not shuffled."""
+    may = may_contain(bloom_filter(keys, key), key)
+    return df.filter(may), df.filter(~may)
+
+
 def cache_lookup(df: DataFrame, cache: DataFrame, text_cols: Sequence[str],
                  hash_col: str = "hashed_text", out: str = "llm_response",
                  cache_value: str = "response") -> DataFrame:
-    """Hash the texts and look the answer up; '' when absent or blank."""
-    h = df.withColumn(hash_col, hash_text(*text_cols))
-    c = cache.select(F.col("hashed_text").alias(hash_col), F.col(cache_value).alias(out))
-    return h.join(c, hash_col, "left").withColumn(out, F.coalesce(F.col(out), F.lit("")))
+    """Hash the texts and look the newest answer up; '' when absent or blank.
+    Every row comes back once, however many cache rows its hash has."""
+    known = latest_answers(cache, hash_col, cache_value).withColumnRenamed(cache_value, out)
+    may, absent = split_by_keys(df.withColumn(hash_col, hash_text(*text_cols)), hash_col, known)
+    found = may.join(known, hash_col, "left").withColumn(out, F.coalesce(F.col(out), F.lit("")))
+    return found.unionByName(absent.withColumn(out, F.lit("")))
 
 
 def cache_misses(df: DataFrame, cache: DataFrame, text_cols: Sequence[str],
                  hash_col: str = "hashed_text", cache_value: str = "response") -> DataFrame:
     """Rows whose text hash has no answer yet (the only ones sent to a
     model); a blank or NULL cached answer counts as none."""
-    h = df.withColumn(hash_col, hash_text(*text_cols))
-    return h.join(answered(cache, cache_value).select(F.col("hashed_text").alias(hash_col)), hash_col, "left_anti")
+    known = latest_answers(cache, hash_col, cache_value).select(hash_col)
+    may, absent = split_by_keys(df.withColumn(hash_col, hash_text(*text_cols)), hash_col, known)
+    return may.join(known, hash_col, "left_anti").unionByName(absent.select(hash_col, *[c for c in absent.columns if c != hash_col]))
 
 
 def answered(cache: DataFrame, value: str = "response") -> DataFrame:

@@ -3,14 +3,15 @@
 The library never picks a machine-local folder on a cluster: anything that
 must outlive a task (stream checkpoints, lineage cuts, exported corpora) goes
 below ``spark.checkpoint.dir`` as configured by the cluster; without that
-setting only a local session gets a scratch folder.  Tables written by
-``cut_lineage`` belong to their caller's result: ``stages()`` gathers the
-paths and removes them when the block ends.
+setting only a local session gets a scratch folder.  What is written there
+belongs to its caller's result: ``stages()`` gathers the paths and removes
+them when the block ends.
 """
 
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import os
 import tempfile
 import uuid
@@ -64,8 +65,34 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique folder below the shared checkpoint root."""
-    return os.path.join(checkpoint_root(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh, unique folder below the shared checkpoint root.  Within a
+    ``stages()`` block it belongs to the block."""
+    path = os.path.join(checkpoint_root(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    if _blocks.get():
+        _blocks.get()[-1].append(path)
+    return path
+
+
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop file system, path object) of a folder or file."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = file_system(spark, path)
+    return fs.exists(p)
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the entries of a folder; none where it does not exist."""
+    fs, p = file_system(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    fs, p = file_system(spark, path)
+    fs.delete(p, True)
 
 
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -74,26 +101,35 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     would recompute it for the write), the result survives executor loss,
     and later jobs read a small columnar table.  Never localCheckpoint."""
     path = scratch_path(df.sparkSession, name)
-    for held in _open_stages:
-        held.append(path)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
-_open_stages: list[list[str]] = []
+#: The open blocks of this thread (or task), innermost last.
+_blocks: contextvars.ContextVar[tuple[list, ...]] = contextvars.ContextVar("sigfolio_blocks", default=())
+
+
+def own_table(name: str) -> None:
+    """A catalog table that goes with the innermost open block."""
+    if _blocks.get():
+        _blocks.get()[-1].append(("table", name))
 
 
 @contextlib.contextmanager
 def stages(spark: SparkSession):
-    """Remove the tables that ``cut_lineage`` writes within the block once
-    the block ends: consume or write its results inside."""
-    held: list[str] = []
-    _open_stages.append(held)
+    """Remove what ``cut_lineage`` and ``scratch_path`` give within the block
+    once it ends: consume or write its results inside.
+
+    Blocks may be nested (a path belongs to the innermost) and may end in any
+    order; other threads have blocks of their own."""
+    held: list = []
+    _blocks.set((*_blocks.get(), held))
     try:
         yield held
     finally:
-        _open_stages.remove(held)
-        jvm = spark.sparkContext._jvm
+        _blocks.set(tuple(b for b in _blocks.get() if b is not held))
         for path in held:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            if isinstance(path, tuple):
+                spark.sql(f"DROP TABLE IF EXISTS {path[1]}")
+            else:
+                remove_path(spark, path)
