@@ -14,6 +14,7 @@ from sigfolio.plans.oracle import with_views
 from sigfolio.plans.q_joins import ASOF_SQL
 from sigfolio.plans.q_portfolio import REBAL_SQL, rebalance_check
 from sigfolio.plans.registry import query
+from sigfolio.session import scratch_path
 from sigfolio.streaming import signals as S
 
 
@@ -28,13 +29,18 @@ FROM (SELECT *, DATE '2020-01-01' + CAST(doc_id % 700 AS INTEGER) AS d FROM docu
 WHERE length(trim(coalesce(text, ''), ' ')) > 0""")
 def q_stream_signals(spark, sf):
     """Documents arrive as dated filings; those with text are kept for their
-    ticker until the next month start."""
+    ticker until the next month start, which a clock that runs on past the
+    last filing lets come."""
     d = spark.readStream.schema(B.table(spark, sf, "documents").schema) \
         .option("pathGlobFilter", "documents.parquet").parquet(sf)
     day = F.date_add(F.lit("2020-01-01").cast("date"), (F.col("doc_id") % 700).cast("int"))
     filings = d.select("doc_id", F.col("source").alias("ticker"), day.cast("timestamp").alias("ts"), "text")
+    end = B.table(spark, sf, "documents").select(
+        (F.date_add(F.lit("2020-01-01").cast("date"), F.max(F.col("doc_id") % 700).cast("int") + 70)).cast("timestamp").alias("ts"))
+    ticks = scratch_path(spark, "clock")
+    end.write.parquet(ticks)
     out, ck = S.scratch(spark, "stream_signals")
-    S.run_append(S.stream_signals(filings, delay="700 days"), out, ck)
+    S.run_append(S.stream_signals(filings, clock=spark.readStream.schema(end.schema).parquet(ticks)), out, ck)
     return spark.read.parquet(out).select("doc_id", "ticker", "due", F.md5("text").alias("text_md5"))
 
 
@@ -42,7 +48,7 @@ def q_stream_signals(spark, sf):
 SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id""")
 def q_stream_latest(spark, sf):
     out, ck = S.scratch(spark, "stream_latest")
-    S.upsert_log(S.stream_latest_position(_events_stream(spark, sf)), out, ck).awaitTermination()
+    S.upsert_log(S.stream_latest_position(_events_stream(spark, sf)), out, ck, key=["user_id"]).awaitTermination()
     return S.latest_state(spark, out, ["user_id"]).select("user_id", "event_type")
 
 
@@ -60,8 +66,9 @@ SELECT CAST(date_trunc('month', ts) AS DATE) AS month, event_type, count(*) AS n
 FROM events GROUP BY 1, 2""")
 def q_stream_months(spark, sf):
     out, ck = S.scratch(spark, "stream_days")
-    S.upsert_log(S.stream_daily_buckets(_events_stream(spark, sf)), out, ck).awaitTermination()
-    days = S.latest_state(spark, out, ["w_start", "day", "event_type"])
+    key = ["w_start", "day", "event_type"]
+    S.upsert_log(S.stream_daily_buckets(_events_stream(spark, sf)), out, ck, key=key).awaitTermination()
+    days = S.latest_state(spark, out, key)
     m = S.month_rollup(days)
     return m.select("month", "event_type", "n", F.round("total", 6).alias("total"))
 
@@ -91,8 +98,9 @@ def q_stream_asof(spark, sf):
         .option("pathGlobFilter", "lineitem.parquet").parquet(sf)
     per = J.signal_periods(B.signals_from(li), cal)
     out, ck = S.scratch(spark, "stream_asof")
-    S.upsert_log(per, out, ck).awaitTermination()
-    last = S.latest_state(spark, out, ["ticker", "rebalance_date"])
+    key = ["ticker", "rebalance_date"]
+    S.upsert_log(per, out, ck, key=key).awaitTermination()
+    last = S.latest_state(spark, out, key)
     return J.carry_forward(last, cal).select("ticker", "rebalance_date", "position")
 
 
@@ -109,6 +117,7 @@ def q_stream_rebalance(spark, sf):
     li = spark.readStream.schema(B.table(spark, sf, "lineitem").schema) \
         .option("pathGlobFilter", "lineitem.parquet").parquet(sf)
     out, ck = S.scratch(spark, "stream_rebalance")
-    S.upsert_log(J.signal_periods(B.signals_from(li), cal), out, ck).awaitTermination()
-    last = S.latest_state(spark, out, ["ticker", "rebalance_date"])
+    key = ["ticker", "rebalance_date"]
+    S.upsert_log(J.signal_periods(B.signals_from(li), cal), out, ck, key=key).awaitTermination()
+    last = S.latest_state(spark, out, key)
     return rebalance_check(J.holdings(last, J.first_held(p, cal), cal), p)
