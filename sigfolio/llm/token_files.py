@@ -20,9 +20,13 @@ attempts are never read.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
+import re
 import struct
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +35,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigfolio.llm.bpe import WORDS
+from sigfolio.llm.bpe import WORDS, byte_letters
 from sigfolio.llm.common import cut_lineage, map_rows, text_of
 
 FRAME_IDS = 1 << 20
 LEVEL = 3
-MAX_WORDS = 400_000
+#: Entries of an encoder's table.
+MAX_WORDS = 1_000_000
 PART_CHARS = 1_000_000
 #: Bytes that a reader of neighbouring documents fetches at once.
 AHEAD = 1 << 22
@@ -54,7 +59,9 @@ class Encoder:
     """Whole texts to packed ids, by the tokenizer library.
 
     Where the file says that the words of the byte-level pattern are encoded
-    each for itself, a word met before is looked up.
+    each for itself, texts are cut before each space that something visible
+    follows, where no word can go on, and a piece met before is looked up.
+    New words go to the library's model one by one.
     """
 
     def __init__(self, raw: bytes, max_words: int = MAX_WORDS):
@@ -64,16 +71,19 @@ class Encoder:
 
         spec = json.loads(raw)
         first = spec.get("pre_tokenizer") or {}
-        self.by_word = (first.get("type") == "ByteLevel" and first.get("use_regex", True)
-                        and not first.get("add_prefix_space") and not spec.get("normalizer"))
+        self.by_word = (first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space")
+                        and not spec.get("normalizer") and not spec["model"].get("dropout"))
         self.tokenizer = Tokenizer.from_str(raw.decode())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        self.letters = {b: letter for letter, b in byte_letters().items()}
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
         self.words = regex.compile(WORDS).findall
         self.border = regex.compile(r"(?<=\S) (?=\S)")
-        self.max_words = max_words
-        self.known: dict[str, bytes] = {}
+        self.pieces = re.compile(r" (?=\S)").split
+        self.after_space = Known(lambda p: self.piece(p, " "), max_words)  # by what follows the space
+        self.other = Known(self.word, max_words)
 
     def parts(self, text: str) -> Iterator[str]:
         """A long text cut before lone spaces, which no word spans."""
@@ -86,26 +96,68 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(words, found))
+    def word(self, word: str) -> bytes:
+        letters = word.encode().decode("latin-1").translate(self.letters)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(letters)])
+
+    def piece(self, piece: str, space: str = "") -> bytes:
+        """Ids of a piece, which may be several words."""
+        if space and piece.isalpha():
+            return self.word(space + piece)
+        if space and piece[-1] in ".,;:!?" and piece[:-1].isalpha():
+            return self.after_space[piece[:-1]] + self.other[piece[-1]]
+        words = self.words(space + piece)
+        if len(words) == 1:
+            return self.word(words[0])
+        return b"".join([self.after_space[w[1:]] if w[0] == " " and len(w) > 1 else self.other[w] for w in words])
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
+        known = self.after_space.__getitem__
         for text in texts:
             out = []
             for part in self.parts(text):
                 if not self.by_word or any(a in part for a in self.added):
                     out.append(self.whole(part))
                     continue
-                cut = self.words(part)
-                if len(self.known) > self.max_words:
-                    self.known = {}
-                if new := set(cut).difference(self.known):
-                    self.learn(list(new))
-                out += map(self.known.__getitem__, cut)
+                first, *cut = self.pieces(part)
+                out.append(self.piece(first))
+                out += map(known, cut)
+            self.after_space.turn()
+            self.other.turn()
             yield b"".join(out)
 
 
+class Known(dict):
+    """Results of a function, at most about ``size`` of them: what was not
+    asked for since the last turn but one is forgotten."""
+
+    def __init__(self, make, size: int):
+        super().__init__()
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        self[key] = found
+        return found
+
+    def turn(self) -> None:
+        if len(self) > self.size // 2:
+            self.old = dict(self)
+            self.clear()
+
+
+def worker_encoder(raw: bytes) -> Encoder:
+    """The encoder of this Python worker: Spark runs many tasks in one, and
+    the words that a task has met are words of the next."""
+    state = sys.modules.setdefault("_sigfolio_worker", types.ModuleType("_sigfolio_worker"))
+    key = hashlib.sha256(raw).hexdigest()
+    if getattr(state, "tokenizer", None) != key:
+        state.tokenizer, state.encoder = key, Encoder(raw)
+    return state.encoder
+
+
 class FileWriter:
     """Appends documents to an open binary stream."""
 
@@ -243,7 +295,7 @@ def write(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int = 0, id
                 system, path = file_system(folder)
                 system.create_dir(path, recursive=True)
                 out = system.open_output_stream(f"{path}/{file}", compression=None)
-                encoder, writer = Encoder(raw.value), FileWriter(out)
+                encoder, writer = worker_encoder(raw.value), FileWriter(out)
             n_ids = []
             for doc_id, ids in zip(b.column("doc_id").to_pylist(), encoder.encode(b.column("text").to_pylist())):
                 writer.add(doc_id, ids + end)
