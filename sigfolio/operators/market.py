@@ -9,8 +9,10 @@ of the trading calendar, not by the data volume behind a hot key.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -193,10 +195,9 @@ def bar_slices(prices: DataFrame, requests: DataFrame, n: int = HISTORY_BARS, ke
     """(key, at, bars): the bars of ``last_n_bars`` as one sorted array per
     request; requests without any bar have no row.
 
-    One exchange on the key: bars and requests are counted in one ordered
-    pass, folded into one row per key (its bars, bounded by the trading
-    calendar, and its requests with the number of bars before them), and
-    each request takes its slice of the bars.
+    One exchange on the key: bars and requests pass in one order, and the
+    frame of the last ``n`` bars goes with them from batch to batch, so a task
+    holds a batch and ``n`` bars, however long a key's history is.
     """
     req = requests.select(key, at).distinct()
     rest = [c for c in prices.columns if c != key]
@@ -206,12 +207,32 @@ def bar_slices(prices: DataFrame, requests: DataFrame, n: int = HISTORY_BARS, ke
                .unionByName(req.select(key, F.col(at).alias("__t"), at, none.alias("__bar"))))
     is_bar = F.col("__bar").isNotNull()
     tie = is_bar.desc() if inclusive else is_bar.asc()
-    run = Window.partitionBy(key).orderBy("__t", tie).rowsBetween(Window.unboundedPreceding, 0)
-    per_key = (u.withColumn("__n", F.count("__bar").over(run)).groupBy(key)
-                .agg(F.array_sort(F.collect_list(F.when(is_bar, F.struct("__n", "__bar")))).alias("__bars"),
-                     F.collect_list(F.when(~is_bar & (F.col("__n") > 0), F.struct(at, "__n"))).alias("__asked")))
-    lo = F.greatest(F.col("__a.__n") - n + 1, F.lit(1))
-    return (per_key.select(key, "__bars", F.explode("__asked").alias("__a"))
-                   .select(key, F.col("__a")[at].alias(at),
-                           F.transform(F.slice("__bars", lo.cast("int"), (F.col("__a.__n") - lo + 1).cast("int")),
-                                       lambda b: b["__bar"]).alias("bars")))
+    placed = u.repartition(key).sortWithinPartitions(key, "__t", tie, "__bar").select(key, at, "__bar")
+    kinds = {f.name: f.dataType for f in placed.schema}
+    schema = T.StructType([T.StructField(key, kinds[key]), T.StructField(at, kinds[at]), T.StructField("bars", T.ArrayType(kinds["__bar"]))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frame = None  # the last bars of the key that the batch before ended with
+        for batch in batches:
+            rows = pa.Table.from_batches([batch] if frame is None else [frame, batch]).combine_chunks()
+            if not rows.num_rows:
+                continue
+            known = np.asarray(rows.column("__bar").is_valid())
+            code = rows.column(key).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            first = np.r_[True, code[1:] != code[:-1]]
+            bars = np.cumsum(known)  # bars up to each row, over all keys
+            begin = np.maximum.accumulate(np.where(first, bars - known, 0))  # and before its key
+            asked = np.flatnonzero(~known & (bars > begin))
+            low = np.maximum(bars[asked] - n, begin[asked])
+            sizes = bars[asked] - low
+            place = np.flatnonzero(known)
+            ends = np.cumsum(sizes)
+            flat = place[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes) + np.repeat(low, sizes)]
+            found = rows.select([key, at]).take(asked).combine_chunks()
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), rows.column("__bar").take(flat).combine_chunks())
+            out = pa.table({key: found.column(0), at: found.column(1), "bars": lists})
+            yield from out.to_batches()
+            last = place[place >= np.flatnonzero(first)[-1]][-n:]
+            frame = rows.take(last).combine_chunks().to_batches()[0] if len(last) else None
+
+    return placed.mapInArrow(run, schema)

@@ -3,8 +3,7 @@ risk/return and the monthly rebalance composition.
 
 All rebalance dates are solved at once: holdings and histories are Spark jobs
 grouped by ``rebalance_date``; only the calendar of a group's returns and the
-quadratic program are numpy inside ``applyInPandas``, one group per rebalance
-date.  A group is one row per held name with its at most 30 bars, so its size
+quadratic program are numpy on Arrow tables, one group per rebalance date.  A group is one row per held name with its at most 30 bars, so its size
 grows with the names held, which nothing caps: the program couples all names
 of a portfolio.
 """
@@ -15,19 +14,22 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigfolio.operators import market as M
 from sigfolio.session import cut_lineage
-from sigfolio.operators.joins import join_universe_weights, pair_join, portfolio_membership
+from sigfolio.operators.joins import join_universe_weights, portfolio_membership
 
 TRADING_DAYS = M.TRADING_DAYS
 # Fixed values of the reference: portfolio cap and entry-weight rounding.
 PORTFOLIO_CAP = 500
 ENTRY_WEIGHT_DECIMALS = 3
-#: Tasks that the pairs of one group are spread over unless the caller says otherwise.
-PAIR_BLOCKS = 16
+#: Tiles of the tickers of a group unless the caller says otherwise.
+TICKER_TILES = 8
+#: Days of one matrix product.
+TILE_DAYS = 1024
 
 
 def annual_mean_returns(ret: DataFrame, key="ticker", value="ret", group: Sequence[str] = ()) -> DataFrame:
@@ -46,40 +48,133 @@ def return_vectors(ret: DataFrame, key="ticker", order="date", value="ret",
                        F.transform("__s", lambda x: x["r"]).alias("vec")))
 
 
+def gram_covariance(days: list[np.ndarray], values: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Sample covariance of series ``rows`` with series ``cols`` over the
+    days that both have; NaN with fewer than two.
+
+    With X the values (0 where unknown) and M the marks of what is known, the
+    sums over common days are the products X'X, X'M, M'X and M'M, added up
+    over tiles of days.  Values are taken from their series' mean, which
+    moves no covariance and keeps the differences of large numbers out."""
+    calendar = np.unique(np.concatenate(days)) if days else np.empty(0, "i8")
+    at = [np.searchsorted(calendar, d) for d in days]
+    centred = [v - v.mean() if len(v) else v for v in values]
+    shape = len(rows), len(cols)
+    n, sx, sy, sxy = (np.zeros(shape) for _ in range(4))
+    for first in range(0, len(calendar), TILE_DAYS):
+        width = min(TILE_DAYS, len(calendar) - first)
+        x, m = np.zeros((len(days), width)), np.zeros((len(days), width))
+        for k, (places, v) in enumerate(zip(at, centred)):
+            low, high = np.searchsorted(places, [first, first + width])
+            x[k, places[low:high] - first] = v[low:high]
+            m[k, places[low:high] - first] = 1.0
+        n += m[rows] @ m[cols].T
+        sx += x[rows] @ m[cols].T
+        sy += m[rows] @ x[cols].T
+        sxy += x[rows] @ x[cols].T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(n > 1, (sxy - sx * sy / n) / (n - 1), np.nan)
+
+
 def annual_covariance(ret: DataFrame, key="ticker", order="date", value="ret",
-                      group: Sequence[str] = (), blocks: int = PAIR_BLOCKS) -> DataFrame:
+                      group: Sequence[str] = (), blocks: int = TICKER_TILES) -> DataFrame:
     """Sample covariance x 252 for each pair ticker_i <= ticker_j over the
     dates on which both have a return; NULL with fewer than two such dates.
 
-    Per ticker the T returns are first folded into one array, so the pair
-    join carries one row per output cell (not one per cell and date).  The
-    pairs of a group are spread over ``blocks`` tasks, at every size."""
-    g = list(group) or ["__g"]
-    r = ret if group else ret.withColumn("__g", F.lit(0))
-    v = return_vectors(r, key, order, value, g)
-    a = v.select(*g, F.col(key).alias("ticker_i"), F.col("dates").alias("ta"), F.col("vec").alias("va"))
-    b = v.select(*g, F.col(key).alias("ticker_j"), F.col("dates").alias("tb"), F.col("vec").alias("vb"))
-    pairs = pair_join(a, b, g, blocks, block_key="ticker_i").filter(F.col("ticker_i") <= F.col("ticker_j"))
-    # tickers with the same dates (complete cases) are aligned as they are
-    same = F.col("ta") == F.col("tb")
-    both = F.array_intersect("ta", "tb")
-
-    def aligned(dates: str, vec: str):
-        at = F.map_from_arrays(dates, vec)
-        return F.when(same, F.col(vec)).otherwise(F.transform(both, lambda d: at[d]))
-
-    pairs = pairs.select(*g, "ticker_i", "ticker_j", aligned("ta", "va").alias("x"), aligned("tb", "vb").alias("y"))
-    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, e: s + e)
-    pairs = (pairs.withColumn("mx", F.try_divide(total(F.col("x")), F.size("x")))
-                  .withColumn("my", F.try_divide(total(F.col("y")), F.size("y"))))
-    cross = total(F.zip_with("x", "y", lambda x, y: (x - F.col("mx")) * (y - F.col("my"))))
-    cov = F.when(F.size("x") > 1, F.try_divide(cross, F.size("x") - 1) * TRADING_DAYS)
-    out = pairs.select(*g, "ticker_i", "ticker_j", cov.alias("cov"))
-    return out if group else out.drop("__g")
+    A ticker's returns are one row; tickers are dealt to ``blocks`` tiles and
+    a task works out one pair of tiles by matrix products, so a vector is
+    copied once per tile (not per ticker) and a task holds two tiles of the
+    trading calendar.  A second return of one date counts with its mean."""
+    g = list(group)
+    day = F.unix_date(F.col(order).cast("date")).alias(order)
+    one = ret.filter(F.col(key).isNotNull() & F.col(order).isNotNull()).groupBy(*g, key, order).agg(F.avg(F.col(value).cast("double")).alias(value))
+    v = return_vectors(one.select(*g, key, day, value), key, order, value, g)
+    tile = F.pmod(F.xxhash64(key), F.lit(blocks))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    v = (v.select(*g, F.col(key).alias("ticker"), "dates", "vec", tile.cast("int").alias("__tile")).withColumn("__other", other)
+         .withColumn("__a", F.least("__tile", "__other")).withColumn("__b", F.greatest("__tile", "__other")).drop("__other"))
+    kind = v.schema["ticker"].dataType.simpleString()
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in v.schema.fields if f.name in g]
+
+    def pairs(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        days, values = (_lists(table.column(c)) for c in ("dates", "vec"))
+        tile, low, high = (table.column(c).to_numpy() for c in ("__tile", "__a", "__b"))
+        rows, cols = np.flatnonzero(tile == low[0]), np.flatnonzero(tile == high[0])
+        cov = gram_covariance(days, values, rows, cols) * TRADING_DAYS
+        # within one tile each pair is met twice
+        names = table.column("ticker").to_numpy(zero_copy_only=False)
+        i, j = np.broadcast_arrays(rows[:, None], cols[None, :])
+        keep = (names[i] <= names[j]) if low[0] == high[0] else np.ones(i.shape, bool)
+        i, j, c = i[keep], j[keep], cov[keep]
+        swap = (names[i] > names[j]).astype(bool)
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        out = {x: table.column(x).take(pa.array(np.zeros(len(c), "i8"))) for x in g}
+        return pa.table(out | {"ticker_i": table.column("ticker").take(pa.array(i)), "ticker_j": table.column("ticker").take(pa.array(j)),
+                               "cov": pa.array(c, mask=np.isnan(c))})
+
+    schema = ", ".join([*kinds, f"ticker_i {kind}", f"ticker_j {kind}", "cov double"])
+    return v.groupBy(*g, "__a", "__b").applyInArrow(pairs, schema)
+
+
+def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The arrays of a list column, as views of its values."""
+    a = column.combine_chunks()
+    flat, at = a.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(a.value_lengths().to_numpy(zero_copy_only=False))]
+    return [flat[x:y] for x, y in zip(at, at[1:])]
 
 
 # --- minimum-variance solver (numpy, one rebalance date per call) ---------
 
+class AffineSet:
+    """The active points of the solver, with the inverse of the Cholesky
+    factor R of 1 1' + Q'Q, whose solution of ones gives the point of their
+    affine hull nearest to the origin.
+
+    A point that comes in appends a column to the factor and its inverse, one
+    that goes out leaves a Hessenberg matrix that rotations make triangular
+    again: neither starts anew."""
+
+    def __init__(self, points: np.ndarray, first: int):
+        self.points, self.index = points, [first]
+        p = points[:, first]
+        self.r = np.array([[np.sqrt(1.0 + p @ p)]])
+        self.inverse = 1.0 / self.r
+
+    def add(self, j: int) -> bool:
+        """False where point ``j`` lies in the hull but for rounding."""
+        p, k = self.points[:, j], len(self.index)
+        r = self.inverse.T @ (1.0 + self.points[:, self.index].T @ p)
+        size = 1.0 + p @ p
+        rest = size - r @ r
+        if rest <= 1e-13 * size:
+            return False
+        rho = np.sqrt(rest)
+        grown, inverse = np.zeros((k + 1, k + 1)), np.zeros((k + 1, k + 1))
+        grown[:k, :k], grown[:k, k], grown[k, k] = self.r, r, rho
+        inverse[:k, :k], inverse[:k, k], inverse[k, k] = self.inverse, -(self.inverse @ r) / rho, 1.0 / rho
+        self.r, self.inverse = grown, inverse
+        self.index.append(j)
+        return True
+
+    def keep(self, mask: np.ndarray) -> None:
+        """Points without the mask go."""
+        for k in np.flatnonzero(~mask)[::-1]:
+            h = np.delete(self.r, k, axis=1)
+            for i in range(k, h.shape[1]):
+                a, b = h[i, i], h[i + 1, i]
+                d = np.hypot(a, b)
+                h[i:i + 2, i:] = np.array([[a / d, b / d], [-b / d, a / d]]) @ h[i:i + 2, i:]
+            self.r = h[:-1]
+            del self.index[k]
+        self.inverse = np.linalg.inv(self.r)
+
+    def nearest(self) -> np.ndarray:
+        """Weights (they add up to 1, some may be negative)."""
+        u = self.inverse @ self.inverse.sum(axis=0)
+        return u / u.sum()
+
+
 def min_norm_point(points: np.ndarray, tol: float = 1e-12, max_iter: int = 10_000) -> np.ndarray:
     """Weights w on the simplex minimising ||points @ w|| (Wolfe's exact
     minimum-norm-point algorithm; columns of ``points`` are the points).
@@ -88,30 +183,24 @@ def min_norm_point(points: np.ndarray, tol: float = 1e-12, max_iter: int = 10_00
     the long-only, fully invested minimum-variance portfolio: w' C w =
     ||X w||^2.  The active set stays affinely independent (at most T + 1
     names), so singular covariances (more names than bars) are handled and
-    the answer is exact up to rounding, in a handful of iterations."""
+    the answer is exact up to rounding, in a handful of iterations.  Each
+    starts from the factor of the one before."""
     n = points.shape[1]
     sq = (points * points).sum(axis=0)
     scale = max(1.0, float(sq.max()))
-    active = [int(np.argmin(sq))]
+    # the factor is that of 1 1' + Q'Q: points as large as 1 keep both parts
+    unit = points / (np.sqrt(sq.max()) or 1.0)
+    active = AffineSet(unit, int(np.argmin(sq)))
     lam = np.array([1.0])
     for _ in range(max_iter):
-        x = points[:, active] @ lam
+        x = points[:, active.index] @ lam
         g = points.T @ x
         j = int(np.argmin(g))
-        if x @ x - g[j] <= tol * scale or j in active:
+        if x @ x - g[j] <= tol * scale or j in active.index or not active.add(j):
             break
-        active.append(j)
         lam = np.append(lam, 0.0)
         while True:  # minor cycle: affine minimiser of the active set
-            q = points[:, active]
-            k = len(active)
-            kkt = np.zeros((k + 1, k + 1))
-            kkt[:k, :k] = q.T @ q
-            kkt[:k, k] = 1.0
-            kkt[k, :k] = 1.0
-            rhs = np.zeros(k + 1)
-            rhs[k] = 1.0
-            mu = np.linalg.lstsq(kkt, rhs, rcond=None)[0][:k]
+            mu = active.nearest()
             if np.all(mu > 1e-15):
                 lam = mu
                 break
@@ -119,10 +208,10 @@ def min_norm_point(points: np.ndarray, tol: float = 1e-12, max_iter: int = 10_00
             theta = np.min(lam[neg] / (lam[neg] - mu[neg]))
             lam = lam + theta * (mu - lam)
             keep = lam > 1e-15
-            active = [a for a, kp in zip(active, keep) if kp]
+            active.keep(keep)
             lam = lam[keep] / lam[keep].sum()
     w = np.zeros(n)
-    w[active] = lam
+    w[active.index] = lam
     return w
 
 
@@ -170,14 +259,15 @@ def complete_returns(dates: Sequence[np.ndarray], prices: Sequence[np.ndarray])
     """(T x N) simple returns of N price series on the union of their dates:
     each series carries its last price forward, and only dates on which all
     have a finite return stay (a zero previous price drops a date)."""
-    calendar = np.unique(np.concatenate(dates))
-    filled = np.full((len(calendar), len(dates)), np.nan)
-    for j, (d, p) in enumerate(zip(dates, prices)):
-        days, of = np.unique(d, return_inverse=True)  # a day's prices are averaged
-        mean = np.bincount(of, weights=p) / np.bincount(of)
-        last = np.searchsorted(days, calendar, side="right") - 1
-        filled[last >= 0, j] = mean[last[last >= 0]]
+    n = len(dates)
+    name = np.repeat(np.arange(n), [len(d) for d in dates])
+    calendar, day = np.unique(np.concatenate(dates), return_inverse=True)
+    cell, size = day * n + name, len(calendar) * n
+    count = np.bincount(cell, minlength=size)  # a day's prices are averaged
     with np.errstate(divide="ignore", invalid="ignore"):
+        price = (np.bincount(cell, weights=np.concatenate(prices), minlength=size) / count).reshape(-1, n)
+        last = np.maximum.accumulate(np.where(count.reshape(-1, n) > 0, np.arange(len(calendar))[:, None], -1), axis=0)
+        filled = np.where(last >= 0, price[last, np.arange(n)], np.nan)
         ret = filled[1:] / filled[:-1] - 1
     return ret[np.isfinite(ret).all(axis=1)]
 
@@ -194,13 +284,18 @@ def min_variance_from_slices(slices: DataFrame, group: str = "rebalance_date", k
         F.transform("__b", lambda b: b[value].cast("double")).alias("vec"))
     kind = rows.schema[group].dataType.simpleString()
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ticker")
-        ret = complete_returns(pdf["days"].to_list(), pdf["vec"].to_list())
-        out = pdf[[group, "ticker"]]
-        return out.assign(weight=min_variance(ret).astype(float)) if len(ret) > 1 else out.assign(weight=0.0).iloc[:0]
-
-    return rows.groupBy(group).applyInPandas(solve, f"{group} {kind}, ticker string, weight double")
+    def solve(table: pa.Table) -> pa.Table:
+        table = table.sort_by("ticker").combine_chunks()
+        ret = complete_returns(_lists(table.column("days")), _lists(table.column("vec")))
+        if len(ret) < 2:
+            table, weight = table.slice(0, 0), np.empty(0)
+        else:
+            weight = min_variance(ret)
+        return pa.table({group: table.column(group), "ticker": table.column("ticker"), "weight": pa.array(weight, pa.float64())})
+
+    # few bytes and much work: the dates are dealt to all tasks, whatever their size
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, group).groupBy(group).applyInArrow(solve, f"{group} {kind}, ticker string, weight double")
 
 
 def portfolio_risk_return(weights: DataFrame, mu: DataFrame, cov: DataFrame,

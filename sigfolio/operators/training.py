@@ -4,10 +4,10 @@ thresholds and stratified splits.
 Sampling is by hash order: every row gets ``md5(seed | key...)`` and a
 sample of n is the n smallest hashes -- deterministic, independent of the
 partitioning, and reproducible in SQL.  Selection of the k smallest per
-group is exact without sorting or collecting a group: a histogram of the
-first 16 hash bits (at most 65,536 rows per group) locates the boundary
-bucket, everything below it is taken, and only the boundary bucket (about
-1/65,536 of the group) is ranked.
+group is exact without sorting or collecting a group: radix selection on the
+hashes (a histogram of their first 16 bits, at most 65,536 rows per group,
+then the one bucket that the cut falls into) gives the exact cut, and one
+filter over the wide rows takes what is below it.
 """
 
 from __future__ import annotations
@@ -52,15 +52,17 @@ def _same(group: Sequence[str], prefix: str) -> Column:
     return cond
 
 
-def select_smallest(df: DataFrame, quota: DataFrame | int, h: str, group: Sequence[str] = (),
-                    tie: Sequence[str] = (), flag: str | None = None) -> DataFrame:
-    """Rows with the ``quota`` smallest ``h`` per group (ties by ``tie``).
+def exact_cuts(keys: DataFrame, quota: DataFrame | int, h: str, group: Sequence[str] = ()) -> DataFrame:
+    """(group..., cut, need, have): the hash of the ``quota``-th smallest row
+    of each group, how many rows of that hash belong to the quota, and how
+    many there are (a quota of 0: an empty cut).  Groups smaller than their
+    quota have no row here.
 
-    ``quota`` is an int (same for every group) or a DataFrame (group cols +
-    ``quota``).  With ``flag`` every row is returned and ``flag`` marks the
-    selected ones."""
+    Radix selection on the hashes alone: a histogram of their first digits
+    (partial aggregate) finds the bucket of the cut, and only its hashes --
+    about 1/65,536 of the group -- are counted one by one."""
     group = list(group)
-    d = df.withColumn("__b", F.substring(h, 1, HASH_BUCKET_HEX))
+    d = keys.select(*group, h, F.substring(h, 1, HASH_BUCKET_HEX).alias("__b"))
     hist = d.groupBy(*group, "__b").agg(F.count(F.lit(1)).alias("__c"))
     cum = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
     hist = hist.withColumn("__cum", F.sum("__c").over(cum))
@@ -69,25 +71,48 @@ def select_smallest(df: DataFrame, quota: DataFrame | int, h: str, group: Sequen
         hist = hist.join(q, _same(group, "__q_")).drop(*[f"__q_{g}" for g in group])
     else:
         hist = hist.withColumn("quota", F.lit(quota))
-    # boundary bucket per group: the first whose running count reaches the quota
-    bnd = (hist.filter(F.col("__cum") >= F.col("quota"))
-               .groupBy(*group).agg(F.min_by(F.struct(F.col("__b").alias("b"),
-                                                  (F.col("quota") - F.col("__cum") + F.col("__c")).alias("need")),
-                                         "__b").alias("__bnd")))
+    edge = F.struct(F.col("__b").alias("b"), (F.col("quota") - F.col("__cum") + F.col("__c")).alias("need"))
+    edge = (hist.filter(F.col("__cum") >= F.col("quota")).groupBy(*group).agg(F.min_by(edge, "__b").alias("__edge"))
+            .select(*[F.col(g).alias(f"__e_{g}") for g in group], F.col("__edge.b").alias("__eb"), F.col("__edge.need").alias("__need")))
+    none = edge.filter(F.col("__need") <= 0).select(*[F.col(f"__e_{g}").alias(g) for g in group], F.lit("").alias("cut"),
+                                                    F.lit(0).cast("long").alias("need"), F.lit(0).cast("long").alias("have"))
+    # one row per group
+    inside = d.join(F.broadcast(edge.filter(F.col("__need") > 0)), _same(group, "__e_") & (F.col("__b") == F.col("__eb")))
+    each = inside.groupBy(*group, h, "__need").agg(F.count(F.lit(1)).alias("have"))
+    each = each.withColumn("__before", F.sum("have").over(
+        Window.partitionBy(*group).orderBy(h).rowsBetween(Window.unboundedPreceding, 0)) - F.col("have"))
+    reached = each.filter((F.col("__before") < F.col("__need")) & (F.col("__before") + F.col("have") >= F.col("__need")))
+    return reached.select(*group, F.col(h).alias("cut"), (F.col("__need") - F.col("__before")).cast("long").alias("need"), "have").unionByName(none)
+
+
+def select_smallest(df: DataFrame, quota: DataFrame | int, h: str, group: Sequence[str] = (),
+                    tie: Sequence[str] = (), flag: str | None = None) -> DataFrame:
+    """Rows with the ``quota`` smallest ``h`` per group (ties by ``tie``).
+
+    ``quota`` is an int (same for every group) or a DataFrame (group cols +
+    ``quota``).  With ``flag`` every row is returned and ``flag`` marks the
+    selected ones.
+
+    The cut is found on hashes and groups alone and is exact; one filter then
+    passes over the wide rows.  Only where more rows than needed share the
+    cut's hash (repeated keys) are these rows ranked, by a second read of the
+    table that adaptive execution leaves out where there are none."""
+    group = list(group)
+    cuts = exact_cuts(df, quota, h, group)
+    named = cuts.select(*[F.col(g).alias(f"__k_{g}") for g in group], F.col("cut").alias("__cut"), F.col("need").alias("__need"),
+                        (F.col("have") > F.col("need")).alias("__split"))
+    helpers = [f"__k_{g}" for g in group] + ["__cut", "__need", "__split"]
     if group:  # one row per group
-        bnd = bnd.select(*[F.col(g).alias(f"__b_{g}") for g in group], "__bnd")
-        j = d.join(bnd, _same(group, "__b_"), "left").drop(*[f"__b_{g}" for g in group])
-    else:      # a single boundary: a scalar subquery
-        j = d.withColumn("__bnd", bnd.select("__bnd").scalar())
-    j = j.withColumn("__bstar", F.col("__bnd.b")).withColumn("__need", F.col("__bnd.need")).drop("__bnd")
-    edge = j.filter(F.col("__b") == F.col("__bstar"))
-    rest = j.filter(F.col("__bstar").isNull() | (F.col("__b") != F.col("__bstar")))
-    rw = Window.partitionBy(*group, "__b").orderBy(F.col(h), *[F.col(t) for t in tie])
-    edge = edge.withColumn("__sel", F.row_number().over(rw) <= F.col("__need"))
-    rest = rest.withColumn("__sel", F.col("__bstar").isNull() | (F.col("__b") < F.col("__bstar")))
-    out = edge.unionByName(rest)
-    out = out.withColumn(flag, F.col("__sel")) if flag else out.filter("__sel")
-    return out.drop("__b", "__bstar", "__need", "__sel")
+        j = df.join(F.broadcast(named), _same(group, "__k_"), "left")
+    else:      # a single cut: a scalar subquery
+        j = df.withColumn("__one", named.agg(F.first(F.struct(*helpers))).scalar()).select(*df.columns, "__one.*")
+    at_cut = F.coalesce((F.col(h) == F.col("__cut")) & F.col("__split"), F.lit(False))
+    main = j.filter(~at_cut).withColumn("__sel", F.col("__cut").isNull() | (F.col(h) <= F.col("__cut")))
+    shared = df.join(F.broadcast(named.filter("__split")), _same(group, "__k_") & (F.col(h) == F.col("__cut")))
+    rw = Window.partitionBy(*group, h).orderBy(*[F.col(t) for t in tie]) if tie else Window.partitionBy(*group, h).orderBy(h)
+    shared = shared.withColumn("__sel", F.row_number().over(rw) <= F.col("__need"))
+    out = main.drop(*helpers).unionByName(shared.drop(*helpers))
+    return out.withColumnRenamed("__sel", flag) if flag else out.filter("__sel").drop("__sel")
 
 
 def sample_n(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
