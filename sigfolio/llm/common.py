@@ -40,6 +40,15 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, or it with a number that makes it none of the frame's columns."""
+    taken, k, out = {c.lower() for c in df.columns}, 0, name
+    while out.lower() in taken:
+        k += 1
+        out = f"{name}_{k}"
+    return out
+
+
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     """A digest of a row's id and whole text: tells rows apart where ids are
     NULL or not unique, and is the same for repeated rows."""
@@ -47,4 +56,4 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
                              F.col(text_col).isNull().cast("string"), text_of(text_col)))
 
 
-__all__ = ["BATCH_ROWS", "cut_lineage", "map_rows", "row_key", "small_batches", "table", "text_of"]
+__all__ = ["BATCH_ROWS", "cut_lineage", "fresh_name", "map_rows", "row_key", "small_batches", "table", "text_of"]

@@ -60,7 +60,8 @@ LAYOUT = frozenset(
     "wrapper".split())
 TITLED = frozenset("article entry page post".split())  # their header holds the article's own title
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+OPENS = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+TAG_STOPS = re.compile(r"[<>\"']")
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]*))?""")
 SPLIT = re.compile(r"[^a-z0-9]+")
 PUNCTUATION = re.compile(r"[.,;:!?，。；：！？、¿¡]")
@@ -91,46 +92,115 @@ def marks(attributes: list[tuple[str, str]]) -> bool:
 class Node:
     """An open or closed element; ``never`` (its element or attributes leave
     it out) and ``marked`` (left out unless it holds most of the page) are
-    its own; ``ended``: by an end tag of its own."""
+    its own; ``ended``: by an end tag of its own.  ``path`` is the number of
+    its path of names; ``order`` counts elements as they open and ``last`` is
+    that of the last one inside."""
 
-    __slots__ = ("name", "parent", "path", "never", "marked", "ended")
+    __slots__ = ("name", "parent", "path", "never", "marked", "ended", "order", "last", "depth", "heading", "article", "box", "out", "hinted")
 
-    def __init__(self, name: str, parent: Node | None, never: bool = False, marked: bool = False):
-        self.name, self.parent, self.never, self.marked = name, parent, never, marked
-        self.path = f"{parent.path}/{name}" if parent else name
+    def __init__(self, name: str, parent: Node | None, order: int, path: int, never: bool = False, marked: bool = False):
+        self.name, self.parent, self.order, self.path, self.never, self.marked = name, parent, order, path, never, marked
         self.ended = name in OPTIONAL
-
-
-def runs(page: str) -> list[tuple[Node, int, str]]:
-    """(element, block number, raw text) of every run of text in page order."""
-    root = Node("html", None)
-    stack, out, block, at = [root], [], 0, 0
+        self.last = order
+        self.depth = parent.depth + 1 if parent else 0
+        self.heading = name in HEADINGS or parent is not None and parent.heading
+        self.article = name in ARTICLE or parent is not None and parent.article
+        self.box: Node = self if name in BOXES or parent is None else parent.box
+        self.out = self.hinted = False
+
+    def holds(self, other: Node) -> bool:
+        return self.order <= other.order <= self.last
+
+
+class Tags:
+    """The tags of a page one after another, in time that grows with the page."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.dead: set[int] = set()
+
+    def end(self, at: int) -> int:
+        """Place of the > that ends the tag whose attributes begin at ``at``
+        (none in quotes does), or -1.  From each < that a search without
+        success has passed outside quotes there is none either."""
+        page, passed = self.page, []
+        while at <= self.last:
+            m = TAG_STOPS.search(page, at)
+            if m is None:
+                break
+            c, at = m.group(), m.end()
+            if c == ">":
+                return m.start()
+            if c == "<":
+                if m.start() in self.dead:
+                    break
+                passed.append(m.start())
+                continue
+            close = page.find(c, at)
+            if close < 0:
+                break
+            at = close + 1
+        self.dead.update(passed)
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, slash, name, attributes) of the next tag, comment or
+        declaration (no name) from ``at`` on."""
+        page = self.page
+        while (m := OPENS.search(page, at)) is not None:
+            start, at = m.start(), m.end()
+            if m[2] is not None:
+                stop = -1 if start in self.dead else self.end(at)
+                if stop >= 0:
+                    return start, stop + 1, m[1], m[2].lower(), page[at:stop]
+            elif page.startswith("<!--", start):
+                stop = page.find("-->", at)
+                return start, stop + 3 if stop >= 0 else len(page), "", "", ""
+            elif at <= self.last:
+                return start, page.find(">", at) + 1, "", "", ""
+            at = start + 1
+        return None
+
+
+def runs(page: str) -> tuple[list[tuple[Node, int, str]], list[Node]]:
+    """(element, block number, raw text) of every run of text in page order,
+    and all elements in the order in which they open."""
+    root = Node("html", None, 0, 0)
+    stack, nodes, out, block, at = [root], [root], [], 0, 0
+    paths: dict[tuple[int, str], int] = {}
+    places = defaultdict(list)  # of each name's open elements in the stack
+    places["html"].append(0)
 
     def text(s: str) -> None:
         if s:
             out.append((stack[-1], block, s))
 
-    def close(names: frozenset | set, until: frozenset) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].name in names:
-                stack[k].ended = True
-                del stack[k:]
-                return
-            if stack[k].name in until:
-                return
+    def highest(names: frozenset | set) -> int:
+        return max((places[x][-1] for x in names if places[x]), default=0)
 
+    def close(names: frozenset | set, until: frozenset) -> None:
+        k = highest(names)
+        if k > 0 and k >= highest(until):
+            stack[k].ended = True
+            for x in stack[k:]:
+                places[x.name].pop()
+            del stack[k:]
+
+    tags = Tags(page)
     while True:
-        m = TOKEN.search(page, at)
-        if m is None:
+        tag = tags.next(at)
+        if tag is None:
             text(page[at:])
-            return out
-        text(page[at:m.start()])
-        at = m.end()
-        name = (m[2] or "").lower()
+            for n in reversed(nodes[1:]):
+                n.parent.last = max(n.parent.last, n.last)
+            return out, nodes
+        start, end, slash, name, attributes = tag
+        text(page[at:start])
+        at = end
         if not name:
             continue
-        if m[1]:
-            if any(x.name == name for x in stack[1:]):
+        if slash:
+            if places[name] and places[name][-1] > 0:
                 if name in BLOCK:
                     block += 1
                     close({name}, frozenset())
@@ -140,60 +210,83 @@ def runs(page: str) -> list[tuple[Node, int, str]]:
                 block += 1
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            ends = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
+            stop = page.find(">", ends.end()) if ends else -1
+            at = stop + 1 if stop >= 0 else len(page)
             continue
         if name == "br":
             text("\n")
             continue
         if name in BLOCK:
             block += 1
-        if name in ("html", "body") and any(x.name == name for x in stack):
+        if name in ("html", "body") and places[name]:
             continue
         if name in CLOSES_P:
-            close({"p"}, BOUNDS - {"p"})
+            close({"p"}, BOUNDS)
         if name in ALIKE:
             close(ALIKE[name], frozenset(("ul", "ol", "dl", "table", "select")))
-        if name not in VOID and not m[3].endswith("/"):
+        if name not in VOID and not attributes.endswith("/"):
             up = stack[-1]
             never = name in NEVER - WRAPS and not (name == "header" and up.name in ARTICLE)
             marked = name in WRAPS
-            if m[3] and name not in UNNAMED:
-                own = [(x.lower(), v.strip("\"'").lower()) for x, v in ATTRIBUTE.findall(m[3])]
+            if attributes and name not in UNNAMED:
+                own = [(x.lower(), v.strip("\"'").lower()) for x, v in ATTRIBUTE.findall(attributes)]
                 never, marked = never or hidden(own), marked or marks(own)
-            stack.append(Node(name, up, never, marked))
+            places[name].append(len(stack))
+            stack.append(Node(name, up, len(nodes), paths.setdefault((up.path, name), len(paths) + 1), never, marked))
+            nodes.append(stack[-1])
 
 
-def kept(found: list[tuple[Node, int, str]]) -> list[tuple[Node, int, str]]:
+def kept(found: list[tuple[Node, int, str]], nodes: list[Node]) -> list[tuple[Node, int, str]]:
     """The runs outside boilerplate.  An element without its end tag bounds
     nothing and leaves nothing out, a footer excepted.  A marked element that
     holds most of the page's text and most of its score is no boilerplate,
     unless an <article> or <main> with text is free of marks."""
-    def outs(x: Node) -> bool:
-        return x.marked and (x.ended or x.name == "footer")
-
-    lines = {n: lineage(n) for n in {n for n, _, _ in found}}
-    lines = {n: up for n, up in lines.items() if not any(x.never and x.ended for x in up)}
-    marked = {x for up in lines.values() for x in up if outs(x)}
+    for n in nodes:
+        n.out = n.never and n.ended or n.parent is not None and n.parent.out
+    alive = [x for x in found if not x[0].out]
+    used = within({n for n, _, _ in alive}, nodes)
+    marked = {n for n in used if n.marked and (n.ended or n.name == "footer")}
     if marked:
+        below = under(marked, nodes)
         full = [(n, b, s.strip()) for n, b, s in found if s.strip()]
-        free = {n for n, up in lines.items() if marked.isdisjoint(up) and any(x.name in ARTICLE for x in up)}
-        if not any(n in free for n, _, _ in full):
-            large = marked & most(full, [len(s) for _, _, s in full], 0.5)
+        if not any(n.article and n not in below and not n.out for n, _, _ in full):
+            large = marked & most(full, [len(s) for _, _, s in full], 0.5, nodes)
             if large:
                 fused, sizes, _ = scores(full)
-                marked -= large & most(full, [a * b for a, b in zip(fused, sizes)], 0.5)
-        lines = {n: up for n, up in lines.items() if marked.isdisjoint(up)}
-    return [x for x in found if x[0] in lines]
+                marked -= large & most(full, [a * b for a, b in zip(fused, sizes)], 0.5, nodes)
+        below = under(marked, nodes)
+        alive = [x for x in alive if x[0] not in below]
+    return alive
+
+
+def within(some: set[Node], nodes: list[Node]) -> set[Node]:
+    """The elements that hold one of ``some``, these included."""
+    out = set(some)
+    for n in reversed(nodes):
+        if n in out and n.parent is not None:
+            out.add(n.parent)
+    return out
+
+
+def under(some: set[Node], nodes: list[Node]) -> set[Node]:
+    """The elements inside one of ``some``, these included."""
+    out: set[Node] = set()
+    for n in nodes:
+        if n in some or n.parent in out:
+            out.add(n)
+    return out
 
 
-def most(full: list[tuple[Node, int, str]], weights: list[float], part: float) -> set[Node]:
+def most(full: list[tuple[Node, int, str]], weights: list[float], part: float, nodes: list[Node]) -> set[Node]:
     """The elements that hold at least this part of the weights."""
     held = defaultdict(float)
     for (n, _, _), w in zip(full, weights):
-        for x in lineage(n):
-            held[x] += w
-    least = part * sum(weights)
+        held[n] += w
+    for n in reversed(nodes):
+        if n in held and n.parent is not None:
+            held[n.parent] += held[n]
+    least = part * sum(weights) * (1 - 1e-9)  # sums of the same values may differ in their last bits
     return {x for x, w in held.items() if w >= least}
 
 
@@ -209,7 +302,7 @@ def smooth(values: list[float], sigma: float = SIGMA) -> list[float]:
     return out
 
 
-def scores(full: list[tuple[Node, int, str]]) -> tuple[list[float], list[int], dict[str, float]]:
+def scores(full: list[tuple[Node, int, str]]) -> tuple[list[float], list[int], dict[int, float]]:
     """Fused ratio and counted length of every run, mean fused ratio of every path."""
     length, points, count = defaultdict(int), defaultdict(int), defaultdict(int)
     for node, _, s in full:
@@ -233,13 +326,16 @@ def main_text(page: str, threshold: float = THRESHOLD) -> str:
     page's mean score of a character, or HINT of that inside the hint.  Other
     blocks come in as `fill` says.
     """
-    found = kept([(n, b, html.unescape(s)) for n, b, s in runs(page)])
+    raw, nodes = runs(page)
+    found = kept([(n, b, html.unescape(s)) for n, b, s in raw], nodes)
     full = [(n, b, s.strip()) for n, b, s in found if s.strip()]
     if not full:
         return ""
     fused, sizes, score = scores(full)
     least = threshold * sum(a * b for a, b in zip(fused, sizes)) / sum(sizes)
-    hint = hints(full, [a * b for a, b in zip(fused, sizes)])
+    hint = hints(full, [a * b for a, b in zip(fused, sizes)], nodes)
+    for n in nodes:
+        n.hinted = n in hint or n.parent is not None and n.parent.hinted
     # mean scores of equal values may differ in their last bits
     floor = (1 - 1e-9) * least
     pieces: dict[int, list[str]] = {}
@@ -249,27 +345,23 @@ def main_text(page: str, threshold: float = THRESHOLD) -> str:
         pieces.setdefault(b, []).append(s)
         if s.strip():
             place.setdefault(b, node)
-            if score[node.path] >= floor * (HINT if hint.intersection(lineage(node)) else 1.0):
+            if score[node.path] >= floor * (HINT if node.hinted else 1.0):
                 chosen.add(b)
     texts = {b: " ".join("".join(x).split()) for b, x in pieces.items() if b in place}
-    return "\n\n".join(texts[b] for b in fill(texts, place, chosen, hint))
+    return "\n\n".join(texts[b] for b in fill(texts, place, chosen))
 
 
-def hints(full: list[tuple[Node, int, str]], weights: list[float]) -> set[Node]:
+def hints(full: list[tuple[Node, int, str]], weights: list[float], nodes: list[Node]) -> set[Node]:
     """The <article> and <main> elements with text, or else the innermost
     container with most of the weight."""
-    named = {x for n, _, _ in full for x in lineage(n) if x.name in ARTICLE}
+    named = {x for x in within({n for n, _, _ in full}, nodes) if x.name in ARTICLE}
     if named:
         return named
-    boxes = [x for x in most(full, weights, 0.7) if x.name in BOXES]
-    return {max(boxes, key=lambda x: len(lineage(x)))} if boxes else set()
-
-
-def container(node: Node) -> Node:
-    return next((x for x in lineage(node) if x.name in BOXES), node)
+    boxes = [x for x in most(full, weights, 0.7, nodes) if x.name in BOXES]
+    return {max(boxes, key=lambda x: x.depth)} if boxes else set()
 
 
-def fill(texts: dict[int, str], place: dict[int, Node], chosen: set[int], hint: set[Node]) -> list[int]:
+def fill(texts: dict[int, str], place: dict[int, Node], chosen: set[int]) -> list[int]:
     """The chosen blocks and those that belong to them, in page order: blocks
     in the container of the chosen block before or behind them that are no
     longer than one of the two.  Before the first and behind the last chosen
@@ -287,31 +379,25 @@ def fill(texts: dict[int, str], place: dict[int, Node], chosen: set[int], hint:
     out = []
     for b in order:
         if b not in chosen:
-            up = lineage(place[b])
-            heading = any(x.name in HEADINGS for x in up)
+            here = place[b]
+            heading = here.heading
             ends = [x for x in (before[b], behind[b]) if x is not None]
-            near = [x for x in ends if container(place[x]) in up]
-            inner = len(ends) == 2 or not hint.isdisjoint(up)
+            near = [x for x in ends if (place[x].box if place[x].box.name in BOXES else place[x]).holds(here)]
+            inner = len(ends) == 2 or here.hinted
             if not near or not (heading and behind[b] in near or inner and (heading or len(texts[b]) <= max(len(texts[x]) for x in ends))):
                 continue
         out.append(b)
     return out
 
 
-def lineage(node: Node | None) -> list[Node]:
-    out = []
-    while node is not None:
-        out.append(node)
-        node = node.parent
-    return out
-
-
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per row: ``id_col``, ``url_col`` and ``text``, the page's main text.
 
     A NULL, empty or textless page gives the empty text; NULL ids and urls
-    stay; repeated rows give a row each; other columns take no part.  Rows
-    are handled where they are read, without a shuffle.
+    stay; repeated rows give a row each; other columns take no part; an empty
+    table gives no rows.  A page of any length or depth is handled whole, in
+    time that grows with it.  Rows are handled where they are read, without a
+    shuffle.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), text_of(html_col).alias("html"))
 

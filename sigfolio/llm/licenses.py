@@ -15,7 +15,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigfolio.llm.common import text_of
+from sigfolio.llm.common import cut_lineage, text_of
 
 #: Spellings that licence matching treats as the same word.
 EQUIVALENT = (
@@ -33,10 +33,18 @@ SENTENCE = (
     "infringements?|interests?|is|it|its|laws?|licen[sc]\\w*|may|must|not|notices?|or|our|owners?|ownership|patents?|permission|"
     "protected|protection|rights?(?! reserved)|shall|statements?|terms?|that|these|this|those|to|trademarks?|treat(?:y|ies)|under|"
     "was|we|were|which|will|with|you|your")
+#: How a line may begin before its first word.
+BEGINS = r"^[ \t*#/;-]*"
+MARK = r"(?:copyright|©|\(c\))"
+#: Words that go on with a sentence about copyright.
+GOES_ON = r"(?:and|in|of|on|at)\b"
+#: A line that only states a copyright: marks and a year, two marks, or a mark and what may be a holder; of a line that
+#: begins with "all rights reserved" only these words go.  Every loop is possessive: none backtracks or recurses.
 COPYRIGHT_LINE = (
-    r"(^|\n)[ \t*#/;-]*(((copyright|©|\(c\))[ \t]*)+([0-9]{4}|<|\[)[^\n]*|(copyright|©|\(c\))[ \t]*(\(c\)|©)[^\n]*|all rights reserved[.]?[ \t]*"
-    r"|(\(c\)[ \t]*)?(copyright|©)(?![a-z])(?=[^\n]*[\p{L}\p{N}])[ \t:,]*(?:by )?(?!and\b|in\b|of\b|on\b|at\b)(?![^\n]*\b(?:" + SENTENCE + r")\b)[^\n]{0,120}(?=\n|$))")
-OTHER_SIGNS = r"[^\p{L}\p{N}]+"
+    r"(?dm)" + BEGINS + r"+(?:all rights reserved[.]?[ \t]*+|(?:(?:" + MARK + r"[ \t]*+)++(?:[0-9]{4}|<|\[)|" + MARK + r"[ \t]*+(?:\(c\)|©)"
+    r"|(?:\(c\)[ \t]*+)?+(?:copyright|©)(?![a-z])(?=[^\n]*[\p{L}\p{N}])[ \t:,]*+(?:by )?+(?!" + GOES_ON + r")(?![^\n]*\b(?:" + SENTENCE + r")\b))[^\n]*+)")
+#: Signs between words; line ends stay.
+OTHER_SIGNS = r"[^\p{L}\p{N}\n]+"
 
 #: Licence texts without their copyright line.
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
@@ -145,20 +153,43 @@ def known_texts(whole: dict[str, tuple[str, ...]] = TEXTS) -> list[tuple[str, st
     return out + [(k, f"SPDX-License-Identifier: {k}") for k in NAMES]
 
 
+def _spelled(form: Column, pairs) -> Column:
+    for one, other in pairs:
+        form = F.replace(form, F.lit(_apart(one)), F.lit(_apart(other)))
+    return form
+
+
+def _apart(words: str) -> str:
+    """Words with a space on each side of every one, as forms have them while
+    spellings are replaced: neighbours share no space."""
+    return "".join(f" {w} " for w in words.split())
+
+
+def _together(form: Column) -> Column:
+    return F.trim(F.regexp_replace(form, " +", " "))
+
+
+def line_forms(text: Column) -> Column:
+    """A whole text's words with canonical spellings and line ends, ``\\n``
+    standing where the text has one: what whole form and line forms share."""
+    words = F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, ""), OTHER_SIGNS, "  ")
+    marked = F.concat(F.lit("  "), F.replace(words, F.lit("\n"), F.lit("  \n  ")), F.lit("  "))
+    return _spelled(marked, EQUIVALENT)
+
+
+def whole_form(lines: Column) -> Column:
+    """The whole text's canonical form; spellings of several words may span lines."""
+    return _together(_spelled(F.regexp_replace(lines, " *\n *", "  "), [p for p in EQUIVALENT if " " in p[0]]))
+
+
 def canonical(text: Column) -> Column:
     """The canonical form of a whole text."""
-    words = F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, ""), OTHER_SIGNS, " ")
-    form = F.concat(F.lit(" "), F.trim(words), F.lit(" "))
-    for one, other in EQUIVALENT:
-        form = F.replace(form, F.lit(f" {one} "), F.lit(f" {other} "))
-    return F.trim(form)
+    return whole_form(line_forms(text))
 
 
-def with_digest(df: DataFrame, text: Column, out: str) -> DataFrame:
-    """``out`` = digest of the canonical form; NULL for a form without words.
-    The form is a column of its own, so that it is worked out once."""
-    form = F.col("__form")
-    return df.withColumn("__form", canonical(text)).withColumn(out, F.when(form != "", F.sha2(form, 256))).drop("__form")
+def digest_of(form: Column) -> Column:
+    """NULL for a form without words."""
+    return F.when(form != "", F.sha2(form, 256))
 
 
 def known_licenses(spark: SparkSession, texts: list[tuple[str, str]] | None = None, more: DataFrame | None = None) -> DataFrame:
@@ -168,7 +199,7 @@ def known_licenses(spark: SparkSession, texts: list[tuple[str, str]] | None = No
     rows = spark.createDataFrame(known_texts() if texts is None else texts, "license string, text string")
     if more is not None:
         rows = rows.unionByName(more.select("license", "text"))
-    known = with_digest(rows, F.col("text"), "known").select("known", "license").filter("known IS NOT NULL")
+    known = rows.select(digest_of(canonical(F.col("text"))).alias("known"), "license").filter("known IS NOT NULL")
     if texts is None:
         known = known.unionByName(spark.createDataFrame([(x, k) for k, xs in DIGESTS.items() for x in xs], "known string, license string"))
     return known.groupBy("known").agg(F.min("license").alias("license"))
@@ -182,34 +213,68 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
 
     NULL and empty texts have no digest; repeated rows and NULL ids give a
     row each, and rows of one doc_id share their lines; other columns take no
-    part; an empty table gives no rows, no known licences give no finds.
+    part; an empty table gives no rows, no known licences give no finds.  A
+    text or line of any length is handled whole, in time that grows with it.
+
+    Each text is brought to its forms once; what goes on is a written table
+    of digests.
     """
-    own = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    rows = with_digest(own, F.col("text"), "digest").drop("text")
-    lines = own.select(F.col("doc_id").alias("line_of"), F.explode(F.split("text", "\n")).alias("line"))
-    lines = (with_digest(lines, F.col("line"), "known").join(known, "known")
+    forms = docs.select(F.col(id_col).alias("doc_id"), line_forms(text_of(text_col)).alias("lines"))
+    digests = cut_lineage(forms.select("doc_id", digest_of(whole_form(F.col("lines"))).alias("digest"), _line_digests("lines").alias("lines")),
+                          "license-digests")
+    lines = digests.select(F.col("doc_id").alias("line_of"), F.explode("lines").alias("line"))
+    lines = (lines.join(known.select(F.unhex("known").alias("line"), "license"), "line")
              .groupBy("line_of", "license").agg(F.count(F.lit(1)).alias("n"))  # at most a row per known licence
              .groupBy("line_of").agg(F.sum("n").alias("n"), F.array_join(F.sort_array(F.collect_list("license")), ",").alias("names")))
+    rows = digests.select("doc_id", "digest")
     found = rows.join(known, rows["digest"] == known["known"], "left").select("doc_id", "digest", "license")
     return (found.join(lines, found["doc_id"].eqNullSafe(lines["line_of"]), "left")
             .select("doc_id", "digest", "license", F.coalesce("n", F.lit(0)).alias("n_license_lines"), F.coalesce("names", F.lit("")).alias("line_licenses")))
 
 
-#: The SQL's own pattern and licences: it settles none of the other copyright lines and whole texts.
-SQL_COPYRIGHT_LINE = r"(^|\n)[ \t*#/;-]*((copyright|©|\(c\))[ \t]*(\(c\)|©|[0-9]{4}|<|\[)[^\n]*|all rights reserved[.]?[ \t]*)"
-SQL_TEXTS = {"MIT": (MIT,), "ISC": (ISC,), "Zlib": (ZLIB,)}
+def _line_digests(lines: str) -> Column:
+    """Digests of the forms of a text's lines, without lines that have no words."""
+    parts = F.transform(F.split(_together(F.col(lines)), " ?\n ?"), lambda x: F.trim(x))
+    return F.transform(F.filter(parts, lambda x: x != ""), lambda x: F.unhex(F.sha2(x, 256)))
+
+
+# ----------------------------------------------------------------- SQL
+
+def _quote(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
 
 
 def duckdb_form(text: str) -> str:
-    """The canonical form of a text expression as DuckDB SQL."""
-    quote = lambda s: "'" + s.replace("'", "''") + "'"
-    form = f"' ' || trim(regexp_replace(regexp_replace(lower({text}), {quote(SQL_COPYRIGHT_LINE)}, '', 'g'), {quote(OTHER_SIGNS)}, ' ', 'g')) || ' '"
+    """The canonical form of a text expression as DuckDB SQL: line by line,
+    by conditions of its own, since its patterns look neither ahead nor back."""
+    def has(value: str, pattern: str) -> str:
+        return f"regexp_matches({value}, {_quote(pattern)}, 's')"
+
+    def without(value: str, pattern: str, put: str = "", how: str = "s") -> str:
+        return f"regexp_replace({value}, {_quote(pattern)}, {_quote(put)}, {_quote(how)})"
+
+    holder = BEGINS + r"(?:\(c\)[ \t]*)?(?:copyright|©)"
+    after = f"regexp_extract(x, {_quote(holder + '(.*)$')}, 1, 's')"
+    told = without(after, "^[ \\t:,]*(by )?")
+    # the one look ahead of these words: "rights" says nothing where "reserved" follows
+    words = r"\b(?:" + SENTENCE.replace("(?! reserved)", "") + r")\b"
+    states = " OR ".join((
+        has("x", BEGINS + "(?:" + MARK + r"[ \t]*)+([0-9]{4}|<|\[)"), has("x", BEGINS + MARK + r"[ \t]*(\(c\)|©)"),
+        f"({has('x', holder)} AND NOT {has(after, '^[a-z]')} AND {has(after, '[\\p{L}\\p{N}]')} AND NOT {has(told, '^' + GOES_ON)} "
+        f"AND NOT {has(without(told, '\\brights? reserved', ' ', 'g'), words)})"))
+    rest = without("x", BEGINS + r"all rights reserved[.]?[ \t]*")
+    kept = f"list_transform(string_split(lower({text}), chr(10)), lambda x: CASE WHEN {states} THEN '' ELSE {rest} END)"
+    form = f"'  ' || {without(f'array_to_string({kept}, chr(10))', r'[^\p{L}\p{N}]+', '  ', 'g')} || '  '"
     for one, other in EQUIVALENT:
-        form = f"replace({form}, {quote(f' {one} ')}, {quote(f' {other} ')})"
-    return f"trim({form})"
+        form = f"replace({form}, {_quote(_apart(one))}, {_quote(_apart(other))})"
+    return f"trim({without(form, ' +', ' ', 'g')})"
 
 
 def duckdb_known() -> str:
-    """Rows of the known texts as DuckDB SQL."""
-    quote = lambda s: "'" + s.replace("'", "''") + "'"
-    return "VALUES " + ", ".join(f"({quote(k)}, {quote(t)})" for k, t in known_texts(SQL_TEXTS))
+    """Rows (license, text) of the known texts as DuckDB SQL."""
+    return "VALUES " + ", ".join(f"({_quote(k)}, {_quote(t)})" for k, t in known_texts())
+
+
+def duckdb_digests() -> str:
+    """Rows (license, known) of the texts known by their digests."""
+    return "VALUES " + ", ".join(f"({_quote(k)}, {_quote(x)})" for k, xs in DIGESTS.items() for x in xs)

@@ -85,7 +85,11 @@ c AS (SELECT DISTINCT doc_id, item_id, dg.p - o AS s, bg.p - o AS t FROM dg JOIN
 m AS (SELECT c.doc_id, c.item_id, c.s FROM c JOIN d USING (doc_id) JOIN b USING (item_id)
       WHERE s + 13 <= len(d.w) AND t + 13 <= len(b.w)
         AND list_sum(list_transform(range(13), lambda k: CASE WHEN d.w[s + k + 1] = b.w[t + k + 1] THEN 1 ELSE 0 END)) >= 11),
-i AS (SELECT doc_id, item_id, count(DISTINCT s) AS n, min(s) AS s FROM m GROUP BY ALL),
+-- items of 5 to 12 tokens: all of them, word for word
+t AS (SELECT item_id, array_to_string(w, ' ') AS g, len(w) AS n FROM b WHERE len(w) BETWEEN 5 AND 12),
+q AS (SELECT p.doc_id, t.item_id, s FROM (SELECT doc_id, w, n, unnest(range(len(w) - n + 1)) AS s FROM d, (SELECT DISTINCT n FROM t) WHERE len(w) >= n) AS p
+      JOIN t ON t.n = p.n AND t.g = array_to_string(w[s + 1:s + p.n], ' ')),
+i AS (SELECT doc_id, item_id, count(DISTINCT s) AS n, min(s) AS s FROM (SELECT * FROM m UNION ALL SELECT * FROM q) GROUP BY ALL),
 r AS (SELECT doc_id, count(*) AS n_items, sum(n) AS n_windows, min(item_id) AS first_item, min(s) AS first_token FROM i GROUP BY ALL)
 SELECT documents.doc_id, r.doc_id IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items,
        CAST(coalesce(n_windows, 0) AS BIGINT) AS n_windows, first_item, CAST(first_token AS INTEGER) AS first_token
@@ -176,8 +180,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def license_sql() -> str:
     whole, line, text = (licenses.duckdb_form(x) for x in ("coalesce(text, '')", "line", "text"))
     return f"""
-WITH k AS (SELECT sha256(form) AS known, min(license) AS license
-  FROM (SELECT license, {text} AS form FROM ({licenses.duckdb_known()}) AS v(license, text)) WHERE form <> '' GROUP BY 1),
+WITH k AS (SELECT known, min(license) AS license FROM (
+  SELECT sha256(form) AS known, license FROM (SELECT license, {text} AS form FROM ({licenses.duckdb_known()}) AS v(license, text)) WHERE form <> ''
+  UNION ALL SELECT known, license FROM ({licenses.duckdb_digests()}) AS w(license, known)) GROUP BY 1),
 d AS (SELECT doc_id, {whole} AS form FROM documents),
 l AS (SELECT doc_id, {line} AS form FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)),
 n AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n, string_agg(license, ',' ORDER BY license) AS names

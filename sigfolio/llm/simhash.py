@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigfolio.llm.common import cut_lineage, map_rows, row_key, text_of
+from sigfolio.llm.common import cut_lineage, fresh_name, map_rows, row_key, text_of
 from sigfolio.llm.components import components
 
 SEED = 42
@@ -272,15 +272,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, equal:
 
 def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each component one row of ``docs``, with all its columns: the one
-    with the smallest id (a NULL id only where the group has no other)."""
+    with the smallest id (a NULL id only where the group has no other).  Of
+    rows with that id and one text, the one whose other columns come first as
+    JSON stays; columns may have any names."""
     key = row_key(id_col, text_col)
     marked = cut_lineage(fingerprints(docs, shingle, id_col, text_col, key), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("key")))
     by_print = marked.groupBy("fp").agg(first.alias("first"))  # copies meet as partial minima
     chosen = (by_print.join(components_of(marked, max_bits), "fp").groupBy("root").agg(F.min("first").alias("first"))
               .select(F.col("first.key").alias("__chosen")))
-    rows = docs.withColumn("__key", key)
-    return (rows.join(chosen, rows["__key"] == chosen["__chosen"], "left_semi").dropDuplicates(["__key"]).drop("__key"))
+    mine, row, kept = (fresh_name(docs, x) for x in ("mine", "row", "chosen"))
+    rows = docs.withColumn(mine, key).join(chosen.withColumnRenamed("__chosen", kept), F.col(mine) == F.col(kept), "left_semi")
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    first_row = F.to_json(F.struct(*others)) if others else F.lit("")
+    return rows.groupBy(mine).agg(F.min_by(F.struct(*docs.columns), first_row).alias(row)).select(f"{row}.*")
 
 
 def as_hex(fp: Column) -> Column:

@@ -35,16 +35,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigfolio.llm.common import cut_lineage, map_rows, row_key, small_batches, text_of
-from sigfolio.session import scratch_path
+from sigfolio.llm.common import cut_lineage, fresh_name, map_rows, row_key, small_batches, text_of
+from sigfolio.session import own_table, scratch_path
 
 WIDTH = 50
 GRAM = 24
 GROUP_BYTES = 8 << 20
 BUCKET_BYTES = 8 << 20
+#: Buckets of the table of packs, at most, and numbers tried for each to find its own.
+MAX_BUCKETS = 20_000
+SEARCH = 24
 PACK_BYTES = 256 << 10
 BLOCK_BYTES = 2 << 20
 #: Texts are hashed this many bytes at a time, however long one is.
@@ -176,13 +179,29 @@ def expand(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+def group_numbers(spark: SparkSession, buckets: int) -> list[list[int]]:
+    """For each of ``buckets`` some numbers that Spark deals to it, no two
+    buckets having the same number: a group named by one has a bucket of its
+    own.  At most SEARCH x MAX_BUCKETS rows."""
+    found = spark.range(SEARCH * buckets).select(F.col("id").cast("int").alias("k"))
+    out: list[list[int]] = [[] for _ in range(buckets)]
+    for r in found.select("k", F.pmod(F.hash("k"), F.lit(buckets)).alias("b")).collect():
+        out[r["b"]].append(r["k"])
+    return [sorted(x) for x in out]
+
+
 def pack_documents(rows: DataFrame, groups: int) -> DataFrame:
     """Table of packs (grp, first, ids, sizes, digests, blob), bucketed by
-    ``grp`` and kept in the shared folder."""
+    ``grp`` and kept in the shared folder.  Groups have a bucket each (several
+    share one beyond MAX_BUCKETS); repeated rows are dealt like others."""
     spark = rows.sparkSession
+    buckets = min(groups, MAX_BUCKETS)
+    numbers = group_numbers(spark, buckets)
 
     def run(batches: Batches) -> Batches:
-        grp, first, ids, keys, texts, size = TaskContext.get().partitionId(), 0, [], [], [], 0
+        turn, own = divmod(TaskContext.get().partitionId(), buckets)
+        grp = numbers[own][turn] if turn < len(numbers[own]) else SEARCH * buckets + turn * buckets + own
+        first, ids, keys, texts, size = 0, [], [], [], 0
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({
@@ -206,11 +225,13 @@ def pack_documents(rows: DataFrame, groups: int) -> DataFrame:
         if texts:
             yield out()
 
-    packs = map_rows(rows.repartition(groups, F.xxhash64("id", "text")), run,
+    dealt = rows.withColumn("deal", F.xxhash64("id", F.monotonically_increasing_id())).repartition(groups, "deal").drop("deal")
+    packs = map_rows(dealt, run,
                      "grp int, first int, ids binary, sizes binary, digests binary, keys array<string>, blob binary")
     name = f"packs_{uuid.uuid4().hex[:12]}"
     (packs.write.option("path", scratch_path(spark, "packs")).option("compression", "uncompressed")
-     .bucketBy(groups, "grp").saveAsTable(name))
+     .bucketBy(buckets, "grp").saveAsTable(name))
+    own_table(name)
     return spark.table(name)
 
 
@@ -420,8 +441,9 @@ def find_previous(rows: pa.Table) -> pa.Table:
     whole = (np.uint64(1) << windows.astype(np.uint64)) - np.uint64(1)
     answer = np.where(ids > first_id[of], whole[of], bits[of])
     keep = answer > 0
-    pairs = np.stack([numbers, answer.astype(np.uint32)], axis=1).astype("<u4")
-    return answers(rows.column("grp").to_pylist(), "answers", [pairs[keep & (where == k)].tobytes() for k in range(rows.num_rows)])
+    pairs = np.stack([numbers, answer.astype(np.uint32)], axis=1).astype("<u4")[keep]
+    ends = np.searchsorted(where[keep], np.arange(rows.num_rows + 1))  # a group row's strings lie together
+    return answers(rows.column("grp").to_pylist(), "answers", [pairs[a:b].tobytes() for a, b in zip(ends, ends[1:])])
 
 
 def cover(starts: np.ndarray, width: int, slice_bytes: int = SLICE_BYTES) -> np.ndarray:
@@ -490,6 +512,7 @@ def dedup(docs: DataFrame, whole_chars: bool = False, group_bytes: int = GROUP_B
     NULL and empty texts have no bytes; a NULL id comes after all others, and
     rows of one id are never earlier than each other, so repeated rows keep
     what they keep; extra columns take no part; an empty table gives no rows.
+    A very long text is worked on in slices, by one task, and matched whole.
     """
     key = F.lit(None) if carry is None else carry
     rows = docs.select(F.col(id_col).cast("long").alias("id"), key.cast("string").alias("key"), text_of(text_col).cast("binary").alias("text"))
@@ -514,10 +537,11 @@ def dedup(docs: DataFrame, whole_chars: bool = False, group_bytes: int = GROUP_B
 def dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """``docs`` with the repeats taken out of its texts, whole characters
     only, and ``length_col`` (where there is one) set to what is left; all
-    rows and columns stay.  A NULL text becomes empty."""
-    key = row_key(id_col, text_col)
+    rows and columns stay.  A NULL text becomes empty; rows of one id and text
+    are cut alike; columns may have any names."""
+    key, of, left, mine = row_key(id_col, text_col), *(fresh_name(docs, x) for x in ("of", "left", "mine"))
     kept = (dedup(docs, whole_chars=True, id_col=id_col, text_col=text_col, carry=key)
-            .select(F.col("key").alias("__of"), F.decode("kept", "UTF-8").alias("__text")).dropDuplicates(["__of"]))
-    rows = docs.withColumn("__key", key).drop(text_col)
-    new = {c: F.col("__text") if c == text_col else F.length("__text").cast("long") if c == length_col else F.col(c) for c in docs.columns}
-    return rows.join(kept, rows["__key"] == kept["__of"]).select(*(x.alias(c) for c, x in new.items()))
+            .select(F.col("key").alias(of), F.decode("kept", "UTF-8").alias(left)).dropDuplicates([of]))
+    rows = docs.withColumn(mine, key).drop(text_col)
+    new = {c: F.col(left) if c == text_col else F.length(left).cast("long") if c == length_col else F.col(c) for c in docs.columns}
+    return rows.join(kept, F.col(mine) == F.col(of)).select(*(x.alias(c) for c, x in new.items()))

@@ -23,6 +23,10 @@ def brute(rows, items):
                 for p in range(len(v) - 12):
                     if sum(a == b for a, b in zip(w[s:s + 13], v[p:p + 13])) >= 11:
                         found.setdefault(i, set()).add(s)
+            if 5 <= len(v) < 13:
+                for s in range(len(w) - len(v) + 1):
+                    if w[s:s + len(v)] == v:
+                        found.setdefault(i, set()).add(s)
         old = out.setdefault(d, {})
         for i, s in found.items():
             old.setdefault(i, set()).update(s)
@@ -78,3 +82,16 @@ def test_no_python_in_the_plan(spark):
     b = spark.createDataFrame([(1, "a " * 20)], "item_id long, text string")
     plan = dc.contamination(docs_frame(spark, [(1, "b")]), b)._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_short_items_word_for_word(spark):
+    """A short question copied whole is found, a changed one is not, and items
+    of a word or a few meet nothing."""
+    rows = [(1, "Well: What is the capital of a small, far country? Who knows."), (2, "What is the capital of a large, far country?"),
+            (3, "Yes."), (4, "what is the capital of a small far"), (5, "a b c d e f a b c d e"), (6, "中文 什么 是 首都 吗"), (7, None)]
+    items = [(10, "What is the capital of a small far country"), (11, "Yes"), (12, "a b c d"), (13, "a b c d e"), (14, "中文 什么 是 首都 吗")]
+    got = dc.contamination(docs_frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    by = {r["doc_id"]: tuple(r)[1:] for r in got}
+    assert by == {1: (True, 1, 1, 10, 1), 2: (False, 0, 0, None, None), 3: (False, 0, 0, None, None), 4: (False, 0, 0, None, None),
+                  5: (True, 1, 2, 13, 0), 6: (True, 1, 1, 14, 0), 7: (False, 0, 0, None, None)}
+    assert sorted(r["doc_id"] for r in dc.keep_clean(docs_frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()) == [2, 3, 4, 7]

@@ -93,3 +93,52 @@ def test_class_words_do_not_take_the_article():
         assert main_text(f"<body><div>{story}</div><div class='x {name}'><p>{PROSE}</p></div></body>") == want, name
     assert main_text(f"<body><article><p>Short.</p></article><div id='comments'>{story}</div></body>") == "Short."
     assert main_text(f"<body><div class='post-header'><h1>Title</h1></div><div>{story}</div></body>").endswith(want)
+
+
+def test_pages_without_any_hint():
+    """The path scores alone: no <article>, no boilerplate elements, no names."""
+    import re
+
+    import pyarrow.parquet as pq
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).column("html").to_pylist()
+    found = right = given = equal = 0
+    for page_html in pages:
+        want = main_text(page_html).split("\n\n")
+        bare = re.sub(r"(</?)(article|main|nav|header|footer|aside|section|form|menu|dialog)(?=[\s>])", r"\1div", page_html)
+        bare = re.sub(r"\s(class|id|role|hidden|aria-hidden)(=\"[^\"]*\"|='[^']*'|=[^\s>]*)?(?=[\s>/])", "", bare)
+        got = main_text(bare).split("\n\n")
+        found += len(set(want) & set(got))
+        right, given, equal = right + len(set(want)), given + len(set(got)), equal + (got == want)
+    assert found / right > 0.98 and found / given > 0.9 and equal > 0.75 * len(pages)
+
+
+def test_a_higher_threshold_leaves_more_out():
+    low, high = "<p>short</p>" * 6, "<p>" + "A long sentence, with much to say; and more of it. " * 8 + "</p>"
+    text = f"<div><div>{low}</div><section>{high * 3}</section></div>"
+    assert len(main_text(text, 0.0)) > len(main_text(text, 0.75)) > 0
+
+
+def test_large_and_deep_pages_take_linear_time():
+    """A megabyte each of what made earlier parsers go over the page again and again."""
+    import time
+    shapes = [lambda n: "<a " * (n // 3), lambda n: "<div>x" * (n // 6), lambda n: "<b>" * (n // 6) + "<hr>" * (n // 8), lambda n: "<nav>x" * (n // 6),
+              lambda n: "<a x=\"1\" " * (n // 9) + "\">\"", lambda n: "<a '\" " * (n // 6) + ">", lambda n: "<!x " * (n // 4),
+              lambda n: "<script>" + "</script " * (n // 9), lambda n: "<p><td>" + "<b>" * (n // 6) + "<hr>" * (n // 8), lambda n: "<" * n,
+              lambda n: "<div>" * (n // 10) + "</span>" * (n // 14), lambda n: "<ul><li>a" * (n // 9), lambda n: "<a " + "b = " * (n // 4) + ">x"]
+    for shape in shapes:
+        took = []
+        for size in (125_000, 1_000_000):
+            began = time.process_time()
+            main_text(shape(size))
+            took.append(time.process_time() - began)
+        assert took[1] < 30 * max(took[0], 0.05), took
+    deep = main_text("<div>" * 100_000 + "The text, at the end." + "</div>" * 100_000)
+    assert deep == "The text, at the end."
+
+
+def test_tags_end_outside_quotes():
+    assert main_text("<p title='a > b'>one, two.</p>") == "one, two."
+    assert main_text("<p>a <b title=\"x>one.</p>") == "a <b title=\"x>one."
+    assert main_text("<p>1 < 2 and <i>3 > 2</i>.</p>") == "1 < 2 and 3 > 2."
+    assert main_text("<p>a<!-- no end <p>b") == "a"
+    assert main_text("<p>a<!DOCTYPE x <p>b") == "ab"

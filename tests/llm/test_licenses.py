@@ -76,3 +76,31 @@ def test_callers_texts(spark):
     texts = ["YOU MAY DO ALL, but that", licenses.MIT, licenses.ISC]
     assert finds(spark, texts, licenses.known_licenses(spark, more=more)) == ["Own-1", "MIT", "ISC"]
     assert finds(spark, texts, licenses.known_licenses(spark, [], more)) == ["Own-1", "Zz", None]
+
+
+def test_long_lines_and_many_repeats(spark):
+    """A million marks on one line neither recurse nor backtrack, and a holder
+    line of any length is left out."""
+    marks = [f"{x}\n{licenses.MIT}" for x in ("copyright " * 1_000_000, "(c) copyright " * 300_000 + "2020 x", "©" * 1_000_000, "-" * 1_000_000,
+                                              "Copyright " + "holder name " * 100_000, "\n" * 500_000)]
+    assert finds(spark, marks) == ["MIT", "MIT", "MIT", "MIT", None, "MIT"]  # of the fifth, "holder" says more than who it is
+    assert finds(spark, ["Copyright " + "Some Name, " * 100_000 + "\n" + licenses.MIT]) == ["MIT"]
+    got = licenses.scan(docs_frame(spark, [(1, "Released under the MIT License.\n" * 20_000)]), licenses.known_licenses(spark)).collect()
+    assert [tuple(r)[2:] for r in got] == [(None, 20_000, "MIT")]
+
+
+def test_sql_has_the_same_patterns_and_texts(spark):
+    import duckdb
+    import pyarrow as pa
+
+    from sigfolio.llm.queries import license_sql
+    starts = ["copyright", "Copyright (c)", "©", "(C) copyright", " * Copyright", "All rights reserved.", "rights reserved", "copyrights", "copyright:"]
+    goes = ["", " 2020", " Jane", " by Jane. All rights reserved", " of Jane", " and", " law", " the right reserved", " by by on", "\t<a>", " [x", " é", "\r\nx"]
+    texts = [f"{s}{g}\n{t}" for s in starts for g in goes for t in ("a licence licence", licenses.MIT)]
+    texts += [t for _, t in licenses.known_texts()] + ["copyright holder\nsub\nlicence copyright owner", "per cent per\ncent", None, "", "\n\n"]
+    rows = list(enumerate(texts))
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [k for k, _ in rows], "text": pa.array([t for _, t in rows], pa.string())}))
+    want = sorted(con.execute(license_sql()).fetchall())
+    assert sorted(map(tuple, licenses.scan(docs_frame(spark, rows), licenses.known_licenses(spark)).collect())) == want
+    assert {r[2] for r in want} >= set(licenses.TEXTS)

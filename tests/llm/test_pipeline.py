@@ -96,13 +96,14 @@ def test_stages_on_an_empty_table_and_with_odd_columns(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for name, stage in cp.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
-    odd = docs.limit(30).withColumns({c: F.lit(1) for c in ("fp", "key", "score", "root", "grp", "words", "known", "id", "kept")})
+    odd = docs.limit(30).withColumns({c: F.lit(1) for c in ("fp", "key", "score", "root", "grp", "words", "known", "id", "kept", "__score", "__text", "__of",
+                                                              "__key", "__chosen", "mine", "bad", "of", "left", "row", "chosen", "score_1", "mine_1")})
     odd = odd.unionByName(odd.limit(2).withColumn("doc_id", F.lit(None).cast("long"))).withColumn("lang", F.lit(None).cast("string"))
     for k, (name, stage) in enumerate(cp.STAGES[:-1]):
         path = str(tmp_path / name)
         stage(spark, odd, SF).write.parquet(path)
         odd = spark.read.parquet(path)
-        assert set(odd.columns) > set(docs.columns)
+        assert odd.columns[:len(docs.columns)] == docs.columns and len(odd.columns) == len(docs.columns) + 22
     assert odd.count() > 0
 
 
@@ -113,3 +114,26 @@ def test_rows_without_ids_keep_their_own_texts(spark):
     assert sorted(r["text"] for r in got) == sorted(t for _, t in rows)
     assert cp.drop_near_duplicates(spark, docs, SF).count() == 3
     assert cp.drop_contaminated(spark, docs, SF).count() == 3
+
+
+def test_run_leaves_only_what_its_result_reads(spark, tmp_path):
+    import os
+    before = spark.conf.get("spark.checkpoint.dir")
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path / "shared"))
+    try:
+        tables = len(spark.catalog.listTables())
+        result = cp.run(spark, SF)
+        assert len(spark.catalog.listTables()) == tables
+        left = [n for n in os.listdir(tmp_path / "shared") if not n.startswith(".")]
+        assert sum(n.startswith("pipeline-") for n in left) == 1 and not [n for n in left if n.startswith(("packs", "copies", "shared", "fingerprints"))]
+        assert result.count() > 0
+    finally:
+        spark.conf.set("spark.checkpoint.dir", before)
+
+
+def test_of_rows_with_one_id_and_text_a_defined_one_stays(spark):
+    rows = [(1, "the same text of some words, again and again " * 3, lang, "s", 9) for lang in ("de", "en", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for seed in range(3):
+        got = cp.drop_near_duplicates(spark, docs.orderBy(F.rand(seed)).repartition(3), SF).collect()
+        assert [r["lang"] for r in got] == ["de"]
