@@ -21,36 +21,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigfolio.llm import decontaminate, simhash, suffix_dedup, toxicity
-from sigfolio.llm.common import cut_lineage, table
+from sigfolio.llm.common import fresh_name, table
 from sigfolio.llm.queries import bpe_digests
+from sigfolio.session import remove_path, scratch_path, stages
 
 #: Not expressible in SQL: trained scores, XXH64 fingerprints and BPE merges.
 ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text scores below the threshold."""
+    """Rows whose text scores below the threshold.  NULL and empty texts have
+    the classifier's bias for a score and stay where that is below it."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_rows(docs, model, "__score").filter(F.col("__score") < toxicity.THRESHOLD).drop("__score")
+    score = fresh_name(docs, "score")
+    return toxicity.score_rows(docs, model, score).filter(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each SimHash component."""
+    """The document with the smallest id of each SimHash component.  NULL and
+    empty texts are one group; of rows of one id and text one stays."""
     return simhash.keep_one(docs, shingle=4, max_bits=4)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings that earlier documents have."""
+    """Texts without the strings that earlier documents have.  All rows stay;
+    NULL texts become empty, a NULL id counts as later than all others."""
     return suffix_dedup.dedup_rows(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no window with a benchmark item."""
+    """Documents that share no window with a benchmark item.  Each row is
+    judged by itself; NULL and empty texts stay."""
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; NULL and
+    empty texts have no ids."""
     return bpe_digests(docs)
 
 
@@ -65,8 +72,16 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; every stage's rows are written to the
-    shared folder and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
+    shared folder and read again by the next.  What a stage writes on its way
+    goes with it, and its rows go once the next stage's are written; those of
+    the last but one stay, since the result is read from them."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = cut_lineage(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = scratch_path(spark, f"pipeline-{name}")
+        with stages(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before is not None:
+            remove_path(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
