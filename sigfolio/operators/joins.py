@@ -253,11 +253,19 @@ def holdings(periods: DataFrame, entry: DataFrame, calendar: DataFrame, key: str
     """(at, key) of the symbols held: from ``entry`` (first rebalance date of
     each) on, unless the latest of ``periods`` (key, at, value) is the exit.
     The entry is a position without a signal; a signal of the same period
-    comes after it."""
+    comes after it.
+
+    Each period holds until the key's next one, so one ordered pass per key
+    (at most a row per rebalance date and the entry) gives spans of dates,
+    and a span that is held lists its dates: the calendar meets no join."""
     blank = entry.select(key, at, F.lit("").alias(value), F.lit(0).alias("__src"))
-    both = (blank.unionByName(periods.select(key, at, value, F.lit(1).alias("__src")))
-            .groupBy(key, at).agg(F.max_by(value, "__src").alias(value)))
-    since = entry.select(F.col(key).alias("__k"), F.col(at).alias("__from"))
-    last = carry_forward(both, calendar, key, value, at)
-    return (last.join(since, (F.col(key) == F.col("__k")) & (F.col(at) >= F.col("__from")))
-                .filter(F.col(value) != exit_value).select(at, key))
+    both = blank.unionByName(periods.select(key, at, value, F.lit(1).alias("__src")))
+    both = both.filter(F.col(key).isNotNull() & F.col(value).isNotNull())
+    run = Window.partitionBy(key).orderBy(at, "__src")
+    spans = (both.withColumn("__until", F.lead(at).over(run))
+             .withColumn("__from", F.max(F.when(F.col("__src") == 0, F.col(at))).over(Window.partitionBy(key)))
+             .filter((F.col(value) != exit_value) & F.col("__from").isNotNull())
+             .withColumn("__from", F.greatest(at, "__from")).filter(F.col("__until").isNull() | (F.col("__until") > F.col("__from"))))
+    dates = calendar.agg(F.sort_array(F.collect_set("start"))).scalar()  # about 12 a year
+    inside = F.filter("__dates", lambda d: (d >= F.col("__from")) & (F.col("__until").isNull() | (d < F.col("__until"))))
+    return spans.withColumn("__dates", dates).select(F.explode(inside).alias(at), key)

@@ -16,7 +16,7 @@ from sigfolio.plans import bindings as B
 from sigfolio.plans import q_training as TR
 from sigfolio.plans.oracle import with_views
 from sigfolio.plans.registry import query
-from sigfolio.session import scratch_path
+from sigfolio.session import path_exists, scratch_path
 from sigfolio.sources import files as SRC
 from sigfolio.sources import sinks as SNK
 
@@ -121,10 +121,17 @@ def q_union_years(spark, sf):
     return SRC.union_years([spark.read.parquet(f"{path}/year={y}") for y in sorted(years)])
 
 
+#: (application, tables) -> the corpus that was written for it.
+_CORPORA: dict[tuple[str, str], str] = {}
+
+
 def _export_filings(spark, sf):
     """Filing texts written as one folder per filing under
     year=YYYY/quarter=QTRn (Spark's own layout): en -> 10-Q, de -> 10-K-A,
-    others -> 10-K."""
+    others -> 10-K.  Written once for the queries that scan it."""
+    key = spark.sparkContext.applicationId, sf
+    if key in _CORPORA and path_exists(spark, f"{_CORPORA[key]}/_SUCCESS"):
+        return _CORPORA[key]
     day = F.date_add(F.lit("2020-01-01").cast("date"), (F.col("doc_id") % 700).cast("int"))
     x = B.filing_texts(spark, sf, "lang").withColumn("date", day)
     form = (F.when(F.col("lang") == "en", "10-Q").when(F.col("lang") == "de", "10-K-A").otherwise("10-K"))
@@ -133,6 +140,7 @@ def _export_filings(spark, sf):
                           F.col("doc_id").cast("string"), F.lit(".txt")).alias("filing"))
     root = scratch_path(spark, "10Ks")
     x.repartitionByRange("year", "quarter", "filing").write.partitionBy("year", "quarter", "filing").text(root)
+    _CORPORA[key] = root
     return root
 
 

@@ -1,14 +1,18 @@
 """Readers: filing corpora, delimited tables, headerless series, JSON
 documents, JSON lines and log-embedded tables.
 
-Every reader takes an explicit schema (no inference); whole-file readers use
-``wholetext`` with the file path from ``_metadata``.
+Every reader takes an explicit schema (no inference); readers of filings and
+logs use ``wholetext`` with the file path from ``_metadata``, JSON documents
+are read in pieces.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import re
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,11 +81,110 @@ def parse_json_doc(docs: DataFrame, content: str = "content", path: Sequence[str
     return parsed.select(*keep, F.posexplode(col).alias("pos", "value"))
 
 
-def scan_json_doc(spark: SparkSession, path: str, json_path: Sequence[str] = EQUITY_PATH) -> DataFrame:
-    """(path, pos, value) from whole-file JSON documents."""
-    docs = (spark.read.text(path, wholetext=True)
-                 .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")))
-    return parse_json_doc(docs, "content", json_path)
+class JsonPathWalker:
+    """Elements of the array at ``path`` of a JSON document that comes in
+    pieces: ``feed`` gives the JSON text of each element that a piece ends.
+
+    Only the open containers, the keys on the path and the element at hand
+    are kept, so a document of any size takes the memory of one element."""
+
+    TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\]:,]|[^\s"{}\[\]:,]+|"', re.S)
+    OFF = -1
+
+    def __init__(self, path: Sequence[str]):
+        self.path = list(path)
+        self.carry = ""           # an unfinished string
+        self.open: list[list] = []  # [kind, keys of the path matched to get here, awaiting a key]
+        self.next = 0             # keys matched for the value to come
+        self.key: str | None = None
+        self.target = 0           # depth of the array looked for, once inside
+        self.element: list[str] | None = None
+
+    def feed(self, piece: str) -> list[str]:
+        text, out = self.carry + piece, []
+        self.carry = ""
+        held = 0  # from here on the text belongs to the element at hand
+        for m in self.TOKEN.finditer(text):
+            token = m.group()
+            if token == '"':
+                # the string goes on in the next piece
+                if self.element is not None and m.start() > held:
+                    self.element.append(text[held:m.start()])
+                self.carry, held = text[m.start():], len(text)
+                break
+            depth = len(self.open)
+            if self.target and depth == self.target and token in ",]":
+                if self.element is not None:
+                    out.append("".join(self.element) + text[held:m.start()])
+                self.element, held = None, m.end()
+                if token == "]":
+                    self.open.pop()
+                    self.target, self.next = 0, self.OFF
+                continue
+            if self.target and depth == self.target and self.element is None:
+                self.element, held = [], m.start()
+            self.step(token)
+        if self.element is not None and held < len(text):
+            self.element.append(text[held:])
+        return out
+
+    def step(self, token: str) -> None:
+        """Follow one token that ends no element."""
+        top = self.open[-1] if self.open else None
+        if token in "{[":
+            level = self.OFF if self.target else self.next
+            self.open.append([token, level, token == "{"])
+            if token == "[":
+                if level == len(self.path) and not self.target:
+                    self.target = len(self.open)
+                self.next = self.OFF
+        elif token in "}]":
+            if top is not None:
+                self.open.pop()
+            self.next = self.OFF
+        elif token == ",":
+            if top is not None and top[0] == "{":
+                top[2] = True
+        elif token == ":":
+            if top is not None:
+                top[2] = False
+                on = 0 <= top[1] < len(self.path) and self.key == self.path[top[1]]
+                self.next = top[1] + 1 if on else self.OFF
+        elif top is not None and top[0] == "{" and top[2] and token[0] == '"':
+            self.key = json.loads(token) if not self.target and top[1] >= 0 else None
+
+
+def scan_json_doc(spark: SparkSession, path: str, json_path: Sequence[str] = EQUITY_PATH,
+                  element: str = "array<double>") -> DataFrame:
+    """(path, pos, value) of the array at ``json_path`` in each JSON document.
+
+    A document is read in pieces that end at a closing bracket, by as many
+    tasks as it has blocks; the pieces of one go in order past a walker that
+    keeps one element at a time, so no row and no task holds a document.
+    Elements become VARIANTs and are cast to ``element`` (NULL where that
+    fails).  A broken document gives the elements before the break."""
+    pieces = spark.read.option("lineSep", "]").text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("nth"), F.col("value").alias("piece"))
+    ordered = pieces.repartition("path").sortWithinPartitions("path", "block", "nth").select("path", "piece")
+    keys = list(json_path)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, walker, pos = None, None, 0
+        for batch in batches:
+            rows: list[tuple] = []
+            for name, piece in zip(batch.column("path").to_pylist(), batch.column("piece").to_pylist()):
+                if name != file:
+                    file, walker, pos = name, JsonPathWalker(keys), 0
+                for text in walker.feed(piece + "]"):
+                    rows.append((file, pos, text))
+                    pos += 1
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.string()))],
+                                                 names=["path", "pos", "raw"])
+
+    found = ordered.mapInArrow(walk, "path string, pos int, raw string")
+    return found.select("path", "pos", F.try_variant_get(F.try_parse_json("raw"), "$", element).alias("value"))
 
 
 def parse_log_table(logs: DataFrame, schema: str, marker: str = WEIGHTS_MARKER, content: str = "content",
