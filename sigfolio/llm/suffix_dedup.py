@@ -190,6 +190,14 @@ def group_numbers(spark: SparkSession, buckets: int) -> list[list[int]]:
     return [sorted(x) for x in out]
 
 
+def bucket_names(spark: SparkSession, buckets: int) -> np.ndarray:
+    """A number for each bucket under which a shuffle into as many parts deals
+    it to a part of its own (beyond MAX_BUCKETS its own number, as it falls)."""
+    if buckets > MAX_BUCKETS:
+        return np.arange(buckets, dtype="i4")
+    return np.array([x[0] if x else SEARCH * buckets + b for b, x in enumerate(group_numbers(spark, buckets))], "i4")
+
+
 def pack_documents(rows: DataFrame, groups: int) -> DataFrame:
     """Table of packs (grp, first, ids, sizes, digests, blob), bucketed by
     ``grp`` and kept in the shared folder.  Groups have a bucket each (several
@@ -344,7 +352,7 @@ def gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return data[np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def tell_minimisers(buckets: int):
+def tell_minimisers(names: np.ndarray):
     def run(packs: pa.Table, told: pa.Table) -> pa.Table:
         group = Group(packs, told)
         hashes, texts = [], []
@@ -356,18 +364,18 @@ def tell_minimisers(buckets: int):
         h, t = h[order], t[order]
         new = np.r_[True, (h[1:] != h[:-1]) | (t[1:] != t[:-1])][:len(h)]
         h, n = np.unique(h[new], return_counts=True)
-        bucket = (h >> np.uint64(1)) % np.uint64(buckets)
+        bucket = (h >> np.uint64(1)) % np.uint64(len(names))
         order = np.argsort(bucket, kind="stable")
-        return by_bucket(group.grp, bucket[order], {"hashes": h[order].astype("<u8"), "counts": np.minimum(n[order], 65535).astype("<u2")})
+        return by_bucket(group.grp, bucket[order], names, {"hashes": h[order].astype("<u8"), "counts": np.minimum(n[order], 65535).astype("<u2")})
     return run
 
 
-def by_bucket(grp: int, bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.Table:
-    """One row per bucket with its part of the sorted columns, packed."""
+def by_bucket(grp: int, bucket: np.ndarray, names: np.ndarray, columns: dict[str, np.ndarray]) -> pa.Table:
+    """One row per bucket, under its name, with its part of the sorted columns, packed."""
     cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][:len(bucket)])
     ends = np.r_[cut[1:], len(bucket)].astype(int) if len(cut) else cut
     return pa.Table.from_pydict(
-        {"bucket": pa.array(bucket[cut].astype(np.int32)), "grp": pa.array([grp] * len(cut), pa.int32())}
+        {"bucket": pa.array(names[bucket[cut].astype(np.int64)]), "grp": pa.array([grp] * len(cut), pa.int32())}
         | {k: pa.array([v[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()) for k, v in columns.items()})
 
 
@@ -392,14 +400,14 @@ def answers(grps: list[int], kind: str, data: list[bytes]) -> pa.Table:
                                  "data": pa.array([d for _, d in full], pa.binary())})
 
 
-def send_strings(buckets: int):
+def send_strings(names: np.ndarray):
     def run(packs: pa.Table, told: pa.Table) -> pa.Table:
         group = Group(packs, told)
         u = group.units()
-        bucket = ((u.minimiser >> np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
+        bucket = ((u.minimiser >> np.uint64(1)) % np.uint64(len(names))).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         size = (u.count[u.where] + WIDTH - 1)[order]
-        out = by_bucket(group.grp, bucket[order], {
+        out = by_bucket(group.grp, bucket[order], names, {
             "numbers": order.astype("<u4"), "ids": u.least[order].astype("<i8"), "hashes": u.minimiser[order].astype("<u8"),
             "strings": u.own[order].astype("<u8"), "sizes": size.astype("<u2")})
         every, blobs, at, byte = gather(u.data, u.at[u.where][order], size), [], 0, 0
@@ -518,6 +526,7 @@ def dedup(docs: DataFrame, whole_chars: bool = False, group_bytes: int = GROUP_B
     rows = docs.select(F.col(id_col).cast("long").alias("id"), key.cast("string").alias("key"), text_of(text_col).cast("binary").alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     groups, buckets = 12 + total // group_bytes, 12 + total // bucket_bytes
+    names = bucket_names(docs.sparkSession, buckets)
     small_batches(docs.sparkSession)
     packs = pack_documents(rows, groups)
     schema = "grp int, kind string, data binary"
@@ -525,9 +534,9 @@ def dedup(docs: DataFrame, whole_chars: bool = False, group_bytes: int = GROUP_B
     def by_group(told: DataFrame, fn, out: str, *more: str) -> DataFrame:
         return packs.select("grp", "first", "ids", "sizes", "blob", *more).groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(fn, out)
 
-    minimisers = by_group(copies, tell_minimisers(buckets), "bucket int, grp int, hashes binary, counts binary")
+    minimisers = by_group(copies, tell_minimisers(names), "bucket int, grp int, hashes binary, counts binary")
     shared = cut_lineage(minimisers.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(find_shared, schema), "shared")
-    strings = by_group(copies.unionByName(shared), send_strings(buckets),
+    strings = by_group(copies.unionByName(shared), send_strings(names),
                        "bucket int, grp int, numbers binary, ids binary, hashes binary, strings binary, sizes binary, blob binary")
     previous = cut_lineage(strings.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(find_previous, schema), "previous")
     return by_group(copies.unionByName(shared).unionByName(previous), apply_answers(whole_chars),

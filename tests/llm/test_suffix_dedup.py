@@ -125,3 +125,13 @@ def test_cover_and_whole_characters():
 
 def test_empty_table(spark):
     assert sd.dedup(docs_frame(spark, [])).count() == 0
+
+
+def test_groups_and_buckets_have_parts_of_their_own(spark):
+    from pyspark.sql import functions as F
+    for n in (12, 113):
+        names = sd.bucket_names(spark, n)
+        assert len(set(names.tolist())) == n
+        rows = spark.createDataFrame([(int(x),) for x in names], "bucket int").repartition(n, "bucket")
+        assert rows.groupBy(F.spark_partition_id()).count().count() == n
+
