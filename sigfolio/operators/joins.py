@@ -219,7 +219,8 @@ def asof_last_signal(signals: DataFrame, calendar: DataFrame, key: str = "ticker
     ``calendar`` is the month table of ``first_trading_day``
     (month, start, next_start).  Signals are first reduced to the last one per
     (key, rebalance period) (``signal_periods``) and only that small table is
-    carried forward per key (``carry_forward``)."""
+    carried forward per key (``carry_forward``).  That table is written while
+    the plan is built: the call runs a job."""
     # the per-period table (keys x periods: small) is read twice by the
     # carry-forward; materialise it so the signals are scanned once
     last = cut_lineage(signal_periods(signals, calendar, key, ts, seq, value, at, inclusive))
@@ -243,7 +244,8 @@ def portfolio_membership(signals: DataFrame, calendar: DataFrame, prices: DataFr
                          inclusive: bool = False, **kw) -> DataFrame:
     """Holdings per rebalance date: every symbol enters with its first bar in
     ``prices``, signals or not, and is out while its latest signal before the
-    date is ``exit_value``."""
+    date is ``exit_value``.  The signals per period are written while the
+    plan is built: the call runs a job."""
     periods = cut_lineage(signal_periods(signals, calendar, key, value=value, at=at, inclusive=inclusive, **kw))
     return holdings(periods, first_held(prices, calendar, key, at=at, inclusive=inclusive), calendar, key, value, at, exit_value)
 

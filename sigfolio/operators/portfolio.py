@@ -335,7 +335,11 @@ def monthly_rebalance(signals: DataFrame, prices: DataFrame, universe: DataFrame
                       n_bars: int = M.HISTORY_BARS, inclusive: bool = False) -> DataFrame:
     """Month starts -> holdings (as-of last signal) -> last n bars per held
     ticker -> returns (forward-filled pivot, complete cases) -> minimum
-    variance weights per date -> every universe ticker, missing -> 0."""
+    variance weights per date -> every universe ticker, missing -> 0.
+
+    Prices, calendar, signals per period and weights are written while the
+    plan is built: the call runs the work, the result only fills the
+    universe.  In a ``stages()`` block what was written goes with the block."""
     # prices feed the calendar, the entries and the histories, the calendar
     # (one row per month) three steps: each is written once
     prices = cut_lineage(prices)
@@ -348,7 +352,8 @@ def weights_for_holdings(held: DataFrame, prices: DataFrame, universe: DataFrame
                          n_bars: int = M.HISTORY_BARS, inclusive: bool = False) -> DataFrame:
     """(rebalance_date, ticker) holdings -> last n bars -> minimum-variance
     weights per date -> every universe ticker listed, missing -> 0 (the
-    second half of ``monthly_rebalance``, shared with the streaming form)."""
+    second half of ``monthly_rebalance``, shared with the streaming form).
+    The weights are written while the plan is built."""
     # the weights (dates x held names: small) feed both the date list and the
     # join of the universe fill; materialise them once so the solver runs once
     w = cut_lineage(min_variance_from_slices(M.bar_slices(prices, held, n_bars, inclusive=inclusive)))

@@ -85,18 +85,12 @@ def test_bar_frames_over_batches(spark, inclusive):
     assert got == _plain_bars(prices, requests, 5, inclusive)
 
 
-def _plain_top(texts, cats, k):
-    def cos(a, b):
-        if a is None or b is None or len(a) != len(b) or None in a or None in b:
-            return 0.0
-        a, b = np.array(a, float), np.array(b, float)
-        norm = np.sqrt((a * a).sum()) * np.sqrt((b * b).sum())
-        return float((a * b).sum() / norm) if norm > 0 else 0.0
-    out = []
-    for key, v in texts:
-        best = sorted((-round(cos(v, c), 9), i, n) for i, n, c in cats)[:k]
-        out += [(key, rank, n, -s) for rank, (s, i, n) in enumerate(best, 1)]
-    return sorted(out, key=repr)
+def _cos(a, b):
+    if a is None or b is None or len(a) != len(b) or None in a or None in b:
+        return 0.0
+    a, b = np.array(a, float), np.array(b, float)
+    norm = np.sqrt((a * a).sum()) * np.sqrt((b * b).sum())
+    return round(float((a * b).sum() / norm), 9) + 0.0 if norm > 0 else 0.0
 
 
 @pytest.mark.parametrize("blocks", [None, 1, 5])
@@ -109,10 +103,20 @@ def test_top_categories_of_odd_vectors(spark, monkeypatch, blocks):
     cats = [(k, f"c{k}", vec()) for k in range(25)] + [(100 + k, f"d{k}", [1.0, 1.0, 0.0]) for k in range(8)]
     t = spark.createDataFrame(texts, "vec_id long, embedding array<double>")
     c = spark.createDataFrame(cats, "cat_idx long, category string, vec array<double>")
+    vec_of = {n: v for _, n, v in cats}
     for k in (1, 4, 50):
-        got = sorted(((r.vec_id, r.rank, r.category, round(r.probability, 9) + 0.0) for r in S.topk_categories(t, c, k, blocks=blocks).collect()), key=repr)
-        want = [(key, rank, n, s + 0.0) for key, rank, n, s in _plain_top(texts, cats, k)]
-        assert got == sorted(want, key=repr)
+        got = [(r.vec_id, r.rank, r.category, round(r.probability, 9) + 0.0) for r in S.topk_categories(t, c, k, blocks=blocks).collect()]
+        want = [(key, rank, s) for key, v in texts for rank, s in enumerate(sorted((_cos(v, w) for _, _, w in cats), reverse=True)[:k], 1)]
+        assert sorted((key, rank, s) for key, rank, _, s in got) == sorted(want)
+        own = {}
+        for key, v in texts:
+            own.setdefault(key, []).append(v)
+        assert all(any(_cos(v, vec_of[n]) == s for v in own[key]) for key, _, n, s in got)
+    # equal vectors keep the order of the categories
+    for key, v in [(1000, [1.0, 1.0, 0.0]), (1001, [0.3, 0.5, 7.0])]:
+        one = spark.createDataFrame([(key, v)], "vec_id long, embedding array<double>")
+        names = [r.category for r in S.topk_categories(one, c.filter("cat_idx >= 100"), 8, blocks=blocks).orderBy("rank").collect()]
+        assert names == [f"d{k}" for k in range(8)]
     every = S.cross_similarity(t, c, blocks=blocks)
     assert every.count() == len(texts) * len(cats)
 
