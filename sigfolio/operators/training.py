@@ -74,15 +74,15 @@ def exact_cuts(keys: DataFrame, quota: DataFrame | int, h: str, group: Sequence[
     edge = F.struct(F.col("__b").alias("b"), (F.col("quota") - F.col("__cum") + F.col("__c")).alias("need"))
     edge = (hist.filter(F.col("__cum") >= F.col("quota")).groupBy(*group).agg(F.min_by(edge, "__b").alias("__edge"))
             .select(*[F.col(g).alias(f"__e_{g}") for g in group], F.col("__edge.b").alias("__eb"), F.col("__edge.need").alias("__need")))
-    none = edge.filter(F.col("__need") <= 0).select(*[F.col(f"__e_{g}").alias(g) for g in group], F.lit("").alias("cut"),
-                                                    F.lit(0).cast("long").alias("need"), F.lit(0).cast("long").alias("have"))
     # one row per group
-    inside = d.join(F.broadcast(edge.filter(F.col("__need") > 0)), _same(group, "__e_") & (F.col("__b") == F.col("__eb")))
+    inside = d.join(F.broadcast(edge), _same(group, "__e_") & (F.col("__b") == F.col("__eb")))
     each = inside.groupBy(*group, h, "__need").agg(F.count(F.lit(1)).alias("have"))
     each = each.withColumn("__before", F.sum("have").over(
         Window.partitionBy(*group).orderBy(h).rowsBetween(Window.unboundedPreceding, 0)) - F.col("have"))
-    reached = each.filter((F.col("__before") < F.col("__need")) & (F.col("__before") + F.col("have") >= F.col("__need")))
-    return reached.select(*group, F.col(h).alias("cut"), (F.col("__need") - F.col("__before")).cast("long").alias("need"), "have").unionByName(none)
+    none = F.col("__need") <= 0  # told by the group's first hash
+    reached = each.filter((F.col("__before") < F.greatest("__need", F.lit(1))) & (F.col("__before") + F.col("have") >= F.col("__need")))
+    return reached.select(*group, F.when(none, "").otherwise(F.col(h)).alias("cut"), (F.col("__need") - F.col("__before")).cast("long").alias("need"),
+                          F.when(none, 0).otherwise(F.col("have")).cast("long").alias("have"))
 
 
 def select_smallest(df: DataFrame, quota: DataFrame | int, h: str, group: Sequence[str] = (),
