@@ -1,6 +1,7 @@
 """Weak supervision: held-out accuracy, label model, odd rows."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -69,3 +70,27 @@ def test_no_usable_labels(spark):
     labels = spark.createDataFrame([(1, None), (None, 1), (2, 7)], "doc_id long, toxic int")
     m = tx.fit(docs, labels)
     assert all(r["score"] < 0.5 for r in tx.score(docs, m).collect())
+
+
+def test_scores_are_those_of_the_written_out_model(tables, model):
+    """Every document of the table, its terms and votes worked out plainly."""
+    import math
+    import re
+    docs = tables[0].filter("doc_id % 7 = 0").collect()
+    got = {r["doc_id"]: r["score"] for r in tx.score(tables[0], model).collect()}
+    n, place = len(model.lexicon.index), {v: k for k, v in enumerate(model.lexicon.voters)}
+    for r in docs:
+        text = r["text"] or ""
+        words = set(re.findall(r"[^\W\d_]+", text.lower()))
+        found = {f"w:{w}" for w in words} | {f"{k}:{w[:k]}" for k in (4, 5, 6, 7) for w in words if len(w) > k}
+        for k, letter in ((5, "b"), (7, "c")):
+            begun = [w[:k] for w in words if len(w) > k]
+            found |= {f"{letter}:{b}" for b, count in Counter(begun).items() if count > 1}
+        known = [t for t in found if t in model.lexicon.index]
+        parts = text.split()
+        upper, top = sum("A" <= c <= "Z" for c in text), max(Counter(parts).values(), default=0)
+        fires = {"shouting": upper >= 20 and upper > 0.5 * len(text), "exclaiming": "!!" in text,
+                 "censored": re.search(r"\b[^\W\d_]+[*#@$%]{2,}[^\W\d_]*", text) is not None, "repeating": len(parts) >= 20 and top > 0.3 * len(parts)}
+        voters = {model.lexicon.voter[t] for t in known} | {place[p] for p, on in fires.items() if on}
+        z = model.bias + sum(model.weight[model.lexicon.index[t]] for t in known) + sum(model.weight[n + v] for v in voters)
+        assert abs(got[r["doc_id"]] - 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))) < 1e-9
