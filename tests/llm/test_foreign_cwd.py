@@ -26,4 +26,4 @@ print("ALL-OK", len(names))
 def test_queries_from_foreign_cwd(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     r = subprocess.run([sys.executable, "-c", SCRIPT], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
-    assert "ALL-OK 11" in r.stdout, r.stderr[-3000:]
+    assert "ALL-OK 14" in r.stdout, r.stderr[-3000:]
