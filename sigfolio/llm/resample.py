@@ -69,10 +69,10 @@ def extend(state: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndar
     return done
 
 
-def pieces(text: bytes, grams: int, size: int = CHUNK) -> Iterator[tuple[bytes, int]]:
+def pieces(text: bytes, grams: int, size: int | None = None) -> Iterator[tuple[bytes, int]]:
     """A long text some ``size`` bytes at a time, cut between words; from the
     second piece on with the ``grams`` - 1 words before it, and their number."""
-    at, before = 0, b""
+    at, before, size = 0, b"", size or CHUNK
     data = np.frombuffer(text, "u1")
     while len(text) - at > size:
         gap = at + size
