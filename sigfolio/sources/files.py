@@ -13,7 +13,7 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,23 +21,47 @@ from pyspark.sql import types as T
 # and a filing's file name contains "{form}_edgar".
 QUARTERS = ["QTR1", "QTR2", "QTR3", "QTR4"]
 FORM_TAG = "{form}_edgar"
+# A pack holds many filings: a record is name, PACK_MARK and content and ends
+# with PACK_END; both parts are escaped with PACK_ESCAPE.
+PACK_END, PACK_ESCAPE = "\x1e", "\x1f"
+PACK_MARK = PACK_ESCAPE + "N"
 EQUITY_PATH = ["charts", "Strategy Equity", "series", "Equity", "values"]
 WEIGHTS_MARKER = "Portfolio weights df is:"
 
 
+def pack_text(text: Column) -> Column:
+    """``text`` without PACK_END and without a PACK_ESCAPE that is not one of
+    the pack's own; ``unpack_text`` gives it back."""
+    text = F.replace(text, F.lit(PACK_ESCAPE), F.lit(PACK_ESCAPE + "E"))
+    return F.replace(text, F.lit(PACK_END), F.lit(PACK_ESCAPE + "S"))
+
+
+def unpack_text(text: Column) -> Column:
+    text = F.replace(text, F.lit(PACK_ESCAPE + "S"), F.lit(PACK_END))
+    return F.replace(text, F.lit(PACK_ESCAPE + "E"), F.lit(PACK_ESCAPE))
+
+
 def scan_filings(spark: SparkSession, root: str, years: Sequence[int | str], form: str = "10-K",
-                 hive_layout: bool = False) -> DataFrame:
+                 hive_layout: bool = False, packed: bool = False) -> DataFrame:
     """(path, year, quarter, content) for every filing of ``form`` in the
     four quarter folders of each year.
 
     The form test is on the path below the quarter folder, so
     ``10-K-A_edgar`` / ``10-K405_edgar`` are not ``10-K_edgar``.  With
-    ``hive_layout`` folders are ``year=YYYY/quarter=QTRn`` (Spark-written)."""
+    ``hive_layout`` folders are ``year=YYYY/quarter=QTRn`` (Spark-written).
+    A file is a filing, or with ``packed`` holds many (``sinks.sink_filings``):
+    ``path`` is then the quarter folder and the filing's name."""
     ys = ",".join(str(y) for y in years)  # one brace glob: absent years are skipped
     paths = f"{root}/year={{{ys}}}/quarter=QTR*" if hive_layout else f"{root}/{{{ys}}}/QTR*"
     tag = FORM_TAG.format(form=form)
-    df = (spark.read.option("recursiveFileLookup", True).text(paths, wholetext=True)
-               .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")))
+    files, file = spark.read.option("recursiveFileLookup", True), F.col("_metadata.file_path")
+    if packed:
+        name = unpack_text(F.substring_index("value", PACK_MARK, 1))
+        body = F.substring("value", F.instr("value", PACK_MARK) + len(PACK_MARK), F.length("value"))
+        df = (files.option("lineSep", PACK_END).text(paths)
+                   .select(F.concat(F.regexp_extract(file, r"^(.*/)", 1), name).alias("path"), unpack_text(body).alias("content")))
+    else:
+        df = files.text(paths, wholetext=True).select(file.alias("path"), F.col("value").alias("content"))
     below = F.regexp_extract("path", r"QTR\d/(.*)$", 1)
     return (df.filter(F.instr(below, tag) > 0)
               .select("path",

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sigfolio.sources.files import PACK_END, PACK_MARK, pack_text
 
 def sink_delimited(df: DataFrame, path: str, sep: str = ",", header: bool = True, mode: str = "overwrite") -> str:
     """CSV / pipe files, quoted where needed, no index column."""
@@ -51,6 +52,23 @@ def sink_report(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     return path
 
 
+def sink_filings(df: DataFrame, path: str, name: str = "filing", content: str = "content", mode: str = "overwrite") -> str:
+    """Write filings (year, quarter, name, content) for ``scan_filings`` with
+    ``hive_layout`` and ``packed``: a file holds the filings of a range of
+    names, so the number of files grows with the bytes, not with the filings.
+
+    A filing is its lines, as a text file would hold them: a line break ends
+    the content (an empty one for NULL), and the contents of a name that comes
+    more than once follow each other.  The range of names keeps them in one task."""
+    keys = ["year", "quarter", name]
+    lines = F.array_join(F.array_sort(F.collect_list(F.coalesce(F.col(content), F.lit("")))), "\n")
+    record = F.concat(pack_text(F.coalesce(F.col(name), F.lit(""))), F.lit(PACK_MARK), pack_text(F.concat("__lines", F.lit("\n"))))
+    (df.repartitionByRange(*keys).groupBy(*keys).agg(lines.alias("__lines"))
+       .select("year", "quarter", record.alias("value"))
+       .write.mode(mode).partitionBy("year", "quarter").option("lineSep", PACK_END).text(path))
+    return path
+
+
 def compact_filings(filings: DataFrame, path: str, mode: str = "overwrite") -> str:
     """Compact a corpus of many small filing files into Parquet partitioned
     by (year, quarter) -- the one pass after which every job reads columnar
