@@ -9,6 +9,7 @@ from sigfolio.operators.joins import _expand
 from sigfolio.plans import bindings as B
 from sigfolio.plans.oracle import with_views
 from sigfolio.plans.registry import query
+from sigfolio.session import cut_lineage
 
 W10 = "WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"
 
@@ -95,11 +96,11 @@ SELECT ticker, rebalance_date, date, price FROM (
   JOIN prices p ON p.ticker = r.ticker AND p.date < r.rebalance_date)
 WHERE rn <= 30""")
 def q_last_n_bars(spark, sf):
-    p = B.prices(spark, sf)
+    p = cut_lineage(B.prices(spark, sf))  # feeds the calendar, the requests and the bars
     cal = M.first_trading_day(p)
-    req = _expand(p.select("ticker").distinct(), cal.select(F.col("start").alias("rebalance_date")),
-                  ["rebalance_date"])
-    r = M.last_n_bars(p, req, n=30)
+    req = cut_lineage(_expand(p.select("ticker").distinct(), cal.select(F.col("start").alias("rebalance_date")),
+                              ["rebalance_date"]))
+    r = M.last_n_bars(p, req, n=30, partitions=M.sort_partitions(spark, p.count() + req.count()))
     return r.select("ticker", "rebalance_date", "date", F.col("price").cast("double").alias("price"))
 
 
