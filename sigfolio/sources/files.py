@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sigfolio.session import few_listing_tasks
+
 # Fixed values of the reference layout: corpus folders are {root}/{year}/QTR{n}
 # and a filing's file name contains "{form}_edgar".
 QUARTERS = ["QTR1", "QTR2", "QTR3", "QTR4"]
@@ -82,7 +84,8 @@ def scan_headerless_series(spark: SparkSession, path: str, n_cols: int, picks: d
     """Positional read of headerless delimited lines; ``picks`` maps output
     names to 0-based positions (all read as strings)."""
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(n_cols)])
-    df = scan_delimited(spark, path, schema, sep=sep, header=False)
+    with few_listing_tasks(spark):  # a folder per symbol
+        df = scan_delimited(spark, path, schema, sep=sep, header=False)
     return df.select(*[F.col(f"_c{i}").alias(n) for n, i in picks.items()])
 
 

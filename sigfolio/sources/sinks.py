@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sigfolio.session import few_listing_tasks
 from sigfolio.sources.files import PACK_END, PACK_MARK, pack_text
 
 def sink_delimited(df: DataFrame, path: str, sep: str = ",", header: bool = True, mode: str = "overwrite") -> str:
@@ -31,8 +32,9 @@ def sink_by_symbol(df: DataFrame, path: str, symbol: str = "ticker", sep: str =
     parts = n_parts or int(out.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (out.repartitionByRange(parts, "__sym", spread).write.mode(mode).partitionBy("__sym")
         .option("sep", sep).option("header", False).option("escape", '"').csv(path))
-    # the list comes from what was written, not from the input once more
-    written = out.sparkSession.read.schema("line string").text(path)
+    # the list comes from the folders that were written: no file is opened
+    with few_listing_tasks(out.sparkSession):
+        written = out.sparkSession.read.format("binaryFile").load(path)
     return written.select(F.col("__sym").cast("string").alias(symbol)).distinct().orderBy(symbol)
 
 
