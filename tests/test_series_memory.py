@@ -30,6 +30,13 @@ def test_complete_returns_match_plain_version():
         np.testing.assert_allclose(got, want, atol=1e-12)
 
 
+def test_bars_without_a_date_are_the_last_day():
+    nan = np.nan
+    got = complete_returns([np.array([nan, 1.0, 2.0]), np.array([1, 2, 3])], [np.array([8.0, 1.0, 2.0]), np.array([1.0, 2.0, 3.0])])
+    np.testing.assert_allclose(got, [[1.0, 1.0], [0.0, 0.5], [3.0, 0.0]])
+    assert complete_returns([np.array([nan]), np.array([1, 2])], [np.array([1.0]), np.array([1.0, 2.0])]).shape == (0, 2)
+
+
 def test_complete_returns_hold_no_dates_before_the_last_start():
     rng = np.random.default_rng(4)
     dates = [np.sort(rng.choice(4000, 30, replace=False)) for _ in range(1000)] + [np.arange(3980, 4000)]
