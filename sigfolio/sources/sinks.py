@@ -6,10 +6,13 @@ writers (no driver-side loops)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+import operator
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigfolio.session import few_listing_tasks
+from sigfolio.session import cut_lineage, few_listing_tasks
 from sigfolio.sources.files import PACK_END, PACK_MARK, pack_text
 
 def sink_delimited(df: DataFrame, path: str, sep: str = ",", header: bool = True, mode: str = "overwrite") -> str:
@@ -56,18 +59,29 @@ def sink_report(df: DataFrame, path: str, mode: str = "overwrite") -> str:
 
 def sink_filings(df: DataFrame, path: str, name: str = "filing", content: str = "content", mode: str = "overwrite") -> str:
     """Write filings (year, quarter, name, content) for ``scan_filings`` with
-    ``hive_layout`` and ``packed``: a file holds the filings of a range of
-    names, so the number of files grows with the bytes, not with the filings.
+    ``hive_layout`` and ``packed``: a file holds many filings, so the number
+    of files grows with the bytes, not with the filings.
 
     A filing is its lines, as a text file would hold them: a line break ends
     the content (an empty one for NULL), and the contents of a name that comes
-    more than once follow each other.  The range of names keeps them in one task."""
+    more than once follow each other.  A pass over the names alone finds those;
+    only their contents are shuffled, the others are written by the tasks that
+    read them, a file per quarter each."""
     keys = ["year", "quarter", name]
-    lines = F.array_join(F.array_sort(F.collect_list(F.coalesce(F.col(content), F.lit("")))), "\n")
-    record = F.concat(pack_text(F.coalesce(F.col(name), F.lit(""))), F.lit(PACK_MARK), pack_text(F.concat("__lines", F.lit("\n"))))
-    (df.repartitionByRange(*keys).groupBy(*keys).agg(lines.alias("__lines"))
-       .select("year", "quarter", record.alias("value"))
-       .write.mode(mode).partitionBy("year", "quarter").option("lineSep", PACK_END).text(path))
+    repeated = cut_lineage(df.groupBy(*keys).count().filter("count > 1").select(*[F.col(c).alias(f"__{c}") for c in keys]), "repeated_names")
+
+    def packs(filings: DataFrame, lines: Column) -> DataFrame:
+        record = F.concat(pack_text(F.coalesce(F.col(name), F.lit(""))), F.lit(PACK_MARK), pack_text(F.concat(lines, F.lit("\n"))))
+        return filings.select("year", "quarter", record.alias("value"))
+
+    line = F.coalesce(F.col(content), F.lit(""))
+    if repeated.isEmpty():
+        out = packs(df, line)
+    else:
+        same = functools.reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys])
+        together = df.join(repeated, same, "left_semi").groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("__lines"))
+        out = packs(df.join(repeated, same, "left_anti"), line).unionByName(packs(together, F.col("__lines")))
+    out.write.mode(mode).partitionBy("year", "quarter").option("lineSep", PACK_END).text(path)
     return path
 
 

@@ -3,6 +3,8 @@ does not grow with the filings."""
 
 import glob
 
+from pyspark.sql import functions as F
+
 from sigfolio.plans import q_io
 from sigfolio.sources import files as SRC
 from sigfolio.sources import sinks as SNK
@@ -40,3 +42,33 @@ def test_files_of_the_exported_corpus_do_not_grow_with_filings(spark, tmp_path):
     assert len(large) <= len(small) + 8 and len(large) < 60
     sf = str(tmp_path / "1200")
     assert q_io.q_scan_filings(spark, sf).count() == q_io.q_compact_filings(spark, sf).count() == 1200
+
+
+def test_contents_are_worked_out_once_and_not_shuffled(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(i):
+        made.add(1)
+        return f"text {i}"
+
+    df = spark.range(0, 60, 1, 3).select(F.lit(2020).alias("year"), F.lit("QTR1").alias("quarter"), F.concat(
+        F.lit("20200101_10-K_edgar_data_"), F.col("id"), F.lit(".txt")).alias("filing"), text("id").alias("content"))
+    root = SNK.sink_filings(df, str(tmp_path / "once"))
+    assert made.value == 60
+    got = SRC.scan_filings(spark, root, [2020], "10-K", hive_layout=True, packed=True).collect()
+    assert sorted(r.content for r in got) == sorted(f"text {i}\n" for i in range(60))
+
+
+def test_only_repeated_names_are_put_together(spark, tmp_path):
+    name = "20200101_10-K_edgar_data_{}.txt".format
+    rows = [(2020, "QTR1", name(i), f"c{i}") for i in range(4)] + [(2020, "QTR1", name(2), "b2"), (2020, "QTR1", name(3), None),
+            (2020, "QTR2", name(2), "other quarter"), (2020, "QTR1", None, "x"), (2020, "QTR1", None, "y"), (None, "QTR1", name(1), "z"), (None, "QTR1", name(1), "w")]
+    df = spark.createDataFrame(rows, "year int, quarter string, filing string, content string").repartition(5)
+    root = SNK.sink_filings(df, str(tmp_path / "twice"))
+    got = SRC.scan_filings(spark, root, [2020], "10-K", hive_layout=True, packed=True).collect()
+    assert sorted((r.quarter, r.path.split("/")[-1], r.content) for r in got) == [
+        ("QTR1", name(0), "c0\n"), ("QTR1", name(1), "c1\n"), ("QTR1", name(2), "b2\nc2\n"), ("QTR1", name(3), "\nc3\n"),
+        ("QTR2", name(2), "other quarter\n")]
+    files = [open(f, newline="").read() for f in glob.glob(f"{root}/**/*.txt", recursive=True)]
+    assert sum("x\ny\n" in f for f in files) == sum("w\nz\n" in f for f in files) == 1
