@@ -6,6 +6,7 @@ import tracemalloc
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from sigfolio.operators import market as M
 from sigfolio.operators.portfolio import complete_returns
@@ -84,3 +85,47 @@ def test_tasks_that_sort_bars_grow_with_the_rows(spark, tmp_path, monkeypatch):
     plan = bars._jdf.queryExecution().executedPlan().toString()
     assert "13), REPARTITION_BY_NUM" in plan  # 600 bars and 6 x 4 requests, 50 a task
     assert bars.count() == 6 * (30 + 30 + 30)
+
+
+def test_packed_returns_match_long_form(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for g in range(6):
+        for t in ("A", "B", "C", *([None] if g == 5 else [])):
+            days = np.sort(rng.choice(np.arange(-3, 15), rng.integers(1, 12), replace=False))
+            price = [None if rng.random() < 0.1 else 0.0 if rng.random() < 0.1 else float(rng.integers(1, 9)) for _ in days]
+            rows.append((g, t, [int(d) for d in days], price))
+    rows += [(6, "A", [1, 2], [0.0, 1.0]), (7, "A", [4], [1.0]), (8, "A", [], [])]
+    packed = spark.createDataFrame(rows, "g int, ticker string, date array<int>, price array<double>").repartition(3)
+    long = packed.select("g", "ticker", F.explode(F.arrays_zip("date", "price")).alias("x")).select("g", "ticker", "x.*")
+    ret = M.panel_returns(packed, group=["g"], packed=True)
+    assert "Window" not in ret._jdf.queryExecution().toString()
+    full, own = {}, {}
+    for r in M.panel_returns(long, group=["g"]).collect():
+        full.setdefault((r.g, r.ticker), []).append((r.date, r.ret))
+    for r in M.complete_case_returns(M.panel_returns(long, group=["g"]), group=["g"]).collect():
+        own.setdefault((r.g, r.ticker), []).append((r.date, r.ret))
+    in_order = lambda x: {k: [v for _, v in sorted(d)] for k, d in x.items()}
+    assert {(r.g, r.ticker): r.ret for r in ret.collect()} == in_order(full)
+    assert {(r.g, r.ticker): r.ret for r in M.complete_case_returns(ret, group=["g"], packed=True).collect()} == in_order(own)
+    assert own and len(own) < len(full)
+
+
+def test_rebalance_check_writes_no_row_per_name_and_day(spark, monkeypatch):
+    from sigfolio.plans import q_portfolio as Q
+    rng = np.random.default_rng(7)
+    day, cuts = dt.date(2024, 1, 1), []
+    prices = spark.createDataFrame([(t, day + dt.timedelta(days=i), float(rng.integers(50, 99))) for t in "ABCD" for i in range(80) if rng.random() < 0.7],
+                                   "ticker string, date date, price double").withColumn("price", F.col("price").cast("decimal(18,6)"))
+    dates = [dt.date(2024, 2, 20), dt.date(2024, 3, 20)]
+    held = spark.createDataFrame([(d, t) for d in dates for t in "ABCD"], "rebalance_date date, ticker string")
+    cut = Q.cut_lineage
+    monkeypatch.setattr(Q, "cut_lineage", lambda df: cuts.append(cut(df)) or cuts[-1])
+    got = Q.rebalance_check(held, prices).collect()
+    assert [c.count() for c in cuts] == [8, 8, 8]
+    assert sorted((r.rebalance_date, r.ticker) for r in got) == [(d, t) for d in dates for t in "ABCD"]
+    assert all(r.weighted and r.optimal and r.total_weight == 1 for r in got)
+    # weights that are not the least variance are found out
+    w = cuts[1].withColumn("weight", F.when(F.col("ticker") == "A", 1.0).otherwise(0.0))
+    wrong = Q.optimality(w, M.complete_case_returns(cuts[2], group=["rebalance_date"], packed=True)).collect()
+    assert all(r.weighted for r in wrong) and {r.rebalance_date for r in wrong if not r.optimal} == set(dates)
